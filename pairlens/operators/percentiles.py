@@ -1,0 +1,156 @@
+"""Percentiles per group over very many values, by mergeable sketches.
+
+Values go through three steps, none of which holds a group: a sketch per group
+in each partition (so a hot group is pre-aggregated where it lies), a merge of
+a partition's sketches by group and salt, and a last merge of the salts. Days,
+files or other slices combine the same way.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pairlens.functions.req_sketch import SECTION, ReqSketch
+from pairlens.plans.durable import cut
+
+#: Sketches of a group that one task merges first are those of this many salts.
+SALTS = 16
+
+
+def usable(value: str) -> Column:
+    """Not null, finite and above 0."""
+    v = F.col(value)
+    return v.isNotNull() & ~F.isnan(v) & (v > 0) & (v < float("inf"))
+
+
+def _sketches(keys: Sequence[str], value: str, section: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, ReqSketch] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            dictionaries = []
+            for k in keys:
+                d = batch.column(batch.schema.get_field_index(k)).dictionary_encode(null_encoding="encode")
+                dictionaries.append(d.dictionary.to_pylist())
+                code = code * len(d.dictionary) + d.indices.to_numpy(zero_copy_only=False)
+            values = batch.column(batch.schema.get_field_index(value)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            code, values = code[order], values[order]
+            starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            for a, b in zip(starts, np.r_[starts[1:], len(code)]):
+                c, key = int(code[a]), []
+                for d in reversed(dictionaries):
+                    c, i = divmod(c, len(d))
+                    key.append(d[i])
+                held.setdefault(tuple(reversed(key)), ReqSketch(section)).add(values[a:b])
+        yield from _emit(held, keys)
+
+    return run
+
+
+def _emit(held: dict[tuple, ReqSketch], keys: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    if held:
+        columns = [pa.array(x) for x in zip(*held)]
+        columns.append(pa.array([s.dump() for s in held.values()], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, names=[*keys, "sketch"])
+
+
+def _merged(keys: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, ReqSketch] = {}
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            for *key, data in zip(*columns, batch.column(batch.schema.get_field_index("sketch")).to_pylist()):
+                other = ReqSketch.load(data)
+                mine = held.get(tuple(key))
+                held[tuple(key)] = other if mine is None else mine.merge(other)
+        yield from _emit(held, keys)
+
+    return run
+
+
+def _schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType([df.schema[k] for k in keys] + [T.StructField("sketch", T.BinaryType())])
+
+
+def sketches(df: DataFrame, keys: Sequence[str], value: str, section: int = SECTION) -> DataFrame:
+    """One row per group of ``keys``: its sketch of ``value``.
+
+    Values that are null, not finite or not above 0 don't count; a group
+    without any other gives no row, an empty table none. Null keys are a group
+    of their own. Ties and repeated values count each time; drop redelivered
+    rows before. Other columns are ignored. Keys must be strings, dates or
+    integers.
+    """
+    rows = df.where(usable(value)).select(*keys, value)
+    return merge(rows.mapInArrow(_sketches(keys, value, section), _schema(rows, keys)), keys)
+
+
+def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sketches by ``keys``, merged from any finer ones (partitions, days, files); each partition pre-merges what it holds."""
+    schema = _schema(parts, keys)
+    parts = parts.select(*keys, "sketch")
+    salted = parts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS))).repartition(*keys, "_salt").drop("_salt")
+    return salted.mapInArrow(_merged(keys), schema).repartition(*keys).mapInArrow(_merged(keys), schema)
+
+
+def estimates(sketched: DataFrame, keys: Sequence[str], percents: Sequence[float]) -> DataFrame:
+    """Per group: n, and for each percentile its value with the lower and upper end of its error interval (p50, p50_lo, p50_hi)."""
+    names = [f"p{p:g}".replace(".", "_") for p in percents]
+    schema = T.StructType([sketched.schema[k] for k in keys] + [T.StructField("n", T.LongType())] + [T.StructField(n + e, T.DoubleType()) for n in names for e in ("", "_lo", "_hi")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+            rows = []
+            for data in batch.column(batch.schema.get_field_index("sketch")).to_pylist():
+                s = ReqSketch.load(data)
+                at = [x for p in percents for x in (p / 100, p / 100 - s.rank_error(p / 100), p / 100 + s.rank_error(p / 100))]
+                rows.append((s.count, *s.quantiles(at)))
+            made = [pa.array(x) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] + [pa.array([], pa.float64())] * (3 * len(names))
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[f.name for f in schema])
+
+    return sketched.mapInArrow(run, schema)
+
+
+def once(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Redelivered rows, equal in ``key`` and ``columns``, once; all of them are grouping keys, so the grouping hashes and never sorts."""
+    return df.select(key, *columns).distinct()
+
+
+def skewed_groups(df: DataFrame, keys: Sequence[str], value: str, upper: float = 95, lower: float = 50, factor: float = 5.0, section: int = SECTION) -> DataFrame:
+    """The groups of ``keys`` whose ``upper`` percentile exceeds ``factor`` times their ``lower`` one.
+
+    The sketches' error intervals decide nearly all groups. What they leave
+    open is settled exactly: only the values inside the open groups' intervals
+    are ranked, after the count of those below.
+    """
+    hi, lo = f"p{upper:g}".replace(".", "_"), f"p{lower:g}".replace(".", "_")
+    bounds = cut(estimates(sketches(df, keys, value, section), keys, (lower, upper)))
+    sure = F.col(f"{hi}_lo") > factor * F.col(f"{lo}_hi")
+    never = F.col(f"{hi}_hi") <= factor * F.col(f"{lo}_lo")
+    found = bounds.where(sure).select(*keys)
+    unsure = bounds.where(~sure & ~never)
+    if unsure.isEmpty():
+        return found
+    values = df.where(usable(value)).select(*keys, F.col(value).alias("_v"))
+    on = [F.col(f"v.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]
+    near = values.alias("v").join(unsure.alias("u"), on).select(*[F.col(f"u.{k}") for k in keys], "_v", "n", *[c for x in (lo, hi) for c in (f"{x}_lo", f"{x}_hi")])
+    out = None
+    for name, percent in ((lo, lower), (hi, upper)):
+        below = near.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col(f"{name}_lo")).alias("_below"))
+        inside = near.where((F.col("_v") >= F.col(f"{name}_lo")) & (F.col("_v") <= F.col(f"{name}_hi"))).groupBy(*keys, "_v", "n").agg(F.count("*").alias("_times"))
+        joined = inside.alias("i").join(below.alias("b"), [F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]).select("i.*", "_below")
+        reach = F.col("_below") + F.sum("_times").over(Window.partitionBy(*keys).orderBy("_v"))
+        ranked = joined.withColumn("_reach", reach).where(F.col("_reach") >= F.ceil(F.col("n") * percent / 100 - 1e-9))
+        value_at = ranked.groupBy(*keys).agg(F.min("_v").alias(name))
+        out = value_at if out is None else out.alias("x").join(value_at.alias("y"), [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]).select("x.*", f"y.{name}")
+    return found.unionByName(out.where(F.col(hi) > factor * F.col(lo)).select(*keys))
