@@ -3,7 +3,8 @@
 A source whose target needs r times its tokens gives each document floor(r)
 times, and once more with the probability of the fraction. The flight phase
 moves these probabilities through the null space of two constraints, the
-documents and the tokens of the source, until at most two of a lane are left;
+documents and the tokens of the source, long documents first, until at most two
+of a lane are left;
 those of all lanes fly on together, and the last two land by the choice whose
 tokens come closest to what is missing.
 """
@@ -134,10 +135,10 @@ class Mix:
         units = docs.join(wanted.where("r > 0"), "source").select(
             "mix_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).alias("lane"), "doc_id", "tokens",
             F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"))
-        sorted_units = units.repartition("mix_id", "source", "lane").sortWithinPartitions("mix_id", "source", "lane", "doc_id")
+        sorted_units = units.repartition("mix_id", "source", "lane").sortWithinPartitions("mix_id", "source", "lane", F.desc("tokens"), "doc_id")
         flown = cut(sorted_units.mapInArrow(_runner(3, seed, False), _FIELDS))
         open_ = F.col("p").between(1e-300, 1 - 1e-16)
-        rest = flown.where(open_).repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", "doc_id")
+        rest = flown.where(open_).repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", F.desc("tokens"), "doc_id")
         landed = rest.mapInArrow(_runner(2, seed + 1, True), _FIELDS)
         every = flown.where(~open_).unionByName(landed)
         self.chosen = cut(every.select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("p").cast("int")).alias("copies")).where("copies > 0"))
