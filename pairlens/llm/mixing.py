@@ -3,10 +3,10 @@
 A source whose target needs r times its tokens gives each document floor(r)
 times, and once more with the probability of the fraction. The flight phase
 moves these probabilities through the null space of two constraints, the
-documents and the tokens of the source, long documents first, until at most two
-of a lane are left;
-those of all lanes fly on together, and the last two land by the choice whose
-tokens come closest to what is missing.
+documents and the tokens of the source, until at most two of a lane are left.
+The longest documents settle first, against all others of the lane at once, so
+that only ordinary ones are left. Those of all lanes fly on together, and the
+last two land by the choice whose tokens come closest to what is missing.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pairlens.plans.durable import cut
 
 #: Documents of a lane of the flight.
 LANE_DOCS = 50_000
+#: So many of the longest documents of a lane, or an eighth of them, settle first.
+LONGEST = 64
 _NEAR = 1e-9
 _FIELDS = "mix_id string, source string, doc_id long, tokens long, whole int, p double"
 
@@ -51,6 +54,31 @@ def flight_step(p: list[float], t: list[int], coin: float) -> None:
             p[i] = 1.0
 
 
+def settle_longest(p: np.ndarray, t: np.ndarray, docs: np.ndarray, seed: int, most: int = LONGEST) -> np.ndarray:
+    """Probabilities after the longest documents have moved to 0 or 1, each balanced by small moves of all others."""
+    p = p.copy()
+    for b in np.argsort(-t, kind="stable")[: min(most, len(t) // 8)]:
+        for turn in range(4):
+            w = p * (1 - p)
+            w[b] = 0.0
+            if not 0 < p[b] < 1 or np.count_nonzero(w) < 3:
+                break
+            m0, m1, m2 = w.sum(), (w * t).sum(), (w * t * t).sum()
+            det = m0 * m2 - m1 * m1
+            if det <= 1e-9 * m0 * m2:
+                break
+            u = -w * ((m2 - m1 * t[b]) + (m0 * t[b] - m1) * t) / det
+            u[b] = 1.0
+            moving = np.flatnonzero(u)
+            up, down = (1 - p[moving]) / np.abs(u[moving]), p[moving] / np.abs(u[moving])
+            rising = u[moving] > 0
+            forth, back = np.where(rising, up, down).min(), np.where(rising, down, up).min()
+            p = p + (forth if _coin(seed + turn, int(docs[b])) < back / (forth + back) else -back) * u
+            p[p < _NEAR] = 0.0
+            p[p > 1 - _NEAR] = 1.0
+    return p
+
+
 def fly(units: Iterator[tuple[int, int, int, float]], seed: int) -> Iterator[tuple[int, int, int, float]]:
     """(doc, tokens, whole, p) with each p moved to 0 or 1, but for the last two at most."""
     held: list[list] = []
@@ -97,8 +125,12 @@ def _runner(key_columns: int, seed: int, last: bool):
                     yield ahead[key_columns:]
                     ahead = next(source, None)
 
-            left = []
-            for unit in fly(group(), seed):
+            left, lane = [], list(group())
+            if lane:
+                docs, sizes = np.array([u[0] for u in lane], dtype=object), np.array([u[1] for u in lane], dtype=float)
+                settled = settle_longest(np.array([u[3] for u in lane]), sizes, docs, seed)
+                lane = [(*u[:3], float(x)) for u, x in zip(lane, settled)]
+            for unit in fly(iter(lane), seed):
                 if last and 0 < unit[3] < 1:
                     left.append(unit)
                 else:
@@ -135,10 +167,10 @@ class Mix:
         units = docs.join(wanted.where("r > 0"), "source").select(
             "mix_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).alias("lane"), "doc_id", "tokens",
             F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"))
-        sorted_units = units.repartition("mix_id", "source", "lane").sortWithinPartitions("mix_id", "source", "lane", F.desc("tokens"), "doc_id")
+        sorted_units = units.repartition("mix_id", "source", "lane").sortWithinPartitions("mix_id", "source", "lane", F.xxhash64("doc_id"), "doc_id")
         flown = cut(sorted_units.mapInArrow(_runner(3, seed, False), _FIELDS))
         open_ = F.col("p").between(1e-300, 1 - 1e-16)
-        rest = flown.where(open_).repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", F.desc("tokens"), "doc_id")
+        rest = flown.where(open_).repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", F.xxhash64("doc_id"), "doc_id")
         landed = rest.mapInArrow(_runner(2, seed + 1, True), _FIELDS)
         every = flown.where(~open_).unionByName(landed)
         self.chosen = cut(every.select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("p").cast("int")).alias("copies")).where("copies > 0"))

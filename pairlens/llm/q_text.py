@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import mixing, packing, shared_spans
+from pairlens.llm import mixing, packing, pair_defects, shared_spans, truncation
 from pairlens.sources.tables import table
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects.pair_defects(table(spark, sf_dir, "detailed_results"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "detailed_results"))
+
+
+def p5_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.by_source(table(spark, sf_dir, "detailed_results"))
+
+
 def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "container_specs"))
 
@@ -51,7 +63,7 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_coverage(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_contents, p6_fill, p7_found, p7_selection, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_by_source, p6_found, p6_contents, p6_fill, p7_found, p7_selection, p7_shares, p8_found, p8_coverage)}
 
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]+'))"
 
