@@ -294,12 +294,15 @@ def pair_defects(results: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     by nothing; null options match nothing; a null reasoning is left out. Very
     long texts are read whole. An empty table gives no row. Other columns are
     ignored. The chain is trained on up to ``train_rows`` rows with an answer,
-    those with the least hashes of their ids.
+    drawn by the hashes of their ids.
     """
     columns = [F.col(c) for c in ("result_id", "sentence", "options", "predicted_answer", "cot_reasoning")]
     rows = results.select(*columns)
+    # a share of the rows that holds about twice the sample, so that a task sends few rows however many tasks there are
+    share = 2.0 * train_rows / max(1, results.count())
     order = F.xxhash64("result_id")
-    sample = rows.where(F.col("predicted_answer").isNotNull()).orderBy(order, "result_id").limit(train_rows).collect()
+    near = rows.where(F.col("predicted_answer").isNotNull() & (F.pmod(order, F.lit(1 << 31)) < F.lit(min(1.0, share) * (1 << 31))))
+    sample = near.orderBy(order, "result_id").limit(train_rows).collect()
     chain = train([(r["sentence"], r["options"], r["predicted_answer"], r["cot_reasoning"]) for r in sample])
     found = rows.mapInArrow(_tagger(chain), "result_id long, defect string")
     return found.groupBy("result_id").agg(F.min("defect").alias("defect"))
