@@ -1,0 +1,108 @@
+"""Cluster-aware selection: candidates, clusters, category, token, as one plan over all contexts."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pairlens.operators import category, clustering
+from pairlens.operators import logits as lg
+from pairlens.operators import samplers
+
+
+@dataclass(frozen=True)
+class DcbsSpec:
+    """What a cluster-aware sampler does.
+
+    method: dbscan, kmeans, hierarchical or single; category: greedy,
+    confidence or information. Contexts with up to ``bypass`` candidates aren't
+    clustered: their highest logit wins.
+    """
+
+    method: str = "kmeans"
+    category: str = "confidence"
+    clusters: int = 8
+    top: int = 50
+    dynamic: bool = True
+    epsilon: float = clustering.EPSILON
+    min_samples: int = clustering.MIN_SAMPLES
+    linkage: str = "average"
+    normalize: bool = True
+    bypass: int = 3
+
+    def __post_init__(self) -> None:
+        if self.method not in ("dbscan", "kmeans", "hierarchical", "single", "euclidean"):
+            raise ValueError(f"unknown method {self.method}")
+        if self.category not in category.SCORES:
+            raise ValueError(f"unknown category selection {self.category}")
+
+
+DEFAULT = DcbsSpec()
+LIGHTWEIGHT = DcbsSpec(clusters=4, top=20)
+#: Plain top-n candidates, Euclidean k-means, the heaviest category.
+BATCH = DcbsSpec(method="euclidean", category="greedy", dynamic=False, bypass=0)
+#: As BATCH on vectors as they are.
+BOUNDED = replace(BATCH, normalize=False)
+
+
+def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+    """ctx_id, token_id, logit, rank, p (over the candidates), n, cluster_id (null where not clustered)."""
+    if embeddings is None:
+        raise ValueError("cluster-aware selection needs embeddings")
+    cand = lg.softmax(lg.candidates(logits, allowed, spec.top, spec.dynamic)).withColumn("n", F.count("*").over(lg.CTX))
+    many = cand.where(F.col("n") > spec.bypass)
+    if spec.method == "single":
+        labels = clustering.single(many)
+    elif spec.method == "dbscan":
+        labels = clustering.dbscan(many, embeddings, spec.epsilon, spec.min_samples)
+    elif spec.method == "hierarchical":
+        labels = clustering.hierarchical(many, embeddings, spec.clusters, spec.linkage)
+    elif spec.method == "euclidean":
+        k = spec.clusters
+        labels = clustering.per_context(many, embeddings, lambda x: clustering.euclidean_kmeans(x, k), spec.normalize)
+    else:
+        labels = clustering.kmeans(many, embeddings, spec.clusters)
+    return cand.join(labels, ["ctx_id", "token_id"], "left")
+
+
+def select(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+    """ctx_id, sampler, token_id, cluster_id (null where the context wasn't clustered).
+
+    One cluster for all is the highest logit, which the plan then is. A context
+    without candidates gives no row. Candidates without a vector are alone
+    under ``dbscan`` and zero vectors elsewhere.
+    """
+    if spec.method == "single" and embeddings is not None:
+        rows = samplers.best(lg.candidates(logits, allowed, spec.top, spec.dynamic))
+        return rows.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", F.lit(None).cast("int").alias("cluster_id"))
+    rows = clustered(logits, embeddings, spec, allowed)
+    few = samplers.best(rows.where(F.col("n") <= spec.bypass)).withColumn("cluster_id", F.lit(None).cast("int"))
+    many = rows.where(F.col("n") > spec.bypass)
+    chosen = category.best_cluster(category.SCORES[spec.category](category.mass(many)))
+    picked = category.pick(many, chosen)
+    return few.unionByName(picked.select("ctx_id", "token_id", "cluster_id")).select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", "cluster_id")
+
+
+def history(logits: DataFrame, embeddings: DataFrame, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+    """The decision of each clustered context: candidates, clusters, sizes and masses by cluster, the choice."""
+    rows = clustered(logits, embeddings, spec, allowed).where(F.col("n") > spec.bypass)
+    scored = category.SCORES[spec.category](category.mass(rows))
+    chosen = category.best_cluster(scored)
+    token = category.pick(rows, chosen).select("ctx_id", F.col("token_id").alias("selected_token"))
+    per = scored.groupBy("ctx_id").agg(
+        F.sum("size").alias("candidate_count"), F.count("*").alias("num_clusters"),
+        F.array_sort(F.collect_list(F.struct("cluster_id", "size", "mass"))).alias("clusters"))
+    return per.join(chosen.select("ctx_id", F.col("cluster_id").alias("selected_cluster")), "ctx_id").join(token, "ctx_id")
+
+
+def sweep(logits: DataFrame, embeddings: DataFrame, specs: dict[str, DcbsSpec], allowed: DataFrame | None = None) -> DataFrame:
+    """Selections of several specs, one under another, named by ``config``."""
+    out = None
+    for name, spec in specs.items():
+        rows = select(logits, embeddings, spec, allowed).withColumn("config", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairlens.plans.q_records",)
+MODULES = ("pairlens.plans.q_records", "pairlens.plans.q_selection")
 
 
 def _modules():
