@@ -46,8 +46,11 @@ def evidence_tier(p: Column) -> Column:
 
 
 def log_factorial(n: Column) -> Column:
-    """ln(n!) of a small whole number, inside one row."""
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1)).cast("long")), F.lit(0.0), lambda s, i: s + F.ln(i.cast("double"))))
+    """ln(n!) of a whole number: exact sums up to 15, Stirling's series (to about 1e-14) beyond."""
+    small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(16)])
+    z = F.greatest(n, F.lit(15)).cast("double") + 1
+    series = (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return F.when(n <= 15, F.get(small, F.greatest(n, F.lit(0)).cast("int"))).otherwise(series)
 
 
 def cohens_d(p1: Column, p2: Column) -> Column:

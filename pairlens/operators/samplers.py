@@ -89,7 +89,7 @@ def random_(logits: DataFrame, allowed: DataFrame | None = None, seed: int = 123
 
 
 #: Samplers by name; each takes (logits, allowed).
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"greedy": greedy, "top_p": top_p, "random": random_}
+REGISTRY: dict[str, Callable[..., DataFrame]] = {"greedy": greedy, "top_p": lambda logits, allowed=None: top_p(logits, 0.9, allowed), "random": random_}
 
 
 def create(temperature_value: float | None = None, k: int | None = None) -> dict[str, Callable[..., DataFrame]]:

@@ -63,25 +63,23 @@ def effect(rows: DataFrame) -> DataFrame:
 def fisher(rows: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Adds p_fisher of [[c1, n - c1], [c2, n - c2]]: the probability of all tables at most as likely; 1 without rows.
 
-    Possible tables of a pair are at most n + 1 rows; the log factorials come
-    from one running sum over 1..2n, which all pairs share.
+    Of the possible tables those within 40 standard deviations are summed; the
+    rest adds nothing to a double. Weights come from one expression, relative
+    to the likeliest table, so each pair is one grouping over its own rows.
     """
     keys = ["method1", "method2"]
-    k = F.col("c1") + F.col("c2")
-    grid = rows.select(*keys, "c1", "n", k.alias("k"), F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), k - F.col("n")), F.least(k, F.col("n")))).alias("i"))
-    most = rows.agg(F.max("n").alias("m"))
-    steps = most.select(F.explode(F.sequence(F.lit(0).cast("long"), 2 * F.coalesce("m", F.lit(0).cast("long")))).alias("v"))
-    lf = steps.select("v", F.sum(F.when(F.col("v") > 0, F.ln("v")).otherwise(0.0)).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("f"))
-
-    def at(df: DataFrame, value: Column, name: str) -> DataFrame:
-        return df.withColumn("_v", value).join(lf.select(F.col("v").alias("_v"), F.col("f").alias(name)), "_v").drop("_v")
-
-    g = at(at(at(at(grid, F.col("i"), "f1"), F.col("n") - F.col("i"), "f2"), F.col("k") - F.col("i"), "f3"), F.col("n") - F.col("k") + F.col("i"), "f4")
-    weighed = g.withColumn("w", -(F.col("f1") + F.col("f2") + F.col("f3") + F.col("f4")))
-    by = Window.partitionBy(*keys)
-    scaled = weighed.withColumn("q", F.exp(F.col("w") - F.max("w").over(by)))
-    seen = F.max(F.when(F.col("i") == F.col("c1"), F.col("q"))).over(by)
-    total = scaled.withColumn("seen", seen).groupBy(*keys).agg((F.sum(F.when(F.col("q") <= F.col("seen") * (1 + tolerance), F.col("q")).otherwise(0.0)) / F.sum("q")).alias("p_fisher"))
+    n, k = F.col("n"), F.col("c1") + F.col("c2")
+    half = 40 * F.sqrt(k / 4 * (2 * n - k) / F.greatest(2 * n - 1, F.lit(1))) + 50
+
+    def weight(i: Column) -> Column:
+        return -(st.log_factorial(i) + st.log_factorial(n - i) + st.log_factorial(k - i) + st.log_factorial(n - k + i))
+
+    low = F.greatest(F.lit(0).cast("long"), k - n, F.floor(k / 2 - half).cast("long"))
+    high = F.least(k, n, F.ceil(k / 2 + half).cast("long"))
+    bound = rows.where(n > 0).withColumn("_top", weight(F.floor(k / 2).cast("long"))).withColumn("_own", weight(F.col("c1")) - F.col("_top"))
+    each = bound.withColumn("_i", F.explode(F.sequence(low, high))).withColumn("_w", weight(F.col("_i")) - F.col("_top"))
+    near = F.col("_w") <= F.col("_own") + tolerance
+    total = each.groupBy(*keys).agg((F.sum(F.when(near, F.exp("_w")).otherwise(0.0)) / F.sum(F.exp("_w"))).alias("p_fisher"))
     return rows.join(total, keys, "left").withColumn("p_fisher", F.least(F.lit(1.0), F.coalesce("p_fisher", F.lit(1.0))))
 
 

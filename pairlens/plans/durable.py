@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _folder(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = _folder(spark) or tempfile.mkdtemp(prefix="pairlens-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,6 +27,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="pairlens-checkpoint-"))
+        context.setCheckpointDir(_folder(spark) or tempfile.mkdtemp(prefix="pairlens-checkpoint-"))
     return df.checkpoint(eager=True)
