@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("pairlens.plans.q_records", "pairlens.plans.q_selection", "pairlens.plans.q_evaluation")
+MODULES = ("pairlens.plans.q_records", "pairlens.plans.q_selection", "pairlens.plans.q_evaluation", "pairlens.plans.q_data")
 
 
 def _modules():
