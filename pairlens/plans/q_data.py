@@ -141,8 +141,8 @@ def log_every_tenth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.every_nth(_events(spark, sf_dir), "user_id", ["ts", "event_id"], 10).select("event_id", "user_id", F.col("n").cast("long").alias("n"))
 
 
-@query("""WITH a AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS at FROM events),
-d AS (SELECT at - lag(at) OVER (PARTITION BY user_id, k ORDER BY at) AS distance FROM a)
+@query("""WITH a AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+d AS (SELECT pos - lag(pos) OVER (PARTITION BY user_id, k ORDER BY pos) AS distance FROM a)
 SELECT count(*) AS accesses, count(*) FILTER (distance IS NOT NULL) AS repeats, count(*) FILTER (distance <= 20) AS hits_20 FROM d""")
 def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").alias("k"))
@@ -221,7 +221,7 @@ def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tumbling_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same windows from a stream with a watermark; complete mode keeps all windows."""
     rows = _events(spark, sf_dir)
-    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parquet")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream can't be given one file
     out, state = shared_folder(spark, "windows"), shared_folder(spark, "stream-state")
 
     def save(batch: DataFrame, number: int) -> None:
@@ -273,7 +273,7 @@ def join_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
-@query("""SELECT e.event_id, (SELECT max_by(p.value, struct_pack(t := p.ts, i := p.event_id)) FROM events AS p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS last_purchase FROM events AS e WHERE e.event_type = 'error'""")
+@query("""SELECT e.event_id, (SELECT max_by(p.value, p.ts) FROM events AS p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) AS last_purchase FROM events AS e WHERE e.event_type = 'error'""")
 def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir)
     left = rows.where("event_type = 'error'").select("event_id", "user_id", "ts")

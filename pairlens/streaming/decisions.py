@@ -31,11 +31,12 @@ def to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete"
     rows.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def sequences(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
+def sequences(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """One row per sequence when it closes, by its end event or after ``timeout_ms`` without events (closed = false).
 
     State is one count per open sequence. Events of a sequence that come after
-    its end open it anew and are given out, as not closed, by the timeout.
+    its end open it anew and are given out, as not closed, by the timeout. A
+    run over what is there now has no timeout: with one it would wait for it.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,10 +59,11 @@ def sequences(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
             yield pd.DataFrame([(key[0], key[1], logged, counted, found, True)], columns=["run_id", "sequence_id", "logged", "counted", "outcome", "closed"])
         else:
             state.update((logged,))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
 
     slim = events.where(F.col("sequence_id").isNotNull()).select("run_id", "sequence_id", "event_type", "disagreement_count", outcome().alias("outcome"))
-    return slim.groupBy("run_id", "sequence_id").applyInPandasWithState(step, SEQUENCE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("run_id", "sequence_id").applyInPandasWithState(step, SEQUENCE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 def _windowed(events: DataFrame, window, value: str) -> DataFrame:
