@@ -290,14 +290,14 @@ def _tagger(chain: Chain):
 def pair_defects(results: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """result_id and defect of the defective pairs: empty, truncated, refusal, copied_question or other_language.
 
-    Redelivered rows count once. A null sentence has no language and is echoed
+    Redelivered rows count once, rows without an id not at all. A null sentence has no language and is echoed
     by nothing; null options match nothing; a null reasoning is left out. Very
     long texts are read whole. An empty table gives no row. Other columns are
     ignored. The chain is trained on up to ``train_rows`` rows with an answer,
     drawn by the hashes of their ids.
     """
     columns = [F.col(c) for c in ("result_id", "sentence", "options", "predicted_answer", "cot_reasoning")]
-    rows = results.select(*columns)
+    rows = results.where(F.col("result_id").isNotNull()).select(*columns)
     # a share of the rows that holds about twice the sample, so that a task sends few rows however many tasks there are
     share = 2.0 * train_rows / max(1, results.count())
     order = F.xxhash64("result_id")

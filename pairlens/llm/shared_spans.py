@@ -110,8 +110,8 @@ def _verified(least: int):
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, rep, n_chars: each document with the smallest id that has the very same text; null texts left out."""
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("_h"), F.length("text").alias("n_chars"))
+    """doc_id, rep, n_chars: each document with the smallest id that has the very same text; null texts and ids left out."""
+    rows = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("_h"), F.length("text").alias("n_chars"))
     reps = rows.groupBy("_h").agg(F.min("doc_id").alias("rep"))
     return rows.join(reps, "_h").select("doc_id", "rep", "n_chars").dropDuplicates(["doc_id"])
 

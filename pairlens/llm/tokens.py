@@ -15,5 +15,5 @@ def token_count(text: str = "text") -> Column:
 
 
 def sized(documents: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, tokens and ``columns``, each doc_id once; a null text has 0 tokens."""
-    return documents.select("doc_id", *columns, F.coalesce(token_count(), F.lit(0)).alias("tokens")).dropDuplicates(["doc_id"])
+    """doc_id, tokens and ``columns``, each doc_id once, rows without one left out; a null text has 0 tokens."""
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", *columns, F.coalesce(token_count(), F.lit(0)).alias("tokens")).dropDuplicates(["doc_id"])

@@ -22,6 +22,8 @@ from pairlens.plans.durable import cut
 #: A source whose texts end with a terminator or a choice less often than this isn't known by missing ones.
 BASELINE = 0.5
 
+# Evidence that is a missing end alone.
+_UNENDED = ("unterminated", "number")
 _SIGN = re.compile(r"""[()\[\]{}“”„«»"`]|\*\*|</?[A-Za-z]+>""")
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _BROKEN = re.compile(r"(?:�+|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#[0-9]*|#x[0-9a-fA-F]*|amp|am|lt|gt|quot|quo|nbsp|nbs|apos|apo)?|%[0-9A-Fa-f]?|<[^<>]{0,40})$")
@@ -134,7 +136,7 @@ def _scanned():
 
 def scanned(results: DataFrame) -> DataFrame:
     """result_id, sampler, shown (the evidence), length of each reasoning text, redelivered rows once, written to the checkpoint folder."""
-    rows = results.where(F.col("cot_reasoning").isNotNull()).select("result_id", "sampler", "sentence", "options", "cot_reasoning")
+    rows = results.where("cot_reasoning IS NOT NULL AND result_id IS NOT NULL").select("result_id", "sampler", "sentence", "options", "cot_reasoning")
     seen = rows.mapInArrow(_scanned(), "result_id long, sampler string, shown string, length int")
     return cut(seen.groupBy("result_id").agg(F.min(F.struct("sampler", "shown", "length")).alias("x")).select("result_id", "x.*"))
 
@@ -142,10 +144,10 @@ def scanned(results: DataFrame) -> DataFrame:
 def _judged(seen: DataFrame, baseline: float) -> DataFrame:
     """Adds ``cut``; a source without a name is one of its own."""
     source = F.coalesce("sampler", F.lit(""))
-    usual = seen.groupBy(source.alias("_source")).agg(F.avg(F.when(F.col("shown").isin("complete", "unterminated"), (F.col("shown") == "complete").cast("double"))).alias("usual"))
+    usual = seen.groupBy(source.alias("_source")).agg(F.avg(F.when(F.col("shown").isin("complete", *_UNENDED), (F.col("shown") == "complete").cast("double"))).alias("usual"))
     joined = seen.withColumn("_source", source).join(usual, "_source", "left")
     known = F.coalesce(F.col("usual") >= baseline, F.lit(True))
-    return joined.withColumn("cut", (F.col("shown") != "complete") & ((F.col("shown") != "unterminated") | known)).drop("_source", "usual")
+    return joined.withColumn("cut", (F.col("shown") != "complete") & (~F.col("shown").isin(*_UNENDED) | known)).drop("_source", "usual")
 
 
 def truncated(results: DataFrame, baseline: float = BASELINE) -> DataFrame:
@@ -153,7 +155,7 @@ def truncated(results: DataFrame, baseline: float = BASELINE) -> DataFrame:
 
     A null text is none, an empty or blank one is whole. A full copy of the
     sentence is whole, and so is a text whose last words state a choice.
-    Redelivered rows count once; an empty table gives no row; other columns are
+    Redelivered rows count once, rows without an id not at all; an empty table gives no row; other columns are
     ignored; very long texts are read to their end.
     """
     return _judged(scanned(results), baseline).where("cut").select("result_id")
