@@ -39,13 +39,14 @@ def fields(df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
     value is the field's JSON in canonical form. text_map tells an object with
     a key that is no field name and with numbers or nulls only. Unreadable,
-    null and empty payloads and those that are no object give no row. One walk
+    null and empty payloads, those that are no object, and rows without a series
+    or file give no row. One walk
     over the rows, without a shuffle.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     keep = ["series_id", "file_name", "written_at", "record_key"]
-    level = df.select(*keep, F.expr("try_cast(try_parse_json(payload) AS MAP<STRING, VARIANT>)").alias("m")).where("m IS NOT NULL")
+    level = df.where("series_id IS NOT NULL AND file_name IS NOT NULL").select(*keep, F.expr("try_cast(try_parse_json(payload) AS MAP<STRING, VARIANT>)").alias("m")).where("m IS NOT NULL")
     level = level.select(*keep, F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("variant").alias("v"), "m", F.lit(True).alias("open"))
     prefix = "IF(path IS NULL, '', concat(path, '.'))"
     node = "struct<parent:string,path:string,v:variant,m:map<string,variant>,open:boolean>"

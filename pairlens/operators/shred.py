@@ -39,14 +39,15 @@ def adjacency(df: DataFrame, key: str, payload: str, max_depth: int = MAX_DEPTH,
     for "/" and "~0" for "~" in object keys. label is the key or index in the
     parent; ordinal is the index in an array parent and null elsewhere; kind is
     object, array, string, number, boolean or null; scalar is null for
-    containers and nulls. Null, empty and unreadable payloads give no row.
+    containers and nulls. Rows without a key and null, empty and unreadable
+    payloads give no row.
     Repeated keys of an object: the last one counts. Rows with the same key are
     taken as redelivered and count once. Other columns of ``df`` are ignored.
     ``skip_labels``: subtrees under these object keys are left out.
     """
     spark = df.sparkSession
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    docs = df.select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).dropDuplicates(["_key"])
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).dropDuplicates(["_key"])
     level = docs.select("_key", F.expr("try_parse_json(_payload)").alias("_v")).where(F.col("_v").isNotNull())
     level = level.select(
         "_key",
