@@ -82,9 +82,9 @@ def core_counts(candidates: DataFrame, edges: DataFrame, min_samples: int) -> Da
 
 def single(candidates: DataFrame) -> DataFrame:
     """All candidates of a context in one cluster."""
-    from pairlens.operators.logits import CTX
+    from pairlens.operators.logits import ctx
 
-    return candidates.select("ctx_id", "token_id", F.min("token_id").over(CTX).alias("cluster_id"))
+    return candidates.select("ctx_id", "token_id", F.min("token_id").over(ctx()).alias("cluster_id"))
 
 
 def adaptive_k(n: Column, configured: int) -> Column:

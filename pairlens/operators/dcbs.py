@@ -51,7 +51,7 @@ def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec =
     """ctx_id, token_id, logit, rank, p (over the candidates), n, cluster_id (null where not clustered)."""
     if embeddings is None:
         raise ValueError("cluster-aware selection needs embeddings")
-    cand = lg.softmax(lg.candidates(logits, allowed, spec.top, spec.dynamic)).withColumn("n", F.count("*").over(lg.CTX))
+    cand = lg.softmax(lg.candidates(logits, allowed, spec.top, spec.dynamic)).withColumn("n", F.count("*").over(lg.ctx()))
     many = cand.where(F.col("n") > spec.bypass)
     if spec.method == "single":
         labels = clustering.single(many)

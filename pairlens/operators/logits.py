@@ -8,16 +8,23 @@ NaN would rank first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CTX = Window.partitionBy("ctx_id")
-BY_LOGIT = CTX.orderBy(F.desc("logit"), F.asc("token_id"))
-
 #: Bounds and threshold of the dynamic number of candidates.
 LEAST, MOST, THRESHOLD = 20, 100, 0.001
 
 
+def ctx() -> WindowSpec:
+    """The rows of a context."""
+    return Window.partitionBy("ctx_id")
+
+
+def by_logit() -> WindowSpec:
+    """The rows of a context from the highest logit on, the lowest token first on ties."""
+    return ctx().orderBy(F.desc("logit"), F.asc("token_id"))
+
+
 def _bad(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
 
@@ -53,20 +60,20 @@ def softmax(logits: DataFrame, temperature: float = 1.0, name: str = "p") -> Dat
     if not temperature > 0:
         raise ValueError(f"temperature must be positive, not {temperature}")
     scaled = F.col("logit") / F.lit(temperature)
-    raised = logits.withColumn("_e", F.exp(scaled - F.max(scaled).over(CTX)))
-    return raised.withColumn(name, F.col("_e") / F.sum("_e").over(CTX)).drop("_e")
+    raised = logits.withColumn("_e", F.exp(scaled - F.max(scaled).over(ctx())))
+    return raised.withColumn(name, F.col("_e") / F.sum("_e").over(ctx())).drop("_e")
 
 
 def top_n(logits: DataFrame, n: int) -> DataFrame:
     """The n highest logits of each context, with their rank."""
     if n < 1:
         raise ValueError(f"n must be at least 1, not {n}")
-    return logits.withColumn("rank", F.row_number().over(BY_LOGIT)).where(F.col("rank") <= n)
+    return logits.withColumn("rank", F.row_number().over(by_logit())).where(F.col("rank") <= n)
 
 
 def top_n_forced(logits: DataFrame, n: int, forced: list[int]) -> DataFrame:
     """The n highest and any of ``forced`` that the context has."""
-    ranked = logits.withColumn("rank", F.row_number().over(BY_LOGIT))
+    ranked = logits.withColumn("rank", F.row_number().over(by_logit()))
     return ranked.where((F.col("rank") <= n) | F.col("token_id").isin(forced))
 
 
@@ -76,10 +83,10 @@ def dynamic_candidates(logits: DataFrame, top: int = 50, dynamic: bool = True, l
     If that is more than the context has, ``top`` counts instead. The constant
     cut at ``most`` comes first, so the ranking keeps a bounded number of rows.
     """
-    n_all, n_likely = F.count("*").over(CTX), F.sum((F.col("p") >= threshold).cast("int")).over(CTX)
+    n_all, n_likely = F.count("*").over(ctx()), F.sum((F.col("p") >= threshold).cast("int")).over(ctx())
     counted = softmax(logits).withColumn("_all", n_all).withColumn("_n", F.greatest(F.lit(least), F.least(F.lit(most), n_likely)))
     wanted = F.when(F.col("_n") > F.col("_all"), F.least(F.lit(top), F.col("_all"))).otherwise(F.col("_n")) if dynamic else F.least(F.lit(top), F.col("_all"))
-    ranked = counted.withColumn("rank", F.row_number().over(BY_LOGIT)).where(F.col("rank") <= max(most, top))
+    ranked = counted.withColumn("rank", F.row_number().over(by_logit())).where(F.col("rank") <= max(most, top))
     return ranked.where(F.col("rank") <= wanted).drop("_all", "_n", "p")
 
 
@@ -88,10 +95,10 @@ def candidates(logits: DataFrame, allowed: DataFrame | None = None, top: int = 5
     if allowed is None:
         return dynamic_candidates(logits, top, dynamic)
     contexts = allowed.select("ctx_id").distinct()
-    chosen = logits.join(allowed.select("ctx_id", "token_id").distinct(), ["ctx_id", "token_id"], "left_semi").withColumn("rank", F.row_number().over(BY_LOGIT))
+    chosen = logits.join(allowed.select("ctx_id", "token_id").distinct(), ["ctx_id", "token_id"], "left_semi").withColumn("rank", F.row_number().over(by_logit()))
     return chosen.unionByName(dynamic_candidates(logits.join(contexts, "ctx_id", "left_anti"), top, dynamic))
 
 
-def wide_to_long(df: DataFrame, ctx: str = "ctx_id", values: str = "logits") -> DataFrame:
+def wide_to_long(df: DataFrame, key: str = "ctx_id", values: str = "logits") -> DataFrame:
     """Array of logits per context to rows; the index is the token."""
-    return df.select(F.col(ctx).alias("ctx_id"), F.posexplode(values).alias("token_id", "logit"))
+    return df.select(F.col(key).alias("ctx_id"), F.posexplode(values).alias("token_id", "logit"))

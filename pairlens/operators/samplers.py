@@ -33,8 +33,8 @@ def greedy(logits: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
 
 def draw(weighted: DataFrame, seed: int = 12345) -> DataFrame:
     """One token per context by inverse cumulative probability ``p``, in the order of tokens."""
-    order = lg.CTX.orderBy("token_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reached = weighted.withColumn("_cum", F.sum("p").over(order)).withColumn("_all", F.sum("p").over(lg.CTX))
+    order = lg.ctx().orderBy("token_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = weighted.withColumn("_cum", F.sum("p").over(order)).withColumn("_all", F.sum("p").over(lg.ctx()))
     hit = F.col("_cum") > uniform(seed) * F.col("_all")
     return reached.groupBy("ctx_id").agg(F.coalesce(F.min(F.when(hit, F.col("token_id"))), F.max("token_id")).alias("token_id"))
 
@@ -74,9 +74,9 @@ def top_k(logits: DataFrame, k: int, allowed: DataFrame | None = None, seed: int
 
 def top_p_support(logits: DataFrame, p: float = 0.9, allowed: DataFrame | None = None) -> DataFrame:
     """The nucleus: tokens before which the cumulative probability is at most p; p is renormalized."""
-    before = F.coalesce(F.sum("p").over(lg.BY_LOGIT.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.coalesce(F.sum("p").over(lg.by_logit().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     kept = lg.softmax(lg.allow(logits, allowed)).withColumn("_before", before).where(F.col("_before") <= p).drop("_before")
-    return kept.withColumn("p", F.col("p") / F.sum("p").over(lg.CTX))
+    return kept.withColumn("p", F.col("p") / F.sum("p").over(lg.ctx()))
 
 
 def top_p(logits: DataFrame, p: float = 0.9, allowed: DataFrame | None = None, seed: int = 12345) -> DataFrame:

@@ -126,7 +126,7 @@ def timestep_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {rel.logits_sql()}, {rel.softmax_sql('logits')}, k AS (SELECT * FROM soft QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY p DESC, token_id) <= 10) SELECT ctx_id, string_agg(token_id || ':' || printf('%.4f', p), ',' ORDER BY p DESC, token_id) AS top FROM k GROUP BY ctx_id")
 def topk_per_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = lg.softmax(rel.logits(spark, sf_dir)).withColumn("r", F.row_number().over(lg.CTX.orderBy(F.desc("p"), "token_id"))).where("r <= 10")
+    ranked = lg.softmax(rel.logits(spark, sf_dir)).withColumn("r", F.row_number().over(lg.ctx().orderBy(F.desc("p"), "token_id"))).where("r <= 10")
     listed = F.array_sort(F.collect_list(F.struct("r", F.concat("token_id", F.lit(":"), F.format_string("%.4f", "p")).alias("t"))))
     return ranked.groupBy("ctx_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), ",").alias("top"))
 

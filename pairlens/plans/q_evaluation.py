@@ -103,7 +103,7 @@ def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {rel.logits_sql()}, {rel.allowed_sql()}, {rel.softmax_sql('allowed')} SELECT ctx_id, token_id, round(p, 6) AS p, CAST(row_number() OVER (PARTITION BY ctx_id ORDER BY p DESC, token_id) AS INT) AS rank FROM soft")
 def answer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rel.logits(spark, sf_dir)
-    ranked = F.row_number().over(lg.CTX.orderBy(F.desc("p"), "token_id"))
+    ranked = F.row_number().over(lg.ctx().orderBy(F.desc("p"), "token_id"))
     return lg.softmax(lg.allow(rows, rel.allowed(rows))).select("ctx_id", "token_id", _r("p"), ranked.alias("rank"))
 
 
@@ -123,7 +123,7 @@ ratio AS (
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(lg.CTX.orderBy(F.desc("p"), "token_id"))
+    rank = F.row_number().over(lg.ctx().orderBy(F.desc("p"), "token_id"))
     full = lg.softmax(rel.logits(spark, sf_dir)).select("ctx_id", "token_id", "p", rank.alias("rank"))
     of = F.struct("token_id", "p", "rank")
     both = picks(spark, sf_dir).where(F.col("sampler").isin("greedy", "dcbs")).join(full, ["ctx_id", "token_id"]).groupBy("ctx_id").agg(

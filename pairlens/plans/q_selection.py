@@ -274,7 +274,7 @@ def category_infogain(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT ctx_id, cluster_id, round(mass / total * ln(mass / total * n), 6) AS contribution FROM g""")
 def kl_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cluster's part in the divergence of the masses from uniform ones."""
-    share, n = F.col("mass") / F.sum("mass").over(lg.CTX), F.count("*").over(lg.CTX)
+    share, n = F.col("mass") / F.sum("mass").over(lg.ctx()), F.count("*").over(lg.ctx())
     return category.mass(_rows(spark, sf_dir)).select("ctx_id", "cluster_id", F.round(share * F.ln(share * n), 6).alias("contribution"))
 
 
