@@ -1,4 +1,4 @@
-"""Scoring the clusters of a context and picking a token of the best one."""
+"""Scoring the clusters of a context; the best one brings its likeliest token along."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ SIZE_WEIGHT, ENTROPY_WEIGHT, TINY, TOLERANCE = 0.1, 0.05, 1e-8, 1e-10
 
 
 def mass(clustered: DataFrame) -> DataFrame:
-    """ctx_id, cluster_id, mass, size of rows (ctx_id, token_id, cluster_id, p)."""
-    return clustered.groupBy("ctx_id", "cluster_id").agg(F.sum("p").alias("mass"), F.count("*").alias("size"))
+    """ctx_id, cluster_id, mass, size and token_id, the likeliest token, of rows (ctx_id, token_id, cluster_id, p, logit)."""
+    likeliest = F.max_by("token_id", F.struct(F.col("p"), F.col("logit"), -F.col("token_id")))
+    return clustered.groupBy("ctx_id", "cluster_id").agg(F.sum("p").alias("mass"), F.count("*").alias("size"), likeliest.alias("token_id"))
 
 
 def greedy_score(masses: DataFrame) -> DataFrame:
@@ -50,12 +51,7 @@ SCORES = {"greedy": greedy_score, "confidence": confidence_score, "information":
 
 
 def best_cluster(scored: DataFrame) -> DataFrame:
-    """ctx_id and the cluster with the best score, the lowest id on ties, with its mass, size and score."""
-    top = F.max_by(F.struct("cluster_id", "mass", "size", "score"), F.struct(F.col("score"), -F.col("cluster_id"))).alias("x")
+    """ctx_id and the cluster with the best score, the lowest id on ties, with all its columns."""
+    top = F.max_by(F.struct(*[c for c in scored.columns if c != "ctx_id"]), F.struct(F.col("score"), -F.col("cluster_id"))).alias("x")
     return scored.groupBy("ctx_id").agg(top).select("ctx_id", "x.*")
 
-
-def pick(clustered: DataFrame, chosen: DataFrame) -> DataFrame:
-    """ctx_id, cluster_id, token_id: the likeliest token of the chosen cluster."""
-    inside = clustered.join(chosen.select("ctx_id", "cluster_id"), ["ctx_id", "cluster_id"], "left_semi")
-    return inside.groupBy("ctx_id", "cluster_id").agg(F.max_by("token_id", F.struct("p", -F.col("token_id"))).alias("token_id"))

@@ -3,8 +3,8 @@
 The epsilon edges of the vocabulary are found once, in blocks; a context's
 edges are two equi-joins away. Components are then found inside one row per
 context (at most 100 candidates) by built-in functions. Iterative methods run
-over batches of contexts in Arrow. Every method returns (ctx_id, token_id,
-cluster_id); cluster_id is the lowest token of the cluster.
+over batches of contexts in Arrow. Every method adds cluster_id, the lowest
+token of the cluster, to rows (ctx_id, token_id, rank, ...).
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.functions import vectors
+from pairlens.operators.logits import ctx
 
 #: Defaults of the density method.
 EPSILON, MIN_SAMPLES = 0.3, 2
@@ -52,23 +54,29 @@ def context_edges(candidates: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components(candidates: DataFrame, edges: DataFrame) -> DataFrame:
-    """Connected components within each context.
+    """Adds cluster_id: connected components within each context.
 
     With up to two samples per neighbourhood this is the density method: noise
-    is a cluster of its own. A context's tokens and edges meet in one row, and
-    each edge gives the larger of its two labels the smaller one's value.
+    is a cluster of its own. A token brings its neighbours along (one join with
+    the vocabulary's edges, broadcast only if they are small); then a context's
+    candidates meet in one row, and each edge between two of them gives the
+    larger of their labels the smaller one's value. Rows stay partitioned by
+    context.
     """
-    tokens = candidates.select("ctx_id", "token_id", F.lit(None).cast("struct<a:int,b:int>").alias("edge"))
-    links = context_edges(candidates, edges).select("ctx_id", F.lit(None).cast("int").alias("token_id"), F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b")).alias("edge"))
-    rows = tokens.withColumn("token_id", F.col("token_id").cast("int")).unionByName(links).groupBy("ctx_id").agg(F.array_sort(F.collect_set("token_id")).alias("tokens"), F.array_sort(F.collect_set("edge")).alias("edges"))
-    at = lambda labels, token: F.element_at(labels, F.array_position(F.col("tokens"), token).cast("int"))
+    kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id")]
+    near = edges.groupBy(F.col("a").alias("token_id")).agg(F.collect_list(F.col("b").cast("int")).alias("_near"))
+    rows = candidates.withColumn("token_id", F.col("token_id").cast("int")).join(near, "token_id", "left")
+    met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("token_id", *kept, "_near"))).alias("c"))
+    met = met.withColumn("t", F.transform("c", lambda x: x["token_id"]))
+    links = F.flatten(F.transform("c", lambda x: F.transform(F.filter(F.coalesce(x["_near"], F.array().cast("array<int>")), lambda b: F.array_contains(F.col("t"), b)), lambda b: F.struct(x["token_id"].alias("a"), b.alias("b")))))
+    at = lambda labels, token: F.element_at(labels, F.array_position(F.col("t"), token).cast("int"))
 
     def joined(labels: Column, edge: Column) -> Column:
         x, y = at(labels, edge["a"]), at(labels, edge["b"])
         return F.when(x == y, labels).otherwise(F.transform(labels, lambda v: F.when(v == F.greatest(x, y), F.least(x, y)).otherwise(v)))
 
-    labelled = rows.select("ctx_id", "tokens", F.aggregate("edges", F.col("tokens"), joined).alias("labels"))
-    return labelled.select("ctx_id", F.explode(F.arrays_zip("tokens", "labels")).alias("x")).select("ctx_id", F.col("x.tokens").alias("token_id"), F.col("x.labels").alias("cluster_id"))
+    labelled = met.select("ctx_id", F.explode(F.arrays_zip("c", F.aggregate(links, F.col("t"), joined).alias("l"))).alias("x"))
+    return labelled.select("ctx_id", "x.c.token_id", *[f"x.c.{k}" for k in kept], F.col("x.l").alias("cluster_id"))
 
 
 def core_counts(candidates: DataFrame, edges: DataFrame, min_samples: int) -> DataFrame:
@@ -81,10 +89,8 @@ def core_counts(candidates: DataFrame, edges: DataFrame, min_samples: int) -> Da
 
 
 def single(candidates: DataFrame) -> DataFrame:
-    """All candidates of a context in one cluster."""
-    from pairlens.operators.logits import ctx
-
-    return candidates.select("ctx_id", "token_id", F.min("token_id").over(ctx()).alias("cluster_id"))
+    """Adds cluster_id: all candidates of a context in one cluster."""
+    return candidates.withColumn("cluster_id", F.min("token_id").over(ctx()))
 
 
 def adaptive_k(n: Column, configured: int) -> Column:
@@ -199,34 +205,48 @@ def density(points: np.ndarray, epsilon: float, min_samples: int) -> np.ndarray:
     return labels
 
 
+def _points(members: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the contexts, token ids and vectors of a batch; a missing vector is zero."""
+    flat = members.flatten()
+    ids, vec = flat.field("token_id").to_numpy(zero_copy_only=False), flat.field("vec")
+    sizes = np.diff(vec.offsets.to_numpy()) if len(vec) else np.zeros(0, dtype=int)
+    sizes = np.where(vec.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    width = int(sizes.max()) if len(sizes) and sizes.max() else 1
+    points, values = np.zeros((len(ids), width)), vec.flatten().to_numpy(zero_copy_only=False)
+    points[np.arange(width)[None] < sizes[:, None]] = np.nan_to_num(values)
+    offsets = members.offsets.to_numpy()
+    return offsets - offsets[0], ids, points
+
+
 def per_context(candidates: DataFrame, embeddings: DataFrame, labels, normalize: bool = True) -> DataFrame:
-    """Clusters by ``labels(points)``, a function of a context's vectors in the order of their rank.
+    """Adds cluster_id by ``labels(points)``, a function of a context's vectors in the order of their rank.
 
     One row per context holds its candidates (at most 100 vectors); a batch of
-    contexts goes through Python at once. A candidate without a vector counts
+    contexts goes through Python at once, and what else a candidate has goes
+    along, so nothing is joined afterwards. A candidate without a vector counts
     as a zero vector.
     """
+    kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id")]
     vec = embeddings.select("token_id", vectors.as_double("vec").alias("vec"))
-    rows = candidates.join(vec, "token_id", "left").groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token_id", "vec"))).alias("c"))
-    ctx_type = candidates.schema["ctx_id"].dataType.simpleString()
+    rows = candidates.withColumn("token_id", F.col("token_id").cast("int")).join(vec, "token_id", "left")
+    met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token_id", *[k for k in kept if k != "rank"], "vec"))).alias("c"))
+    schema = T.StructType([candidates.schema["ctx_id"], T.StructField("token_id", T.IntegerType()), *[candidates.schema[k] for k in kept], T.StructField("cluster_id", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            contexts, tokens, clusters = [], [], []
-            for ctx, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.array([m["token_id"] for m in members])
-                width = max((len(m["vec"]) for m in members if m["vec"]), default=1)
-                points = np.array([m["vec"] or [0.0] * width for m in members], dtype=float)
-                if normalize:
-                    points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), vectors.TINY)
-                found = labels(points)
-                lowest = {c: int(ids[found == c].min()) for c in np.unique(found)}
-                contexts.extend([ctx] * len(ids))
-                tokens.extend(ids.tolist())
-                clusters.extend(lowest[c] for c in found)
-            yield pa.RecordBatch.from_arrays([pa.array(contexts, batch.schema.field(0).type), pa.array(tokens, pa.int32()), pa.array(clusters, pa.int32())], names=["ctx_id", "token_id", "cluster_id"])
-
-    return rows.mapInArrow(run, f"ctx_id {ctx_type}, token_id int, cluster_id int")
+            offsets, ids, points = _points(batch.column(1))
+            if normalize:
+                points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), vectors.TINY)
+            clusters = np.empty(len(ids), dtype=np.int32)
+            for a, b in zip(offsets[:-1], offsets[1:]):
+                found = labels(points[a:b])
+                for c in np.unique(found):
+                    clusters[a:b][found == c] = ids[a:b][found == c].min()
+            flat = batch.column(1).flatten()
+            which = pa.array(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), flat.field("token_id"), *[flat.field(k) for k in kept], pa.array(clusters)], names=schema.names)
+
+    return met.mapInArrow(run, schema)
 
 
 def kmeans(candidates: DataFrame, embeddings: DataFrame, configured: int = 8) -> DataFrame:

@@ -52,19 +52,18 @@ def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec =
     if embeddings is None:
         raise ValueError("cluster-aware selection needs embeddings")
     cand = lg.softmax(lg.candidates(logits, allowed, spec.top, spec.dynamic)).withColumn("n", F.count("*").over(lg.ctx()))
-    many = cand.where(F.col("n") > spec.bypass)
     if spec.method == "single":
-        labels = clustering.single(many)
+        labelled = clustering.single(cand)
     elif spec.method == "dbscan":
-        labels = clustering.dbscan(many, embeddings, spec.epsilon, spec.min_samples)
+        labelled = clustering.dbscan(cand, embeddings, spec.epsilon, spec.min_samples)
     elif spec.method == "hierarchical":
-        labels = clustering.hierarchical(many, embeddings, spec.clusters, spec.linkage)
+        labelled = clustering.hierarchical(cand, embeddings, spec.clusters, spec.linkage)
     elif spec.method == "euclidean":
         k = spec.clusters
-        labels = clustering.per_context(many, embeddings, lambda x: clustering.euclidean_kmeans(x, k), spec.normalize)
+        labelled = clustering.per_context(cand, embeddings, lambda x: clustering.euclidean_kmeans(x, k), spec.normalize)
     else:
-        labels = clustering.kmeans(many, embeddings, spec.clusters)
-    return cand.join(labels, ["ctx_id", "token_id"], "left")
+        labelled = clustering.kmeans(cand, embeddings, spec.clusters)
+    return labelled.withColumn("cluster_id", F.when(F.col("n") > spec.bypass, F.col("cluster_id")))
 
 
 def select(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
@@ -78,23 +77,20 @@ def select(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEF
         rows = samplers.best(lg.candidates(logits, allowed, spec.top, spec.dynamic))
         return rows.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", F.lit(None).cast("int").alias("cluster_id"))
     rows = clustered(logits, embeddings, spec, allowed)
-    few = samplers.best(rows.where(F.col("n") <= spec.bypass)).withColumn("cluster_id", F.lit(None).cast("int"))
-    many = rows.where(F.col("n") > spec.bypass)
-    chosen = category.best_cluster(category.SCORES[spec.category](category.mass(many)))
-    picked = category.pick(many, chosen)
-    return few.unionByName(picked.select("ctx_id", "token_id", "cluster_id")).select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", "cluster_id")
+    # a context that isn't clustered is one group without an id, so its highest logit wins
+    chosen = category.best_cluster(category.SCORES[spec.category](category.mass(rows)))
+    return chosen.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", "cluster_id")
 
 
 def history(logits: DataFrame, embeddings: DataFrame, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
     """The decision of each clustered context: candidates, clusters, sizes and masses by cluster, the choice."""
     rows = clustered(logits, embeddings, spec, allowed).where(F.col("n") > spec.bypass)
     scored = category.SCORES[spec.category](category.mass(rows))
-    chosen = category.best_cluster(scored)
-    token = category.pick(rows, chosen).select("ctx_id", F.col("token_id").alias("selected_token"))
+    best = F.max_by(F.struct("cluster_id", "token_id"), F.struct(F.col("score"), -F.col("cluster_id")))
     per = scored.groupBy("ctx_id").agg(
-        F.sum("size").alias("candidate_count"), F.count("*").alias("num_clusters"),
+        F.sum("size").alias("candidate_count"), F.count("*").alias("num_clusters"), best.alias("b"),
         F.array_sort(F.collect_list(F.struct("cluster_id", "size", "mass"))).alias("clusters"))
-    return per.join(chosen.select("ctx_id", F.col("cluster_id").alias("selected_cluster")), "ctx_id").join(token, "ctx_id")
+    return per.select("ctx_id", "candidate_count", "num_clusters", "clusters", F.col("b.cluster_id").alias("selected_cluster"), F.col("b.token_id").alias("selected_token"))
 
 
 def sweep(logits: DataFrame, embeddings: DataFrame, specs: dict[str, DcbsSpec], allowed: DataFrame | None = None) -> DataFrame:

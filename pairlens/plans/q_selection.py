@@ -228,7 +228,7 @@ def dbscan_border_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hierarchical_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single linkage cut at a distance: the components of the edges up to it."""
     cand = lg.dynamic_candidates(rel.logits(spark, sf_dir))
-    return clustering.components(cand, clustering.epsilon_edges(rel.vocabulary(spark, sf_dir), 0.75))
+    return clustering.components(cand, clustering.epsilon_edges(rel.vocabulary(spark, sf_dir), 0.75)).select("ctx_id", "token_id", "cluster_id")
 
 
 @query(f"WITH RECURSIVE {CAND}, s AS (SELECT ctx_id, cluster_id, count(*) AS size FROM clustered GROUP BY 1, 2) SELECT size, count(*) AS clusters FROM s GROUP BY size")

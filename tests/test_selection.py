@@ -180,7 +180,7 @@ def test_few_candidates_are_not_clustered(spark):
 
 
 def test_information_equals_mass_unless_empty(spark):
-    rows = spark.createDataFrame([(0, 0, 0.5, 2), (0, 1, 0.5, 1), (1, 0, 0.0, 1), (1, 1, 1.0, 1), (2, 0, 1e-12, 1), (2, 5, 0.4, 1), (2, 6, 0.6, 1)], "ctx_id long, cluster_id int, mass double, size long")
+    rows = spark.createDataFrame([(0, 0, 0.5, 2), (0, 1, 0.5, 1), (1, 0, 0.0, 1), (1, 1, 1.0, 1), (2, 0, 1e-12, 1), (2, 5, 0.4, 1), (2, 6, 0.6, 1)], "ctx_id long, cluster_id int, mass double, size long").withColumn("token_id", F.col("cluster_id"))
     by = lambda f: {r["ctx_id"]: r["cluster_id"] for r in category.best_cluster(f(rows)).collect()}
     assert by(category.information_score) == by(category.greedy_score) == {0: 0, 1: 1, 2: 6}
     kept = category.information_score(rows, least=1).where("ctx_id = 2 AND score > 0").count()
