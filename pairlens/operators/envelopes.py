@@ -13,67 +13,97 @@ LISTS = ("detailed_results", "prediction_differences")
 UNUSED = ("config", "statistics", "options", "labels", "cluster_sizes")
 
 
-def parts(df: DataFrame, key: str = "envelope_id", payload: str = "payload") -> DataFrame:
-    """One row per entity of each readable payload.
+def _apart(rows: DataFrame) -> DataFrame:
+    """The same rows as a projection of their own: later ones then read its columns and don't repeat its expressions, whose code would grow too long to be compiled well."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_x")).select("_x.*")
 
-    Columns: ``key``, entity (record, answer, cluster, member, cluster_prob),
-    node_path, parent_path, list, record_index, answer, cluster_index,
-    member_index, value. node_path is unique in its payload: where an answer
-    text occurs twice in a record, the larger value stays. A single record in
-    place of a list has index 0. A null array element gives no row and keeps
-    its index. Payloads that are null, empty or unreadable give no rows, an
-    empty table none at all. parent_path names the row's parent (the record of
-    an answer, the cluster of a member, the list of a record).
+
+def _located(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """The nodes that belong to an entity: ``key``, entity, home (its object's id), list, i, cluster and member index, listed, label, scalar.
+
+    Cheap tests of the parent's path come first; ids are only taken apart for
+    the nodes that pass.
     """
     nodes = adjacency(df, key, payload, skip_labels=UNUSED)
-    seg = nodes.withColumn("s", F.split("node_id", "/")).where(F.col("s")[0].isin(*LISTS))
-    single = (F.col("depth") == 1) | F.coalesce(F.element_at("s", 2).isin("answer_probs", "cluster_info"), F.lit(False))
-    seg = seg.withColumn("i", F.when(single, "0").otherwise(F.element_at("s", 2)).try_cast("int"))
-    seg = seg.withColumn("r", F.when(single, F.expr("slice(s, 2, 99)")).otherwise(F.expr("slice(s, 3, 99)")))
-    at = lambda n: F.expr(f"get(r, {n})")
-    n, element, there = F.size("r"), F.col("ordinal").isNotNull(), F.col("kind") != "null"
-    scalar = ~F.col("kind").isin("object", "array")
-    record = (n == 0) & (F.col("kind") == "object") & ((F.col("depth") == 1) | element)
-    listed = (at(0) == "answer_probs") & (n == 3) & F.col("label").isin("answer", "prob") & ~element & scalar
+    parent = F.col("parent_id")
+    element, there, scalar = F.col("ordinal").isNotNull(), F.col("kind") != "null", ~F.col("kind").isin("object", "array")
+    probs, clusters = parent.endswith("/answer_probs"), parent.endswith("/cluster_info/clusters")
+    child = F.col("label").isin("answer", "prob") & parent.contains("/answer_probs/") & ~element & scalar
+    inner = parent.contains("/cluster_info/clusters/") & element & there
+    near = nodes.where(
+        (F.col("node_id").isin(*LISTS) & (F.col("kind") == "object")) | (parent.isin(*LISTS) & element & (F.col("kind") == "object"))
+        | (probs & ~element) | child | (clusters & element & there) | inner | (parent.endswith("/cluster_info/cluster_probs") & element & there))
+    # a single record in place of a list gets its index, so that places in the path are the same for both
+    whole = F.regexp_replace("node_id", f"^({'|'.join(LISTS)})(?=$|/answer_probs|/cluster_info)", "$1/0")
+    seg = _apart(near.select(key, "parent_id", "node_id", "ordinal", "label", "scalar", child.alias("child"), F.split(whole, "/").alias("s")))
+    seg = _apart(seg.select(key, "parent_id", "node_id", "ordinal", "label", "scalar", "child", "s", (F.size("s") - 2).alias("n"), F.get("s", F.lit(1)).try_cast("int").alias("i"), F.get("s", F.lit(2)).alias("s2"), F.get("s", F.lit(3)).alias("s3")).where(F.col("s")[0].isin(*LISTS)))
+    n = F.col("n")
+    listed = F.col("child") & (F.col("s2") == "answer_probs") & (n == 3)
+    in_clusters = (F.col("s2") == "cluster_info") & (F.col("s3") == "clusters")
     entity = (
-        F.when(record, "record")
-        .when((at(0) == "answer_probs") & (n == 2) & ~element, "answer")
+        F.when(n == 0, "record")
+        .when((F.col("s2") == "answer_probs") & (n == 2) & ~element, "answer")
         .when(listed, "answer")
-        .when((at(0) == "cluster_info") & (at(1) == "clusters") & element & there & (n == 3), "cluster")
-        .when((at(0) == "cluster_info") & (at(1) == "clusters") & element & there & (n == 4), "member")
-        .when((at(0) == "cluster_info") & (at(1) == "cluster_probs") & element & there & (n == 3), "cluster_prob")
-    )
-    kept = seg.withColumn("entity", entity).where(F.col("entity").isNotNull() & F.col("i").isNotNull())
-    # the two scalar children of a listed answer meet under their parent; any other node is an entity by itself
-    home = F.when(listed, F.col("parent_id")).otherwise(F.col("node_id"))
-    met = kept.groupBy(key, "entity", F.col("s")[0].alias("list"), F.col("i").alias("record_index"), home.alias("home")).agg(
-        F.max(F.when(listed, F.when(F.col("label") == "answer", F.col("scalar"))).when(F.col("entity") == "answer", F.col("label"))).alias("answer"),
-        F.max(F.when(F.col("entity").isin("cluster", "member", "cluster_prob"), at(2).cast("int"))).alias("cluster_index"),
-        F.max(F.when(F.col("entity") == "member", at(3).cast("int"))).alias("member_index"),
-        F.max(F.when(listed, F.when(F.col("label") == "prob", F.col("scalar"))).when(F.col("entity").isin("answer", "member", "cluster_prob"), F.col("scalar"))).alias("value"),
+        .when(in_clusters & (n == 3), "cluster")
+        .when(in_clusters & (n == 4), "member")
+        .when((F.col("s2") == "cluster_info") & (F.col("s3") == "cluster_probs") & (n == 3), "cluster_prob")
     )
+    kept = _apart(seg.where(F.col("i").isNotNull()).select("*", entity.alias("entity"), F.coalesce(listed, F.lit(False)).alias("listed"))).where(F.col("entity").isNotNull())
+    grouped = F.col("entity").isin("cluster", "member", "cluster_prob")
+    return _apart(kept.select(
+        key, "entity", F.when(F.col("listed"), parent).otherwise(F.col("node_id")).alias("home"), F.col("s")[0].alias("list"), F.col("i").alias("record_index"),
+        F.when(grouped, F.get("s", F.lit(4)).cast("int")).alias("cluster_index"), F.when(F.col("entity") == "member", F.get("s", F.lit(5)).cast("int")).alias("member_index"),
+        "listed", "label", "scalar"))
+
+
+def _paths(rows: DataFrame) -> DataFrame:
+    """Adds node_path and parent_path; an answer without a text has none."""
     base = F.concat_ws("/", "list", "record_index")
     of = lambda name: F.col("entity") == name
-    parent = (
-        F.when(of("record"), F.col("list"))
-        .when(of("member"), F.concat(base, F.lit("/cluster_info/clusters/"), F.col("cluster_index")))
-        .otherwise(base)
-    )
+    cluster = F.concat(base, F.lit("/cluster_info/clusters/"), F.col("cluster_index"))
     path = (
         F.when(of("record"), base)
         .when(of("answer"), F.concat(base, F.lit("/answer_probs/"), F.col("answer")))
-        .when(of("cluster"), F.concat(base, F.lit("/cluster_info/clusters/"), F.col("cluster_index")))
-        .when(of("member"), F.concat(base, F.lit("/cluster_info/clusters/"), F.col("cluster_index"), F.lit("/"), F.col("member_index")))
+        .when(of("cluster"), cluster)
+        .when(of("member"), F.concat(cluster, F.lit("/"), F.col("member_index")))
         .otherwise(F.concat(base, F.lit("/cluster_info/cluster_probs/"), F.col("cluster_index")))
     )
-    named = met.withColumn("node_path", path).withColumn("parent_path", parent).where(F.col("node_path").isNotNull())
-    keys = (key, "entity", "node_path", "parent_path", "list", "record_index", "answer", "cluster_index", "member_index")
-    return named.groupBy(*keys).agg(F.max("value").alias("value"))
+    parent = F.when(of("record"), F.col("list")).when(of("member"), cluster).otherwise(base)
+    return rows.withColumn("node_path", path).withColumn("parent_path", parent).where(F.col("node_path").isNotNull())
+
+
+def parts(df: DataFrame, key: str = "envelope_id", payload: str = "payload") -> DataFrame:
+    """One row per entity of each readable payload.
+
+    Columns: ``key``, entity (record, answer, cluster, member, cluster_prob),
+    node_path, parent_path, list, record_index, answer, cluster_index,
+    member_index, value. node_path is unique in its payload: where an answer
+    text occurs twice in a record, the larger value stays. A single record in
+    place of a list has index 0. A null array element gives no row and keeps
+    its index. Payloads that are null, empty or unreadable give no rows, an
+    empty table none at all. parent_path names the row's parent (the record of
+    an answer, the cluster of a member, the list of a record).
+    """
+    # the two scalar children of a listed answer meet under their parent; any other node is an entity by itself
+    listed, answer = F.col("listed"), F.col("entity") == "answer"
+    text = F.when(listed, F.when(F.col("label") == "answer", F.col("scalar"))).when(answer, F.col("label"))
+    value = F.when(listed, F.when(F.col("label") == "prob", F.col("scalar"))).when(F.col("entity").isin("answer", "member", "cluster_prob"), F.col("scalar"))
+    keys = (key, "entity", "list", "record_index", "cluster_index", "member_index")
+    met = _located(df, key, payload).groupBy(*keys, "home").agg(F.max(text).alias("answer"), F.max(value).alias("value"))
+    return _paths(met).groupBy(*keys, "node_path", "parent_path", "answer").agg(F.max("value").alias("value"))
 
 
 def nodes_found(df: DataFrame) -> DataFrame:
-    """envelope_id and node_path of every entity."""
-    return parts(df).select("envelope_id", "node_path")
+    """envelope_id and node_path of every entity, each once.
+
+    A listed answer is found by its text child alone, so nodes needn't meet and
+    only the paths are made distinct.
+    """
+    listed = F.col("listed")
+    rows = _located(df, "envelope_id", "payload").where(~listed | (F.col("label") == "answer"))
+    named = rows.withColumn("answer", F.when(listed, F.col("scalar")).when(F.col("entity") == "answer", F.col("label")))
+    # the exchange stands before the grouping: repeats are too rare for a partial one, and the paths' code stays apart from it
+    return _paths(named).select("envelope_id", "node_path").repartition("envelope_id", "node_path").distinct()
 
 
 def of_entity(df: DataFrame, entity: str, *columns: Column | str) -> DataFrame:

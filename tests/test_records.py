@@ -60,10 +60,11 @@ def test_adjacency_links_and_entities(spark):
     assert {r["node_id"]: r["b"] for r in entities(nodes, "envelope_id", ["b"]).collect()} == {"": None, "a/0": "1", "a/0/c": None}
 
 
-def test_too_deep_raises(spark):
-    df = spark.createDataFrame(env_rows('{"a":' * 12 + "1" + "}" * 12), ENV)
-    with pytest.raises(Exception, match="deeper"):
-        adjacency(df, "envelope_id", "payload").collect()
+def test_deep_documents_and_odd_strings(spark):
+    df = spark.createDataFrame(env_rows('{"a":' * 200 + "1" + "}" * 200, '{"x": "\\ud800", "n": 1.50, "e": 1e400}'), ENV)
+    rows = adjacency(df, "envelope_id", "payload").collect()
+    assert max(r["depth"] for r in rows) == 200
+    assert {r["label"]: r["scalar"] for r in rows if r["envelope_id"] == 1 and r["depth"]} == {"x": "\ufffd", "n": "1.50", "e": "1e400"}
 
 
 def test_repeated_keys_take_the_last(spark):
