@@ -45,3 +45,10 @@ def reuse_distance(rows: DataFrame, by: str, order: list[str], key: str) -> Data
     at = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     placed = rows.withColumn("_at", at)
     return placed.withColumn("distance", F.col("_at") - F.lag("_at").over(Window.partitionBy(by, key).orderBy("_at"))).drop("_at")
+
+
+def until_stop(steps: DataFrame, stop_token: int, limit: int = 500, by: str = "sequence_id", at: str = "timestep", token: str = "token_id") -> DataFrame:
+    """Recorded steps replayed as a generation: each sequence up to its first stop token (included) or ``limit`` steps."""
+    w = Window.partitionBy(by).orderBy(at)
+    stops = F.coalesce(F.sum((F.col(token) == stop_token).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return steps.withColumn("_stops", stops).withColumn("_n", F.row_number().over(w)).where((F.col("_stops") == 0) & (F.col("_n") <= limit)).drop("_stops", "_n")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from math import exp
+from zlib import crc32
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,18 +106,22 @@ def corrected(rows: DataFrame, p: str, method: str) -> DataFrame:
 def bootstrap(results: DataFrame, rounds: int = 1000, seed: int = 7, alpha: float = 0.05) -> DataFrame:
     """Per sampler an interval of the mean verdict from Poisson resamples.
 
-    A row's weight in a round follows from hashes of its key and the round, so
-    the result doesn't depend on partitioning. Each partition pre-aggregates
-    its rows; only (sampler, round) sums are exchanged.
+    Weights of 1 on average per row add up, over all right and all wrong rows
+    of a sampler, to Poisson numbers of their counts; so a round needs two draws
+    and not one per row. Draws follow from the seed, the sampler and the round.
     """
-    u = F.pmod(F.xxhash64("ctx_id", "sampler", "round", F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    weight, reach, term = F.lit(0), 0.0, exp(-1.0)
-    for k in range(1, 9):
-        reach += term
-        weight = weight + F.when(u >= reach, 1).otherwise(0)
-        term /= k
-    each = results.select("ctx_id", "sampler", F.col("correct").cast("int").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    means = each.groupBy("sampler", "round").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+
+    @F.pandas_udf("double")
+    def resampled(name: pd.Series, round_: pd.Series, right: pd.Series, wrong: pd.Series) -> pd.Series:
+        out = []
+        for n, r, c, w in zip(name, round_, right, wrong):
+            rng = np.random.default_rng([seed, int(r), crc32(str(n).encode())])
+            a, b = rng.poisson(c), rng.poisson(w)
+            out.append(a / (a + b) if a + b else None)
+        return pd.Series(out, dtype=float)
+
+    counted = results.groupBy("sampler").agg(F.count_if("correct").alias("_c"), F.count_if(~F.col("correct")).alias("_w"))
+    each = counted.withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    means = each.select("sampler", resampled("sampler", "_round", "_c", "_w").alias("mean"))
     ends = F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     return means.groupBy("sampler").agg(ends.alias("e"), F.count("*").alias("rounds")).select("sampler", "rounds", F.col("e")[0].alias("ci_low"), F.col("e")[1].alias("ci_high"))
-

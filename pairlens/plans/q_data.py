@@ -150,6 +150,17 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.reuse_distance(rows, "user_id", ["ts", "event_id"], "k").agg(F.count("*").alias("accesses"), F.count_if(d.isNotNull()).alias("repeats"), F.count_if(d <= 20).alias("hits_20"))
 
 
+@query("""WITH s AS (SELECT user_id AS sequence_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS token_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS timestep FROM events),
+f AS (SELECT sequence_id, min(timestep) FILTER (token_id = 7) AS stop FROM s GROUP BY 1)
+SELECT s.sequence_id, count(*) AS steps, count(*) FILTER (s.token_id = 7) AS stopped FROM s JOIN f USING (sequence_id) WHERE s.timestep <= least(coalesce(f.stop, 500), 500) GROUP BY 1""")
+def replay_until_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The steps of each sequence up to a stop token, as a recorded generation would end."""
+    token = F.get_json_object("props", "$.k").cast("int").alias("token_id")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("sequence_id"), "ts", "event_id", token)
+    steps = sequences.numbered(rows.withColumn("flag", F.lit(False)), "sequence_id", ["ts", "event_id"], "flag")
+    return sequences.until_stop(steps, 7).groupBy("sequence_id").agg(F.count("*").alias("steps"), F.count_if(F.col("token_id") == 7).alias("stopped"))
+
+
 # the decision log
 
 

@@ -11,6 +11,7 @@ from pairlens.operators import evaluation as ev
 from pairlens.operators import logits as lg
 from pairlens.operators import significance as sig
 from pairlens.plans import relations as rel
+from pairlens.sources import results as rs
 from pairlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -291,6 +292,22 @@ def best_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return board.where("rank > 1").join(F.broadcast(best)).select(F.col("b.sampler").alias("best"), F.col("sampler").alias("other"), _r(F.col("b.accuracy") - F.col("accuracy"), "lead"))
 
 
+@query(BOARD + """, b AS (SELECT '| ' || sampler || ' | ' || printf('%.1f', accuracy) || ' |' AS line, rank + 1 AS n FROM board)
+SELECT CAST(n AS INT) AS n, line FROM b UNION ALL SELECT 0, '| sampler | accuracy |' UNION ALL SELECT 1, '| - | - |'""")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaderboard as lines of a Markdown table."""
+    board = _board(spark, sf_dir).withColumn("accuracy", F.format_string("%.1f", "accuracy"))
+    return rs.markdown(board, ["sampler", "accuracy"], ["rank"])
+
+
+@query(ACC + " SELECT sampler, CAST(list_position(['dcbs', 'greedy', 'top_p', 'random'], sampler) AS INT) AS pos, round(accuracy, 6) AS accuracy, round(accuracy - ci_low, 6) AS below, round(ci_high - accuracy, 6) AS above FROM wilson")
+def chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars and error bars of an accuracy chart, in the charts' fixed order."""
+    pos = F.array_position(F.array(*map(F.lit, ("dcbs", "greedy", "top_p", "random"))), F.col("sampler")).cast("int")
+    rows = ev.accuracy(results(spark, sf_dir))
+    return rows.select("sampler", pos.alias("pos"), _r("accuracy"), _r(F.col("accuracy") - F.col("ci_low"), "below"), _r(F.col("ci_high") - F.col("accuracy"), "above"))
+
+
 @query("SELECT method, k, top_n FROM (VALUES ('kmeans'), ('dbscan'), ('hierarchical')) AS m(method), (VALUES (2), (4), (8)) AS k(k), (VALUES (20), (50)) AS n(top_n)")
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.createDataFrame([("kmeans",), ("dbscan",), ("hierarchical",)], "method string")
