@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str | None:
@@ -29,3 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(_folder(spark) or tempfile.mkdtemp(prefix="pairlens-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of ids and numbers up to which a side counts as small: some 16 MB.
+SMALL_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows, else as it is, to be joined by a shuffle.
+
+    For sides of a few narrow columns that are written already (``cut``), since
+    their rows are counted.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
