@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.llm.recompression import PIECE, anchors, pieces, widths
-from pairlens.plans.durable import cut
+from pairlens.plans.durable import cut, small_side
 
 #: Characters (code points) of a stretch that counts.
 LEAST = 160
@@ -110,32 +110,40 @@ def _verified(least: int):
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, rep, n_chars: each document with the smallest id that has the very same text; null texts and ids left out."""
-    rows = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("_h"), F.length("text").alias("n_chars"))
-    reps = rows.groupBy("_h").agg(F.min("doc_id").alias("rep"))
-    return rows.join(reps, "_h").select("doc_id", "rep", "n_chars").dropDuplicates(["doc_id"])
+    """doc_id, rep, n_chars: each document with the smallest id that has the very same text; null texts and ids left out.
+
+    Only texts that occur twice or more are joined back to their documents.
+    """
+    rows = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2("text", 256)).alias("_h"), F.length("text").alias("n_chars"))
+    twice = cut(rows.groupBy("_h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("hi")).where("rep < hi").select("_h", "rep"))
+    return rows.join(small_side(twice), "_h", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_chars").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_chars").alias("n_chars"))
 
 
 class Shared:
-    """The stages, each written once: ``members`` (classes of equal texts), ``spans`` of pairs, ``stretches`` of crowded names."""
+    """The stages: ``members`` (classes of equal texts), ``spans`` of pairs, ``stretches`` of crowded names, each written once.
+
+    Texts are read where they are needed and never exchanged, unless the
+    documents that hold candidates are too many to be named by a broadcast.
+    """
 
     def __init__(self, documents: DataFrame, least: int = LEAST, few: int = FEW) -> None:
         self.least = least
         width, _ = widths(least)
         self.members = cut(classes(documents))
-        reps = self.members.where((F.col("doc_id") == F.col("rep")) & (F.col("n_chars") >= least)).select("doc_id")
-        texts = cut(documents.where(F.length("text") >= least).select("doc_id", "text").join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        others = cut(self.members.where("doc_id <> rep").select("doc_id"))
+        whole = documents.where((F.length("text") >= least) & F.col("doc_id").isNotNull()).select("doc_id", "text")
+        texts = whole.join(small_side(others), "doc_id", "left_anti")
         names = cut(texts.mapInArrow(_anchor_rows(least), "name long, doc_id long, pos int"))
         met = names.groupBy("name").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        common = cut(names.join(met.select("name", (F.col("n") > few).alias("crowded")), "name"))
+        common = cut(names.join(small_side(cut(met.select("name", (F.col("n") > few).alias("crowded")))), "name"))
         cold = common.where("NOT crowded")
         pairs = (
             cold.select("name", F.col("doc_id").alias("a"), F.col("pos").alias("pa"))
             .join(cold.select("name", F.col("doc_id").alias("b"), F.col("pos").alias("pb")), "name").where("a < b")
             .groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("spots"))
         )
-        crowded = common.where("crowded").groupBy("doc_id").agg(F.collect_set("pos").alias("spots"))
-        around = cut(crowded.join(texts, "doc_id").select("doc_id", "spots", "text").mapInArrow(_stretch_rows(least, width), "stretch long, doc_id long, start int"))
+        crowded = cut(common.where("crowded").groupBy("doc_id").agg(F.collect_set("pos").alias("spots")))
+        around = cut(whole.join(small_side(crowded.select("doc_id")), "doc_id", "left_semi").join(crowded, "doc_id").select("doc_id", "spots", "text").mapInArrow(_stretch_rows(least, width), "stretch long, doc_id long, start int"))
         held = around.groupBy("stretch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("stretch")
         self.stretches = around.join(held, "stretch")
         side = self.stretches.groupBy("stretch", "doc_id").agg(F.min("start").alias("start"))
@@ -144,7 +152,9 @@ class Shared:
             .join(side.select("stretch", F.col("doc_id").alias("b"), F.col("start").alias("pb")), "stretch").where("a < b")
             .groupBy("a", "b").agg(F.array(F.min(F.struct("pa", "pb"))).alias("spots"))
         )
-        every = pairs.unionByName(hot)
+        every = cut(pairs.unionByName(hot))
+        holders = cut(every.select(F.col("a").alias("doc_id")).unionByName(every.select(F.col("b").alias("doc_id"))).distinct())
+        texts = whole.join(small_side(holders), "doc_id", "left_semi")
         both = every.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         self.spans = cut(both.mapInArrow(_verified(least), "a long, b long, start_a int, start_b int, length int"))
 
