@@ -13,7 +13,7 @@ from pairlens.operators import samplers
 
 
 @dataclass(frozen=True)
-class DcbsSpec:
+class ClusterSpec:
     """What a cluster-aware sampler does.
 
     method: dbscan, kmeans, hierarchical or single; category: greedy,
@@ -39,15 +39,15 @@ class DcbsSpec:
             raise ValueError(f"unknown category selection {self.category}")
 
 
-DEFAULT = DcbsSpec()
-LIGHTWEIGHT = DcbsSpec(clusters=4, top=20)
+DEFAULT = ClusterSpec()
+LIGHTWEIGHT = ClusterSpec(clusters=4, top=20)
 #: Plain top-n candidates, Euclidean k-means, the heaviest category.
-BATCH = DcbsSpec(method="euclidean", category="greedy", dynamic=False, bypass=0)
+BATCH = ClusterSpec(method="euclidean", category="greedy", dynamic=False, bypass=0)
 #: As BATCH on vectors as they are.
 BOUNDED = replace(BATCH, normalize=False)
 
 
-def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
     """ctx_id, token_id, logit, rank, p (over the candidates), n, cluster_id (null where not clustered)."""
     if embeddings is None:
         raise ValueError("cluster-aware selection needs embeddings")
@@ -66,7 +66,7 @@ def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec =
     return labelled.withColumn("cluster_id", F.when(F.col("n") > spec.bypass, F.col("cluster_id")))
 
 
-def select(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+def select(logits: DataFrame, embeddings: DataFrame | None, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
     """ctx_id, sampler, token_id, cluster_id (null where the context wasn't clustered).
 
     One cluster for all is the highest logit, which the plan then is. A context
@@ -82,7 +82,7 @@ def select(logits: DataFrame, embeddings: DataFrame | None, spec: DcbsSpec = DEF
     return chosen.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", "cluster_id")
 
 
-def history(logits: DataFrame, embeddings: DataFrame, spec: DcbsSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+def history(logits: DataFrame, embeddings: DataFrame, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
     """The decision of each clustered context: candidates, clusters, sizes and masses by cluster, the choice."""
     rows = clustered(logits, embeddings, spec, allowed).where(F.col("n") > spec.bypass)
     scored = category.SCORES[spec.category](category.mass(rows))
@@ -93,7 +93,7 @@ def history(logits: DataFrame, embeddings: DataFrame, spec: DcbsSpec = DEFAULT,
     return per.select("ctx_id", "candidate_count", "num_clusters", "clusters", F.col("b.cluster_id").alias("selected_cluster"), F.col("b.token_id").alias("selected_token"))
 
 
-def sweep(logits: DataFrame, embeddings: DataFrame, specs: dict[str, DcbsSpec], allowed: DataFrame | None = None) -> DataFrame:
+def sweep(logits: DataFrame, embeddings: DataFrame, specs: dict[str, ClusterSpec], allowed: DataFrame | None = None) -> DataFrame:
     """Selections of several specs, one under another, named by ``config``."""
     out = None
     for name, spec in specs.items():

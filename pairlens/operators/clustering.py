@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 
 from pairlens.functions import vectors
 from pairlens.operators.logits import ctx
+from pairlens.plans.durable import SMALL_ROWS, cut
 
 #: Defaults of the density method.
 EPSILON, MIN_SAMPLES = 0.3, 2
 #: Blocks of the vocabulary: each pair of blocks is compared in one place, in parallel.
 BLOCKS = 8
+#: Numbers that a vocabulary's vectors may have to be broadcast: 32 MB.
+SMALL_VALUES = 4_000_000
 
 
 def normalized_vocabulary(embeddings: DataFrame) -> DataFrame:
@@ -61,10 +64,14 @@ def components(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     the vocabulary's edges, broadcast only if they are small); then a context's
     candidates meet in one row, and each edge between two of them gives the
     larger of their labels the smaller one's value. Rows stay partitioned by
-    context.
+    context if the edges, which are written and counted, are few enough to be
+    broadcast; else they are joined by token.
     """
     kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id")]
-    near = edges.groupBy(F.col("a").alias("token_id")).agg(F.collect_list(F.col("b").cast("int")).alias("_near"))
+    written = cut(edges.select("a", "b"))
+    near = written.groupBy(F.col("a").alias("token_id")).agg(F.collect_list(F.col("b").cast("int")).alias("_near"))
+    if written.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        near = F.broadcast(near)
     rows = candidates.withColumn("token_id", F.col("token_id").cast("int")).join(near, "token_id", "left")
     met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("token_id", *kept, "_near"))).alias("c"))
     met = met.withColumn("t", F.transform("c", lambda x: x["token_id"]))
@@ -228,6 +235,9 @@ def per_context(candidates: DataFrame, embeddings: DataFrame, labels, normalize:
     """
     kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id")]
     vec = embeddings.select("token_id", vectors.as_double("vec").alias("vec"))
+    first = vec.select(F.size("vec")).first()
+    if first and max(first[0], 1) * vec.count() <= SMALL_VALUES:
+        vec = F.broadcast(vec)
     rows = candidates.withColumn("token_id", F.col("token_id").cast("int")).join(vec, "token_id", "left")
     met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token_id", *[k for k in kept if k != "rank"], "vec"))).alias("c"))
     schema = T.StructType([candidates.schema["ctx_id"], T.StructField("token_id", T.IntegerType()), *[candidates.schema[k] for k in kept], T.StructField("cluster_id", T.IntegerType())])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import statistics as st
-from pairlens.operators import dcbs, samplers
+from pairlens.operators import cluster_aware as ca
+from pairlens.operators import samplers
 from pairlens.operators import evaluation as ev
 from pairlens.operators import logits as lg
 from pairlens.operators import significance as sig
@@ -39,7 +40,7 @@ def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One token per context and sampler."""
     rows, vocab = rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir)
     three = samplers.run(rows, ["greedy", "top_p", "random"])
-    return three.unionByName(dcbs.select(rows, vocab, dcbs.DcbsSpec(method="dbscan", epsilon=rel.EPSILON)).drop("cluster_id"))
+    return three.unionByName(ca.select(rows, vocab, ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON)).drop("cluster_id"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,7 +329,7 @@ SWEEP = _sweep_sql() + ", scored AS (SELECT config, count(*) AS total, count(*)
 
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, vocab = rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir)
-    picked = dcbs.sweep(rows, vocab, {f"eps{e}": dcbs.DcbsSpec(method="dbscan", epsilon=e) for e in (0.6, 0.7, 0.75)})
+    picked = ca.sweep(rows, vocab, {f"eps{e}": ca.ClusterSpec(method="dbscan", epsilon=e) for e in (0.6, 0.7, 0.75)})
     right = (F.col("label") == F.pmod("ctx_id", F.lit(10))).alias("correct")
     return picked.join(vocab.select("token_id", "label"), "token_id").select("config", right).groupBy("config").agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"))
 

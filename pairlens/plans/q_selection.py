@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions import vectors
-from pairlens.operators import category, clustering, dcbs, samplers
+from pairlens.operators import category, clustering, samplers
+from pairlens.operators import cluster_aware as ca
 from pairlens.operators import logits as lg
 from pairlens.plans import relations as rel
 
@@ -15,7 +16,7 @@ SQL: dict[str, str] = {}
 L, V, A = rel.logits_sql(), rel.VOCABULARY_SQL, rel.allowed_sql()
 TOP = "QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id)"
 U = "(((ctx_id * 2654435761 + 12345) % 4294967296) / 4294967296.0)"
-SPEC = dcbs.DcbsSpec(method="dbscan", epsilon=rel.EPSILON)
+SPEC = ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON)
 
 
 def query(sql: str | None = None):
@@ -174,8 +175,8 @@ CAND = f"{L}, {V}, {rel.edges_sql()}, {rel.dynamic_sql()}, {rel.clusters_sql()}"
 CAND_03 = f"{L}, {V}, {rel.edges_sql(0.3)}, {rel.dynamic_sql()}, {rel.clusters_sql()}"
 
 
-def _rows(spark: SparkSession, sf_dir: str, spec: dcbs.DcbsSpec = SPEC) -> DataFrame:
-    return dcbs.clustered(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), spec)
+def _rows(spark: SparkSession, sf_dir: str, spec: ca.ClusterSpec = SPEC) -> DataFrame:
+    return ca.clustered(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), spec)
 
 
 @query(f"WITH RECURSIVE {CAND} SELECT ctx_id, token_id, cluster_id FROM clustered")
@@ -185,7 +186,7 @@ def dbscan_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CAND_03} SELECT ctx_id, count(DISTINCT cluster_id) AS clusters, count(*) AS tokens FROM clustered GROUP BY ctx_id")
 def dbscan_noise_singletons_eps03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(spark, sf_dir, dcbs.DcbsSpec(method="dbscan"))
+    rows = _rows(spark, sf_dir, ca.ClusterSpec(method="dbscan"))
     return rows.groupBy("ctx_id", "cluster_id").agg(F.count("*").alias("n")).groupBy("ctx_id").agg(F.count("*").alias("clusters"), F.sum("n").alias("tokens"))
 
 
@@ -199,7 +200,7 @@ def dbscan_core_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {L} SELECT ctx_id, token_id FROM logits {TOP} = 1")
 def single_cluster_equals_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dcbs.select(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), dcbs.DcbsSpec(method="single")).select("ctx_id", "token_id")
+    return ca.select(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), ca.ClusterSpec(method="single")).select("ctx_id", "token_id")
 
 
 @query(f"""WITH {L}, n AS (SELECT ctx_id, count(*) AS n FROM logits GROUP BY 1)
@@ -211,17 +212,17 @@ def adaptive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, dcbs.DEFAULT).select("ctx_id", "token_id", "cluster_id")
+    return _rows(spark, sf_dir, ca.DEFAULT).select("ctx_id", "token_id", "cluster_id")
 
 
 @query()
 def hierarchical_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, dcbs.DcbsSpec(method="hierarchical")).select("ctx_id", "token_id", "cluster_id")
+    return _rows(spark, sf_dir, ca.ClusterSpec(method="hierarchical")).select("ctx_id", "token_id", "cluster_id")
 
 
 @query()
 def dbscan_border_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, sf_dir, dcbs.DcbsSpec(method="dbscan", epsilon=0.75, min_samples=3)).select("ctx_id", "token_id", "cluster_id")
+    return _rows(spark, sf_dir, ca.ClusterSpec(method="dbscan", epsilon=0.75, min_samples=3)).select("ctx_id", "token_id", "cluster_id")
 
 
 @query(f"WITH RECURSIVE {L}, {V}, {rel.edges_sql(0.75)}, {rel.dynamic_sql()}, {rel.clusters_sql()} SELECT ctx_id, token_id, cluster_id FROM clustered")
@@ -241,7 +242,7 @@ SELECT m.ctx_id, CAST(sum(m.size) AS BIGINT) AS candidate_count, count(*) AS num
        string_agg(m.cluster_id || ':' || m.size, ',' ORDER BY m.cluster_id) AS clusters
 FROM picked_m AS m JOIN picked AS p ON p.ctx_id = m.ctx_id GROUP BY m.ctx_id""")
 def cluster_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = dcbs.history(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), SPEC)
+    rows = ca.history(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), SPEC)
     text = F.array_join(F.transform("clusters", lambda c: F.concat(c["cluster_id"], F.lit(":"), c["size"])), ",")
     return rows.select("ctx_id", "candidate_count", "num_clusters", "selected_cluster", "selected_token", text.alias("clusters"))
 
@@ -278,14 +279,14 @@ def kl_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category.mass(_rows(spark, sf_dir)).select("ctx_id", "cluster_id", F.round(share * F.ln(share * n), 6).alias("contribution"))
 
 
-def _dcbs(spark: SparkSession, sf_dir: str, spec: dcbs.DcbsSpec, modulus: int | None = None) -> DataFrame:
+def _dcbs(spark: SparkSession, sf_dir: str, spec: ca.ClusterSpec, modulus: int | None = None) -> DataFrame:
     rows = rel.logits(spark, sf_dir)
-    return dcbs.select(rows, rel.vocabulary(spark, sf_dir), spec, rel.allowed(rows, modulus) if modulus else None).select("ctx_id", "token_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
+    return ca.select(rows, rel.vocabulary(spark, sf_dir), spec, rel.allowed(rows, modulus) if modulus else None).select("ctx_id", "token_id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
 @query(f"WITH RECURSIVE {CAND}, {rel.picked_sql('mass')} SELECT ctx_id, token_id, cluster_id FROM picked")
 def dcbs_dbscan_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dcbs(spark, sf_dir, dcbs.DcbsSpec(method="dbscan", epsilon=rel.EPSILON, category="greedy"))
+    return _dcbs(spark, sf_dir, ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON, category="greedy"))
 
 
 @query(f"WITH RECURSIVE {CAND}, {rel.picked_sql(rel.CONFIDENCE_SQL)} SELECT ctx_id, token_id, cluster_id FROM picked")
@@ -314,22 +315,22 @@ def dcbs_small_candidate_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dcbs_kmeans_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dcbs(spark, sf_dir, dcbs.DEFAULT)
+    return _dcbs(spark, sf_dir, ca.DEFAULT)
 
 
 @query()
 def dcbs_hierarchical_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dcbs(spark, sf_dir, dcbs.DcbsSpec(method="hierarchical"))
+    return _dcbs(spark, sf_dir, ca.ClusterSpec(method="hierarchical"))
 
 
 @query()
 def dcbs_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dcbs(spark, sf_dir, dcbs.BATCH)
+    return _dcbs(spark, sf_dir, ca.BATCH)
 
 
 @query()
 def dcbs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dcbs(spark, sf_dir, dcbs.BOUNDED)
+    return _dcbs(spark, sf_dir, ca.BOUNDED)
 
 
 @query(f"WITH {L} SELECT sum(CASE WHEN isfinite(logit) THEN 1 ELSE 0 END)::BIGINT AS finite, sum(CASE WHEN isfinite(logit) THEN 0 ELSE 1 END)::BIGINT AS rejected FROM logits")

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pairlens.operators import category, clustering, dcbs, samplers
+from pairlens.operators import category, clustering, samplers
+from pairlens.operators import cluster_aware as ca
 from pairlens.operators import logits as lg
 
 E = [(1, 0), (0.95, 0.05), (0, 1), (0.05, 0.95), (-1, 0), (0.7, 0.7)]
@@ -47,7 +48,7 @@ def test_greedy(spark):
 
 def test_bad_parameters(spark):
     rows = logits(spark, [1, 2])
-    for bad in (lambda: lg.softmax(rows, 0), lambda: lg.softmax(rows, -1), lambda: samplers.top_k_support(rows, 0), lambda: dcbs.DcbsSpec(method="x"), lambda: samplers.run(rows, ["x"]), lambda: dcbs.select(rows, None)):
+    for bad in (lambda: lg.softmax(rows, 0), lambda: lg.softmax(rows, -1), lambda: samplers.top_k_support(rows, 0), lambda: ca.ClusterSpec(method="x"), lambda: samplers.run(rows, ["x"]), lambda: ca.select(rows, None)):
         with pytest.raises(ValueError):
             bad()
 
@@ -99,18 +100,18 @@ def test_components_and_scores_by_hand(spark):
         (0.1, {0: 0.384647, 2: 0.328739, 4: 0.259285, 5: 0.027328}, {0: 0.316272, 2: 0.260453, 4: 0.141786, 5: -0.077590}, 0),
         (0.3, {0: 0.740715, 4: 0.259285}, {0: 0.709599, 4: 0.141786}, 2),
     ):
-        spec = dcbs.DcbsSpec(method="dbscan", epsilon=eps)
-        mass = category.confidence_score(category.mass(dcbs.clustered(rows, vocab, spec))).collect()
+        spec = ca.ClusterSpec(method="dbscan", epsilon=eps)
+        mass = category.confidence_score(category.mass(ca.clustered(rows, vocab, spec))).collect()
         assert {r["cluster_id"]: round(r["mass"], 6) for r in mass} == pytest.approx(clusters, abs=2e-6)
         assert {r["cluster_id"]: r["score"] for r in mass} == pytest.approx(scores, abs=2e-6)
-        assert chosen(dcbs.select(rows, vocab, spec)) == {0: token}
+        assert chosen(ca.select(rows, vocab, spec)) == {0: token}
     assert chosen(samplers.greedy(rows)) == {0: 4}
 
 
 def test_components_are_per_context(spark):
     """Without the bridging token two clusters stay apart."""
     bridge = logits(spark, L, {t: v for t, v in enumerate(L) if t != 5})
-    got = support(dcbs.clustered(bridge, emb(spark, E), dcbs.DcbsSpec(method="dbscan")).select("ctx_id", F.col("cluster_id").alias("token_id")))
+    got = support(ca.clustered(bridge, emb(spark, E), ca.ClusterSpec(method="dbscan")).select("ctx_id", F.col("cluster_id").alias("token_id")))
     assert got == {0: {0, 4}, 1: {0, 2, 4}}
 
 
@@ -151,11 +152,11 @@ def test_batch_goldens(spark):
     """Euclidean clusters of normalized vectors, the heaviest category; the bounded form takes vectors as they are."""
     vectors = [(0, 0), (0.1, 0), (0.2, 0), (10, 10), (10.1, 10.1), (20, 20)]
     a, b = [-1, -1.1, -1.2, 4, 3.9, 0.5], [0, 0.5, 0.8, -1, -1, 1]
-    spec = dcbs.DcbsSpec(method="euclidean", category="greedy", clusters=2, top=5, dynamic=False, bypass=0)
-    assert chosen(dcbs.select(logits(spark, a, b), emb(spark, vectors), spec)) == {0: 3, 1: 5}
-    assert set(chosen(dcbs.select(logits(spark, *[a] * 6), emb(spark, vectors), spec)).values()) == {3}
-    bounded = dcbs.DcbsSpec(method="euclidean", category="greedy", clusters=2, top=5, dynamic=False, bypass=0, normalize=False)
-    assert chosen(dcbs.select(logits(spark, a), emb(spark, vectors), bounded)) == {0: 3}
+    spec = ca.ClusterSpec(method="euclidean", category="greedy", clusters=2, top=5, dynamic=False, bypass=0)
+    assert chosen(ca.select(logits(spark, a, b), emb(spark, vectors), spec)) == {0: 3, 1: 5}
+    assert set(chosen(ca.select(logits(spark, *[a] * 6), emb(spark, vectors), spec)).values()) == {3}
+    bounded = ca.ClusterSpec(method="euclidean", category="greedy", clusters=2, top=5, dynamic=False, bypass=0, normalize=False)
+    assert chosen(ca.select(logits(spark, a), emb(spark, vectors), bounded)) == {0: 3}
 
 
 @pytest.mark.parametrize("method", ["kmeans", "dbscan", "hierarchical", "single"])
@@ -164,10 +165,10 @@ def test_all_methods(spark, method):
     vocab = emb(spark, rng.normal(size=(100, 8)))
     peaks = {t: -10.0 for t in range(100)} | {t: 5.0 - t % 10 for c in (10, 30, 50) for t in range(c, c + 5)}
     one = {t: (10.0 if t == 42 else -100.0) for t in range(100)}
-    rows, spec = logits(spark, peaks, one), dcbs.DcbsSpec(method=method)
-    first = chosen(dcbs.select(rows, vocab, spec))
-    assert first[1] == 42 and first == chosen(dcbs.select(rows.repartition(5), vocab, spec))
-    inside = chosen(dcbs.select(rows, vocab, spec, allowed(spark, [42, 43, 44, 45], [5])))
+    rows, spec = logits(spark, peaks, one), ca.ClusterSpec(method=method)
+    first = chosen(ca.select(rows, vocab, spec))
+    assert first[1] == 42 and first == chosen(ca.select(rows.repartition(5), vocab, spec))
+    inside = chosen(ca.select(rows, vocab, spec, allowed(spark, [42, 43, 44, 45], [5])))
     assert inside[0] in {42, 43, 44, 45} and inside[1] == 5
     if method == "single":
         assert first == chosen(samplers.greedy(rows))
@@ -175,7 +176,7 @@ def test_all_methods(spark, method):
 
 def test_few_candidates_are_not_clustered(spark):
     rows = logits(spark, L)
-    got = dcbs.select(rows, emb(spark, E), dcbs.DcbsSpec(method="dbscan"), allowed(spark, [0, 1, 4])).collect()
+    got = ca.select(rows, emb(spark, E), ca.ClusterSpec(method="dbscan"), allowed(spark, [0, 1, 4])).collect()
     assert [(r["token_id"], r["cluster_id"]) for r in got] == [(4, None)]
 
 
@@ -191,13 +192,13 @@ def test_zero_and_missing_vectors(spark):
     rows = logits(spark, [1, 2, 3, 4, 5])
     vocab = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [1.0, 0.0]), (3, [1.0, 0.1])], "token_id int, vec array<double>")
     for method in ("kmeans", "dbscan", "hierarchical"):
-        assert dcbs.select(rows, vocab, dcbs.DcbsSpec(method=method)).count() == 1
+        assert ca.select(rows, vocab, ca.ClusterSpec(method=method)).count() == 1
 
 
 def test_empty_inputs(spark):
     rows = logits(spark)
     assert samplers.run(rows, ["greedy", "top_p", "random"]).count() == 0
-    assert dcbs.select(rows, emb(spark, E), dcbs.DcbsSpec(method="dbscan")).count() == 0
+    assert ca.select(rows, emb(spark, E), ca.ClusterSpec(method="dbscan")).count() == 0
 
 
 def test_wide_logits(spark):
