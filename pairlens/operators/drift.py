@@ -10,66 +10,82 @@ that the casts into one consistent table.
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.plans.durable import cut
+from pairlens.operators.shred import text_array
+from pairlens.plans.durable import cut, small_side
 
-#: Nesting of objects that is walked; deeper raises an error.
-MAX_DEPTH = 8
 #: Fixed pattern: what names a field; other keys (answer texts) are data.
-FIELD_NAME = "^[A-Za-z_][A-Za-z0-9_]*$"
-
-
-def json_type(v: Column) -> Column:
-    """string, number, boolean, object, null, or array<...> of these; void for no element, mixed for several types."""
-    name = F.schema_of_variant(v)
-    opened = F.regexp_extract(name, "^((?:ARRAY<)*)", 1)
-    depth = F.length(opened) / 6
-    inner = F.regexp_extract(name, "^(?:ARRAY<)*([A-Z]+)", 1)
-    plain = (
-        F.when(inner == "STRING", "string").when(inner == "BOOLEAN", "boolean").when(inner == "OBJECT", "object")
-        .when(inner == "VOID", F.when(depth > 0, "void").otherwise("null")).when(inner == "VARIANT", "mixed").otherwise("number")
-    )
-    return F.concat(F.lower(opened), plain, F.repeat(F.lit(">"), depth.cast("int")))
-
-
-def fields(df: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """One row per record and non-null field: series_id, file_name, written_at, record_key, parent, path, type, value, text_map.
+FIELD_NAME = re.compile("[A-Za-z_][A-Za-z0-9_]*")
+_SCALARS = {str: "string", bool: "boolean", int: "number", float: "number", dict: "object"}
+
+
+def json_type(v: object) -> str:
+    """string, number, boolean, object, or array<...> of these; void for an array's type without an element, mixed for several types."""
+    return f"array<{_merged({json_type(x) for x in v if x is not None})}>" if isinstance(v, list) else _SCALARS[type(v)]
+
+
+def _merged(types: set[str]) -> str:
+    types = types - {"void"}
+    if len(types) > 1 and all(t.startswith("array<") for t in types):
+        return f"array<{_merged({t[6:-1] for t in types})}>"
+    return types.pop() if len(types) == 1 else "mixed" if types else "void"
+
+
+def _walk():
+    schema = pa.schema([("series_id", pa.string()), ("file_name", pa.string()), ("record_key", pa.string()), ("parent", pa.string()), ("path", pa.string()), ("type", pa.string()), ("value", pa.string()), ("text_map", pa.bool_())])
+    dump = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for series, file, key, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                try:
+                    record = json.loads(payload)
+                except ValueError:
+                    continue
+                stack = [("", record)] if isinstance(record, dict) else []
+                while stack:
+                    parent, fields_ = stack.pop()
+                    for name, v in fields_.items():
+                        if v is None:
+                            continue
+                        path, texts = f"{parent}.{name}" if parent else name, False
+                        if isinstance(v, dict):
+                            texts = any(not FIELD_NAME.fullmatch(k) for k in v) and all(x is None or (isinstance(x, (int, float)) and not isinstance(x, bool)) for x in v.values())
+                            stack.append((path, v))
+                        rows.append((series, file, key, parent, path, json_type(v), dump(v), texts))
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([text_array(list(c)) if pa.types.is_string(f.type) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    return run
+
+
+def fields(df: DataFrame) -> DataFrame:
+    """One row per record and non-null field: series_id, file_name, record_key, parent, path, type, value, text_map.
 
     value is the field's JSON in canonical form. text_map tells an object with
     a key that is no field name and with numbers or nulls only. Unreadable,
     null and empty payloads, those that are no object, and rows without a series
-    or file give no row. One walk
-    over the rows, without a shuffle.
+    or file give no row. One walk over Arrow batches, without a shuffle: records
+    are of any depth.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    keep = ["series_id", "file_name", "written_at", "record_key"]
-    level = df.where("series_id IS NOT NULL AND file_name IS NOT NULL").select(*keep, F.expr("try_cast(try_parse_json(payload) AS MAP<STRING, VARIANT>)").alias("m")).where("m IS NOT NULL")
-    level = level.select(*keep, F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("variant").alias("v"), "m", F.lit(True).alias("open"))
-    prefix = "IF(path IS NULL, '', concat(path, '.'))"
-    node = "struct<parent:string,path:string,v:variant,m:map<string,variant>,open:boolean>"
-    for depth in range(max_depth + 1):
-        own = "named_struct('parent', parent, 'path', path, 'v', v, 'm', m, 'open', false)"
-        below = (
-            f"transform(filter(map_entries(m), e -> NOT is_variant_null(e.value)), e -> named_struct('parent', coalesce(path, ''), 'path', concat({prefix}, e.key),"
-            " 'v', e.value, 'm', try_cast(e.value AS MAP<STRING, VARIANT>), 'open', true))"
-        )
-        if depth == max_depth:
-            below = f"IF(size(m) > 0, raise_error('an object is deeper than {max_depth} levels'), CAST(array() AS ARRAY<{node}>))"
-        nodes = f"concat(IF(path IS NULL, CAST(array() AS ARRAY<{node}>), array({own})), IF(open AND m IS NOT NULL, {below}, CAST(array() AS ARRAY<{node}>)))"
-        level = level.select(*keep, F.explode(F.expr(nodes)).alias("n")).select(*keep, "n.*")
-    number = "schema_of_variant(e.value) IN ('BIGINT', 'DOUBLE', 'FLOAT', 'VOID') OR schema_of_variant(e.value) LIKE 'DECIMAL%'"
-    text_map = F.expr(f"coalesce(exists(map_keys(m), k -> NOT k RLIKE '{FIELD_NAME}') AND forall(map_entries(m), e -> {number}), false)")
-    return level.select(*keep, "parent", "path", json_type(F.col("v")).alias("type"), F.to_json("v").alias("value"), text_map.alias("text_map"))
+    rows = df.where("series_id IS NOT NULL AND file_name IS NOT NULL AND payload IS NOT NULL").select("series_id", "file_name", "record_key", "payload")
+    return rows.mapInArrow(_walk(), "series_id string, file_name string, record_key string, parent string, path string, type string, value string, text_map boolean")
 
 
 def observed(df: DataFrame) -> DataFrame:
     """``fields`` without what lies below an object that maps texts to numbers, written to the checkpoint folder."""
     seen = cut(fields(df))
     maps = seen.groupBy("series_id", "path").agg(F.max("text_map").alias("is_map")).where("is_map").select("series_id", F.col("path").alias("parent"))
-    return seen.join(maps, ["series_id", "parent"], "left_anti")
+    return seen.join(small_side(cut(maps)), ["series_id", "parent"], "left_anti")
 
 
 def catalogue(seen: DataFrame, df: DataFrame) -> DataFrame:
@@ -85,7 +101,7 @@ def catalogue(seen: DataFrame, df: DataFrame) -> DataFrame:
     by_file = seen.groupBy("series_id", "file_name", "parent", "path").agg(F.collect_set("type").alias("types"))
     known = F.filter("types", lambda t: ~t.contains("void"))
     joined = F.array_join(F.array_sort(F.when(F.size(known) > 0, known).otherwise(F.col("types"))), "|")
-    return by_file.join(numbered, ["series_id", "file_name"]).select("series_id", "n", "last", "file_name", "path", "parent", joined.alias("type"))
+    return by_file.join(small_side(cut(numbered)), ["series_id", "file_name"]).select("series_id", "n", "last", "file_name", "path", "parent", joined.alias("type"))
 
 
 def lifespans(cat: DataFrame) -> DataFrame:
@@ -105,27 +121,28 @@ def _same(a: Column, b: Column) -> Column:
 def raw_changes(seen: DataFrame, cat: DataFrame) -> DataFrame:
     """Changes by file: series_id, n, path, old_path, change_kind, nothing left out below a changed field."""
     by = Window.partitionBy("series_id", "path").orderBy("n")
-    step = cat.select("series_id", "n", "last", "path", "parent", "type", F.lag("n").over(by).alias("before"), F.lag("type").over(by).alias("old_type"), F.lead("n").over(by).alias("after"))
+    step = cut(cat.select("series_id", "n", "last", "path", "parent", "type", F.lag("n").over(by).alias("before"), F.lag("type").over(by).alias("old_type"), F.lead("n").over(by).alias("after")))
     beside = F.col("before") == F.col("n") - 1
     starts = step.where((F.col("n") > 1) & ~F.coalesce(beside, F.lit(False))).select("series_id", "n", "parent", "path", "type")
     ends = step.where((F.col("n") < F.col("last")) & ~F.coalesce(F.col("after") == F.col("n") + 1, F.lit(False))).select(
         "series_id", (F.col("n") + 1).alias("n"), "parent", F.col("path").alias("old_path"), F.col("type").alias("old_type"))
     typed = step.where(beside & ~_same(F.col("type"), F.col("old_type"))).select("series_id", "n", "path", F.lit(None).cast("string").alias("old_path"), F.lit("type_changed").alias("change_kind"))
-    pairs = starts.join(ends, ["series_id", "n", "parent"]).where(_same(F.col("type"), F.col("old_type"))).select("series_id", "n", "path", "old_path")
-    files = cat.select("series_id", "file_name", "n").distinct()
-    values = seen.where(F.col("record_key").isNotNull()).join(files, ["series_id", "file_name"]).select("series_id", "n", "record_key", "path", "value")
+    pairs = cut(starts.join(ends, ["series_id", "n", "parent"]).where(_same(F.col("type"), F.col("old_type"))).select("series_id", "n", "path", "old_path"))
+    few = small_side(pairs)
+    files = cut(cat.select("series_id", "file_name", "n").distinct())
+    values = seen.where(F.col("record_key").isNotNull()).join(small_side(files), ["series_id", "file_name"]).select("series_id", "n", "record_key", "path", "value")
     keys = values.select("series_id", "n", "record_key").distinct()
     both = keys.alias("a").join(keys.select("series_id", (F.col("n") + 1).alias("n"), "record_key"), ["series_id", "n", "record_key"])
     # rows of a common record for either path of a pair: the later file's value of the new path, the earlier file's of the old one
-    later = pairs.join(values, ["series_id", "n", "path"]).select("series_id", "n", "path", "old_path", "record_key", F.col("value").alias("new_value"), F.lit(None).cast("string").alias("old_value"))
-    earlier = pairs.join(values.select("series_id", (F.col("n") + 1).alias("n"), F.col("path").alias("old_path"), "record_key", "value"), ["series_id", "n", "old_path"]).select(
+    later = values.join(few, ["series_id", "n", "path"]).select("series_id", "n", "path", "old_path", "record_key", F.col("value").alias("new_value"), F.lit(None).cast("string").alias("old_value"))
+    earlier = values.select("series_id", (F.col("n") + 1).alias("n"), F.col("path").alias("old_path"), "record_key", "value").join(few, ["series_id", "n", "old_path"]).select(
         "series_id", "n", "path", "old_path", "record_key", F.lit(None).cast("string").alias("new_value"), F.col("value").alias("old_value"))
     met = later.unionByName(earlier).join(both, ["series_id", "n", "record_key"], "left_semi").groupBy("series_id", "n", "path", "old_path", "record_key").agg(
         F.max("new_value").alias("new_value"), F.max("old_value").alias("old_value"))
     agree = met.groupBy("series_id", "n", "path", "old_path").agg(F.min(F.coalesce((F.col("new_value") == F.col("old_value")).cast("int"), F.lit(0))).alias("equal"), F.count("*").alias("records")).where("equal = 1")
     # a field takes part in one rename: the one with most records, then the first by name
     order = [F.desc("records"), "old_path", "path"]
-    renames = (
+    renames = cut(
         agree.withColumn("a", F.row_number().over(Window.partitionBy("series_id", "n", "path").orderBy(*order)))
         .withColumn("b", F.row_number().over(Window.partitionBy("series_id", "n", "old_path").orderBy(*order)))
         .where("a = 1 AND b = 1").select("series_id", "n", "path", "old_path")
@@ -147,7 +164,7 @@ def changes(df: DataFrame) -> DataFrame:
     seen = observed(df)
     cat = cut(catalogue(seen, df))
     every = cut(raw_changes(seen, cat))
-    moved = every.select("series_id", "n", "path").unionByName(every.where("old_path IS NOT NULL").select("series_id", "n", F.col("old_path").alias("path"))).distinct()
+    moved = cut(every.select("series_id", "n", "path").unionByName(every.where("old_path IS NOT NULL").select("series_id", "n", F.col("old_path").alias("path"))).distinct())
     parts = F.split("path", "\\.")
     above = F.expr("transform(sequence(1, size(parts) - 1), i -> array_join(slice(parts, 1, i), '.'))")
     below = (

@@ -30,7 +30,7 @@ class _Number(str):
 _KINDS = {dict: "object", list: "array", str: "string", _Number: "number", bool: "boolean", type(None): "null"}
 
 
-def _text(values: list[str | None]) -> pa.Array:
+def text_array(values: list[str | None]) -> pa.Array:
     """Strings as UTF-8; half of a surrogate pair, which JSON can escape, becomes a replacement character."""
     try:
         return pa.array(values, pa.string())
@@ -40,7 +40,7 @@ def _text(values: list[str | None]) -> pa.Array:
 
 def _walk(skip: frozenset[str]):
     def flush(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
-        made = [pa.array(c, f.type) if not pa.types.is_string(f.type) else _text(c) for c, f in zip(held, schema)]
+        made = [pa.array(c, f.type) if not pa.types.is_string(f.type) else text_array(c) for c, f in zip(held, schema)]
         for c in held:
             c.clear()
         return pa.RecordBatch.from_arrays(made, schema=schema)
