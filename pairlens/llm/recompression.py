@@ -53,20 +53,19 @@ def widths(least: int, caps: Sequence[int] = CAPS) -> tuple[int, int]:
 
 def _runs(names: np.ndarray, at: np.ndarray, end: np.ndarray, piece: np.ndarray, cap: int):
     """Joins each maximal run of one symbol that is no longer than ``cap``."""
-    same = (names[1:] == names[:-1]) & (piece[1:] == piece[:-1])
-    if not same.any():
+    again = np.flatnonzero((names[1:] == names[:-1]) & (piece[1:] == piece[:-1]))
+    if not len(again):
         return names, at, end, piece
-    first = np.flatnonzero(np.r_[True, ~same])
-    last = np.r_[first[1:], len(names)] - 1
-    count = last - first + 1
-    join = (count > 1) & (end[last] - at[first] <= cap)
-    keep = np.ones(len(names), dtype=bool)
-    in_run = np.repeat(join, count)
-    keep[in_run] = False
-    keep[first[join]] = True
+    cuts = np.flatnonzero(np.diff(again) != 1)
+    first, last = again[np.r_[0, cuts + 1]], again[np.r_[cuts, len(again) - 1]] + 1
+    join = end[last] - at[first] <= cap
+    drop = (again + 1)[np.repeat(join, last - first)]
+    first, last = first[join], last[join]
     names, end = names.copy(), end.copy()
-    names[first[join]] = _mix(names[first[join]] + count[join].astype(np.uint64) * _B)
-    end[first[join]] = end[last[join]]
+    names[first] = _mix(names[first] + (last - first + 1).astype(np.uint64) * _B)
+    end[first] = end[last]
+    keep = np.ones(len(names), dtype=bool)
+    keep[drop] = False
     return names[keep], at[keep], end[keep], piece[keep]
 
 
@@ -94,15 +93,19 @@ def symbols(codes: np.ndarray, piece: np.ndarray, caps: Sequence[int] = CAPS):
 
 def _least_in_reach(values: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
     """For each symbol the index of the least value among those that start within ``reach``, the first on ties."""
-    best, index = values.copy(), np.arange(len(values))
-    for j in range(1, reach):
-        near = at[j:] - at[:-j] < reach
-        if not near.any():
-            break
-        better = near & (values[j:] < best[:-j])
-        best[:-j][better] = values[j:][better]
-        index[:-j][better] += j - (index[:-j][better] - np.flatnonzero(better))
-    return index
+    stop = np.searchsorted(at, at + reach, side="left")
+    wide = stop - np.arange(len(at))
+    out = np.arange(len(values))
+    level, size = np.arange(len(values)), 1  # of each symbol the index of the least among it and the size - 1 next ones
+    while True:
+        mine = np.flatnonzero((wide >= size) & (wide < 2 * size))
+        left, right = level[mine], level[stop[mine] - size]
+        out[mine] = np.where(values[right] < values[left], right, left)
+        if 2 * size > wide.max(initial=0):
+            return out
+        left, right = level[:-size], level[size:]
+        level = np.where(values[right] < values[left], right, left)
+        size *= 2
 
 
 def anchors(texts: Sequence[str], least: int, caps: Sequence[int] = CAPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
