@@ -45,7 +45,7 @@ _DIGIT = re.compile(r"\d")
 
 _FEATURES = (
     "always predicted own_language other_language other_language_clearly no_language echo_clause echo_field option_match option_prefix unmatched digit choice option_inside "
-    + " ".join(KINDS) + " two_kinds three_kinds only_clause field_digit terminated"
+    + " ".join(KINDS) + " two_kinds three_kinds field_two_kinds only_clause field_digit field_choice terminated"
 ).split()
 _BIT = {name: 1 << i for i, name in enumerate(_FEATURES)}
 _KIND_BITS = [_BIT[k] for k in KINDS]
@@ -107,8 +107,11 @@ def clause_features(sentence: str | None, options: Sequence[str | None] | None,
             bits |= _BIT["only_clause"]
         if _DIGIT.search(text):
             bits |= _BIT["field_digit"]
+        if _CHOICE.search(text):
+            bits |= _BIT["field_choice"]
         if repeats(squeeze(text), asked):
             bits |= _BIT["echo_field"]
+        first, plenty = len(out), True
         for clause in clauses:
             b, letters = bits, squeeze(clause)
             other = script(clause)
@@ -141,9 +144,12 @@ def clause_features(sentence: str | None, options: Sequence[str | None] | None,
                 b |= _BIT["two_kinds"]
             if n >= 3:
                 b |= _BIT["three_kinds"]
+            plenty = plenty and n >= 2
             if clause.rstrip()[-1:] in ".!?":
                 b |= _BIT["terminated"]
             out.append((b, field, len(letters)))
+        if plenty:
+            out[first:] = [(b | _BIT["field_two_kinds"], f, size) for b, f, size in out[first:]]
     return out
 
 
@@ -177,7 +183,7 @@ def _sound(row: tuple) -> bool:
         return False
     other = sum(bool(b & _BIT["other_language"]) for b, _, _ in feats)
     reasoning = [b for b, f, _ in feats if f]
-    declines = len(reasoning) == 1 and reasoning[0] & _BIT["two_kinds"] and not reasoning[0] & (_BIT["digit"] | _BIT["choice"])
+    declines = bool(reasoning) and reasoning[0] & _BIT["field_two_kinds"] and not reasoning[0] & (_BIT["field_digit"] | _BIT["field_choice"])
     return 2 * other <= len(feats) and not any(b & _BIT["echo_field"] for b in reasoning) and not declines
 
 
@@ -201,7 +207,7 @@ def training_pairs(rows: Sequence[tuple]) -> list[tuple[list[int], list[int]]]:
         word = max((sentence or "it").split() or ["it"], key=len)
         phrases = DECLINING.get(own, DECLINING["en"])
         no = phrases[i % len(phrases)].format(word)
-        more = f"{no} {phrases[(i + 3) % len(phrases)].format(word)}" if i % 4 == 0 else no
+        more = f"{no} {phrases[(i + 3) % len(phrases)].format(word)}" if i // 5 % 2 else no
         kind = i % 5
         if kind == 0:
             add((sentence, options, no, more if i % 2 else None), (REFUSAL, REFUSAL))
@@ -218,7 +224,8 @@ def training_pairs(rows: Sequence[tuple]) -> list[tuple[list[int], list[int]]]:
             cut = 3 + i * 7 % (len(predicted) - 4)
             body = predicted[:cut] + ("..." if i % 4 == 0 else "")
             if squeeze(body) and squeeze(body) not in {squeeze(o) for o in options or () if o}:
-                add((sentence, options, body, reasoning), (UNFINISHED, ANSWER))
+                label = ("", "B) ", "(C) ", "D. ")[i // 5 % 4]
+                add((sentence, options, label + body, reasoning if i % 3 else None), (UNFINISHED, ANSWER))
     return out
 
 
