@@ -161,7 +161,14 @@ def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {V}, {rel.edges_sql()} SELECT a, b, round(distance, 6) AS distance FROM edges")
 def eps_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.epsilon_edges(rel.vocabulary(spark, sf_dir), rel.EPSILON).select("a", "b", _r("distance"))
+    few = rel.vectors(spark, sf_dir).where(F.col("token_id") < rel.VOCABULARY)
+    return clustering.epsilon_edges(few, rel.EPSILON).select("a", "b", _r("distance"))
+
+
+@query()
+def eps_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges between all vectors of the table."""
+    return clustering.epsilon_edges(rel.vectors(spark, sf_dir), rel.EPSILON).select("a", "b", _r("distance"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")

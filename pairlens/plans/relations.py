@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlens.sources.tables import table
 
-#: Tokens of the vocabulary.
+#: Tokens of the vocabulary in the SQL, and of ``eps_edges``, which is checked against it.
 VOCABULARY = 100
 #: Distance below which tokens are neighbours in these tables.
 EPSILON = 0.7
@@ -19,10 +19,15 @@ def logits(spark: SparkSession, sf_dir: str, scale: float = 100.0) -> DataFrame:
     return events.groupBy(F.col("user_id").alias("ctx_id"), "token_id").agg((F.max("value") / scale).alias("logit"))
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(token_id, vec, label) of the whole embeddings table."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(token_id, vec, label)."""
-    rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < VOCABULARY)
-    return rows.select(F.col("vec_id").cast("int").alias("token_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
+    """(token_id, vec, label) of the tokens that occur in the logits."""
+    tokens = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").cast("int").alias("token_id")).distinct()
+    return vectors(spark, sf_dir).join(tokens, "token_id", "left_semi")
 
 
 def allowed(rows: DataFrame, modulus: int = 4) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairlens.operators import category, clustering, samplers
 from pairlens.operators import cluster_aware as ca
 from pairlens.operators import logits as lg
+from pairlens.plans import q_selection, relations
 
 E = [(1, 0), (0.95, 0.05), (0, 1), (0.05, 0.95), (-1, 0), (0.7, 0.7)]
 L = [1, 0.9, 1.2, 0.1, 1.25, -1]
@@ -210,3 +211,16 @@ def test_one_exchange_per_key(spark):
     """Softmax, candidates and nucleus of a context share the exchange of ctx_id."""
     plan = samplers.top_p_support(lg.dynamic_candidates(logits(spark, L)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_edges_and_vocabulary_beyond_the_first_hundred(spark, tmp_path):
+    vectors = np.random.default_rng(5).normal(size=(130, 3))
+    spark.createDataFrame([(i, [float(x) for x in v], i % 10) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = [(1, '{"k": 3}', 1.0), (1, '{"k": 120}', 2.0), (2, '{"k": 120}', 1.5), (2, '{"k": 500}', 1.0), (3, None, 1.0)]
+    spark.createDataFrame(events, "user_id long, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    unit = vectors.astype("f4").astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = {(i, j) for i in range(130) for j in range(i + 1, 130) if 1 - unit[i] @ unit[j] <= relations.EPSILON}
+    assert {(r["a"], r["b"]) for r in q_selection.eps_edges_all(spark, str(tmp_path)).collect()} == want
+    assert max(b for _, b in want) > 100
+    assert sorted(r["token_id"] for r in relations.vocabulary(spark, str(tmp_path)).collect()) == [3, 120]
