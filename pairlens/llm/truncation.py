@@ -4,7 +4,8 @@ A stack automaton reads the structural signs of a text: what is still open at
 its end (quotes, brackets, markup), a broken escape, entity or multibyte
 sequence, and an ellipsis tell a cut. Where none does, the last clause must
 end: with a terminator that is no decimal point or list label, or with a final
-choice. A missing terminator counts only against the source's own baseline.
+choice. A missing terminator counts only against the source's own style, which
+is read from the ends inside the texts, where no cut can take them away.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pairlens.llm.pair_defects import repeats, squeeze
 from pairlens.plans.durable import cut
 
-#: A source whose texts end with a terminator or a choice less often than this isn't known by missing ones.
+#: A source isn't known by missing ends if less than this share of its texts ends with a terminator or a choice, and less than this share of those with inner sentences or lines ends these with terminators.
 BASELINE = 0.5
 
 # Evidence that is a missing end alone.
@@ -33,6 +34,9 @@ _LAST = re.compile(r"(?:[.!?…][\"”»)*]*\s+|\n)(?=[^\n]*$)")
 _LIST_LABEL = re.compile(r"^\W*(?:[A-Ha-h]|\d{1,2})[.)]$")
 _LISTED = re.compile(r"^\W*(?:[A-Ha-h]|\d{1,2})[.)]\s")
 _CHOICE = re.compile(r"^(.*?)[(\[*\"“]*\b([A-H])\b[)\]*\"”]*$", re.S)
+_INNER_END = re.compile(r"(\S*[^\W\d_])(?:[.!?…][\"”»)*\]]*\s+|[。！？])(?=\S)")
+# Words after which no sentence ends in any of the five languages.
+_LEADS_ON = frozenset("the and or than because if their its und oder der dem das dass weil et le les une du des que el los las del según и или что".split())
 _DIGIT_CHOICE = re.compile(r"(?:option|answer|choice|opción|respuesta|réponse|antwort|ответ)\W*\d$", re.I)
 
 
@@ -92,6 +96,26 @@ def states_choice(text: str, options: Sequence[str]) -> bool:
     return any(len(o) < len(letters) and letters.endswith(o) for o in map(squeeze, options) if o)
 
 
+def style(text: str) -> bool | None:
+    """Whether the sentences and lines inside a text, its last one left out, end with terminators: most do, or most don't; None if there are none.
+
+    Items of a list and their labels tell nothing.
+    """
+    ended = sum(len(found) > 1 for found in _INNER_END.findall(text))
+    lines = [line.strip() for line in text.rstrip().split("\n")[:-1]]
+    bare = sum(line[-1:].isalnum() and not _LISTED.match(line) for line in lines)
+    return ended >= bare if ended or bare else None
+
+
+def leads_on(text: str) -> bool:
+    """Whether the last sign or word of a text asks for more: a comma, or a word that ends no sentence."""
+    end = text.rstrip()
+    if end[-1:] in (",", "،", "、"):
+        return True
+    words = end[-40:].split()
+    return bool(words) and words[-1].lower() in _LEADS_ON
+
+
 def evidence(text: str, sentence: str | None, options: Sequence[str | None] | None) -> str:
     """complete, or how a cut shows: broken, ellipsis, open, number, label or unterminated."""
     end = text.rstrip()
@@ -123,31 +147,37 @@ def evidence(text: str, sentence: str | None, options: Sequence[str | None] | No
 
 
 def _scanned():
-    schema = pa.schema([("result_id", pa.int64()), ("sampler", pa.string()), ("shown", pa.string()), ("length", pa.int32())])
+    schema = pa.schema([("result_id", pa.int64()), ("sampler", pa.string()), ("shown", pa.string()), ("length", pa.int32()), ("style", pa.bool_()), ("leads_on", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, samplers, sentences, options, texts = (batch.column(i).to_pylist() for i in range(5))
             shown = [evidence(t, s, o) for t, s, o in zip(texts, sentences, options)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(samplers, pa.string()), pa.array(shown, pa.string()), pa.array([len(t) for t in texts], pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(samplers, pa.string()), pa.array(shown, pa.string()), pa.array([len(t) for t in texts], pa.int32()), pa.array(map(style, texts), pa.bool_()), pa.array(map(leads_on, texts), pa.bool_())], schema=schema)
 
     return run
 
 
 def scanned(results: DataFrame) -> DataFrame:
-    """result_id, sampler, shown (the evidence), length of each reasoning text, redelivered rows once, written to the checkpoint folder."""
+    """result_id, sampler, shown (the evidence), length, style and leads_on of each reasoning text, redelivered rows once, written to the checkpoint folder."""
     rows = results.where("cot_reasoning IS NOT NULL AND result_id IS NOT NULL").select("result_id", "sampler", "sentence", "options", "cot_reasoning")
-    seen = rows.mapInArrow(_scanned(), "result_id long, sampler string, shown string, length int")
-    return cut(seen.groupBy("result_id").agg(F.min(F.struct("sampler", "shown", "length")).alias("x")).select("result_id", "x.*"))
+    seen = rows.mapInArrow(_scanned(), "result_id long, sampler string, shown string, length int, style boolean, leads_on boolean")
+    return cut(seen.groupBy("result_id").agg(F.min(F.struct("sampler", "shown", "length", "style", "leads_on")).alias("x")).select("result_id", "x.*"))
 
 
 def _judged(seen: DataFrame, baseline: float) -> DataFrame:
-    """Adds ``cut``; a source without a name is one of its own."""
+    """Adds ``cut``; a source without a name is one of its own.
+
+    Cuts lower the share of ended texts, but not the style inside the texts: a
+    missing end counts if either tells that the source ends its sentences. Where
+    neither does, it counts in a text whose last word or comma asks for more.
+    """
     source = F.coalesce("sampler", F.lit(""))
-    usual = seen.groupBy(source.alias("_source")).agg(F.avg(F.when(F.col("shown").isin("complete", *_UNENDED), (F.col("shown") == "complete").cast("double"))).alias("usual"))
+    usual = seen.groupBy(source.alias("_source")).agg(
+        F.avg(F.when(F.col("shown").isin("complete", *_UNENDED), (F.col("shown") == "complete").cast("double"))).alias("usual"), F.avg(F.col("style").cast("double")).alias("inside"))
     joined = seen.withColumn("_source", source).join(usual, "_source", "left")
-    known = F.coalesce(F.col("usual") >= baseline, F.lit(True))
-    return joined.withColumn("cut", (F.col("shown") != "complete") & (~F.col("shown").isin(*_UNENDED) | known)).drop("_source", "usual")
+    known = F.coalesce(F.col("usual") >= baseline, F.lit(True)) | F.coalesce(F.col("inside") >= baseline, F.lit(False)) | F.col("leads_on")
+    return joined.withColumn("cut", (F.col("shown") != "complete") & (~F.col("shown").isin(*_UNENDED) | known)).drop("_source", "usual", "inside", "style", "leads_on")
 
 
 def truncated(results: DataFrame, baseline: float = BASELINE) -> DataFrame:

@@ -120,6 +120,16 @@ def test_baseline_of_a_source(spark):
     assert truncation.truncated(df.limit(0)).collect() == []
 
 
+def test_mostly_cut_source_is_judged_by_its_inner_ends(spark):
+    mostly = [(QUESTION, OPTIONS, None, f"The ice {i} is warm. The lamp is ne") for i in range(8)] + [(QUESTION, OPTIONS, None, "The ice melts. It is warm.")] * 2
+    assert sorted(r[0] for r in truncation.truncated(rows(spark, mostly)).collect()) == list(range(8))
+    report = truncation.by_source(rows(spark, mostly)).collect()[0]
+    assert (report["texts"], report["cut"], report["unterminated"]) == (10, 8, 8)
+    assert [r[0] for r in truncation.truncated(rows(spark, mostly[:1])).collect()] == [0]
+    bare = [(QUESTION, OPTIONS, None, f"the ice {i} is warm\nthe lamp is near") for i in range(8)] + [(QUESTION, OPTIONS, None, "the ice is warm\nthe lamp and the")]
+    assert [r[0] for r in truncation.truncated(rows(spark, bare)).collect()] == [8]
+
+
 def test_very_long_text():
     text = "word " * 400_000
     assert truncation.evidence(text + "and", QUESTION, OPTIONS) == "unterminated"
