@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.operators.shred import adjacency, entities
+from pairlens.operators.shred import ELEMENT, adjacency, entities
 
 #: The record lists of an evaluation file.
 LISTS = ("detailed_results", "prediction_differences")
-#: Subtrees that belong to no entity table.
-UNUSED = ("config", "statistics", "options", "labels", "cluster_sizes")
+#: Subtrees that belong to no entity table, of the root, and of a record and its cluster_info.
+UNUSED_ROOT, UNUSED = ("config", "statistics"), ("options", "labels", "cluster_sizes")
+
+
+def _unused(*more: str) -> dict:
+    """The places of the unused subtrees and of ``more`` keys of a record; answer texts are never among them."""
+    record = {"cluster_info": dict.fromkeys(UNUSED)} | dict.fromkeys((*UNUSED, *more))
+    return dict.fromkeys(UNUSED_ROOT) | {name: record | {ELEMENT: record} for name in LISTS}
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def _located(df: DataFrame, key: str, payload: str) -> DataFrame:
     Cheap tests of the parent's path come first; ids are only taken apart for
     the nodes that pass.
     """
-    nodes = adjacency(df, key, payload, skip_labels=UNUSED)
+    nodes = adjacency(df, key, payload, skip=_unused())
     parent = F.col("parent_id")
     element, there, scalar = F.col("ordinal").isNotNull(), F.col("kind") != "null", ~F.col("kind").isin("object", "array")
     probs, clusters = parent.endswith("/answer_probs"), parent.endswith("/cluster_info/clusters")
@@ -113,7 +119,7 @@ def of_entity(df: DataFrame, entity: str, *columns: Column | str) -> DataFrame:
 
 def records(df: DataFrame, fields: tuple[str, ...] = ("id", "sentence", "sampler", "predicted_answer", "correct", "elapsed_ms")) -> DataFrame:
     """One row per record with its scalar fields as strings, null where absent."""
-    nodes = adjacency(df, "envelope_id", "payload", skip_labels=(*UNUSED, "answer_probs", "cluster_info"))
+    nodes = adjacency(df, "envelope_id", "payload", skip=_unused("answer_probs", "cluster_info"))
     single = F.col("node_id").isin(*LISTS)
     listed = F.col("parent_id").isin(*LISTS) & F.col("ordinal").isNotNull()
     rows = entities(nodes, "envelope_id", fields, single | listed)

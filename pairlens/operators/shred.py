@@ -11,7 +11,7 @@ object.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Nodes of a batch that goes back to Spark.
 BATCH_NODES = 50_000
+#: In a tree of places: each element of an array.
+ELEMENT = 0
 
 
 class _Number(str):
@@ -39,7 +41,7 @@ def text_array(values: list[str | None]) -> pa.Array:
         return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
 
 
-def _walk(skip: frozenset[str]):
+def _walk(skip: Mapping):
     def flush(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
         made = [pa.array(c, f.type) if not pa.types.is_string(f.type) else text_array(c) for c, f in zip(held, schema)]
         for c in held:
@@ -47,6 +49,7 @@ def _walk(skip: frozenset[str]):
         return pa.RecordBatch.from_arrays(made, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nowhere: Mapping = {}
         held: list[list] = [[] for _ in range(8)]
         keys, ids, parents, labels, ordinals, kinds, scalars, depths = (c.append for c in held)
         schema = None
@@ -57,20 +60,22 @@ def _walk(skip: frozenset[str]):
                     document = json.loads(payload, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
                 except ValueError:
                     continue
-                stack = [("", None, "", None, document, 0)]
+                stack = [("", None, "", None, document, 0, skip)]
                 while stack:
-                    node, parent, label, ordinal, value, depth = stack.pop()
+                    node, parent, label, ordinal, value, depth, places = stack.pop()
                     kind = _KINDS[type(value)]
                     keys(key), ids(node), parents(parent), labels(label), ordinals(ordinal), kinds(kind), depths(depth)
                     prefix = node + "/" if depth else ""
                     if kind == "object":
                         scalars(None)
                         for k, v in value.items():
-                            if k not in skip:
-                                stack.append((prefix + (k.replace("~", "~0").replace("/", "~1") if "/" in k or "~" in k else k), node, k, None, v, depth + 1))
+                            below = places.get(k, nowhere)
+                            if below is not None:
+                                stack.append((prefix + (k.replace("~", "~0").replace("/", "~1") if "/" in k or "~" in k else k), node, k, None, v, depth + 1, below))
                     elif kind == "array":
                         scalars(None)
-                        stack.extend((prefix + str(i), node, str(i), i, v, depth + 1) for i, v in enumerate(value))
+                        below = places.get(ELEMENT, nowhere)
+                        stack.extend((prefix + str(i), node, str(i), i, v, depth + 1, below) for i, v in enumerate(value))
                     else:
                         scalars(("true" if value else "false") if kind == "boolean" else value)
                 if len(held[0]) >= BATCH_NODES:
@@ -81,7 +86,7 @@ def _walk(skip: frozenset[str]):
     return run
 
 
-def adjacency(df: DataFrame, key: str, payload: str, skip_labels: Sequence[str] = ()) -> DataFrame:
+def adjacency(df: DataFrame, key: str, payload: str, skip: Mapping | None = None) -> DataFrame:
     """One row per node of each readable document.
 
     Columns: ``key``, node_id, parent_id, label, ordinal, kind, scalar, depth.
@@ -93,12 +98,13 @@ def adjacency(df: DataFrame, key: str, payload: str, skip_labels: Sequence[str]
     key and null, empty and unreadable payloads give no row. Repeated keys of
     an object: the last one counts. Rows with the same key are taken as
     redelivered and count once. Other columns of ``df`` are ignored.
-    ``skip_labels``: subtrees under these object keys are left out.
+    ``skip``: a tree of object keys (``ELEMENT`` for the elements of an array)
+    from the root; subtrees at the places where it has None are left out.
     """
     docs = df.where(F.col(key).isNotNull() & F.col(payload).isNotNull()).select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).dropDuplicates(["_key"])
     columns = ("node_id", "parent_id", "label", "ordinal", "kind", "scalar", "depth")
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *[T.StructField(c, T.IntegerType() if c in ("ordinal", "depth") else T.StringType()) for c in columns]])
-    return docs.mapInArrow(_walk(frozenset(skip_labels)), schema).withColumnRenamed("key", key)
+    return docs.mapInArrow(_walk(skip or {}), schema).withColumnRenamed("key", key)
 
 
 def entities(nodes: DataFrame, key: str, fields: Sequence[str], objects: Column | None = None) -> DataFrame:

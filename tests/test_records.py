@@ -35,6 +35,19 @@ def test_nodes_of_every_shape(spark):
         "prediction_differences/0", "prediction_differences/0/answer_probs/x"])
 
 
+def test_answers_named_like_unused_subtrees(spark):
+    names = ("config", "statistics", "options", "labels", "cluster_sizes", "cluster_info", "answer_probs")
+    unused = {"options": ["a"], "labels": {"x": 1}, "cluster_sizes": [1], "cluster_info": {"labels": [0], "cluster_sizes": [1], "clusters": [[4]]}}
+    shapes = ({n: 0.5 for n in names}, [{"answer": n, "prob": 0.5} for n in names])
+    places = ({"config": {"detailed_results": [{}]}, "statistics": {}, "detailed_results": [unused | {"answer_probs": p}], "prediction_differences": unused | {"answer_probs": p}} for p in shapes)
+    df = spark.createDataFrame(env_rows(*places), ENV)
+    want = {f"{r}/0{p}" for r in envelopes.LISTS for p in ("", "/cluster_info/clusters/0", "/cluster_info/clusters/0/0", *(f"/answer_probs/{n}" for n in names))}
+    got = [(r[0], r[1]) for r in envelopes.nodes_found(df).collect()]
+    assert sorted(got) == sorted((i, p) for i in (0, 1) for p in want)
+    answers = envelopes.of_entity(df, "answer", "answer", "value").collect()
+    assert sorted((r["envelope_id"], r["answer"], r["value"]) for r in answers) == sorted((i, n, "0.5") for i in (0, 1) for n in names for _ in range(2))
+
+
 def test_unreadable_null_and_empty_payloads(spark):
     assert found(spark, None, "", "{", "[1]", "null", '{"detailed_results": null}', {"detailed_results": []}) == []
     assert found(spark) == []
