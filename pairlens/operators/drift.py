@@ -118,8 +118,27 @@ def _same(a: Column, b: Column) -> Column:
     return (a == b) | (a.startswith("array") & b.startswith("array") & (a.contains("void") | b.contains("void")))
 
 
+def _matched(agree: DataFrame) -> DataFrame:
+    """series_id, n, path, old_path: pairs in which each field occurs once.
+
+    The pair with most records, then the first by name, is taken, then the
+    next one of what is left, until no pair remains.
+    """
+    kind = "array<struct<old_path:string,path:string>>"
+    taken = lambda held, x: F.exists(held, lambda y: (y["old_path"] == x["old_path"]) | (y["path"] == x["path"]))
+    pair = lambda x: F.struct(x["old_path"].alias("old_path"), x["path"].alias("path"))
+    ranked = agree.groupBy("series_id", "n").agg(F.array_sort(F.collect_list(F.struct((-F.col("records")).alias("less"), "old_path", "path"))).alias("pairs"))
+    chosen = F.aggregate("pairs", F.array().cast(kind), lambda held, x: F.when(taken(held, x), held).otherwise(F.concat(held, F.array(pair(x)).cast(kind))))
+    return ranked.select("series_id", "n", F.explode(chosen).alias("x")).select("series_id", "n", "x.path", "x.old_path")
+
+
 def raw_changes(seen: DataFrame, cat: DataFrame) -> DataFrame:
-    """Changes by file: series_id, n, path, old_path, change_kind, nothing left out below a changed field."""
+    """Changes by file: series_id, n, path, old_path, change_kind, nothing left out below a changed field.
+
+    A new field is renamed if it agrees with any vanished one, and each vanished
+    field that agrees is marked ``renamed_from``; old_path is null where all of
+    its vanished partners went to other fields.
+    """
     by = Window.partitionBy("series_id", "path").orderBy("n")
     step = cut(cat.select("series_id", "n", "last", "path", "parent", "type", F.lag("n").over(by).alias("before"), F.lag("type").over(by).alias("old_type"), F.lead("n").over(by).alias("after")))
     beside = F.col("before") == F.col("n") - 1
@@ -140,23 +159,20 @@ def raw_changes(seen: DataFrame, cat: DataFrame) -> DataFrame:
     met = later.unionByName(earlier).join(both, ["series_id", "n", "record_key"], "left_semi").groupBy("series_id", "n", "path", "old_path", "record_key").agg(
         F.max("new_value").alias("new_value"), F.max("old_value").alias("old_value"))
     agree = met.groupBy("series_id", "n", "path", "old_path").agg(F.min(F.coalesce((F.col("new_value") == F.col("old_value")).cast("int"), F.lit(0))).alias("equal"), F.count("*").alias("records")).where("equal = 1")
-    # a field takes part in one rename: the one with most records, then the first by name
-    order = [F.desc("records"), "old_path", "path"]
-    renames = cut(
-        agree.withColumn("a", F.row_number().over(Window.partitionBy("series_id", "n", "path").orderBy(*order)))
-        .withColumn("b", F.row_number().over(Window.partitionBy("series_id", "n", "old_path").orderBy(*order)))
-        .where("a = 1 AND b = 1").select("series_id", "n", "path", "old_path")
-    )
-    added = starts.join(renames, ["series_id", "n", "path"], "left_anti").select("series_id", "n", "path", F.lit(None).cast("string").alias("old_path"), F.lit("added").alias("change_kind"))
-    gone = ends.join(renames, ["series_id", "n", "old_path"], "left_anti").select("series_id", "n", F.col("old_path").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("removed").alias("change_kind"))
-    return typed.unionByName(added).unionByName(gone).unionByName(renames.withColumn("change_kind", F.lit("renamed")))
+    agree = cut(agree.select("series_id", "n", "path", "old_path", "records"))
+    renames = agree.select("series_id", "n", "path").distinct().join(_matched(agree), ["series_id", "n", "path"], "left").select("series_id", "n", "path", "old_path", F.lit("renamed").alias("change_kind"))
+    left = agree.select("series_id", "n", F.col("old_path").alias("path")).distinct().select("series_id", "n", "path", F.lit(None).cast("string").alias("old_path"), F.lit("renamed_from").alias("change_kind"))
+    added = starts.join(agree, ["series_id", "n", "path"], "left_anti").select("series_id", "n", "path", F.lit(None).cast("string").alias("old_path"), F.lit("added").alias("change_kind"))
+    gone = ends.join(agree, ["series_id", "n", "old_path"], "left_anti").select("series_id", "n", F.col("old_path").alias("path"), F.lit(None).cast("string").alias("old_path"), F.lit("removed").alias("change_kind"))
+    return typed.unionByName(added).unionByName(gone).unionByName(renames).unionByName(left)
 
 
 def changes(df: DataFrame) -> DataFrame:
     """Every change of a file against the file before it in its series.
 
     Columns: series_id, file_name, field_path, old_path, change_kind (added,
-    removed, renamed, type_changed). Nothing is reported below a field that
+    removed, renamed, type_changed). old_path is null unless renamed, and where
+    a renamed field's vanished partners all went to other new fields. Nothing is reported below a field that
     itself appeared, vanished or changed type. The first file of a series
     reports nothing. Null and empty payloads count as unreadable; an empty
     table gives no row; redelivered rows and extra columns change nothing.
@@ -174,7 +190,7 @@ def changes(df: DataFrame) -> DataFrame:
     )
     names = df.groupBy("series_id", "file_name").agg(F.min("written_at").alias("written_at")).select(
         "series_id", "file_name", F.row_number().over(Window.partitionBy("series_id").orderBy("written_at", "file_name")).alias("n"))
-    top = every.join(below, ["series_id", "n", "path"], "left_anti").join(names, ["series_id", "n"])
+    top = every.where("change_kind <> 'renamed_from'").join(below, ["series_id", "n", "path"], "left_anti").join(names, ["series_id", "n"])
     return top.select("series_id", "file_name", F.col("path").alias("field_path"), "old_path", "change_kind")
 
 

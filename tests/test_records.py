@@ -176,6 +176,14 @@ def test_rename_needs_equal_values_and_a_common_record(spark):
     assert changed(spark, [("a", {"x": 1})], [("a", {"y": "1"})]) == [("f8", "x", "removed"), ("f8", "y", "added")]
 
 
+def test_every_agreeing_pair_is_a_rename(spark):
+    two = [("a", {"u": 0, "v": 0, "k": 1})], [("a", {"x": 0, "y": 0, "k": 1})]
+    assert changed(spark, *two) == [("f8", "x", "renamed"), ("f8", "y", "renamed")]
+    assert {(r["path"], r["canonical"]) for r in drift.aliases(drift.changes(raw(spark, two))).collect()} == {("x", "u"), ("y", "v")}
+    assert changed(spark, [("a", {"u": 0, "k": 1})], [("a", {"x": 0, "y": 0, "k": 1})]) == [("f8", "x", "renamed"), ("f8", "y", "renamed")]
+    assert changed(spark, [("a", {"u": {"p": 1}, "v": {"p": 1}})], [("a", {"x": {"p": 1}})]) == [("f8", "x", "renamed")]
+
+
 def test_type_changes(spark):
     assert changed(spark, [("a", {"x": 1, "l": [1]})], [("a", {"x": "1", "l": ["1"]})]) == [("f8", "l", "type_changed"), ("f8", "x", "type_changed")]
     assert changed(spark, [("a", {"x": 1, "l": [1.5]})], [("a", {"x": 2.5, "l": [3, 4]})], [("a", {"x": 1, "l": []})]) == []
