@@ -380,9 +380,11 @@ def run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_ONCE + """, p AS (SELECT result_id, unnest(map_entries(answer_probs)) AS e FROM d WHERE answer_probs IS NOT NULL)
 SELECT result_id, arg_max(e.key, e.value) AS top_answer, round(max(e.value), 6) AS top_p, count(*) AS answers FROM p WHERE e.value IS NOT NULL GROUP BY result_id HAVING count(*) = count(DISTINCT e.value)""")
 def top_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest answer of each result, on ties the least text. The SQL leaves results with ties out."""
     rows = _delivered(spark, sf_dir, "answer_probs").select("result_id", F.explode("answer_probs").alias("answer", "p")).where("p IS NOT NULL")
-    grouped = rows.groupBy("result_id").agg(F.max_by("answer", "p").alias("top_answer"), _r(F.max("p"), "top_p"), F.count("*").alias("answers"), F.countDistinct("p").alias("_d"))
-    return grouped.where("answers = _d").drop("_d")
+    grouped = rows.groupBy("result_id").agg(F.max("p").alias("_top"), F.collect_list(F.struct("answer", "p")).alias("_all"), F.count("*").alias("answers"))
+    first = F.array_min(F.transform(F.filter("_all", lambda x: x["p"] == F.col("_top")), lambda x: x["answer"]))
+    return grouped.select("result_id", first.alias("top_answer"), _r("_top", "top_p"), "answers")
 
 
 @query(_ONCE + " SELECT sampler, count(*) FILTER (cluster_info IS NULL) AS without_clusters, count(*) AS total FROM d GROUP BY sampler")

@@ -12,6 +12,7 @@ from pairlens.functions import statistics as st
 from pairlens.operators import evaluation as ev
 from pairlens.operators import outcomes, sequences
 from pairlens.operators import significance as sig
+from pairlens.plans import q_evaluation
 from pairlens.sources import benchmark as bm
 from pairlens.sources import event_log
 from pairlens.sources import results as rs
@@ -214,3 +215,9 @@ def test_settings_file(tmp_path):
     assert got["dbscan_eps"] == 1.0 and got["limit"] == 3 and got["log_level"] == "INFO"
     with pytest.raises(ConfigurationError):
         config.load(str(tmp_path / "none.yaml"))
+
+
+def test_top_answer_keeps_results_with_ties(spark, tmp_path):
+    given = [(1, {"b": 0.5, "a": 0.5}), (2, {"z": 0.9, "x": 0.0, "y": 0.0}), (2, {"z": 0.9, "x": 0.0, "y": 0.0}), (3, {"c": 0.7, "d": None}), (4, {"e": None}), (5, None)]
+    spark.createDataFrame(given, "result_id long, answer_probs map<string,double>").write.parquet(f"{tmp_path}/detailed_results.parquet")
+    assert sorted(map(tuple, q_evaluation.top_answer(spark, str(tmp_path)).collect())) == [(1, "a", 0.5, 2), (2, "z", 0.9, 3), (3, "c", 0.7, 1)]
