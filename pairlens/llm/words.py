@@ -42,11 +42,13 @@ SCRIPTS = ((0xAC00, "ko"), (0x4E00, "zh"), (0x3040, "ja"), (0x0600, "ar"), (0x05
 
 
 def counts(text: str) -> tuple[list[int], list[int], int]:
-    """Function words by language, refusal words by kind, and all words of one clause (counted up to 1,023)."""
+    """Function words by language, refusal words by kind, and all words of one clause."""
     words = _WORD.findall(text.lower())
     n = len(words)
-    total = sum(map(_COUNTS.get, words, repeat(0))) if n < _LIMIT else sum(map(_COUNTS.get, words[:_LIMIT], repeat(0)))
-    fields = [total >> _BITS * i & _LIMIT for i in range(len(LANGUAGES) + len(KINDS))]
+    fields = [0] * (len(LANGUAGES) + len(KINDS))
+    for start in range(0, n, _LIMIT):  # a field holds that many words
+        total = sum(map(_COUNTS.get, words[start : start + _LIMIT] if n > _LIMIT else words, repeat(0)))
+        fields = [f + (total >> _BITS * i & _LIMIT) for i, f in enumerate(fields)]
     return fields[: len(LANGUAGES)], fields[len(LANGUAGES) :], n
 
 

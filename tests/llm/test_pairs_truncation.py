@@ -8,7 +8,7 @@ import pytest
 from pairlens.llm import pair_defects as pd_
 from pairlens.llm import truncation
 from pairlens.llm.crf import Chain
-from pairlens.llm.words import language
+from pairlens.llm.words import KINDS, counts, language
 
 RESULTS = "result_id long, sampler string, sentence string, options array<string>, predicted_answer string, cot_reasoning string, `bits` int, shown string"
 QUESTION = "Which change happens when the lamp near Tarvel warms the frozen lake?"
@@ -134,3 +134,10 @@ def test_very_long_text():
     text = "word " * 400_000
     assert truncation.evidence(text + "and", QUESTION, OPTIONS) == "unterminated"
     assert pd_.clause_features(QUESTION, OPTIONS, text, text)
+
+
+def test_all_words_of_a_long_clause_count():
+    by, kinds, n = counts("the " * 1500 + "der die das " * 1000 + "sorry " * 1100)
+    assert (by, n) == ([1500, 0, 0, 3000], 5600)
+    assert kinds[KINDS.index("regret")] == 1100
+    assert language("the " * 1023 + "der die das " * 1000) == "de"
