@@ -262,7 +262,7 @@ def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sig.bootstrap(results(spark, sf_dir), rounds=200)
+    return sig.bootstrap(results(spark, sf_dir), rounds=10_000)
 
 
 @query()

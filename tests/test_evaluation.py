@@ -217,6 +217,12 @@ def test_settings_file(tmp_path):
         config.load(str(tmp_path / "none.yaml"))
 
 
+def test_bootstrap_query_runs_all_rounds(spark, monkeypatch):
+    monkeypatch.setattr(q_evaluation, "results", lambda *_: verdicts(spark, a=[1] * 30 + [0] * 10))
+    got = q_evaluation.bootstrap_ci(spark, "").collect()[0]
+    assert got["rounds"] == 10_000 and 0.55 < got["ci_low"] < 0.75 < got["ci_high"] < 0.9
+
+
 def test_top_answer_keeps_results_with_ties(spark, tmp_path):
     given = [(1, {"b": 0.5, "a": 0.5}), (2, {"z": 0.9, "x": 0.0, "y": 0.0}), (2, {"z": 0.9, "x": 0.0, "y": 0.0}), (3, {"c": 0.7, "d": None}), (4, {"e": None}), (5, None)]
     spark.createDataFrame(given, "result_id long, answer_probs map<string,double>").write.parquet(f"{tmp_path}/detailed_results.parquet")
