@@ -100,16 +100,8 @@ def parts(df: DataFrame, key: str = "envelope_id", payload: str = "payload") ->
 
 
 def nodes_found(df: DataFrame) -> DataFrame:
-    """envelope_id and node_path of every entity, each once.
-
-    A listed answer is found by its text child alone, so nodes needn't meet and
-    only the paths are made distinct.
-    """
-    listed = F.col("listed")
-    rows = _located(df, "envelope_id", "payload").where(~listed | (F.col("label") == "answer"))
-    named = rows.withColumn("answer", F.when(listed, F.col("scalar")).when(F.col("entity") == "answer", F.col("label")))
-    # the exchange stands before the grouping: repeats are too rare for a partial one, and the paths' code stays apart from it
-    return _paths(named).select("envelope_id", "node_path").repartition("envelope_id", "node_path").distinct()
+    """envelope_id and node_path of every entity, each once."""
+    return parts(df).select("envelope_id", "node_path")
 
 
 def of_entity(df: DataFrame, entity: str, *columns: Column | str) -> DataFrame:
