@@ -30,7 +30,7 @@ def _located(df: DataFrame, key: str, payload: str) -> DataFrame:
     Cheap tests of the parent's path come first; ids are only taken apart for
     the nodes that pass.
     """
-    nodes = adjacency(df, key, payload, skip=_unused())
+    nodes = adjacency(df, key, payload, skip=_unused(), once=False)
     parent = F.col("parent_id")
     element, there, scalar = F.col("ordinal").isNotNull(), F.col("kind") != "null", ~F.col("kind").isin("object", "array")
     probs, clusters = parent.endswith("/answer_probs"), parent.endswith("/cluster_info/clusters")
@@ -39,8 +39,9 @@ def _located(df: DataFrame, key: str, payload: str) -> DataFrame:
     near = nodes.where(
         (F.col("node_id").isin(*LISTS) & (F.col("kind") == "object")) | (parent.isin(*LISTS) & element & (F.col("kind") == "object"))
         | (probs & ~element) | child | (clusters & element & there) | inner | (parent.endswith("/cluster_info/cluster_probs") & element & there))
-    # a single record in place of a list gets its index, so that places in the path are the same for both
-    whole = F.regexp_replace("node_id", f"^({'|'.join(LISTS)})(?=$|/answer_probs|/cluster_info)", "$1/0")
+    # the id of a very long answer text is a digest; its parent's id tells its place. A single record in place of a list gets its index, so that places in the path are the same for both
+    own = F.when(F.col("node_id").startswith("#"), F.concat(parent, F.lit("/"))).otherwise(F.col("node_id"))
+    whole = F.regexp_replace(own, f"^({'|'.join(LISTS)})(?=$|/answer_probs|/cluster_info)", "$1/0")
     seg = _apart(near.select(key, "parent_id", "node_id", "ordinal", "label", "scalar", child.alias("child"), F.split(whole, "/").alias("s")))
     seg = _apart(seg.select(key, "parent_id", "node_id", "ordinal", "label", "scalar", "child", "s", (F.size("s") - 2).alias("n"), F.get("s", F.lit(1)).try_cast("int").alias("i"), F.get("s", F.lit(2)).alias("s2"), F.get("s", F.lit(3)).alias("s3")).where(F.col("s")[0].isin(*LISTS)))
     n = F.col("n")
@@ -96,7 +97,8 @@ def parts(df: DataFrame, key: str = "envelope_id", payload: str = "payload") ->
     value = F.when(listed, F.when(F.col("label") == "prob", F.col("scalar"))).when(F.col("entity").isin("answer", "member", "cluster_prob"), F.col("scalar"))
     keys = (key, "entity", "list", "record_index", "cluster_index", "member_index")
     met = _located(df, key, payload).groupBy(*keys, "home").agg(F.max(text).alias("answer"), F.max(value).alias("value"))
-    return _paths(met).groupBy(*keys, "node_path", "parent_path", "answer").agg(F.max("value").alias("value"))
+    largest = F.max(F.struct(F.col("value").try_cast("double").alias("number"), "value"))["value"]
+    return _paths(met).groupBy(*keys, "node_path", "parent_path", "answer").agg(largest.alias("value"))
 
 
 def nodes_found(df: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def of_entity(df: DataFrame, entity: str, *columns: Column | str) -> DataFrame:
 
 def records(df: DataFrame, fields: tuple[str, ...] = ("id", "sentence", "sampler", "predicted_answer", "correct", "elapsed_ms")) -> DataFrame:
     """One row per record with its scalar fields as strings, null where absent."""
-    nodes = adjacency(df, "envelope_id", "payload", skip=_unused("answer_probs", "cluster_info"))
+    nodes = adjacency(df, "envelope_id", "payload", skip=_unused("answer_probs", "cluster_info"), once=False)
     single = F.col("node_id").isin(*LISTS)
     listed = F.col("parent_id").isin(*LISTS) & F.col("ordinal").isNotNull()
     rows = entities(nodes, "envelope_id", fields, single | listed)

@@ -10,7 +10,7 @@ object.
 
 from __future__ import annotations
 
-import json
+import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
@@ -18,6 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlens.functions.json_text import parse
+
+#: Characters of a path up to which it is a node's id; below, ids are digests, so that they don't grow with the depth.
+MAX_PATH = 4_096
 #: Nodes of a batch that goes back to Spark.
 BATCH_NODES = 50_000
 #: In a tree of places: each element of an array.
@@ -30,6 +34,10 @@ class _Number(str):
     __slots__ = ()
 
 
+def _as_written(text: str, whole: bool) -> _Number:
+    return _Number(text)
+
+
 _KINDS = {dict: "object", list: "array", str: "string", _Number: "number", bool: "boolean", type(None): "null"}
 
 
@@ -41,6 +49,12 @@ def text_array(values: list[str | None]) -> pa.Array:
         return pa.array([v if v is None else v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values], pa.string())
 
 
+def _below(node: str, label: str) -> str:
+    """The id of a child: its path, or a digest of its parent and label where that would be too long."""
+    path = f"{node}/{label}"
+    return path if len(path) <= MAX_PATH else "#" + hashlib.sha256(path.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _walk(skip: Mapping):
     def flush(held: list[list], schema: pa.Schema) -> pa.RecordBatch:
         made = [pa.array(c, f.type) if not pa.types.is_string(f.type) else text_array(c) for c, f in zip(held, schema)]
@@ -57,7 +71,7 @@ def _walk(skip: Mapping):
             schema = schema or pa.schema([("key", batch.schema.field(0).type), ("node_id", pa.string()), ("parent_id", pa.string()), ("label", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("scalar", pa.string()), ("depth", pa.int32())])
             for key, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    document = json.loads(payload, parse_float=_Number, parse_int=_Number, parse_constant=_Number)
+                    document = parse(payload, _as_written)
                 except ValueError:
                     continue
                 stack = [("", None, "", None, document, 0, skip)]
@@ -66,42 +80,50 @@ def _walk(skip: Mapping):
                     kind = _KINDS[type(value)]
                     keys(key), ids(node), parents(parent), labels(label), ordinals(ordinal), kinds(kind), depths(depth)
                     prefix = node + "/" if depth else ""
+                    far = len(prefix) > MAX_PATH - 1_000
                     if kind == "object":
                         scalars(None)
                         for k, v in value.items():
                             below = places.get(k, nowhere)
                             if below is not None:
-                                stack.append((prefix + (k.replace("~", "~0").replace("/", "~1") if "/" in k or "~" in k else k), node, k, None, v, depth + 1, below))
+                                name = k.replace("~", "~0").replace("/", "~1") if "/" in k or "~" in k else k
+                                stack.append((_below(node, name) if far or (depth and len(name) > 1_000) else prefix + name, node, k, None, v, depth + 1, below))
                     elif kind == "array":
                         scalars(None)
                         below = places.get(ELEMENT, nowhere)
-                        stack.extend((prefix + str(i), node, str(i), i, v, depth + 1, below) for i, v in enumerate(value))
+                        stack.extend((_below(node, str(i)) if far else prefix + str(i), node, str(i), i, v, depth + 1, below) for i, v in enumerate(value))
                     else:
                         scalars(("true" if value else "false") if kind == "boolean" else value)
-                if len(held[0]) >= BATCH_NODES:
-                    yield flush(held, schema)
+                    if len(held[0]) >= BATCH_NODES:
+                        yield flush(held, schema)
         if held[0]:
             yield flush(held, schema)
 
     return run
 
 
-def adjacency(df: DataFrame, key: str, payload: str, skip: Mapping | None = None) -> DataFrame:
+def adjacency(df: DataFrame, key: str, payload: str, skip: Mapping | None = None, once: bool = True) -> DataFrame:
     """One row per node of each readable document.
 
     Columns: ``key``, node_id, parent_id, label, ordinal, kind, scalar, depth.
     node_id is the path of labels below the root ("" is the root), with "~1"
     for "/" and "~0" for "~" in object keys. label is the key or index in the
-    parent; ordinal is the index in an array parent and null elsewhere; kind is
+    parent; a path of more than ``MAX_PATH`` characters gives way to a digest of
+    the parent's id and the label, so that texts of any depth are walked whole
+    and links hold; ordinal is the index in an array parent and null elsewhere; kind is
     object, array, string, number, boolean or null; scalar is null for
     containers and nulls, and numbers are as they are written. Rows without a
-    key and null, empty and unreadable payloads give no row. Repeated keys of
+    key and null, empty and unreadable payloads (NaN and Infinity are no JSON)
+    give no row. Repeated keys of
     an object: the last one counts. Rows with the same key are taken as
-    redelivered and count once. Other columns of ``df`` are ignored.
+    redelivered and count once; ``once=False`` leaves that to a later grouping
+    by node_id, so that no payload is exchanged. Other columns of ``df`` are
+    ignored.
     ``skip``: a tree of object keys (``ELEMENT`` for the elements of an array)
     from the root; subtrees at the places where it has None are left out.
     """
-    docs = df.where(F.col(key).isNotNull() & F.col(payload).isNotNull()).select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).dropDuplicates(["_key"])
+    docs = df.where(F.col(key).isNotNull() & F.col(payload).isNotNull()).select(F.col(key).alias("_key"), F.col(payload).alias("_payload"))
+    docs = docs.dropDuplicates(["_key"]) if once else docs
     columns = ("node_id", "parent_id", "label", "ordinal", "kind", "scalar", "depth")
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *[T.StructField(c, T.IntegerType() if c in ("ordinal", "depth") else T.StringType()) for c in columns]])
     return docs.mapInArrow(_walk(skip or {}), schema).withColumnRenamed("key", key)

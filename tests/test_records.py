@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from pairlens.functions.req_sketch import ReqSketch
 from pairlens.operators import drift, envelopes, percentiles
-from pairlens.operators.shred import adjacency, entities
+from pairlens.functions import json_text
+from pairlens.operators.shred import MAX_PATH, adjacency, entities
 
 ENV = "envelope_id long, payload string, v int, m string, `open` boolean"
 
@@ -80,6 +81,43 @@ def test_deep_documents_and_odd_strings(spark):
     assert {r["label"]: r["scalar"] for r in rows if r["envelope_id"] == 1 and r["depth"]} == {"x": "\ufffd", "n": "1.50", "e": "1e400"}
 
 
+def test_very_deep_documents_keep_their_nodes(spark):
+    deep = '{"a":[' * 50_000 + "7" + "]}" * 50_000
+    df = spark.createDataFrame(env_rows(deep, '{"detailed_results": [{"deep": ' + deep + ', "answer_probs": {"x": 1}}]}', deep + "}"), ENV)
+    nodes = adjacency(df, "envelope_id", "payload")
+    rows = {r["node_id"]: r for r in nodes.where("envelope_id = 0").collect()}
+    assert len(rows) == 100_001 and max(len(i) for i in rows) <= MAX_PATH
+    assert all(r["parent_id"] in rows for i, r in rows.items() if r["depth"]) and [r["scalar"] for r in rows.values() if r["depth"] == 100_000] == ["7"]
+    assert nodes.where("envelope_id = 2").isEmpty()
+    assert [r["node_path"] for r in envelopes.nodes_found(df).orderBy("node_path").collect()] == ["detailed_results/0", "detailed_results/0/answer_probs/x"]
+    got = drift.changes(drift.Drift(raw(spark, [[("a", {"x": 1})], [("a", deep)], [("a", deep.replace("7", "8"))]]))).collect()
+    assert {(r["file_name"], r["field_path"], r["change_kind"]) for r in got} == {("f8", "x", "removed"), ("f8", "a", "added")}
+
+
+def test_very_long_answer_texts(spark):
+    long = "word / " * 2_000
+    got = found(spark, {"detailed_results": [{"answer_probs": {long: 0.5}}]}, {"detailed_results": [{"answer_probs": [{"answer": long, "prob": 0.5}]}]})
+    assert got == sorted((i, p) for i in (0, 1) for p in ("detailed_results/0", f"detailed_results/0/answer_probs/{long}"))
+
+
+def test_what_is_no_json_is_unreadable(spark):
+    assert found(spark, '{"detailed_results": [{"x": NaN}]}', '{"detailed_results": [{"x": -Infinity}]}') == []
+    assert changed(spark, [("a", {"x": 1})], [("a", '{"x": NaN}')], [("a", {"x": 1})]) == [("f7", "x", "added"), ("f8", "x", "removed")]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(), lambda x: st.lists(x) | st.dictionaries(st.text(), x)), st.sampled_from([None, 1]))
+def test_reading_by_stack_equals_the_usual_reader(value, indent):
+    text = json.dumps(value, indent=indent)
+    assert json_text._by_stack(text, lambda s, whole: int(s) if whole else float(s)) == json.loads(text)
+
+
+@pytest.mark.parametrize("text", ["", "{", "[1,]", '{"a" 1}', '{"a":1,}', "[1 2]", "01", "1.", "nul", '"a', "[1]]", '{1:2}', "{]", "[}"])
+def test_reading_by_stack_refuses(text):
+    with pytest.raises(ValueError):
+        json_text._by_stack(text, lambda s, whole: s)
+
+
 def test_repeated_keys_take_the_last(spark):
     df = spark.createDataFrame(env_rows('{"a": 1, "a": 2}'), ENV)
     assert [r["scalar"] for r in adjacency(df, "envelope_id", "payload").where("label = 'a'").collect()] == ["2"]
@@ -160,7 +198,7 @@ def raw(spark, files):
 
 
 def changed(spark, *files):
-    return sorted((r["file_name"], r["field_path"], r["change_kind"]) for r in drift.changes(raw(spark, files)).collect())
+    return sorted((r["file_name"], r["field_path"], r["change_kind"]) for r in drift.changes(drift.Drift(raw(spark, files))).collect())
 
 
 def test_added_removed_and_below(spark):
@@ -179,7 +217,7 @@ def test_rename_needs_equal_values_and_a_common_record(spark):
 def test_every_agreeing_pair_is_a_rename(spark):
     two = [("a", {"u": 0, "v": 0, "k": 1})], [("a", {"x": 0, "y": 0, "k": 1})]
     assert changed(spark, *two) == [("f8", "x", "renamed"), ("f8", "y", "renamed")]
-    assert {(r["path"], r["canonical"]) for r in drift.aliases(drift.changes(raw(spark, two))).collect()} == {("x", "u"), ("y", "v")}
+    assert {(r["path"], r["canonical"]) for r in drift.aliases(drift.changes(drift.Drift(raw(spark, two)))).collect()} == {("x", "u"), ("y", "v")}
     assert changed(spark, [("a", {"u": 0, "k": 1})], [("a", {"x": 0, "y": 0, "k": 1})]) == [("f8", "x", "renamed"), ("f8", "y", "renamed")]
     assert changed(spark, [("a", {"u": {"p": 1}, "v": {"p": 1}})], [("a", {"x": {"p": 1}})]) == [("f8", "x", "renamed")]
 
@@ -195,21 +233,28 @@ def test_text_maps_are_not_entered_and_nulls_are_absent(spark):
     assert changed(spark, [("a", {"x": None, "k": 1})], [("a", {"x": 3, "k": 1})]) == [("f8", "x", "added")]
 
 
+def test_chains_of_names_have_no_limit(spark):
+    found_ = spark.createDataFrame([("s", n, f"f{n}", f"x{n}", f"x{n - 1}", "renamed") for n in range(1, 400)] + [("t", 2, "f", "b", "a", "renamed"), ("t", 3, "f", "a", "b", "renamed")], "series_id string, n int, file_name string, field_path string, old_path string, change_kind string")
+    got = {(r["series_id"], r["path"]): r["canonical"] for r in drift.aliases(found_).collect()}
+    assert got == {("s", f"x{n}"): "x0" for n in range(1, 400)} | {("t", "b"): "a", ("t", "a"): "a"}
+
+
 def test_unreadable_records_and_empty_table(spark):
     assert changed(spark, [("a", {"x": 1}), (None, "{"), (None, None), (None, "3")], [("a", {"x": 1}), (None, "")]) == []
-    assert drift.changes(spark.createDataFrame([], RAW)).collect() == []
+    empty = drift.Drift(spark.createDataFrame([], RAW))
+    assert drift.changes(empty).collect() == drift.lifespans(empty).collect() == drift.consistent(empty).collect() == []
 
 
 def test_lifespans_and_one_table(spark):
     df = raw(spark, [[("a", {"x": 1})], [("a", {"y": 1})], [("a", {"y": "1"}), ("b", {"x": 5})]])
-    seen = drift.observed(df)
-    spans = {(r["path"], r["type"], r["first_n"], r["last_n"]) for r in drift.lifespans(drift.catalogue(seen, df)).collect()}
+    made = drift.Drift(df)
+    spans = {(r["path"], r["type"], r["first_n"], r["last_n"]) for r in drift.lifespans(made).collect()}
     assert spans == {("x", "number", 1, 1), ("x", "number", 3, 3), ("y", "number", 2, 2), ("y", "string", 3, 3)}
-    one = sorted((r["file_name"], r["record_key"], r["field"], r["type"], r["value"]) for r in drift.consistent(df).collect())
+    one = sorted((r["file_name"], r["record_key"], r["field"], r["type"], r["value"]) for r in drift.consistent(made).collect())
     assert one == [("f7", "a", "x", "string", "1"), ("f7", "b", "x", "string", "5"), ("f8", "a", "x", "string", "1"), ("f9", "a", "x", "string", "1")]
 
 
 def test_series_do_not_mix(spark):
     a = raw(spark, [[("a", {"x": 1})]])
     b = raw(spark, [[("a", {"y": 1})]]).withColumn("series_id", F.lit("t")).withColumn("file_name", F.lit("g"))
-    assert drift.changes(a.unionByName(b)).collect() == []
+    assert drift.changes(drift.Drift(a.unionByName(b))).collect() == []
