@@ -1,14 +1,61 @@
-"""Queries of the text operators (p4 to p8), with SQL where SQL can say them."""
+"""Queries of the language-model data operators (p2, p4 to p8), with SQL where SQL can say them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import mixing, packing, pair_defects, shared_spans, truncation
+from pairlens.llm import mixing, packing, pair_defects, percentiles, shared_spans, truncation
+from pairlens.plans.durable import cut
 from pairlens.sources.tables import table
 
 
+TIMING = ("run_id", "sampler")
+
+
+def _timings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sampler_timings").where(percentiles.usable("elapsed_ms"))
+    return percentiles.once(rows, "timing_id", *TIMING, *columns, "elapsed_ms")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles.skewed_groups(_timings(spark, sf_dir), TIMING, "elapsed_ms")
+
+
+def _estimates(rows: DataFrame, keys: tuple[str, ...], percents: tuple[float, ...]) -> DataFrame:
+    """Sketches per day, merged where ``keys`` have no day."""
+    daily = percentiles.sketches(rows, (*TIMING, "run_day"), "elapsed_ms")
+    return percentiles.estimates(daily if "run_day" in keys else percentiles.merge(daily, keys), keys, percents)
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and upper percentiles per run and sampler, from sketches per day that are merged."""
+    return _estimates(_timings(spark, sf_dir, "run_day"), TIMING, (50, 90, 95, 99, 99.9))
+
+
+def p2_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates(_timings(spark, sf_dir, "run_day"), (*TIMING, "run_day"), (50, 95))
+
+
+def _within_error(spark: SparkSession, sf_dir: str, keys: tuple[str, ...], percents: tuple[float, ...]) -> DataFrame:
+    """Exact percentiles, found from the estimates, and whether the estimates' intervals hold them."""
+    rows = cut(_timings(spark, sf_dir, "run_day"))
+    bounds = cut(_estimates(rows, keys, percents))
+    found = percentiles.exact(rows, keys, "elapsed_ms", bounds, percents)
+    ends = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.col(f"p{p:g}_lo").alias("lo"), F.col(f"p{p:g}_hi").alias("hi")) for p in percents])).alias("x")
+    named = bounds.select(*keys, ends).select(*[F.col(k).alias(f"_{k}") for k in keys], "x.*").withColumnRenamed("percent", "_percent")
+    met = found.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("percent") == F.col("_percent")])
+    return met.select(*keys, "percent", "n", "value", F.col("value").between(F.col("lo"), F.col("hi")).alias("within"))
+
+
+def p2_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within_error(spark, sf_dir, TIMING, (50, 95, 99))
+
+
+def p2_daily_within_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _within_error(spark, sf_dir, (*TIMING, "run_day"), (50, 95))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects.pair_defects(table(spark, sf_dir, "detailed_results"))
 
@@ -63,11 +110,25 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_coverage(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_by_source, p6_found, p6_contents, p6_fill, p7_found, p7_selection, p7_shares, p8_found, p8_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_daily_percentiles, p2_within_error, p2_daily_within_error, p4_found, p5_found, p5_by_source, p6_found, p6_contents, p6_fill, p7_found, p7_selection, p7_shares, p8_found, p8_coverage)}
 
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]+'))"
 
+_TIMINGS = """
+WITH d AS (SELECT DISTINCT timing_id, run_id, sampler, run_day, elapsed_ms FROM sampler_timings WHERE isfinite(elapsed_ms) AND elapsed_ms > 0)
+"""
+
+
+def _exact_sql(keys: str, percents: tuple[float, ...]) -> str:
+    return _TIMINGS + " UNION ALL ".join(f"SELECT {keys}, CAST({p} AS DOUBLE) AS percent, count(*) AS n, quantile_disc(elapsed_ms, {p / 100}) AS value, TRUE AS within FROM d GROUP BY {keys}" for p in percents)
+
+
 SQL = {
+    "p2_found": _TIMINGS + """
+SELECT run_id, sampler FROM d GROUP BY run_id, sampler HAVING quantile_disc(elapsed_ms, 0.95) > 5 * quantile_disc(elapsed_ms, 0.5)
+""",
+    "p2_within_error": _exact_sql("run_id, sampler", (50, 95, 99)),
+    "p2_daily_within_error": _exact_sql("run_id, sampler, run_day", (50, 95)),
     "p6_found": f"""
 SELECT c.container_id, d.doc_id
 FROM (SELECT doc_id, {_TOKENS} AS tokens FROM documents) AS d JOIN container_specs AS c ON d.tokens > c.capacity_tokens
