@@ -1,15 +1,13 @@
-"""Queries of the general training-data operators (p1 to p3), with SQL where SQL can say them."""
+"""Queries of the general training-data operators (p1 and p3), with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.operators import drift, envelopes, percentiles
+from pairlens.operators import drift, envelopes
 from pairlens.sources.tables import table
 
-TIMING = ("run_id", "sampler")
-
 
 def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "result_envelopes")
@@ -39,26 +37,6 @@ def p1_cluster_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return envelopes.of_entity(_envelopes(spark, sf_dir), "cluster_prob", "cluster_index", F.col("value").cast("double").alias("prob"))
 
 
-def _timings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    rows = table(spark, sf_dir, "sampler_timings").where(percentiles.usable("elapsed_ms"))
-    return percentiles.once(rows, "timing_id", *TIMING, *columns, "elapsed_ms")
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return percentiles.skewed_groups(_timings(spark, sf_dir), TIMING, "elapsed_ms")
-
-
-def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Medians and upper percentiles per run and sampler, from sketches per day that are merged."""
-    daily = percentiles.sketches(_timings(spark, sf_dir, "run_day"), (*TIMING, "run_day"), "elapsed_ms")
-    return percentiles.estimates(percentiles.merge(daily, TIMING), TIMING, (50, 90, 95, 99, 99.9))
-
-
-def p2_daily_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = (*TIMING, "run_day")
-    return percentiles.estimates(percentiles.sketches(_timings(spark, sf_dir, "run_day"), keys, "elapsed_ms"), keys, (50, 95))
-
-
 def _drift(spark: SparkSession, sf_dir: str) -> drift.Drift:
     return drift.Drift(table(spark, sf_dir, "raw_results"))
 
@@ -82,7 +60,7 @@ def p3_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_records, p1_answers, p1_clusters, p1_cluster_members, p1_cluster_probs,
-    p2_found, p2_percentiles, p2_daily_percentiles, p3_found, p3_lifespans, p3_aliases, p3_consistent,
+    p3_found, p3_lifespans, p3_aliases, p3_consistent,
 )}
 
 _P1_RECORDS = """
@@ -123,10 +101,6 @@ probs AS (
 )
 """
 
-_TIMINGS = """
-WITH d AS (SELECT DISTINCT timing_id, run_id, sampler, run_day, elapsed_ms FROM sampler_timings WHERE isfinite(elapsed_ms) AND elapsed_ms > 0)
-"""
-
 _P3_CATALOGUE = """
 WITH RECURSIVE raw AS (SELECT DISTINCT series_id, file_name, written_at, record_key, payload FROM raw_results WHERE series_id IS NOT NULL AND file_name IS NOT NULL),
 files AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY w, file_name) AS n, count(*) OVER (PARTITION BY series_id) AS last FROM (SELECT series_id, file_name, min(written_at) AS w FROM raw GROUP BY 1, 2)),
@@ -252,8 +226,5 @@ kinds AS (SELECT producer, field, count(DISTINCT type) AS n, any_value(type) AS
 SELECT file_name, record_key, field, coalesce(CASE WHEN n = 1 THEN one WHEN container THEN 'json' ELSE 'string' END, type) AS type,
   CASE WHEN type = 'string' AND n > 1 AND container THEN to_json(value)::VARCHAR ELSE value END AS value
 FROM named LEFT JOIN kinds USING (producer, field)
-""",
-    "p2_found": _TIMINGS + """
-SELECT run_id, sampler FROM d GROUP BY run_id, sampler HAVING quantile_disc(elapsed_ms, 0.95) > 5 * quantile_disc(elapsed_ms, 0.5)
 """,
 }

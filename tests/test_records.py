@@ -3,14 +3,12 @@
 import datetime as dt
 import json
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pairlens.functions.req_sketch import ReqSketch
-from pairlens.operators import drift, envelopes, percentiles
+from pairlens.operators import drift, envelopes
 from pairlens.functions import json_text
 from pairlens.operators.shred import MAX_PATH, adjacency, entities
 
@@ -123,68 +121,6 @@ def test_repeated_keys_take_the_last(spark):
     assert [r["scalar"] for r in adjacency(df, "envelope_id", "payload").where("label = 'a'").collect()] == ["2"]
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.floats(0.001, 1e6), min_size=1, max_size=3000), st.integers(1, 5))
-def test_sketch_is_within_its_error(values, parts):
-    merged = ReqSketch(section=8)
-    for chunk in np.array_split(np.array(values), parts):
-        one = ReqSketch(section=8)
-        one.add(chunk)
-        merged.merge(ReqSketch.load(one.dump()))
-    assert merged.count == len(values) == sum(len(x) << h for h, x in enumerate(merged.levels))
-    ranked = np.sort(values)
-    for q in (0.5, 0.95, 0.999):
-        v, error = merged.quantiles([q])[0], merged.rank_error(q, 6) + 1 / len(values)
-        low, high = np.searchsorted(ranked, v, "left") / len(values), np.searchsorted(ranked, v, "right") / len(values)
-        assert low - error <= q <= high + error
-
-
-def test_small_sketch_is_exact():
-    s = ReqSketch()
-    s.add(np.arange(1.0, 101.0))
-    assert s.exact and list(s.quantiles([0.5, 0.95, 1.0])) == [50.0, 95.0, 100.0]
-    assert np.isnan(ReqSketch().quantiles([0.5])[0])
-
-
-def timings(spark, rows):
-    return spark.createDataFrame(rows, "timing_id long, run_id string, sampler string, run_day date, elapsed_ms double, n long, sketch string")
-
-
-def test_skewed_groups_and_merging_days(spark):
-    rng, rows, values = np.random.default_rng(3), [], {}
-    for g, tail in (("a", 30.0), ("b", 1.5)):
-        for i in range(4000):
-            v = float(rng.exponential() + 1) * (tail if i % 8 == 0 else 1)
-            values.setdefault(g, []).append(v)
-            rows.append((len(rows), "r", g, dt.date(2026, 1, 1 + i % 3), v, 0, ""))
-    rows += [(10_000, "r", "a", None, None, 0, ""), (10_001, "r", "a", None, float("nan"), 0, ""), (10_002, "r", "b", None, float("inf"), 0, ""), (10_003, "r", "b", None, -5.0, 0, "")]
-    rows += rows[:500]
-    once = percentiles.once(timings(spark, rows), "timing_id", "run_id", "sampler", "run_day", "elapsed_ms")
-    assert [tuple(r) for r in percentiles.skewed_groups(once, ("run_id", "sampler"), "elapsed_ms", section=8).collect()] == [("r", "a")]
-    daily = percentiles.sketches(once, ("run_id", "sampler", "run_day"), "elapsed_ms")
-    got = {r["sampler"]: r for r in percentiles.estimates(percentiles.merge(daily, ("run_id", "sampler")), ("run_id", "sampler"), (50, 95)).collect()}
-    for g in values:
-        assert got[g]["n"] == 4000
-        for name, q in (("p50", 0.5), ("p95", 0.95)):
-            assert got[g][name + "_lo"] <= np.quantile(values[g], q, method="inverted_cdf") <= got[g][name + "_hi"]
-
-
-def test_undecided_groups_are_settled_exactly(spark):
-    rows = [(i, "r", "edge", None, v, 0, "") for i, v in enumerate([1.0] * 600 + [5.0] * 339 + [5.0001] * 61 + [2.0] * 200)]
-    rows += [(5000 + i, None, "under", None, v, 0, "") for i, v in enumerate([1.0] * 700 + [5.0] * 500)]
-    found = percentiles.skewed_groups(timings(spark, rows), ("run_id", "sampler"), "elapsed_ms", section=4).collect()
-    want = []
-    for key in (("r", "edge"), (None, "under")):
-        v = np.sort([r[4] for r in rows if (r[1], r[2]) == key])
-        if v[int(np.ceil(len(v) * 0.95)) - 1] > 5 * v[int(np.ceil(len(v) * 0.5)) - 1]:
-            want.append(key)
-    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
-
-
-def test_percentiles_of_nothing(spark):
-    assert percentiles.skewed_groups(timings(spark, []), ("run_id", "sampler"), "elapsed_ms").collect() == []
-
-
 RAW = "series_id string, file_name string, written_at timestamp, record_key string, payload string, n int, path string"
 
 
