@@ -13,30 +13,44 @@ class Chain:
         self.t = np.zeros((labels, labels))
         self.s = np.zeros(labels)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> "Chain":
-        """Maximum likelihood by Adam; x: sequences x steps x features, y: labels, mask: which steps are there (from the first on)."""
-        n, steps, _ = x.shape
-        k = len(self.s)
-        gold = np.eye(k)[y] * mask[..., None]
-        pairs = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum((0, 1))
+    def fit(self, kinds: np.ndarray, which: np.ndarray, y: np.ndarray, lengths: np.ndarray, often: np.ndarray, rounds: int = 120, rate: float = 0.15, decay: float = 1e-3) -> "Chain":
+        """Maximum likelihood by Adam.
+
+        kinds: the distinct feature rows; which: of each step of the sequences,
+        one after another, its row there; y: its label; often: how often each
+        sequence counts.
+        """
+        order = np.argsort(-lengths, kind="stable")
+        first, sizes, often = np.r_[0, np.cumsum(lengths)[:-1]][order], lengths[order], often[order]
+        k, total, n = len(self.s), often.sum(), len(which)
+        alive = [int(np.searchsorted(-sizes, -i, side="left")) for i in range(int(sizes[0]))]  # sequences longer than i
+        at = [first[:m] + i for i, m in enumerate(alive)]
+        weight = np.zeros(n)
+        for i, m in enumerate(alive):
+            weight[at[i]] = often[:m]
+        gold = np.eye(k)[y] * weight[:, None]
+        pairs = np.zeros((k, k))
+        for i in range(1, len(alive)):
+            np.add.at(pairs, (y[at[i] - 1], y[at[i]]), often[: alive[i]])
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in (self.w, self.t, self.s)]
-        flat = x.reshape(n * steps, -1)
         for r in range(1, rounds + 1):
-            e = (flat @ self.w).reshape(n, steps, k)
-            alpha, beta = np.empty_like(e), np.zeros_like(e)
-            alpha[:, 0] = e[:, 0] + self.s
-            for i in range(1, steps):
-                step = _lse(alpha[:, i - 1, :, None] + self.t, 1) + e[:, i]
-                alpha[:, i] = np.where(mask[:, i, None], step, alpha[:, i - 1])
-            z = _lse(alpha[:, -1], 1)
-            for i in range(steps - 2, -1, -1):
-                step = _lse(self.t + (e[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-                beta[:, i] = np.where(mask[:, i + 1, None], step, beta[:, i + 1])
-            p = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
+            e = (kinds @ self.w)[which]
+            alpha, beta, z = np.empty((n, k)), np.zeros((n, k)), np.empty(len(sizes))
+            alpha[at[0]] = e[at[0]] + self.s
+            for i in range(1, len(alive)):
+                alpha[at[i]] = _lse(alpha[at[i] - 1][:, :, None] + self.t, 1) + e[at[i]]
+            z = _lse(alpha[first + sizes - 1], 1)
             both = np.zeros((k, k))
-            for i in range(1, steps):
-                both += (np.exp(alpha[:, i - 1, :, None] + self.t + (e[:, i] + beta[:, i])[:, None, :] - z[:, None, None]) * mask[:, i, None, None]).sum(0)
-            grads = (flat.T @ (gold - p).reshape(n * steps, k) / n - decay * self.w, (pairs - both) / n - decay * self.t, (gold[:, 0] - p[:, 0]).sum(0) / n - decay * self.s)
+            for i in range(len(alive) - 1, 0, -1):
+                ahead = self.t + (e[at[i]] + beta[at[i]])[:, None, :]
+                beta[at[i] - 1] = _lse(ahead, 2)
+                both += (np.exp(alpha[at[i] - 1][:, :, None] + ahead - z[: alive[i], None, None]) * often[: alive[i], None, None]).sum(0)
+            norm = np.empty(n)
+            for i, m in enumerate(alive):
+                norm[at[i]] = z[:m]
+            p = np.exp(alpha + beta - norm[:, None]) * weight[:, None]
+            missed = np.stack([np.bincount(which, x, len(kinds)) for x in (gold - p).T], 1)
+            grads = (kinds.T @ missed / total - decay * self.w, (pairs - both) / total - decay * self.t, (gold[at[0]] - p[at[0]]).sum(0) / total - decay * self.s)
             for value, g, (m, v) in zip((self.w, self.t, self.s), grads, moments):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)

@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.tokens import sized
-from pairlens.plans.durable import cut
+from pairlens.plans.durable import SMALL_BYTES, SMALL_ROWS, cut, is_small
 
 #: Containers open at once, in each lane.
 OPEN = 64
 #: Tokens of a lane. A lane leaves at most OPEN containers unfinished, under 3 % of its tokens for capacities up to 1,024.
 LANE_TOKENS = 2_000_000
-#: Rows that a table of container kinds may have.
-MAX_SPECS = 1_000
 
 _SCHEMA = pa.schema([("container_id", pa.string()), ("bin_no", pa.int64()), ("doc_id", pa.int64()), ("piece_no", pa.int32()), ("pieces", pa.int32()), ("first_token", pa.int64()), ("tokens", pa.int64())])
 
@@ -95,18 +93,18 @@ def pack(documents: DataFrame, specs: DataFrame, open_bins: int = OPEN, lane_tok
     an id or a positive capacity are left out; a repeated doc_id or kind counts
     once; empty tables give no row; other columns are ignored. The order of
     items is that of a hash of doc_id, so that the result is the same each
-    time. ``specs`` may have up to MAX_SPECS rows.
+    time. Each kind goes to each lane, where it meets the lane's items, so
+    there may be any number of kinds.
     """
-    kinds = specs.where("container_id IS NOT NULL AND capacity_tokens > 0").groupBy("container_id").agg(F.max("capacity_tokens").alias("c")).limit(MAX_SPECS + 1).collect()
-    if len(kinds) > MAX_SPECS:
-        raise ValueError(f"more than {MAX_SPECS} kinds of containers")
     items = cut(sized(documents))
     total = items.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     lanes = int(total // lane_tokens) + 1
-    listed = F.array(*[F.struct(F.lit(k["container_id"]).alias("container_id"), F.lit(k["c"]).alias("capacity")) for k in kinds]) if kinds else F.expr("CAST(array() AS ARRAY<STRUCT<container_id: STRING, capacity: INT>>)")
     order = F.xxhash64("doc_id")
-    each = items.select(F.explode(listed).alias("k"), "doc_id", "tokens", F.pmod(order, F.lit(lanes)).alias("lane"), order.alias("h"))
-    rows = each.select("k.container_id", F.col("k.capacity").cast("long").alias("capacity"), "lane", "doc_id", "tokens", "h")
+    laned = items.select("doc_id", "tokens", F.pmod(order, F.lit(lanes)).alias("lane"), order.alias("h"))
+    kinds = cut(specs.where("container_id IS NOT NULL AND capacity_tokens > 0").groupBy("container_id").agg(F.max("capacity_tokens").cast("long").alias("capacity")))
+    each = kinds.select("container_id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+    side = F.broadcast(each) if is_small(kinds, SMALL_ROWS // lanes, SMALL_BYTES // lanes) else each
+    rows = laned.join(side, "lane").select("container_id", "capacity", "lane", "doc_id", "tokens", "h")
     together = rows.repartition("container_id", "lane").sortWithinPartitions("container_id", "lane", "h", "doc_id").drop("h")
     return together.mapInArrow(_fill(open_bins), "container_id string, bin_no long, doc_id long, piece_no int, pieces int, first_token long, tokens long")
 
@@ -120,3 +118,14 @@ def bins(placed: DataFrame, specs: DataFrame) -> DataFrame:
     """One row per container: its documents, tokens and free tokens."""
     filled = placed.groupBy("container_id", "bin_no").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))
     return filled.join(specs.groupBy("container_id").agg(F.max("capacity_tokens").alias("capacity")), "container_id").withColumn("free", F.col("capacity") - F.col("tokens"))
+
+
+def accounts(placed: DataFrame, specs: DataFrame) -> DataFrame:
+    """Per kind of container what must hold: documents and tokens placed, containers that are overfull, documents that were split though they fit, and pieces that don't follow one another (all three 0)."""
+    size = specs.groupBy("container_id").agg(F.max("capacity_tokens").alias("capacity"))
+    over = bins(placed, specs).groupBy("container_id").agg(F.count_if(F.col("free") < 0).alias("overfull"))
+    documents = placed.groupBy("container_id", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"), F.countDistinct("piece_no").alias("numbers"), F.max("pieces").alias("pieces")).join(F.broadcast(size) if is_small(size) else size, "container_id")
+    found = documents.groupBy("container_id").agg(
+        F.count("*").alias("documents"), F.sum("tokens").alias("tokens"), F.count_if((F.col("pieces") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split_in_vain"),
+        F.count_if((F.col("rows") != F.col("pieces")) | (F.col("numbers") != F.col("pieces"))).alias("broken"))
+    return found.join(over, "container_id").select("container_id", "documents", "tokens", "overfull", "split_in_vain", "broken")

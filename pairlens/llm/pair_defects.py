@@ -1,18 +1,22 @@
 """Broken prompt and response pairs, by a conditional random field over clauses.
 
 The response (the predicted answer, then the reasoning) is cut into clauses.
-A chain tags each as answer, refusal, echo, foreign or unfinished from binary
-features of its words, its language against the question's, and its match with
-the question and the options. The coverage of the clauses by the tags decides
-the pair's defect. The chain is trained here, on a bounded sample of the rows
-from which defective ones are made, so no labels are needed.
+A chain tags each as answer, refusal, echo, foreign, unfinished or nothing
+from binary features: its match with the question and the options, its
+language against the question's by learned letter profiles, what its words say
+for an answer or against one by learned odds, and its form. The coverage of
+the clauses by the tags decides the pair's defect. Everything is trained here,
+on a bounded sample of the rows from which defective ones are made and on seed
+phrases, so no labels are needed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.crf import Chain
-from pairlens.llm.words import KINDS, LANGUAGES, counts, language, script
+from pairlens.llm.language import CLEAR, LANGUAGES, LEAD, WORD, Profiles, script, telling
 
 #: Rows, at most, from which training pairs are made.
 TRAIN_ROWS = 1_200
-#: Clauses, at most, of a training pair.
-TRAIN_CLAUSES = 8
+#: Rows of more clauses aren't trained on.
+TRAIN_CLAUSES = 64
 
-LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
-ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-# Words that stand for no answer.
-FILLERS = frozenset("none null nan n a na nil nul undefined unknown empty blank tbd todo missing nothing void no answer not available not applicable keine nichts leer nada ninguna vacío rien aucune vide нет пусто".split()) | {"n a", "no answer", "not available", "not applicable", "none given"}
+LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "nothing")
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, NOTHING = range(6)
+# Seed words for training: what stands where no answer was given.
+FILLERS = tuple("none null nan n/a na nil nul undefined unknown empty blank tbd todo missing nothing void no answer given available applicable keine nichts leer nada ninguna vacío rien aucune vide нет пусто".split()) + ("no answer", "no answer available", "no answer given", "no answer provided", "answer missing", "not available", "not applicable", "none given", "keine Angabe", "sin dato", "sin respuesta", "pas de réponse", "keine Antwort", "нет ответа")
 # Words before a repeated question.
 _CUES = re.compile(r"^(?:q|a|question|answer|frage|antwort|pregunta|respuesta|réponse|вопрос|ответ)+$")
-
 _CUE_START = re.compile(r"^\W*(?:q|a|question|answer|frage|antwort|pregunta|respuesta|réponse|вопрос|ответ)\s*:\s*", re.I)
 
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”»)*]*\s+|\n+")
@@ -44,11 +47,12 @@ _CHOICE = re.compile(r"(?:^|[\s(*:=])[A-H](?:[\s).!*]|$)")
 _DIGIT = re.compile(r"\d")
 
 _FEATURES = (
-    "always predicted own_language other_language other_language_clearly no_language echo_clause echo_field option_match option_prefix unmatched digit choice option_inside "
-    + " ".join(KINDS) + " two_kinds three_kinds field_two_kinds only_clause field_digit field_choice terminated"
+    "always predicted own_language own_clearly other_language other_clearly no_language echo_clause echo_field option_match option_prefix unmatched digit choice option_inside option_words "
+    "question_words filler short single sound soundly declines declines_clearly field_sound field_declines only_clause first field_digit field_choice field_options terminated elided no_options"
 ).split()
 _BIT = {name: 1 << i for i, name in enumerate(_FEATURES)}
-_KIND_BITS = [_BIT[k] for k in KINDS]
+#: Log odds at which words speak for or against an answer, and at which they do so clearly.
+ODDS, CLEAR_ODDS = 1.5, 5.0
 
 
 def squeeze(text: str) -> str:
@@ -58,21 +62,6 @@ def squeeze(text: str) -> str:
     return _NO_WORD.sub("", text).casefold()
 
 
-def plain(text: str) -> str:
-    """Words without case and signs, one space between."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    return _NO_WORD.sub(" ", text).strip().casefold()
-
-
-def is_empty(predicted: str | None, options: Sequence[str]) -> bool:
-    """No answer at all: null, blank, signs only, or a filler word that is no option."""
-    if predicted is None:
-        return True
-    words = plain(predicted)
-    return not words or (words in FILLERS and words not in {plain(o) for o in options if o})
-
-
 def repeats(squeezed: str, question: str) -> bool:
     """Nothing but the question (squeezed), once or more, and words like "Q" before it."""
     if not question or question not in squeezed:
@@ -81,76 +70,180 @@ def repeats(squeezed: str, question: str) -> bool:
     return not rest or bool(_CUES.match(rest))
 
 
-def clause_features(sentence: str | None, options: Sequence[str | None] | None, predicted: str | None, reasoning: str | None) -> list[tuple[int, int, int]]:
-    """(feature bits, field, letters) of each clause of a response; field 0 is the predicted answer, 1 the reasoning."""
-    sentence, options = sentence or "", [o for o in options or () if o]
-    asked, own = squeeze(sentence), language(sentence)
-    own_index = LANGUAGES.index(own) if own in LANGUAGES else -1
-    texts = [squeeze(o) for o in options]
-    out: list[tuple[int, int, int]] = []
-    for field, text in ((0, predicted), (1, reasoning)):
-        if not text or text.isspace():
-            continue
-        clauses = [c for c in _SPLIT.split(text) if c and not c.isspace()]
-        bits = _BIT["always"]
-        if not field:
-            bits |= _BIT["predicted"]
-            body = squeeze(_LABEL.sub("", text, count=1))
+_FILLED = frozenset(map(squeeze, FILLERS))
+_FILLING = frozenset(w for f in FILLERS for w in WORD.findall(f.lower()))
+
+
+class Model:
+    """Language profiles, words' odds of declining, common words and, once trained, the chain."""
+
+    def __init__(self) -> None:
+        self.profiles = Profiles()
+        self.odds: dict[str | tuple[str, str], float] = {}
+        self.common: frozenset[str] = frozenset()
+        self.chain = Chain(len(_FEATURES), len(LABELS))
+        self.asked: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"asked": {}}
+
+    def learn_words(self, sound: Sequence[str], declining: Sequence[str]) -> None:
+        """Log odds of words and pairs of them in declining clauses against sound ones, and the words that say least about a subject."""
+        one, two = (Counter(g for t in texts for g in _grams(t)) for texts in (declining, sound))
+        n_one, n_two = sum(one.values()) + 1.0, sum(two.values()) + 1.0
+        # words of few texts are names and subjects
+        self.odds = {g: float(np.clip(np.log((one[g] + 0.1) / n_one) - np.log((two[g] + 0.1 * n_two / n_one) / n_two), -3, 3)) for g in one.keys() | {g for g, c in two.items() if c >= 3}}
+        often = Counter(w for t in sound for w in set(_words(t)))
+        self.common = frozenset(w for w, c in often.items() if c >= max(3, len(sound) // 50)) | {w for t in declining for w in _words(t)}
+
+
+def _words(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def _grams(text: str) -> list:
+    found = _words(text)
+    return [*found, *zip(found, found[1:])]
+
+
+class _Asked:
+    """What a question and its options are matched by."""
+
+    def __init__(self, model: Model, sentence: str, options: tuple[str, ...]) -> None:
+        self.letters, self.own = squeeze(sentence), model.profiles.language(sentence)
+        self.own_index = LANGUAGES.index(self.own) if self.own in LANGUAGES else -1
+        self.options = [squeeze(o) for o in options]
+        self.words = {w for w in _words(sentence) if w not in model.common}
+        self.option_words = {w for o in options for w in _words(o) if len(w) > 2 and w not in model.common} - self.words
+
+
+#: Questions that a task remembers.
+_ASKED = 20_000
+
+
+def features(model: Model, rows: Sequence[tuple]) -> tuple[np.ndarray, list[int], list[int], list[int]]:
+    """Of all clauses of some rows, one after another: feature bits, field (0 the predicted answer, 1 the reasoning), letters; and of each row how many clauses it has.
+
+    Rows are (sentence, options, predicted, reasoning). A field that is null or
+    blank has no clause.
+    """
+    odds, profiles, nothing = model.odds.get, model.profiles, repeat(0.0)
+    profiles.rest()
+    remembered = model.asked
+    if len(remembered) > _ASKED:
+        remembered.clear()
+    bits_, fields, sizes, lengths = [], [], [], []
+    ids, counted, owns = [], [], []  # of each clause its words' rows, how many, and its question's language
+    for sentence, options, predicted, reasoning in rows:
+        key = (sentence or "", tuple(o for o in options or () if o))
+        asked = remembered.get(key)
+        if asked is None:
+            asked = remembered[key] = _Asked(model, *key)
+        texts, own = asked.options, asked.own
+        began = len(bits_)
+        for field, text in ((0, predicted), (1, reasoning)):
+            if not text or text.isspace():
+                continue
+            clauses = [c for c in _SPLIT.split(text) if c and not c.isspace()]
+            single = len(clauses) == 1
             whole = squeeze(text)
-            if body in texts or whole in texts or _ONLY_LABEL.match(text):
-                bits |= _BIT["option_match"]
-            elif body and any(o.startswith(body) for o in texts):
-                bits |= _BIT["option_prefix"]
-            elif not any(o and o in whole for o in texts):
-                bits |= _BIT["unmatched"]
-        if len(clauses) == 1:
-            bits |= _BIT["only_clause"]
-        if _DIGIT.search(text):
-            bits |= _BIT["field_digit"]
-        if _CHOICE.search(text):
-            bits |= _BIT["field_choice"]
-        if repeats(squeeze(text), asked):
-            bits |= _BIT["echo_field"]
-        first, plenty = len(out), True
-        for clause in clauses:
-            b, letters = bits, squeeze(clause)
-            other = script(clause)
-            by, kinds, _ = counts(clause)
-            mine = by[own_index] if own_index >= 0 else 0
-            top = max(by)
-            if other:
-                b |= _BIT["own_language"] if other == own else _BIT["other_language"] | _BIT["other_language_clearly"] if own else _BIT["no_language"]
-            elif own is None or not top:
-                b |= _BIT["no_language"]
-            elif mine == top:
-                b |= _BIT["own_language"]
-            else:
-                b |= _BIT["other_language"] | (_BIT["other_language_clearly"] if top >= mine + 2 else 0)
-            uncued = letters if ":" not in clause else squeeze(_CUE_START.sub("", clause, count=1))
-            if len(uncued) > 3 and uncued in asked:
-                b |= _BIT["echo_clause"]
-            if _DIGIT.search(clause):
-                b |= _BIT["digit"]
-            if _CHOICE.search(clause):
-                b |= _BIT["choice"]
-            if any(o in letters for o in texts):
-                b |= _BIT["option_inside"]
-            n = 0
-            for bit, k in zip(_KIND_BITS, kinds):
-                if k:
-                    b |= bit
-                    n += 1
-            if n >= 2:
-                b |= _BIT["two_kinds"]
-            if n >= 3:
-                b |= _BIT["three_kinds"]
-            plenty = plenty and n >= 2
-            if clause.rstrip()[-1:] in ".!?":
-                b |= _BIT["terminated"]
-            out.append((b, field, len(letters)))
-        if plenty:
-            out[first:] = [(b | _BIT["field_two_kinds"], f, size) for b, f, size in out[first:]]
-    return out
+            bits = _BIT["always"] if texts else _BIT["always"] | _BIT["no_options"]
+            if not field:
+                bits |= _BIT["predicted"]
+                body = squeeze(_LABEL.sub("", text, count=1))
+                if body in texts or whole in texts or _ONLY_LABEL.match(text):
+                    bits |= _BIT["option_match"]
+                else:
+                    if not whole or whole in _FILLED or _FILLING.issuperset(_words(text) or ("-",)):
+                        bits |= _BIT["filler"]
+                    if body and any(o.startswith(body) for o in texts):
+                        bits |= _BIT["option_prefix"]
+                    elif texts and not any(o and o in whole for o in texts):
+                        bits |= _BIT["unmatched"]
+            if single:
+                bits |= _BIT["only_clause"]
+            if _DIGIT.search(text):
+                bits |= _BIT["field_digit"]
+            if _CHOICE.search(text):
+                bits |= _BIT["field_choice"]
+            if repeats(whole, asked.letters):
+                bits |= _BIT["echo_field"]
+            first, leaning = len(bits_), 0.0
+            for number, clause in enumerate(clauses):
+                b, letters = bits, whole if single else squeeze(clause)
+                if not number:
+                    b |= _BIT["first"]
+                raw = WORD.findall(clause)
+                other = script(clause)
+                telling_ = ()
+                if other:
+                    b |= _BIT["own_language"] if other == own else _BIT["other_language"] | _BIT["other_clearly"] if own else _BIT["no_language"]
+                    owns.append(-2)
+                elif own is None:
+                    b |= _BIT["no_language"]
+                    owns.append(-2)
+                elif asked.own_index < 0:
+                    b |= _BIT["other_language"] | _BIT["other_clearly"] if raw else _BIT["no_language"]
+                    owns.append(-2)
+                else:
+                    telling_ = profiles.ids(telling(raw))
+                    owns.append(asked.own_index)
+                ids.extend(telling_)
+                counted.append(len(telling_))
+                uncued = letters if ":" not in clause else squeeze(_CUE_START.sub("", clause, count=1))
+                if len(uncued) > 3 and uncued in asked.letters:
+                    b |= _BIT["echo_clause"]
+                if _DIGIT.search(clause):
+                    b |= _BIT["digit"]
+                if _CHOICE.search(clause):
+                    b |= _BIT["choice"]
+                for o in texts:
+                    if o in letters:
+                        b |= _BIT["option_inside"]
+                        break
+                found = [w.lower() for w in raw]
+                if not asked.option_words.isdisjoint(found):
+                    b |= _BIT["option_words"]
+                if not asked.words.isdisjoint(found):
+                    b |= _BIT["question_words"]
+                if len(found) <= 2:
+                    b |= _BIT["single"] if len(found) < 2 else _BIT["short"]
+                lean = sum(map(odds, found, nothing)) + sum(map(odds, zip(found, found[1:]), nothing))
+                leaning += lean
+                if lean >= ODDS:
+                    b |= _BIT["declines"] | (_BIT["declines_clearly"] if lean >= CLEAR_ODDS else 0)
+                elif lean <= -ODDS:
+                    b |= _BIT["sound"] | (_BIT["soundly"] if lean <= -CLEAR_ODDS else 0)
+                end = clause.rstrip()
+                if end[-1:] in ".!?":
+                    b |= _BIT["terminated"]
+                if end.endswith(("…", "...")):
+                    b |= _BIT["elided"]
+                bits_.append(b)
+                fields.append(field)
+                sizes.append(len(letters))
+            more = _BIT["field_declines"] if leaning >= ODDS else _BIT["field_sound"] if leaning <= -ODDS else 0
+            if any(b & (_BIT["option_words"] | _BIT["option_inside"]) for b in bits_[first:]):
+                more |= _BIT["field_options"]
+            if more:
+                bits_[first:] = [b | more for b in bits_[first:]]
+        lengths.append(len(bits_) - began)
+    bits_ = np.array(bits_, dtype=np.int64)
+    own_index = np.array(owns, dtype=int)
+    mine = np.flatnonzero(own_index >= 0)
+    if len(mine):
+        ends = np.cumsum(counted)
+        total = np.zeros((len(ids) + 1, len(LANGUAGES)))
+        np.cumsum(profiles.scores[ids], 0, out=total[1:])
+        score = (total[ends] - total[ends - np.array(counted)])[mine]
+        own = score[np.arange(len(mine)), own_index[mine]]
+        score[np.arange(len(mine)), own_index[mine]] = -np.inf
+        # by how much the best other language leads the question's
+        lead = score.max(1) - own
+        bits_[mine] |= np.select(
+            [lead >= CLEAR, lead >= LEAD, lead <= -CLEAR, lead <= -LEAD],
+            [_BIT["other_language"] | _BIT["other_clearly"], _BIT["other_language"], _BIT["own_language"] | _BIT["own_clearly"], _BIT["own_language"]], _BIT["no_language"])
+    return bits_, fields, sizes, lengths
 
 
 def unpack(bits: np.ndarray) -> np.ndarray:
@@ -159,11 +252,21 @@ def unpack(bits: np.ndarray) -> np.ndarray:
 
 # Seed phrases for training: ways to decline, written for this purpose, by language; {} takes a word of the question.
 DECLINING = {
-    "en": ("I can't answer that.", "I am unable to respond to this request.", "Sorry, I will not help with that question.", "I would prefer not to discuss {}.", "My rules do not allow me to choose an option.", "As an assistant I must refuse to pick one.", "Please ask a qualified person about {}.", "No answer will be given to this item.", "This is not something I may comment on.", "Let us choose another topic than {}."),
-    "es": ("No puedo responder a esa pregunta.", "Lo siento, no me permiten elegir.", "Prefiero no hablar de {}.", "Pregunte mejor a un especialista.", "No debo ayudar con este tema."),
-    "fr": ("Je ne peux pas répondre à cette question.", "Désolé, je ne dois pas choisir.", "Je préfère ne pas parler de {}.", "Demandez plutôt à un spécialiste.", "Il ne m'est pas permis de traiter ce sujet."),
-    "de": ("Das kann ich nicht beantworten.", "Leider darf ich keine Antwort geben.", "Ich möchte nicht über {} sprechen.", "Bitte fragen Sie einen Lehrer.", "Zu diesem Thema darf ich nichts sagen."),
-    "ru": ("Я не могу ответить на это.", "Извините, мне нельзя выбирать вариант.", "Я предпочёл бы не говорить про {}.", "Лучше спросите специалиста.", "На такие вопросы я не отвечаю."),
+    "en": ("I can't answer that.", "I am unable to respond to this request.", "Sorry, I will not help with that question.", "I would prefer not to discuss {}.", "My rules do not allow me to choose an option.", "As an assistant I must refuse to pick one.", "Please ask a qualified person about {}.", "No answer will be given to this item.", "This is not something I may comment on.", "Let us choose another topic than {}.", "That is outside what I can do for you.", "Unfortunately I have to decline.", "I'd rather talk about something else.", "It would be against my guidelines to take part in this.", "You should consult a specialist instead of me.", "I won't be commenting on {} today."),
+    "es": ("No puedo responder a esa pregunta.", "Lo siento, no me permiten elegir.", "Prefiero no hablar de {}.", "Pregunte mejor a un especialista.", "No debo ayudar con este tema.", "Tengo que rechazar esta solicitud.", "No me corresponde opinar sobre {}."),
+    "fr": ("Je ne peux pas répondre à cette question.", "Désolé, je ne dois pas choisir.", "Je préfère ne pas parler de {}.", "Demandez plutôt à un spécialiste.", "Il ne m'est pas permis de traiter ce sujet.", "Je dois refuser cette demande.", "Ce n'est pas à moi de juger {}."),
+    "de": ("Das kann ich nicht beantworten.", "Leider darf ich keine Antwort geben.", "Ich möchte nicht über {} sprechen.", "Bitte fragen Sie einen Lehrer.", "Zu diesem Thema darf ich nichts sagen.", "Ich muss diese Anfrage ablehnen.", "Dafür bin ich nicht zuständig."),
+    "ru": ("Я не могу ответить на это.", "Извините, мне нельзя выбирать вариант.", "Я предпочёл бы не говорить про {}.", "Лучше спросите специалиста.", "На такие вопросы я не отвечаю.", "Мне придётся отклонить эту просьбу.", "Это не входит в мои задачи."),
+    "it": ("Non posso rispondere a questa domanda.", "Mi dispiace, non mi è permesso scegliere.", "Preferisco non parlare di {}.", "Chieda piuttosto a uno specialista.", "Devo rifiutare questa richiesta."),
+    "pt": ("Não posso responder a essa pergunta.", "Desculpe, não me é permitido escolher.", "Prefiro não falar de {}.", "Pergunte antes a um especialista.", "Tenho de recusar este pedido."),
+}
+# Sound clauses in words of declining: {} takes words of an option.
+HARD = {
+    "en": ("I cannot see any way {} could help.", "No option but {} can answer the question.", "We must not choose {} without a reason.", "Sorry, I should compare {} first."),
+    "es": ("No puedo ver cómo {} podría ayudar.", "Ninguna opción salvo {} responde a la pregunta."),
+    "fr": ("Je ne peux pas voir comment {} aiderait.", "Aucune option sauf {} ne répond à la question."),
+    "de": ("Ich kann nicht sehen, wie {} helfen würde.", "Keine Antwort außer {} passt zur Frage."),
+    "ru": ("Я не могу понять, как поможет {}.", "Ни один вариант, кроме {}, не отвечает на вопрос."),
 }
 # Rows that are always trained on, so that a small table has some of each language.
 BASE = (
@@ -176,76 +279,116 @@ BASE = (
 )
 
 
-def _sound(row: tuple) -> bool:
-    """Whether a row may stand for sound pairs: its answer is an option, nothing is echoed, and most clauses are in its language."""
-    feats = clause_features(*row)
-    if not feats or not feats[0][0] & _BIT["option_match"] or feats[0][0] & _BIT["echo_field"]:
-        return False
-    other = sum(bool(b & _BIT["other_language"]) for b, _, _ in feats)
-    reasoning = [b for b, f, _ in feats if f]
-    declines = bool(reasoning) and reasoning[0] & _BIT["field_two_kinds"] and not reasoning[0] & (_BIT["field_digit"] | _BIT["field_choice"])
-    return 2 * other <= len(feats) and not any(b & _BIT["echo_field"] for b in reasoning) and not declines
 
 
-def training_pairs(rows: Sequence[tuple]) -> list[tuple[list[int], list[int]]]:
-    """(feature bits, labels) of sound pairs and of defective ones made from them; rows: (sentence, options, predicted, reasoning)."""
-    sound = [r for r in (*BASE * 5, *rows) if _sound(r)]
+def _split(values: Sequence, lengths: Sequence[int]) -> Iterator[Sequence]:
+    at = 0
+    for n in lengths:
+        yield values[at : at + n]
+        at += n
+
+
+def sound_rows(model: Model, rows: Sequence[tuple]) -> list[tuple]:
+    """The rows that may stand for sound pairs: the answer is an option, nothing is echoed, most clauses are in the question's language, and the reasoning tells of options, choices or numbers."""
+    bits, fields, _, lengths = features(model, rows)
+    out = []
+    for row, mine, of in zip(rows, _split(bits.tolist(), lengths), _split(fields, lengths)):
+        if not mine or of[0] or not mine[0] & _BIT["option_match"] or any(b & _BIT["echo_field"] for b in mine):
+            continue
+        reasoning = [b for b, f in zip(mine, of) if f]
+        tells = not reasoning or reasoning[0] & (_BIT["field_digit"] | _BIT["field_choice"] | _BIT["field_options"])
+        if tells and 2 * sum(bool(b & _BIT["other_language"]) for b in mine) <= len(mine):
+            out.append(row)
+    return out
+
+
+def made_pairs(model: Model, sound: Sequence[tuple]) -> list[tuple[tuple, tuple[int, int], bool]]:
+    """Rows (sentence, options, predicted, reasoning) made from sound ones, with the tags of both fields, and whether what their words say is left out."""
+    own_of = [model.profiles.language(r[0] or "") for r in sound]
     by_language: dict[str | None, list[tuple]] = {}
-    for r in sound:
-        by_language.setdefault(language(r[0] or ""), []).append(r)
+    for r, own in zip(sound, own_of):
+        by_language.setdefault(own, []).append(r)
     known = [x for x in by_language if x]
-    out: list[tuple[list[int], list[int]]] = []
+    out: list = []
 
-    def add(row: tuple, tag: tuple[int, int]) -> None:
-        feats = clause_features(*row)[:TRAIN_CLAUSES]
-        if feats:
-            out.append(([b for b, _, _ in feats], [tag[f] if not (b & _BIT["echo_clause"] and f) else ECHO for b, f, _ in feats]))
+    def add(row: tuple, tag: tuple[int, int], quiet: bool = False) -> None:
+        out.append((row, tag, quiet))
 
-    for i, (sentence, options, predicted, reasoning) in enumerate(sound):
+    for i, ((sentence, options, predicted, reasoning), own) in enumerate(zip(sound, own_of)):
         add((sentence, options, predicted, reasoning), (ANSWER, ANSWER))
-        own = language(sentence or "")
         word = max((sentence or "it").split() or ["it"], key=len)
-        phrases = DECLINING.get(own, DECLINING["en"])
+        phrases, hard = DECLINING.get(own, DECLINING["en"]), HARD.get(own, HARD["en"])
         no = phrases[i % len(phrases)].format(word)
         more = f"{no} {phrases[(i + 3) % len(phrases)].format(word)}" if i // 5 % 2 else no
-        kind = i % 5
-        if kind == 0:
-            add((sentence, options, no, more if i % 2 else None), (REFUSAL, REFUSAL))
+        kind, turn = i % 8, i // 8
+        choice = [o for o in options or () if o]
+        if kind in (0, 7):
+            # half of them without what their words say: the form alone, since people decline in any words
+            add((sentence, options, no, (None, reasoning, more)[turn % 3]), (REFUSAL, (ANSWER, ANSWER, REFUSAL)[turn % 3]), quiet=turn % 2 == 0)
         elif kind == 1:
-            add((sentence, options, predicted, more), (ANSWER, REFUSAL))
+            add((sentence, options, predicted, more), (ANSWER, REFUSAL), quiet=turn % 3 == 0)
         elif kind == 2 and sentence:
-            copy = (sentence.upper(), f"Question: {sentence}\nAnswer: {sentence}", f"“{sentence}”", f"{sentence}\n\n{sentence}")[i // 5 % 4]
-            add((sentence, options, copy, reasoning if i % 2 else None) if i % 4 < 2 else (sentence, options, predicted, copy), (ECHO, ANSWER) if i % 4 < 2 else (ANSWER, ECHO))
+            copy = (sentence.upper(), f"Question: {sentence}\nAnswer: {sentence}", f"“{sentence}”", f"{sentence}\n\n{sentence}")[turn % 4]
+            add((sentence, options, copy, reasoning if turn % 3 else None) if turn % 2 else (sentence, options, predicted, copy), (ECHO, ANSWER) if turn % 2 else (ANSWER, ECHO))
         elif kind == 3 and own and len(known) > 1:
-            away = by_language[[x for x in known if x != own][i // 5 % (len(known) - 1)]]
+            away = by_language[[x for x in known if x != own][turn % (len(known) - 1)]]
             other = away[i % len(away)]
-            add((sentence, options, other[2], other[3] if i % 3 else None), (FOREIGN, FOREIGN))
+            add((sentence, options, other[2], other[3] if turn % 3 else None), (FOREIGN, FOREIGN))
         elif kind == 4 and predicted and len(predicted) > 6:
-            cut = 3 + i * 7 % (len(predicted) - 4)
-            body = predicted[:cut] + ("..." if i % 4 == 0 else "")
-            if squeeze(body) and squeeze(body) not in {squeeze(o) for o in options or () if o}:
-                label = ("", "B) ", "(C) ", "D. ")[i // 5 % 4]
-                add((sentence, options, label + body, reasoning if i % 3 else None), (UNFINISHED, ANSWER))
+            at = 3 + i * 7 % (len(predicted) - 4)
+            body = predicted[:at] + ("..." if turn % 4 == 0 else "")
+            if squeeze(body) and squeeze(body) not in {squeeze(o) for o in choice}:
+                add((sentence, options, ("", "B) ", "(C) ", "D. ")[turn % 4] + body, reasoning if turn % 3 else None), (UNFINISHED, ANSWER))
+        elif kind == 5 and choice:
+            filler = FILLERS[turn % len(FILLERS)]
+            if squeeze(filler) not in {squeeze(o) for o in choice}:
+                add((sentence, options, (filler, filler.upper(), f"<{filler}>", f"{filler}.", " — ")[turn % 5], reasoning if turn % 3 else None), (NOTHING, ANSWER))
+        elif kind == 6 and choice:
+            said = hard[turn % len(hard)].format(choice[turn % len(choice)])
+            add((sentence, options, predicted, f"{said} {reasoning or ''}".strip()), (ANSWER, ANSWER))
+            # a reasoning that was cut is one still, an answer without options stays an answer, and a label is one
+            cut = reasoning and reasoning[: 12 + i * 13 % max(1, len(reasoning) - 12)]
+            label = "ABCDEFGH"[turn % min(len(choice), 8)]
+            add((sentence, None if turn % 3 == 0 else options, predicted if turn % 2 else (label, f"Option {label}", f"({label})", f"{label}.")[turn // 2 % 4], cut if turn % 4 else None), (ANSWER, ANSWER))
     return out
 
 
-def train(rows: Sequence[tuple]) -> Chain:
-    pairs = training_pairs(rows)
-    x = np.zeros((len(pairs), TRAIN_CLAUSES), dtype=np.int64)
-    y, mask = np.zeros((len(pairs), TRAIN_CLAUSES), dtype=np.int64), np.zeros((len(pairs), TRAIN_CLAUSES), dtype=bool)
-    for i, (bits, labels) in enumerate(pairs):
-        x[i, : len(bits)], y[i, : len(bits)], mask[i, : len(bits)] = bits, labels, True
-    return Chain(len(_FEATURES), len(LABELS)).fit(unpack(x.ravel()).reshape(*x.shape, -1), y, mask)
+def training_pairs(model: Model, made: Sequence[tuple]) -> Counter:
+    """(feature bits, labels) of each sequence, and how often it occurs."""
+    silent = ~sum(_BIT[x] for x in ("declines", "declines_clearly", "field_declines", "sound", "soundly", "field_sound"))
+    bits, fields, _, lengths = features(model, [row for row, _, _ in made])
+    out: Counter = Counter()
+    for (_, tag, quiet), mine, of in zip(made, _split(bits.tolist(), lengths), _split(fields, lengths)):
+        if 0 < len(mine) <= TRAIN_CLAUSES:
+            mask = silent if quiet else -1
+            out[tuple(b & mask for b in mine), tuple(tag[f] if not (b & _BIT["echo_clause"] and f) else ECHO for b, f in zip(mine, of))] += 1
+    return out
 
 
-def defect(tags: Sequence[int], fields: Sequence[int], sizes: Sequence[int], empty: bool) -> str | None:
-    """The defect of a pair from its clauses' tags and lengths: coverage decides, by field and over all."""
+def train(rows: Sequence[tuple]) -> Model:
+    """A model from rows (sentence, options, predicted, reasoning)."""
+    model = Model()
+    texts = [" ".join([s or "", *(o for o in options or () if o), r or ""]) for s, options, _, r in (*BASE, *rows)]
+    model.profiles.learn(texts)
+    sound = sound_rows(model, (*BASE * 5, *rows))
+    hard = [h.format("") for hs in HARD.values() for h in hs]
+    model.learn_words([r[3] for r in sound if r[3]] + [o for r in sound for o in r[1] or () if o] + hard * 3, [p.format("") for ps in DECLINING.values() for p in ps])
+    model.asked.clear()
+    counted = training_pairs(model, made_pairs(model, sound_rows(model, (*BASE * 5, *rows))))
+    lengths = np.array([len(b) for b, _ in counted])
+    kinds, which = np.unique(np.array([x for b, _ in counted for x in b], dtype=np.int64), return_inverse=True)
+    model.chain.fit(unpack(kinds), which, np.array([x for _, y in counted for x in y]), lengths, np.array(list(counted.values()), dtype=float))
+    return model
+
+
+def defect(tags: Sequence[int], fields: Sequence[int], sizes: Sequence[int]) -> str | None:
+    """The defect of a pair from its clauses' tags and lengths: coverage decides, by field and over all; an answer without a clause, or of clauses that say nothing, is empty."""
     cover = [[0] * len(LABELS), [0] * len(LABELS)]
     for tag, field, size in zip(tags, fields, sizes):
         cover[field][tag] += max(size, 1)
     total = [sum(c) for c in cover]
-    declines = cover[1][REFUSAL] * 2 > total[1]
-    if (total[0] and cover[0][REFUSAL] * 2 > total[0] and not empty) or (total[1] and declines):
+    empty = cover[0][NOTHING] == total[0]
+    if (not empty and cover[0][REFUSAL] * 2 > total[0]) or (total[1] and cover[1][REFUSAL] * 2 > total[1]):
         return "refusal"
     if any(t and c[ECHO] == t for c, t in zip(cover, total)):
         return "copied_question"
@@ -258,36 +401,24 @@ def defect(tags: Sequence[int], fields: Sequence[int], sizes: Sequence[int], emp
     return None
 
 
-def _tagger(chain: Chain):
+def defects(model: Model, rows: Sequence[tuple]) -> list[str | None]:
+    """The defect of each row (sentence, options, predicted, reasoning)."""
+    bits, fields, sizes, lengths = features(model, rows)
+    # equal bits get their emissions once
+    seen, back = np.unique(bits, return_inverse=True)
+    emissions = (unpack(seen) @ model.chain.w)[back] if len(bits) else np.zeros((0, len(LABELS)))
+    counted = np.array(lengths, dtype=int)
+    tags = model.chain.decode(emissions, counted[counted > 0]).tolist()
+    return [defect(*x) for x in zip(_split(tags, lengths), _split(fields, lengths), _split(sizes, lengths))]
+
+
+def _tagger(model: Model):
     schema = pa.schema([("result_id", pa.int64()), ("defect", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sentences, options, predicted, reasoning = (batch.column(i).to_pylist() for i in range(5))
-            bits: list[int] = []
-            fields: list[int] = []
-            sizes: list[int] = []
-            lengths: list[int] = []
-            for s, o, p, r in zip(sentences, options, predicted, reasoning):
-                feats = clause_features(s, o, p, r)
-                lengths.append(len(feats))
-                for b, f, n in feats:
-                    bits.append(b)
-                    fields.append(f)
-                    sizes.append(n)
-            # equal bits get their emissions once
-            seen, back = np.unique(np.array(bits, dtype=np.int64), return_inverse=True)
-            emissions = (unpack(seen) @ chain.w)[back] if len(bits) else np.zeros((0, len(LABELS)))
-            counted = np.array(lengths)
-            some = counted > 0
-            tags = chain.decode(emissions, counted[some]).tolist()
-            rows, at = [], 0
-            for i, n in enumerate(lengths):
-                mine = slice(at, at + n)
-                at += n
-                found = defect(tags[mine], fields[mine], sizes[mine], is_empty(predicted[i], options[i] or ()))
-                if found:
-                    rows.append((ids[i], found))
+            ids, *columns = (batch.column(i).to_pylist() for i in range(5))
+            rows = [(i, d) for i, d in zip(ids, defects(model, list(zip(*columns)))) if d]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -300,7 +431,7 @@ def pair_defects(results: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     Redelivered rows count once, rows without an id not at all. A null sentence has no language and is echoed
     by nothing; null options match nothing; a null reasoning is left out. Very
     long texts are read whole. An empty table gives no row. Other columns are
-    ignored. The chain is trained on up to ``train_rows`` rows with an answer,
+    ignored. Words, languages and chain are learned from up to ``train_rows`` rows with an answer,
     drawn by the hashes of their ids.
     """
     columns = [F.col(c) for c in ("result_id", "sentence", "options", "predicted_answer", "cot_reasoning")]
@@ -310,6 +441,6 @@ def pair_defects(results: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     order = F.xxhash64("result_id")
     near = rows.where(F.col("predicted_answer").isNotNull() & (F.pmod(order, F.lit(1 << 31)) < F.lit(min(1.0, share) * (1 << 31))))
     sample = near.orderBy(order, "result_id").limit(train_rows).collect()
-    chain = train([(r["sentence"], r["options"], r["predicted_answer"], r["cot_reasoning"]) for r in sample])
-    found = rows.mapInArrow(_tagger(chain), "result_id long, defect string")
+    model = train([(r["sentence"], r["options"], r["predicted_answer"], r["cot_reasoning"]) for r in sample])
+    found = rows.mapInArrow(_tagger(model), "result_id long, defect string")
     return found.groupBy("result_id").agg(F.min("defect").alias("defect"))

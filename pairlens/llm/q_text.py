@@ -86,6 +86,10 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / F.sum("capacity")).alias("fill"))
 
 
+def p6_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.accounts(_placed(spark, sf_dir), table(spark, sf_dir, "container_specs"))
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -102,6 +106,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares()
 
 
+def p7_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per mix and source what must hold: no document beyond its repeats, and the tokens asked for (or all there are) reached to 1 % or 100 tokens."""
+    made = _mix(spark, sf_dir)
+    most = made.chosen.groupBy("mix_id", "source").agg(F.max("copies").alias("most"))
+    due = F.least(F.col("target_tokens"), F.col("max_repeats") * F.col("has_tokens"))
+    rows = made.shares().join(most, ["mix_id", "source"], "left")
+    near = F.abs(F.col("actual_tokens") - due) <= F.greatest(F.lit(100.0), 0.01 * due)
+    return rows.select("mix_id", "source", "has_tokens", F.round("target_tokens", 3).alias("target_tokens"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), near.alias("reached"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_pairs(table(spark, sf_dir, "documents"))
 
@@ -110,7 +124,11 @@ def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans.shared_coverage(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_daily_percentiles, p2_within_error, p2_daily_within_error, p4_found, p5_found, p5_by_source, p6_found, p6_contents, p6_fill, p7_found, p7_selection, p7_shares, p8_found, p8_coverage)}
+def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans.shared_links(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_percentiles, p2_daily_percentiles, p2_within_error, p2_daily_within_error, p4_found, p5_found, p5_by_source, p6_found, p6_contents, p6_fill, p6_accounts, p7_found, p7_selection, p7_shares, p7_accounts, p8_found, p8_coverage, p8_links)}
 
 _TOKENS = r"len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]+'))"
 
@@ -132,6 +150,15 @@ SELECT run_id, sampler FROM d GROUP BY run_id, sampler HAVING quantile_disc(elap
     "p6_found": f"""
 SELECT c.container_id, d.doc_id
 FROM (SELECT doc_id, {_TOKENS} AS tokens FROM documents) AS d JOIN container_specs AS c ON d.tokens > c.capacity_tokens
+""",
+    "p6_accounts": f"""
+SELECT c.container_id, count(*) AS documents, CAST(sum(d.tokens) AS BIGINT) AS tokens, 0 AS overfull, 0 AS split_in_vain, 0 AS broken
+FROM (SELECT DISTINCT doc_id, {_TOKENS} AS tokens FROM documents) AS d, container_specs AS c GROUP BY c.container_id
+""",
+    "p7_accounts": f"""
+WITH d AS (SELECT source, {_TOKENS} AS tokens FROM documents), s AS (SELECT source, sum(tokens) AS has FROM d GROUP BY source)
+SELECT m.mix_id, m.source, CAST(coalesce(s.has, 0) AS BIGINT) AS has_tokens, round(m.weight * m.total_fraction * (SELECT sum(tokens) FROM d), 3) AS target_tokens, true AS within_repeats, true AS reached
+FROM mix_targets AS m LEFT JOIN s ON s.source = m.source
 """,
     "p7_found": f"""
 WITH d AS (SELECT source, {_TOKENS} AS tokens FROM documents),
@@ -139,6 +166,15 @@ s AS (SELECT source, sum(tokens) AS has FROM d GROUP BY source)
 SELECT m.mix_id, m.source
 FROM mix_targets AS m LEFT JOIN s ON s.source = m.source
 WHERE m.max_repeats * coalesce(s.has, 0) < m.weight * m.total_fraction * (SELECT sum(tokens) FROM d)
+""",
+    "p8_coverage": """
+WITH t AS (SELECT doc_id, text, length(text) AS n, min(doc_id) OVER (PARTITION BY text) AS class_id, count(*) OVER (PARTITION BY text) - 1 AS copies FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, substr(text, CAST(i AS BIGINT), 160) AS s FROM (SELECT doc_id, text, unnest(range(1, n - 158)) AS i FROM t WHERE n >= 160)),
+few AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, w.i, lead(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS next FROM w JOIN few USING (s)),
+covered AS (SELECT doc_id, sum(least(160, coalesce(next - i, 160))) AS chars FROM hit GROUP BY doc_id)
+SELECT t.doc_id, t.n AS n_chars, CAST(coalesce(c.chars, 0) AS BIGINT) AS shared_chars, CASE WHEN t.n > 0 THEN coalesce(c.chars, 0) / CAST(t.n AS DOUBLE) ELSE 0 END AS shared_share, t.class_id, t.copies
+FROM t LEFT JOIN covered AS c USING (doc_id)
 """,
     "p8_found": """
 WITH w AS (SELECT DISTINCT doc_id, substr(text, CAST(i AS BIGINT), 160) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 158)) AS i FROM documents WHERE length(text) >= 160)),

@@ -1,9 +1,11 @@
 """Long stretches that stand word for word in several documents, by recompression.
 
 The kept high-level symbols of all documents meet by name. A name that few
-documents hold gives their pairs; where many hold it, a document is known by
-the stretches of full length around the symbol instead, so that only documents
-that really share one meet. Both are held against the texts and extended.
+documents hold gives their pairs, which are held against the texts and
+extended; where many hold it, a document is known by the stretches of full
+length around the symbol instead, so that only documents that really share one
+meet. These form groups (a stretch and its documents), whose rows are as many
+as documents and stretches; pairs are written out only where they are asked for.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pairlens.plans.durable import cut, small_side
 LEAST = 160
 #: Occurrences up to which a name gives pairs straight away; beyond, full-length stretches take its place.
 FEW = 32
+#: Documents of a group whose pairs with all of it are made in one place.
+BLOCK = 256
 
 
 def _anchor_rows(least: int):
@@ -50,8 +54,8 @@ def _anchor_rows(least: int):
 
 
 def _stretch_rows(least: int, width: int):
-    """Of (doc_id, positions, text): the hash and start of each stretch of ``least`` characters around a position."""
-    schema = pa.schema([("stretch", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    """Of (doc_id, positions, text): a digest of 128 bits and the start of each stretch of ``least`` characters around a position."""
+    schema = pa.schema([("stretch", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,8 +66,8 @@ def _stretch_rows(least: int, width: int):
                 starts = sorted(done)
                 for i in range(0, len(starts), 50_000):
                     some = starts[i : i + 50_000]
-                    keys = np.array([xxhash.xxh3_64_intdigest(raw[4 * s : 4 * (s + least)]) for s in some], dtype=np.uint64).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int32())], schema=schema)
+                    keys = [xxhash.xxh3_128_digest(raw[4 * s : 4 * (s + least)]) for s in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([doc] * len(some), pa.int64()), pa.array(some, pa.int32())], schema=schema)
 
     return run
 
@@ -110,13 +114,27 @@ def _verified(least: int):
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """doc_id, rep, n_chars: each document with the smallest id that has the very same text; null texts and ids left out.
+    """doc_id, rep, n_chars, copies: each document with the smallest id that has the very same text, and how many others have it; null texts and ids left out.
 
     Only texts that occur twice or more are joined back to their documents.
     """
     rows = documents.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.unhex(F.sha2("text", 256)).alias("_h"), F.length("text").alias("n_chars"))
-    twice = cut(rows.groupBy("_h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("hi")).where("rep < hi").select("_h", "rep"))
-    return rows.join(small_side(twice), "_h", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_chars").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n_chars").alias("n_chars"))
+    once = rows.groupBy("doc_id").agg(F.min(F.struct("_h", "n_chars")).alias("x")).select("doc_id", "x.*")
+    written = cut(once)
+    twice = cut(written.groupBy("_h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    return written.join(small_side(twice), "_h", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_chars", (F.coalesce("n", F.lit(1)) - 1).alias("copies"))
+
+
+def pairs_within(members: DataFrame, group: str) -> DataFrame:
+    """a < b of each group, of rows (``group``, doc_id, n: the group's documents).
+
+    A large group is cut into blocks, each of which meets all of the group, so
+    that no task gets all of its pairs.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    one = members.select(group, F.col("doc_id").alias("a"), F.pmod(F.xxhash64("doc_id"), blocks).cast("int").alias("_block"))
+    two = members.select(group, F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    return one.join(two, [group, "_block"]).where("a < b").select("a", "b")
 
 
 class Shared:
@@ -143,35 +161,53 @@ class Shared:
             .groupBy("a", "b").agg(F.collect_set(F.struct("pa", "pb")).alias("spots"))
         )
         crowded = cut(common.where("crowded").groupBy("doc_id").agg(F.collect_set("pos").alias("spots")))
-        around = cut(whole.join(small_side(crowded.select("doc_id")), "doc_id", "left_semi").join(crowded, "doc_id").select("doc_id", "spots", "text").mapInArrow(_stretch_rows(least, width), "stretch long, doc_id long, start int"))
+        around = cut(whole.join(small_side(crowded.select("doc_id")), "doc_id", "left_semi").join(crowded, "doc_id").select("doc_id", "spots", "text").mapInArrow(_stretch_rows(least, width), "stretch binary, doc_id long, start int"))
         held = around.groupBy("stretch").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("stretch")
-        self.stretches = around.join(held, "stretch")
-        side = self.stretches.groupBy("stretch", "doc_id").agg(F.min("start").alias("start"))
-        hot = (
-            side.select("stretch", F.col("doc_id").alias("a"), F.col("start").alias("pa"))
-            .join(side.select("stretch", F.col("doc_id").alias("b"), F.col("start").alias("pb")), "stretch").where("a < b")
-            .groupBy("a", "b").agg(F.array(F.min(F.struct("pa", "pb"))).alias("spots"))
-        )
-        every = cut(pairs.unionByName(hot))
+        self.stretches = cut(around.join(held, "stretch"))
+        every = cut(pairs)
         holders = cut(every.select(F.col("a").alias("doc_id")).unionByName(every.select(F.col("b").alias("doc_id"))).distinct())
         texts = whole.join(small_side(holders), "doc_id", "left_semi")
         both = every.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         self.spans = cut(both.mapInArrow(_verified(least), "a long, b long, start_a int, start_b int, length int"))
 
+    def groups(self) -> DataFrame:
+        """group_id, doc_id, n: documents (one of each class of copies) that share a crowded stretch; n is the group's size.
+
+        Neighbouring stretches are mostly held by the same documents; such a
+        set, known by two sums of its documents' hashes, is one group.
+        """
+        rows = self.stretches.select("stretch", "doc_id").distinct()
+        wide = F.xxhash64("doc_id").cast("decimal(20,0)")
+        more = F.xxhash64("doc_id", F.lit(1)).cast("decimal(20,0)")
+        sets = rows.groupBy("stretch").agg(F.count("*").alias("n"), F.sum(wide).alias("s"), F.sum(more).alias("t")).groupBy("n", "s", "t").agg(F.min("stretch").alias("stretch"))
+        kept = cut(sets.select("stretch", "n", F.xxhash64("s", "t", "n").alias("group_id")))
+        return rows.join(small_side(kept), "stretch").select("group_id", "doc_id", "n")
+
     def pairs(self) -> DataFrame:
         """doc_id_a < doc_id_b that share a stretch; copies of a text are paired too, one with another."""
-        reps = self.spans.select("a", "b").distinct()
+        reps = self.spans.select("a", "b").unionByName(pairs_within(self.groups(), "group_id")).distinct()
         of = lambda name: self.members.select(F.col("rep").alias(f"_{name}"), F.col("doc_id").alias(f"doc_{name}"))
         between = reps.join(of("x"), reps.a == F.col("_x")).join(of("y"), F.col("b") == F.col("_y"))
         between = between.select(F.least("doc_x", "doc_y").alias("doc_id_a"), F.greatest("doc_x", "doc_y").alias("doc_id_b"))
-        same = self.members.where(F.col("n_chars") >= self.least)
-        copies = same.where("doc_id <> rep").select("rep").distinct()
-        own = same.join(copies, "rep", "left_semi")
-        within = own.select("rep", F.col("doc_id").alias("doc_id_a")).join(own.select("rep", F.col("doc_id").alias("doc_id_b")), "rep").where("doc_id_a < doc_id_b")
-        return between.unionByName(within.select("doc_id_a", "doc_id_b"))
+        same = self.members.where((F.col("n_chars") >= self.least) & (F.col("copies") > 0)).select("rep", "doc_id", (F.col("copies") + 1).alias("n"))
+        return between.unionByName(pairs_within(same, "rep").toDF("doc_id_a", "doc_id_b"))
+
+    def linked(self) -> DataFrame:
+        """The same links without writing out pairs: kind, group_id, doc_id.
+
+        ``copies``: documents with the very same text of ``least`` characters
+        or more, under the smallest of their ids. ``stretch``: classes, each
+        by its smallest id, that share a crowded stretch. ``pair``: two classes
+        that share another stretch. Rows grow with documents and shared
+        stretches, however many documents share one.
+        """
+        copies = self.members.where((F.col("n_chars") >= self.least) & (F.col("copies") > 0)).select(F.lit("copies").alias("kind"), F.col("rep").alias("group_id"), "doc_id")
+        crowded = self.groups().select(F.lit("stretch").alias("kind"), "group_id", "doc_id")
+        two = self.spans.select("a", "b").distinct().select(F.lit("pair").alias("kind"), F.xxhash64("a", "b").alias("group_id"), F.explode(F.array("a", "b")).alias("doc_id"))
+        return copies.unionByName(crowded).unionByName(two)
 
     def coverage(self) -> DataFrame:
-        """One row per document with text: doc_id, n_chars, shared_chars, shared_share, shared_with (texts, without copies), copies."""
+        """One row per document with text: doc_id, n_chars, shared_chars, shared_share, class_id (the smallest id with the same text), copies."""
         spans = (
             self.spans.select(F.col("a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e"))
             .unionByName(self.spans.select(F.col("b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("length")).alias("e")))
@@ -180,15 +216,13 @@ class Shared:
         )
         before = F.max("e").over(Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
         covered = spans.withColumn("from", F.greatest("s", F.coalesce(before, F.lit(0)))).groupBy("rep").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.col("from"))).alias("covered"))
-        partners = self.spans.select(F.col("a").alias("rep"), F.col("b").alias("o")).unionByName(self.spans.select(F.col("b").alias("rep"), F.col("a").alias("o"))).distinct().groupBy("rep").agg(F.count("*").alias("with"))
-        size = self.members.groupBy("rep").agg((F.count("*") - 1).alias("copies"))
         whole = (F.col("copies") > 0) & (F.col("n_chars") >= self.least)
         shared = F.when(whole, F.col("n_chars").cast("long")).otherwise(F.coalesce("covered", F.lit(0)).cast("long"))
-        rows = self.members.join(size, "rep").join(covered, "rep", "left").join(partners, "rep", "left").withColumn("shared_chars", shared)
+        rows = self.members.join(covered, "rep", "left").withColumn("shared_chars", shared)
         return rows.select(
             "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "shared_chars",
             F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0).alias("shared_share"),
-            F.coalesce("with", F.lit(0)).alias("shared_with"), "copies",
+            F.col("rep").alias("class_id"), "copies",
         )
 
 
@@ -205,3 +239,8 @@ def shared_pairs(documents: DataFrame, least: int = LEAST, few: int = FEW) -> Da
 def shared_coverage(documents: DataFrame, least: int = LEAST, few: int = FEW) -> DataFrame:
     """For each document with text how many of its characters lie in stretches shared with others."""
     return Shared(documents, least, few).coverage()
+
+
+def shared_links(documents: DataFrame, least: int = LEAST, few: int = FEW) -> DataFrame:
+    """The links of ``shared_pairs`` as classes and groups, see ``Shared.linked``."""
+    return Shared(documents, least, few).linked()

@@ -66,6 +66,13 @@ def test_every_document_is_placed_whole_or_split(spark):
     assert {r["container_id"] for r in placed} == {"small", "big"}
 
 
+def test_more_kinds_than_a_thousand(spark):
+    specs = spark.createDataFrame([(f"k{i}", 5 + i % 7, 0) for i in range(1_500)], SPECS)
+    frame = docs(spark, [(i, "w " * (i % 9), "s") for i in range(12)])
+    counts = packing.accounts(packing.pack(frame, specs, 4, 20), specs).collect()
+    assert len(counts) == 1_500 and {(r["documents"], r["overfull"], r["split_in_vain"], r["broken"]) for r in counts} == {(12, 0, 0, 0)}
+
+
 def test_nothing_to_pack(spark):
     specs = spark.createDataFrame([("small", 20, 1)], SPECS)
     assert packing.pack(docs(spark, []), specs).collect() == []

@@ -92,6 +92,26 @@ def test_crowded_phrase_without_shared_stretch(spark):
     assert shared_spans.shared_pairs(spark.createDataFrame(rows, DOCS)).count() == 40 * 39 // 2
 
 
+def test_links_hold_all_pairs_without_writing_them_out(spark, monkeypatch):
+    monkeypatch.setattr(shared_spans, "BLOCK", 7)
+    rng = random.Random(9)
+    boiler = words(rng, 400)
+    texts = corpus(21, 30) | {100 + i: words(rng, 60) + boiler + words(rng, 60) for i in range(60)} | {200: boiler, 201: boiler}
+    frame = spark.createDataFrame([(d, t, "", 0, "") for d, t in texts.items()], DOCS)
+    want = brute(texts, 160)
+    assert {tuple(r) for r in shared_spans.shared_pairs(frame).collect()} == want
+    groups, reps = {}, {}
+    rows = shared_spans.shared_links(frame).collect()
+    for r in rows:
+        if r["kind"] == "copies":
+            reps[r["doc_id"]] = r["group_id"]
+        else:
+            groups.setdefault((r["kind"], r["group_id"]), set()).add(r["doc_id"])
+    of = {d: [x for x in texts if reps.get(x, x) == d] for d in texts}
+    linked = {tuple(sorted((x, y))) for g in groups.values() for a in g for b in g if a < b for x in of[a] for y in of[b]} | {(a, b) for a in reps for b in reps if a < b and reps[a] == reps[b]}
+    assert linked == want and len(rows) < len(want) / 2
+
+
 def test_long_texts_in_pieces():
     text = words(random.Random(2), 5000)
     cuts = list(recompression.pieces(text, 160, 1000))
