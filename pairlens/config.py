@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
-from pairlens.errors import ConfigurationError
+from pairlens.errors import ConfigurationError, ValidationError
 
 PREFIX = "PAIRLENS_"
 _REFERENCE = re.compile(r"\$\{([^}]+)\}")
@@ -25,21 +25,36 @@ class Setting:
     choices: tuple = ()
     item: type | None = None
     fields: dict | None = None
+    about: str = ""
 
 
 # Settings with their defaults and ranges.
 SETTINGS: dict[str, Setting] = {
-    "benchmark": Setting(str, required=True),
-    "output_dir": Setting(str, "results"),
-    "limit": Setting(int, None, low=1),
-    "log_level": Setting(str, "INFO", choices=("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")),
-    "enable_cluster_history": Setting(bool, False),
-    "p_values": Setting(list, [0.9], low=0.0, high=1.0, item=float),
-    "cluster_params": Setting(dict, {}, fields={"k": Setting(int, 8, low=1, high=100), "top_n": Setting(int, 50, low=1, high=1000)}),
-    "clustering_method": Setting(str, "dbscan", choices=("kmeans", "dbscan", "hierarchical")),
-    "dbscan_eps": Setting(float, 0.3, low=0.01, high=10.0),
-    "dbscan_min_samples": Setting(int, 2, low=1, high=100),
-    "hierarchical_linkage": Setting(str, "average", choices=("average", "single", "complete", "ward")),
+    "model_path": Setting(str, about="name or path of the model that makes the logits"),
+    "benchmark": Setting(str, required=True, about="path of the questions"),
+    "output_dir": Setting(str, "results", about="where results and reports go"),
+    "limit": Setting(int, None, low=1, about="questions to take, all if unset"),
+    "include_cot": Setting(bool, True, about="ask for a reasoning before the answer"),
+    "log_level": Setting(str, "INFO", choices=("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL"), about="what is logged"),
+    "load_in_4bit": Setting(bool, False, about="have the model in 4 bits"),
+    "enable_caching": Setting(bool, True, about="keep vectors and clusters"),
+    "debug_mode": Setting(bool, False, about="log each decision"),
+    "enable_cluster_history": Setting(bool, False, about="record clusters and their masses"),
+    "p_values": Setting(list, [0.9], low=0.0, high=1.0, item=float, about="nucleus sizes"),
+    "cluster_params": Setting(dict, {}, about="clusters and candidates", fields={
+        "k": Setting(int, 8, low=1, high=100, about="clusters"),
+        "top_n": Setting(int, 50, low=1, high=1000, about="candidates"),
+        "cache_size": Setting(int, 1000, low=0, about="entries kept"),
+    }),
+    "clustering_method": Setting(str, "dbscan", choices=("kmeans", "dbscan", "hierarchical"), about="how candidates are clustered"),
+    "dbscan_eps": Setting(float, 0.3, low=0.01, high=10.0, about="distance of neighbours"),
+    "dbscan_min_samples": Setting(int, 2, low=1, high=100, about="neighbours of a core"),
+    "hierarchical_linkage": Setting(str, "average", choices=("average", "single", "complete", "ward"), about="distance of clusters"),
+    "performance": Setting(dict, {}, about="size and time of the work", fields={
+        "batch_size": Setting(int, 1, low=1, high=100, about="questions at once"),
+        "memory_limit_gb": Setting(float, None, low=0.1, about="memory"),
+        "timeout_seconds": Setting(int, 3600, low=1, about="seconds an operation may take"),
+    }),
 }
 
 
@@ -120,7 +135,7 @@ def validate(given: dict[str, Any], settings: dict[str, Setting] | None = None,
             value = float(value) if s.kind is float and isinstance(value, int) else value
         out[name] = value
     if errors:
-        raise ConfigurationError("; ".join(errors), {"errors": errors})
+        raise ValidationError("; ".join(errors), {"errors": errors})
     return out, unknown
 
 
@@ -157,3 +172,21 @@ def template() -> dict[str, Any]:
         return {k: fill(s.fields) if s.fields is not None else ("..." if s.required else s.default) for k, s in settings.items()}
 
     return fill(SETTINGS)
+
+
+def described(settings: dict[str, Setting] | None = None, at: str = "") -> list[tuple[str, str, str, str]]:
+    """Name, type, default and purpose of each setting, for a manual."""
+    out = []
+    for name, s in (SETTINGS if settings is None else settings).items():
+        out.append((at + name, s.kind.__name__, "required" if s.required else "" if s.default is None else str(s.default), s.about))
+        if s.fields is not None:
+            out.extend(described(s.fields, f"{at}{name}."))
+    return out
+
+
+def switch(given: bool | None, name: str, otherwise: bool = False, env: dict[str, str] | None = None) -> bool:
+    """A switch: as given, else as the environment says in words like yes or off, else ``otherwise``."""
+    if given is not None:
+        return given
+    said = (os.environ if env is None else env).get(PREFIX + name.upper(), "").strip().lower()
+    return True if said in ("true", "1", "yes", "on") else False if said in ("false", "0", "no", "off") else otherwise

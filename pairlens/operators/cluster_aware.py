@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators import category, clustering
 from pairlens.operators import logits as lg
-from pairlens.operators import samplers
 
 
 @dataclass(frozen=True)
@@ -66,20 +67,16 @@ def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: ClusterSpec
     return labelled.withColumn("cluster_id", F.when(F.col("n") > spec.bypass, F.col("cluster_id")))
 
 
-def select(logits: DataFrame, embeddings: DataFrame | None, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
-    """ctx_id, sampler, token_id, cluster_id (null where the context wasn't clustered).
+def select(logits: DataFrame, embeddings: DataFrame | None, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """ctx_id, sampler, token_id, cluster_id (null where the context wasn't clustered), and the token's ``carry`` columns.
 
-    One cluster for all is the highest logit, which the plan then is. A context
-    without candidates gives no row. Candidates without a vector are alone
-    under ``dbscan`` and zero vectors elsewhere.
+    A context without candidates gives no row. Candidates without a vector are
+    alone under ``dbscan`` and zero vectors elsewhere.
     """
-    if spec.method == "single" and embeddings is not None:
-        rows = samplers.best(lg.candidates(logits, allowed, spec.top, spec.dynamic))
-        return rows.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", F.lit(None).cast("int").alias("cluster_id"))
     rows = clustered(logits, embeddings, spec, allowed)
     # a context that isn't clustered is one group without an id, so its highest logit wins
-    chosen = category.best_cluster(category.SCORES[spec.category](category.mass(rows)))
-    return chosen.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", "cluster_id")
+    chosen = category.best_cluster(category.SCORES[spec.category](category.mass(rows, *carry)))
+    return chosen.select("ctx_id", F.lit("dcbs").alias("sampler"), "token_id", "cluster_id", *carry)
 
 
 def history(logits: DataFrame, embeddings: DataFrame, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
@@ -93,12 +90,69 @@ def history(logits: DataFrame, embeddings: DataFrame, spec: ClusterSpec = DEFAUL
     return per.select("ctx_id", "candidate_count", "num_clusters", "clusters", F.col("b.cluster_id").alias("selected_cluster"), F.col("b.token_id").alias("selected_token"))
 
 
+def statistics(logits: DataFrame, spec: ClusterSpec = DEFAULT, allowed: DataFrame | None = None) -> DataFrame:
+    """One row: contexts decided, those clustered, those taken by their highest logit, and candidates in all."""
+    sizes = lg.candidates(logits, allowed, spec.top, spec.dynamic).groupBy("ctx_id").agg(F.count("*").alias("n"))
+    return sizes.agg(
+        F.count("*").alias("total_samples"), F.count_if(F.col("n") > spec.bypass).alias("clustering_calls"),
+        F.count_if(F.col("n") <= spec.bypass).alias("bypassed"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
+
+
+def _labels(specs: dict[str, ClusterSpec]):
+    """All specs' labels of one context's points; specs that ask for the same share them."""
+
+    def of(points: np.ndarray) -> dict[str, np.ndarray]:
+        made: dict[tuple, np.ndarray] = {}
+        out = {}
+        for name, s in specs.items():
+            key = (s.method, s.epsilon, s.min_samples) if s.method == "dbscan" else (s.method, s.clusters, s.linkage)
+            if key not in made:
+                n = len(points)
+                made[key] = (
+                    clustering.density(points, s.epsilon, s.min_samples) if s.method == "dbscan"
+                    else clustering.agglomerative(points, min(s.clusters, n), s.linkage) if s.method == "hierarchical"
+                    else clustering.euclidean_kmeans(points, s.clusters) if s.method == "euclidean"
+                    else np.zeros(n, dtype=int) if s.method == "single"
+                    else clustering.spherical_kmeans(points, clustering.k_for(n, s.clusters)))
+            out[name] = made[key]
+        return out
+
+    return of
+
+
 def sweep(logits: DataFrame, embeddings: DataFrame, specs: dict[str, ClusterSpec], allowed: DataFrame | None = None) -> DataFrame:
-    """Selections of several specs, one under another, named by ``config``."""
+    """Selections of several specs, one under another, named by ``config``: config, ctx_id, token_id, cluster_id.
+
+    Specs with the same candidates share them: a context's candidates meet
+    once, and all clusterings of it are made in one place.
+    """
+    groups: dict[tuple, dict[str, ClusterSpec]] = {}
+    for name, s in specs.items():
+        groups.setdefault((s.top, s.dynamic, s.normalize, s.bypass, s.category), {})[name] = s
     out = None
-    for name, spec in specs.items():
-        rows = select(logits, embeddings, spec, allowed).withColumn("config", F.lit(name))
-        out = rows if out is None else out.unionByName(rows)
+    for (top, dynamic, normalize, bypass, score), mine in groups.items():
+        cand = lg.softmax(lg.candidates(logits, allowed, top, dynamic)).withColumn("n", F.count("*").over(lg.ctx()))
+        rows = clustering.per_context_each(cand, embeddings, _labels(mine), normalize)
+        # a context of one spec is a context of its own
+        keyed = rows.withColumn("ctx_id", F.struct("ctx_id", "config")).withColumn("cluster_id", F.when(F.col("n") > bypass, F.col("cluster_id")))
+        chosen = category.best_cluster(category.SCORES[score](category.mass(keyed))).select("ctx_id.config", "ctx_id.ctx_id", "token_id", "cluster_id")
+        out = chosen if out is None else out.unionByName(chosen)
     return out
 
 
+# The search space of the clustering methods.
+GRID = {
+    "kmeans": {"clusters": (4, 8, 16), "top": (30, 50)},
+    "dbscan": {"epsilon": (0.2, 0.3, 0.5), "min_samples": (1, 2, 3)},
+    "hierarchical": {"clusters": (4, 8, 16), "linkage": ("average", "complete")},
+}
+
+
+def grid(space: dict[str, dict[str, tuple]] = GRID) -> dict[str, ClusterSpec]:
+    """All specs of a search space by name: the product of each method's parameters."""
+    out = {}
+    for method, parameters in space.items():
+        for values in product(*parameters.values()):
+            given = dict(zip(parameters, values))
+            out[" ".join([method, *(f"{k}={v}" for k, v in given.items())])] = ClusterSpec(method=method, **given)
+    return out

@@ -1,15 +1,16 @@
 """Grouping the candidates of each context by the similarity of their vectors.
 
-The epsilon edges of the vocabulary are found once, in blocks; a context's
-edges are two equi-joins away. Components are then found inside one row per
+The epsilon edges of the vocabulary are found once, in blocks, each pair of
+which is one product of matrices. Components are then found inside one row per
 context (at most 100 candidates) by built-in functions. Iterative methods run
-over batches of contexts in Arrow. Every method adds cluster_id, the lowest
-token of the cluster, to rows (ctx_id, token_id, rank, ...).
+over batches of contexts in Arrow, where tokens look their vectors up. Every
+method adds cluster_id, the lowest token of the cluster, to rows (ctx_id,
+token_id, rank, ...).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,35 +20,60 @@ from pyspark.sql import types as T
 
 from pairlens.functions import vectors
 from pairlens.operators.logits import ctx
-from pairlens.plans.durable import SMALL_ROWS, cut
+from pairlens.plans.durable import cut, small_side
 
 #: Defaults of the density method.
 EPSILON, MIN_SAMPLES = 0.3, 2
-#: Blocks of the vocabulary: each pair of blocks is compared in one place, in parallel.
-BLOCKS = 8
+#: Vectors of a block of the vocabulary: each pair of blocks is compared in one place, all pairs in parallel.
+BLOCK_VECTORS = 1_024
 #: Numbers that a vocabulary's vectors may have to be broadcast: 32 MB.
 SMALL_VALUES = 4_000_000
 
 
-def normalized_vocabulary(embeddings: DataFrame) -> DataFrame:
-    """token_id, vec as doubles of norm 1 (a zero vector stays zero); null vectors are left out."""
-    return embeddings.where(F.col("vec").isNotNull()).select("token_id", vectors.normalized(vectors.as_double("vec")).alias("vec"))
+def _matrix(vectors_: list[list[float]], width: int) -> np.ndarray:
+    """Rows of norm 1; shorter vectors are filled with zeros, and zero vectors stay."""
+    out = np.zeros((len(vectors_), width))
+    for i, v in enumerate(vectors_):
+        out[i, : len(v)] = v
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), vectors.TINY)
 
 
-def epsilon_edges(embeddings: DataFrame, epsilon: float, blocks: int = BLOCKS) -> DataFrame:
+def _near(epsilon: float):
+    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two in zip(batch.column(0), batch.column(1)):
+                one = one.as_py()
+                # a block with itself comes without the other
+                other = two.as_py() if two.is_valid else one
+                width = max(len(x["vec"]) for x in (*one, *other))
+                distance = 1 - _matrix([x["vec"] for x in one], width) @ _matrix([x["vec"] for x in other], width).T
+                i, j = np.nonzero(distance <= epsilon)
+                if not two.is_valid:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    left, right = np.array([x["token_id"] for x in one], dtype=np.int32)[i], np.array([x["token_id"] for x in other], dtype=np.int32)[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(distance[i, j])], schema=schema)
+
+    return run
+
+
+def epsilon_edges(embeddings: DataFrame, epsilon: float, block: int = BLOCK_VECTORS) -> DataFrame:
     """a < b and their cosine distance, where it is at most ``epsilon``.
 
     All pairs of vectors are compared, as the definition asks, in pairs of
-    blocks: a vector goes to ``blocks`` of them, none is sent everywhere.
+    blocks of about ``block`` vectors: a vector goes to as many places as there
+    are blocks, none is sent everywhere. Null vectors are left out.
     """
-    v = normalized_vocabulary(embeddings).withColumn("_block", F.pmod(F.hash("token_id"), F.lit(blocks)))
-    spread = v.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        "token_id", "vec", "_block", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"))
-    one = spread.where("_block = _lo").select("_lo", "_hi", F.col("token_id").alias("t"), F.col("vec").alias("v"))
-    two = spread.where("_block = _hi").select("_lo", "_hi", F.col("token_id").alias("u"), F.col("vec").alias("w"))
-    met = one.join(two, ["_lo", "_hi"]).where((F.col("t") != F.col("u")) & ((F.col("_lo") != F.col("_hi")) | (F.col("t") < F.col("u"))))
-    distance = 1 - vectors.dot(F.col("v"), F.col("w"))
-    return met.select(F.least("t", "u").alias("a"), F.greatest("t", "u").alias("b"), distance.alias("distance")).where(F.col("distance") <= epsilon)
+    v = embeddings.where(F.col("vec").isNotNull()).select(F.col("token_id").cast("int").alias("token_id"), vectors.as_double("vec").alias("vec"))
+    blocks = max(1, -(-v.count() // block))
+    packed = v.groupBy(F.pmod(F.xxhash64("token_id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("token_id", "vec")).alias("_members"))
+    spread = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("_block", "_members", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"))
+    met = spread.groupBy("_lo", "_hi").agg(F.max_by("_members", -F.col("_block")).alias("one"), F.max(F.when(F.col("_block") == F.col("_hi"), F.struct("_block", "_members"))).alias("_x"), F.count("*").alias("_n"))
+    # a pair whose second block is empty has one member row, as a block with itself
+    pairs = met.where((F.col("_n") == 2) | (F.col("_lo") == F.col("_hi"))).select("one", F.when(F.col("_lo") != F.col("_hi"), F.col("_x._members")).alias("two"))
+    return pairs.mapInArrow(_near(epsilon), "a int, b int, distance double")
 
 
 def context_edges(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -68,10 +94,7 @@ def components(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     broadcast; else they are joined by token.
     """
     kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id")]
-    written = cut(edges.select("a", "b"))
-    near = written.groupBy(F.col("a").alias("token_id")).agg(F.collect_list(F.col("b").cast("int")).alias("_near"))
-    if written.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        near = F.broadcast(near)
+    near = small_side(cut(edges.groupBy(F.col("a").alias("token_id")).agg(F.collect_list(F.col("b").cast("int")).alias("_near"))))
     rows = candidates.withColumn("token_id", F.col("token_id").cast("int")).join(near, "token_id", "left")
     met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("token_id", *kept, "_near"))).alias("c"))
     met = met.withColumn("t", F.transform("c", lambda x: x["token_id"]))
@@ -131,26 +154,21 @@ def spherical_kmeans(points: np.ndarray, k: int, seed: int = 42, rounds: int = 1
     return labels
 
 
-def euclidean_kmeans(points: np.ndarray, k: int, seed: int = 42, rounds: int = 10, tries: int = 4) -> np.ndarray:
-    """Labels by Euclidean distance with a fixed number of rounds: the best of several seeded starts, the first on ties."""
+def euclidean_kmeans(points: np.ndarray, k: int, seed: int = 42, rounds: int = 10) -> np.ndarray:
+    """Labels by Euclidean distance after a fixed number of rounds from one seeded start; empty clusters keep their centre."""
     n = len(points)
     if n <= k or k < 1:
         return np.arange(n)
-    rng, best = np.random.RandomState(seed), None
-    for _ in range(tries):
-        centres = points[rng.permutation(n)[:k]].copy()
-        for _ in range(rounds):
-            labels = ((points[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
-            for c in np.unique(labels):
-                centres[c] = points[labels == c].mean(0)
-        cost = ((points - centres[labels]) ** 2).sum()
-        if best is None or cost < best[0] - 1e-12:
-            best = (cost, labels)
-    return best[1]
-
-
-def agglomerative(points: np.ndarray, k: int, linkage: str = "average") -> np.ndarray:
-    """Labels after merging the two nearest clusters until k are left; nearest by linkage, the first pair on ties.
+    centres = points[np.random.RandomState(seed).permutation(n)[:k]].copy()
+    for _ in range(rounds):
+        labels = ((points[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        for c in np.unique(labels):
+            centres[c] = points[labels == c].mean(0)
+    return labels
+
+
+def agglomerative(points: np.ndarray, k: int, linkage: str = "average", furthest: float = np.inf) -> np.ndarray:
+    """Labels after merging the two nearest clusters until k are left or none are within ``furthest``; nearest by linkage, the first pair on ties.
 
     Distances are cosine, for ``ward`` squared Euclidean; after a merge they
     are updated by the Lance-Williams rule of the linkage.
@@ -164,6 +182,8 @@ def agglomerative(points: np.ndarray, k: int, linkage: str = "average") -> np.nd
     size, labels, alive = np.ones(n), np.arange(n), np.ones(n, dtype=bool)
     for _ in range(n - min(k, n)):
         i, j = divmod(int(d.argmin()), n)
+        if d[i, j] > furthest:
+            break
         i, j = min(i, j), max(i, j)
         a, b, between = d[i].copy(), d[j].copy(), d[i, j]
         if linkage == "single":
@@ -212,53 +232,85 @@ def density(points: np.ndarray, epsilon: float, min_samples: int) -> np.ndarray:
     return labels
 
 
-def _points(members: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _looked_up(embeddings: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """Tokens in order and their vectors, if these are at most ``SMALL_VALUES`` numbers."""
+    vec = embeddings.where(F.col("vec").isNotNull()).select(F.col("token_id").cast("int").alias("token_id"), vectors.as_double("vec").alias("vec"))
+    total, width = vec.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    if total > SMALL_VALUES or vec.count() * max(width, 1) > SMALL_VALUES:
+        return None
+    rows = sorted(vec.collect(), key=lambda r: r["token_id"])
+    points = np.zeros((len(rows), max(width, 1)))
+    for i, r in enumerate(rows):
+        points[i, : len(r["vec"])] = np.nan_to_num(np.array(r["vec"], dtype=float))
+    return np.array([r["token_id"] for r in rows], dtype=np.int64), points
+
+
+def _points(members: pa.ListArray, known: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the contexts, token ids and vectors of a batch; a missing vector is zero."""
     flat = members.flatten()
-    ids, vec = flat.field("token_id").to_numpy(zero_copy_only=False), flat.field("vec")
+    ids = flat.field("token_id").to_numpy(zero_copy_only=False)
+    offsets = members.offsets.to_numpy()
+    if known is not None:
+        tokens, rows = known
+        points = np.zeros((len(ids), rows.shape[1]))
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, ids), len(tokens) - 1)
+            there = tokens[at] == ids
+            points[there] = rows[at[there]]
+        return offsets - offsets[0], ids, points
+    vec = flat.field("vec")
     sizes = np.diff(vec.offsets.to_numpy()) if len(vec) else np.zeros(0, dtype=int)
     sizes = np.where(vec.is_null().to_numpy(zero_copy_only=False), 0, sizes)
     width = int(sizes.max()) if len(sizes) and sizes.max() else 1
     points, values = np.zeros((len(ids), width)), vec.flatten().to_numpy(zero_copy_only=False)
     points[np.arange(width)[None] < sizes[:, None]] = np.nan_to_num(values)
-    offsets = members.offsets.to_numpy()
     return offsets - offsets[0], ids, points
 
 
-def per_context(candidates: DataFrame, embeddings: DataFrame, labels, normalize: bool = True) -> DataFrame:
-    """Adds cluster_id by ``labels(points)``, a function of a context's vectors in the order of their rank.
+def per_context_each(candidates: DataFrame, embeddings: DataFrame, labels: Callable[[np.ndarray], dict[str, np.ndarray]], normalize: bool = True) -> DataFrame:
+    """Adds config and cluster_id: each row once for each entry of ``labels(points)``, a function of a context's vectors in the order of their rank.
 
-    One row per context holds its candidates (at most 100 vectors); a batch of
-    contexts goes through Python at once, and what else a candidate has goes
-    along, so nothing is joined afterwards. A candidate without a vector counts
-    as a zero vector.
+    One row per context holds its candidates, by their tokens alone; a batch of
+    contexts goes through Python at once, where the tokens find their vectors in
+    a broadcast array, and what else a candidate has goes along, so nothing is
+    joined afterwards. Vectors of more than ``SMALL_VALUES`` numbers are joined
+    to the candidates instead. A candidate without a vector counts as a zero
+    vector.
     """
-    kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id")]
-    vec = embeddings.select("token_id", vectors.as_double("vec").alias("vec"))
-    first = vec.select(F.size("vec")).first()
-    if first and max(first[0], 1) * vec.count() <= SMALL_VALUES:
-        vec = F.broadcast(vec)
-    rows = candidates.withColumn("token_id", F.col("token_id").cast("int")).join(vec, "token_id", "left")
-    met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token_id", *[k for k in kept if k != "rank"], "vec"))).alias("c"))
-    schema = T.StructType([candidates.schema["ctx_id"], T.StructField("token_id", T.IntegerType()), *[candidates.schema[k] for k in kept], T.StructField("cluster_id", T.IntegerType())])
+    kept = [c for c in candidates.columns if c not in ("ctx_id", "token_id", "cluster_id", "config")]
+    known = _looked_up(embeddings)
+    rows = candidates.withColumn("token_id", F.col("token_id").cast("int"))
+    if known is None:
+        rows = rows.join(embeddings.select("token_id", vectors.as_double("vec").alias("vec")), "token_id", "left")
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+    met = rows.groupBy("ctx_id").agg(F.array_sort(F.collect_list(F.struct("rank", "token_id", *[k for k in kept if k != "rank"], *(["vec"] if known is None else [])))).alias("c"))
+    schema = T.StructType([candidates.schema["ctx_id"], T.StructField("token_id", T.IntegerType()), *[candidates.schema[k] for k in kept], T.StructField("config", T.StringType()), T.StructField("cluster_id", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, ids, points = _points(batch.column(1))
+            offsets, ids, points = _points(batch.column(1), sent.value)
             if normalize:
                 points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), vectors.TINY)
-            clusters = np.empty(len(ids), dtype=np.int32)
+            clusters: dict[str, np.ndarray] = {}
             for a, b in zip(offsets[:-1], offsets[1:]):
-                found = labels(points[a:b])
-                for c in np.unique(found):
-                    clusters[a:b][found == c] = ids[a:b][found == c].min()
+                for name, found in labels(points[a:b]).items():
+                    mine = clusters.setdefault(name, np.empty(len(ids), dtype=np.int32))[a:b]
+                    for c in np.unique(found):
+                        mine[found == c] = ids[a:b][found == c].min()
             flat = batch.column(1).flatten()
-            which = pa.array(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), flat.field("token_id"), *[flat.field(k) for k in kept], pa.array(clusters)], names=schema.names)
+            owner = batch.column(0).take(pa.array(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))))
+            others = [flat.field(k) for k in kept]
+            for name, found in clusters.items():
+                yield pa.RecordBatch.from_arrays([owner, flat.field("token_id"), *others, pa.array([name] * len(ids)), pa.array(found)], names=schema.names)
 
     return met.mapInArrow(run, schema)
 
 
+def per_context(candidates: DataFrame, embeddings: DataFrame, labels: Callable[[np.ndarray], np.ndarray], normalize: bool = True) -> DataFrame:
+    """Adds cluster_id by ``labels(points)``, see ``per_context_each``."""
+    return per_context_each(candidates, embeddings, lambda x: {"": labels(x)}, normalize).drop("config")
+
+
 def kmeans(candidates: DataFrame, embeddings: DataFrame, configured: int = 8) -> DataFrame:
     return per_context(candidates, embeddings, lambda x: spherical_kmeans(x, k_for(len(x), configured)))
 

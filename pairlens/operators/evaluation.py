@@ -62,13 +62,40 @@ def outcome(one: Column, two: Column, one_name: str = "greedy", two_name: str =
     return F.when(one & two, "both_correct").when(one, f"{one_name}_wins").when(two, f"{two_name}_wins").otherwise("both_wrong")
 
 
-def differences(results: DataFrame, one: str = "greedy", two: str = "dcbs") -> DataFrame:
-    """Contexts on which two samplers pick different tokens, with both tokens, both verdicts and the outcome."""
-    state = F.struct("token_id", "correct")
+def differences(results: DataFrame, one: str = "greedy", two: str = "dcbs", *more: str) -> DataFrame:
+    """Contexts on which two samplers pick different tokens, with both tokens, both verdicts, both values of the columns ``more``, and the outcome."""
+    state = F.struct("token_id", "correct", *more)
     w = results.where(F.col("sampler").isin(one, two)).groupBy("ctx_id").agg(
         F.max(F.when(F.col("sampler") == one, state)).alias("a"), F.max(F.when(F.col("sampler") == two, state)).alias("b"))
     both = w.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a.token_id") != F.col("b.token_id")))
-    return both.select("ctx_id", F.col("a.token_id").alias(f"{one}_token"), F.col("b.token_id").alias(f"{two}_token"), F.col("a.correct").alias(f"{one}_correct"), F.col("b.correct").alias(f"{two}_correct"), outcome(F.col("a.correct"), F.col("b.correct"), one, two).alias("outcome"))
+    return both.select(
+        "ctx_id", F.col("a.token_id").alias(f"{one}_token"), F.col("b.token_id").alias(f"{two}_token"), F.col("a.correct").alias(f"{one}_correct"), F.col("b.correct").alias(f"{two}_correct"),
+        *[F.col(f"{x}.{m}").alias(f"{n}_{m}") for m in more for x, n in (("a", one), ("b", two))], outcome(F.col("a.correct"), F.col("b.correct"), one, two).alias("outcome"))
+
+
+def decisive(differing: DataFrame, one: str = "greedy", two: str = "dcbs") -> DataFrame:
+    """One row: wins of either sampler where only one was right, and the second one's share of them in percent (null of none)."""
+    wins = differing.agg(F.count_if(F.col("outcome") == f"{two}_wins").alias(f"{two}_wins"), F.count_if(F.col("outcome") == f"{one}_wins").alias(f"{one}_wins"))
+    return wins.withColumn(f"{two}_win_pct", F.try_divide(100.0 * F.col(f"{two}_wins"), F.col(f"{two}_wins") + F.col(f"{one}_wins")))
+
+
+def likeliest(probabilities: DataFrame, n: int = 10) -> DataFrame:
+    """ctx_id and "token:p,..." of its n likeliest tokens."""
+    ranked = probabilities.withColumn("r", F.row_number().over(Window.partitionBy("ctx_id").orderBy(F.desc("p"), "token_id"))).where(F.col("r") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("r", F.concat("token_id", F.lit(":"), F.format_string("%.4f", "p")).alias("t"))))
+    return ranked.groupBy("ctx_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), ",").alias("top"))
+
+
+def ranked(rows: DataFrame, score: str, cost: str, name: str) -> DataFrame:
+    """Adds rank: the highest score first, of equal ones the least cost, then the name. For summaries, whose rows are few."""
+    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(score), F.asc_nulls_last(cost), name)))
+
+
+def best_so_far(rows: DataFrame, order: list[str], score: str, cost: str, name: str) -> DataFrame:
+    """Adds best: the name of the best row up to each one, by ``ranked``'s rule. For summaries, whose rows are few."""
+    so_far = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    key = F.struct((-F.col(score)).alias("s"), F.col(cost).isNull().alias("n"), F.col(cost).alias("c"), F.col(name).alias("name"))
+    return rows.withColumn("best", F.min(key).over(so_far)["name"])
 
 
 def divergence(results: DataFrame, one: str = "greedy", two: str = "dcbs") -> DataFrame:

@@ -49,10 +49,14 @@ def allow(logits: DataFrame, allowed: DataFrame | None) -> DataFrame:
     """Only allowed tokens; a context without any row in ``allowed`` (or no table at all) is not filtered."""
     if allowed is None:
         return logits
-    pairs = allowed.select("ctx_id", "token_id").distinct().withColumn("_hit", F.lit(True))
-    filtered = allowed.select("ctx_id").distinct().withColumn("_filtered", F.lit(True))
-    marked = logits.join(pairs, ["ctx_id", "token_id"], "left").join(filtered, "ctx_id", "left")
-    return marked.where(F.col("_hit") | F.col("_filtered").isNull()).drop("_hit", "_filtered")
+    # rows and allowed tokens meet in one grouping by context and token; a context with an allowed token is filtered
+    columns = [c for c in logits.columns if c not in ("ctx_id", "token_id")]
+    mine = logits.select("ctx_id", "token_id", F.struct(*columns).alias("_row"), F.lit(False).alias("_hit"))
+    theirs = allowed.select(F.col("ctx_id").cast(logits.schema["ctx_id"].dataType), F.col("token_id").cast(logits.schema["token_id"].dataType), F.lit(None).cast(mine.schema["_row"].dataType).alias("_row"), F.lit(True).alias("_hit")).distinct()
+    both = mine.unionByName(theirs).repartition("ctx_id")
+    hit, filtered = F.max("_hit").over(Window.partitionBy("ctx_id", "token_id")), F.max("_hit").over(ctx())
+    marked = both.withColumn("_ok", hit).withColumn("_filtered", filtered).where(F.col("_row").isNotNull() & (F.col("_ok") | ~F.col("_filtered")))
+    return marked.select("ctx_id", "token_id", "_row.*")
 
 
 def softmax(logits: DataFrame, temperature: float = 1.0, name: str = "p") -> DataFrame:

@@ -29,13 +29,24 @@ def by_outcome(events: DataFrame) -> DataFrame:
 
 
 def drift(events: DataFrame) -> DataFrame:
-    """Per sequence the disagreements counted at its end and those logged, and whether they agree."""
-    ends = events.where(F.col("event_type") == "sequence_end").groupBy("run_id", "sequence_id").agg(F.sum("disagreement_count").alias("counted"))
-    logged = events.where(F.col("event_type") == "token_disagreement").groupBy("run_id", "sequence_id").agg(F.count("*").alias("logged"))
-    return ends.join(logged, ["run_id", "sequence_id"], "left").fillna(0, ["counted", "logged"]).withColumn("agrees", F.col("counted") == F.col("logged"))
+    """Per sequence the disagreements counted at its end and those logged, and whether they agree.
+
+    One grouping over both kinds of events: a sequence without an end has a
+    null count and doesn't agree, one without logged events has 0 of them.
+    """
+    end, token = F.col("event_type") == "sequence_end", F.col("event_type") == "token_disagreement"
+    rows = events.where(end | token).groupBy("run_id", "sequence_id").agg(F.sum(F.when(end, F.coalesce("disagreement_count", F.lit(0)))).alias("counted"), F.count_if(token).alias("logged"))
+    return rows.withColumn("agrees", F.coalesce(F.col("counted") == F.col("logged"), F.lit(False)))
 
 
 def examples(rows: DataFrame, by: str, order: str, n: int = 10) -> DataFrame:
-    """The first n rows of each group and how many more there are."""
-    rank, size = F.row_number().over(Window.partitionBy(by).orderBy(order)), F.count("*").over(Window.partitionBy(by))
-    return rows.withColumn("pos", rank).withColumn("more", F.greatest(F.lit(0), size - n)).where(F.col("pos") <= n)
+    """The first n rows of each group and how many more there are.
+
+    The rank alone is filtered, so each task keeps n rows of a group before they
+    are exchanged, and sizes are counted apart: a hot group never meets in one
+    task.
+    """
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    first = rows.withColumn("pos", rank).where(F.col("pos") <= n)
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.greatest(F.lit(0), F.count("*") - n).alias("more"))
+    return first.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlens.plans.durable import cut, small_side
+
 
 def numbered(rows: DataFrame, by: str, order: list[str], flag: str) -> DataFrame:
     """timestep (0-based) and the running count of ``flag``."""
@@ -52,3 +54,22 @@ def until_stop(steps: DataFrame, stop_token: int, limit: int = 500, by: str = "s
     w = Window.partitionBy(by).orderBy(at)
     stops = F.coalesce(F.sum((F.col(token) == stop_token).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return steps.withColumn("_stops", stops).withColumn("_n", F.row_number().over(w)).where((F.col("_stops") == 0) & (F.col("_n") <= limit)).drop("_stops", "_n")
+
+
+def split_by_presence(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
+    """``wanted`` with ``present``: whether ``have`` has its key. A null key is never present."""
+    there = have.select(key).where(F.col(key).isNotNull()).distinct().withColumn("present", F.lit(True))
+    return wanted.join(there, key, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def in_order(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Rows numbered from 0 in a total order, without all of them in one task.
+
+    Ranges of the order are sorted side by side and written; each range begins
+    where the counts of those before it end. Equal rows get any of their numbers.
+    """
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = cut(ranged.groupBy("_range").agg(F.count("*").alias("_count")).select("_range", before.alias("_start")))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(small_side(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")

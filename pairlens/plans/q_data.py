@@ -66,6 +66,57 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _examples(spark, sf_dir).select("id", bm.chat_text(turns, bm.DIRECT_LEAD).alias("prompt"))
 
 
+@query(f"""SELECT id, 'System: {bm.REASONING_SYSTEM}' || chr(10) || chr(10) || 'User: ' || question || chr(10) || chr(10) || {LETTERED} || chr(10) || chr(10) || 'Assistant: ' AS prompt FROM benchmark_examples""")
+def reasoning_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = bm.reasoning_messages(F.col("question"), F.col("options"))
+    return _examples(spark, sf_dir).select("id", bm.chat_text(turns, "").alias("prompt"))
+
+
+@query(f"""WITH d AS (SELECT DISTINCT ON (result_id) * FROM detailed_results WHERE cot_reasoning IS NOT NULL)
+SELECT result_id, 'System: {bm.REASONING_SYSTEM}' || chr(10) || chr(10) || 'User: ' || sentence || chr(10) || chr(10) || {LETTERED} || chr(10) || chr(10) || 'Assistant: ' || cot_reasoning || chr(10) || chr(10) || 'User: {bm.FINAL_QUESTION.replace("'", "''")}' || chr(10) || chr(10) || 'Assistant: {bm.REASONED_LEAD}' AS prompt FROM d""")
+def final_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recorded reasoning and the question for the final answer."""
+    rows = table(spark, sf_dir, "detailed_results").where("cot_reasoning IS NOT NULL").select("result_id", "sentence", "options", "cot_reasoning").dropDuplicates(["result_id"])
+    turns = bm.messages(F.col("sentence"), F.col("options"), F.col("cot_reasoning"))
+    return rows.select("result_id", bm.chat_text(turns, bm.REASONED_LEAD).alias("prompt"))
+
+
+_SHAPED = "CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 4"
+
+
+def _arc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions as JSON texts in four shapes."""
+    shape = F.pmod(F.regexp_extract("id", "[0-9]+$", 0).cast("long"), F.lit(4))
+    labels = F.coalesce("choice_labels", F.slice(F.array(*map(F.lit, "ABCDEFGH")), F.lit(1), F.size("options")))
+    both = F.struct(F.col("options").alias("text"), labels.alias("label"))
+    head = lambda choices: F.to_json(F.struct("id", "question", choices.alias("choices"), F.col("answer_key").alias("answerKey")))
+    values = F.map_from_arrays(F.transform("options", lambda o, i: F.concat(F.lit("o"), i.cast("string"))), F.col("options"))
+    return _examples(spark, sf_dir).select(F.when(shape == 0, head(both)).when(shape == 1, head(F.struct(both.alias("choices")))).when(shape == 2, head(F.col("options"))).otherwise(head(values)).alias("payload"))
+
+
+@query(f"""WITH e AS (SELECT *, CASE WHEN {_SHAPED} < 2 AND choice_labels IS NOT NULL THEN choice_labels ELSE list_transform(range(1, len(options) + 1), lambda i: chr(CAST(64 + i AS INT))) END AS labels FROM benchmark_examples)
+SELECT id, list_aggregate(options, 'string_agg', '|') AS options, list_aggregate(labels, 'string_agg', '|') AS labels,
+  coalesce(CAST(nullif(list_position(labels, coalesce(answer_key, '')), 0) AS VARCHAR), CASE WHEN regexp_full_match(answer_key, '[0-9]+') THEN CAST(CAST(answer_key AS BIGINT) AS VARCHAR) END, '1') AS correct_option FROM e""")
+def lenient_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bm.lenient_arc(_arc_texts(spark, sf_dir))
+    return rows.select("id", F.array_join("options", "|").alias("options"), F.array_join("choice_labels", "|").alias("labels"), "correct_option")
+
+
+_VOCABULARY = "v AS (SELECT vec_id AS token_id, CASE vec_id % 3 WHEN 0 THEN ' ' WHEN 1 THEN '' ELSE '' END || chr(CAST(65 + vec_id % 7 AS INT)) || CASE vec_id % 3 WHEN 2 THEN '.' ELSE '' END AS text FROM embeddings WHERE label < 3)"
+
+
+@query(f"""WITH {_VOCABULARY}, l AS (SELECT DISTINCT unnest(list_concat(choice_labels, ['X1', 'ZA', '7'])) AS label FROM benchmark_examples WHERE choice_labels IS NOT NULL),
+c AS (SELECT label, 0 AS place, ' ' || label AS text FROM l UNION ALL SELECT label, 1, label FROM l UNION ALL SELECT label, 2, label || '.' FROM l UNION ALL SELECT label, 3, ' ' || label || '.' FROM l UNION ALL SELECT label, 10 + i, substr(label, i) FROM l, range(1, 9) AS r(i) WHERE i <= length(label))
+SELECT l.label, CAST(coalesce((SELECT arg_min(v.token_id, (c.place, v.token_id)) FROM c JOIN v ON v.text = c.text WHERE c.label = l.label), ascii(l.label)) AS INT) AS token_id FROM l""")
+def answer_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of answer labels in a vocabulary that has some letters after a space, some alone and some with a full stop."""
+    v = F.col("vec_id")
+    text = F.concat(F.when(v % 3 == 0, " ").otherwise(""), F.char(65 + v % 7), F.when(v % 3 == 2, ".").otherwise(""))
+    vocabulary = table(spark, sf_dir, "embeddings").where("label < 3").select(v.alias("token_id"), text.alias("text"))
+    labels = _examples(spark, sf_dir).where("choice_labels IS NOT NULL").select(F.explode(F.concat("choice_labels", F.array(*map(F.lit, ("X1", "ZA", "7"))))).alias("label"))
+    return bm.answer_tokens(labels, vocabulary)
+
+
 @query("SELECT * EXCLUDE (n) FROM (SELECT id, dataset, question, row_number() OVER (PARTITION BY dataset ORDER BY id) AS n FROM benchmark_examples) WHERE n <= 5")
 def limit_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.limit_each(_examples(spark, sf_dir).select("id", "dataset", "question"), 5)
@@ -84,15 +135,14 @@ SELECT result_id, e.value AS token, string_agg(e.key, '|' ORDER BY e.key) AS opt
 def token_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Options of a question that share a token."""
     rows = table(spark, sf_dir, "detailed_results").select("result_id", "answer_ids").dropDuplicates(["result_id"])
-    each = rows.select("result_id", F.explode("answer_ids").alias("option", "token"))
-    grouped = each.groupBy("result_id", "token").agg(F.array_join(F.array_sort(F.collect_list("option")), "|").alias("options"), F.count("*").alias("n"))
-    return grouped.where("n > 1").drop("n")
+    return bm.sharing_tokens(rows.select("result_id", F.explode("answer_ids").alias("option", "token")), "result_id")
 
 
-@query(_ONCE + """ SELECT result_id, coalesce(pred_id = correct_id, false) OR coalesce(lower(trim(predicted_answer, ' ')) = lower(trim(correct_answer, ' ')), false) AS matches FROM d""")
+@query(_ONCE + """ SELECT result_id, coalesce(list_contains([correct_id, correct_id + 1], pred_id), false) OR coalesce(lower(trim(predicted_answer, ' ')) = lower(trim(correct_answer, ' ')), false) AS matches FROM d""")
 def multitoken_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of two tokens, the second of which is the one after the first."""
     rows = table(spark, sf_dir, "detailed_results").select("result_id", "pred_id", "correct_id", "predicted_answer", "correct_answer").dropDuplicates(["result_id"])
-    return rows.select("result_id", ev.token_match(F.col("pred_id"), F.col("predicted_answer"), F.col("correct_answer"), F.array("correct_id")).alias("matches"))
+    return rows.select("result_id", ev.token_match(F.col("pred_id"), F.col("predicted_answer"), F.col("correct_answer"), F.array("correct_id", F.col("correct_id") + 1)).alias("matches"))
 
 
 @query("""SELECT d.result_id, b.dataset, b.correct_option FROM (SELECT DISTINCT ON (result_id) result_id, id FROM detailed_results) AS d JOIN benchmark_examples AS b ON b.id = d.id""")
@@ -126,9 +176,7 @@ def timestep_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {rel.logits_sql()}, {rel.softmax_sql('logits')}, k AS (SELECT * FROM soft QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY p DESC, token_id) <= 10) SELECT ctx_id, string_agg(token_id || ':' || printf('%.4f', p), ',' ORDER BY p DESC, token_id) AS top FROM k GROUP BY ctx_id")
 def topk_per_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = lg.softmax(rel.logits(spark, sf_dir)).withColumn("r", F.row_number().over(lg.ctx().orderBy(F.desc("p"), "token_id"))).where("r <= 10")
-    listed = F.array_sort(F.collect_list(F.struct("r", F.concat("token_id", F.lit(":"), F.format_string("%.4f", "p")).alias("t"))))
-    return ranked.groupBy("ctx_id").agg(F.array_join(F.transform(listed, lambda x: x["t"]), ",").alias("top"))
+    return ev.likeliest(lg.softmax(rel.logits(spark, sf_dir)))
 
 
 @query("SELECT user_id, CAST(floor((n - 1) / 25) AS BIGINT) AS bucket, count(*) AS rows FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY 1, 2")
@@ -196,7 +244,7 @@ def event_outcomes_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query(qe.DIFF + """ SELECT 'run_' || (c.ctx_id % 3) AS run_id, 'seq_' || c.ctx_id AS sequence_id, CASE WHEN d.ctx_id IS NULL THEN 0 ELSE 1 END AS logged, CASE WHEN d.ctx_id IS NULL THEN 0 ELSE 1 END AS counted, d.outcome, true AS closed
+@query(qe.DIFF + """ SELECT 'run_' || (c.ctx_id % 3) AS run_id, 'seq_' || c.ctx_id AS sequence_id, CASE WHEN d.ctx_id IS NULL THEN 0 ELSE 1 END AS logged, CASE WHEN d.ctx_id IS NULL THEN 0 ELSE 1 END AS counted, d.outcome, true AS closed, 'ended' AS kind
 FROM (SELECT DISTINCT ctx_id FROM logits) AS c LEFT JOIN diff AS d ON d.ctx_id = c.ctx_id""")
 def sequence_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-sequence state over a stream, closed sequences appended to a table of files."""
@@ -207,6 +255,14 @@ def sequence_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(decisions.SEQUENCE).parquet(out)
 
 
+@query(qe.DIFF + """ SELECT 'run_' || (c.ctx_id % 3) AS run_id, 'seq_' || c.ctx_id AS sequence_id, CASE WHEN c.ctx_id % 4 = 0 THEN NULL WHEN d.ctx_id IS NULL THEN 0 ELSE 1 END AS counted, CASE WHEN d.ctx_id IS NULL THEN 0 ELSE 1 END AS logged, c.ctx_id % 4 <> 0 AS agrees
+FROM (SELECT DISTINCT ctx_id FROM logits) AS c LEFT JOIN diff AS d ON d.ctx_id = c.ctx_id WHERE c.ctx_id % 4 <> 0 OR d.ctx_id IS NOT NULL""")
+def log_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted against logged disagreements, where a quarter of the sequences was never ended."""
+    ended = F.pmod(F.substring_index("sequence_id", "_", -1).cast("long"), F.lit(4)) != 0
+    return outcomes.drift(_log(spark, sf_dir).where(ended | (F.col("event_type") != "sequence_end")))
+
+
 @query(qe.DIFF + """, s AS (SELECT count(DISTINCT ctx_id) AS n FROM logits), o AS (SELECT count(*) AS w, count(*) FILTER (outcome = 'greedy_wins') AS gw, count(*) FILTER (outcome = 'dcbs_wins') AS dw, count(*) FILTER (outcome = 'both_correct') AS bc, count(*) FILTER (outcome = 'both_wrong') AS bw FROM diff)
 SELECT n AS sequences, w AS sequences_with, w AS tokens_logged, CAST(w AS BIGINT) AS tokens_counted, gw AS greedy_wins, dw AS dcbs_wins, bc AS both_correct, bw AS both_wrong,
        round(w / greatest(1.0, n), 6) AS token_disagreements_per_sequence, round(100.0 * w / n, 6) AS sequence_disagreement_pct FROM s, o""")
@@ -228,19 +284,32 @@ def tumbling_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.tumbling(_events(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2, 3")
-def tumbling_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same windows from a stream with a watermark; complete mode keeps all windows."""
+def _streamed(spark: SparkSession, sf_dir: str, windows) -> DataFrame:
+    """What a stream over the events appends: windows that its watermark has passed, each once, its state then dropped."""
     rows = _events(spark, sf_dir)
     stream = spark.readStream.schema(rows.schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, since a stream can't be given one file
     out, state = shared_folder(spark, "windows"), shared_folder(spark, "stream-state")
+    made = windows(stream)
+    decisions.ingest(made, out, state).awaitTermination()
+    return spark.read.schema(made.schema).parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
 
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+@query("SELECT * FROM (SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2, 3) WHERE \"end\" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+def tumbling_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda rows: decisions.tumbling(rows, late="1 hour"))
+
+
+@query("""SELECT * FROM (SELECT start, start + INTERVAL 1 DAY AS "end", event_type, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 6 HOUR AS start, event_type, value FROM (SELECT *, unnest(range(0, 4)) AS i FROM events)) GROUP BY 1, 2, 3)
+WHERE "end" <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def sliding_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda rows: decisions.sliding(rows, late="2 hours"))
 
-    windows = decisions.tumbling(stream, late="1 hour")
-    windows.writeStream.foreachBatch(save).outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz"))
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM o)
+SELECT * FROM (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, g) WHERE "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def session_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda rows: decisions.sessions(rows, late="1 hour"))
 
 
 @query("""WITH s AS (SELECT *, unnest(range(0, 4)) AS i FROM events), w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - i * INTERVAL 6 HOUR AS start, event_type, value FROM s)
@@ -315,9 +384,11 @@ def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.subtract(table(spark, sf_dir, "supplier").where("s_acctbal < 0").select("s_nationkey"))
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY 1")
 def approx_distinct_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """The estimate is within three of its standard deviations (2 % each) of the count."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("about"), F.countDistinct("l_partkey").alias("parts"))
+    return rows.select("l_returnflag", "parts", (F.abs(F.col("about") - F.col("parts")) <= 0.06 * F.col("parts")).alias("near"))
 
 
 @query("SELECT * FROM (SELECT l_returnflag, l_orderkey, l_linenumber, l_extendedprice FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) <= 3")

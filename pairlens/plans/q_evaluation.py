@@ -10,8 +10,11 @@ from pairlens.operators import cluster_aware as ca
 from pairlens.operators import samplers
 from pairlens.operators import evaluation as ev
 from pairlens.operators import logits as lg
+from pairlens.operators import comparison
 from pairlens.operators import significance as sig
 from pairlens.plans import relations as rel
+from pairlens.plans.q_selection import u_sql
+from pairlens.plans.durable import cut
 from pairlens.sources import results as rs
 from pairlens.sources.tables import table
 
@@ -19,7 +22,6 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 NAMES = ["greedy", "top_p", "dcbs", "random"]
 TOP = "QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id)"
-U = "(((ctx_id * 2654435761 + 12345) % 4294967296) / 4294967296.0)"
 
 
 def query(sql: str | None = None):
@@ -36,21 +38,24 @@ def _r(c: Column | str, name: str | None = None) -> Column:
     return F.round(c, 6).alias(name or c)
 
 
+SPEC = ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON)
+
+
 def picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One token per context and sampler."""
-    rows, vocab = rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir)
-    three = samplers.run(rows, ["greedy", "top_p", "random"])
-    return three.unionByName(ca.select(rows, vocab, ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON)).drop("cluster_id"))
+    """One token per context and sampler, with its probability and rank among all tokens of the context."""
+    full = lg.softmax(rel.logits(spark, sf_dir), name="p_full")
+    aware = ca.select(full, rel.vocabulary(spark, sf_dir), SPEC, carry=("p_full", "rank"))
+    return samplers.decide(rel.logits(spark, sf_dir)).unionByName(aware.select("ctx_id", "sampler", "token_id", F.col("p_full").alias("p"), "rank"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks with label and verdict: right is a token whose label is the context's last digit."""
-    labels = rel.vocabulary(spark, sf_dir).select("token_id", "label")
+    labels = rel.vectors(spark, sf_dir).select("token_id", "label")
     return picks(spark, sf_dir).join(labels, "token_id", "left").withColumn("correct", F.col("label") == F.pmod("ctx_id", F.lit(10)))
 
 
-def _draw(source: str) -> str:
-    return f"""SELECT ctx_id, coalesce(min(token_id) FILTER (cum > {U} * total), max(token_id)) AS token_id
+def _draw(source: str, stream: str) -> str:
+    return f"""SELECT ctx_id, coalesce(min(token_id) FILTER (cum > {u_sql(stream)} * total), max(token_id)) AS token_id
   FROM (SELECT *, sum(p) OVER (PARTITION BY ctx_id ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(p) OVER (PARTITION BY ctx_id) AS total FROM {source}) GROUP BY ctx_id"""
 
 
@@ -60,8 +65,8 @@ nucleus AS (SELECT ctx_id, token_id, p FROM (SELECT *, coalesce(sum(p) OVER (PAR
 one AS (SELECT ctx_id, token_id, 1.0 AS p FROM logits),
 picks AS (
   SELECT ctx_id, 'greedy' AS sampler, token_id FROM (SELECT * FROM logits {TOP} = 1)
-  UNION ALL SELECT ctx_id, 'top_p', token_id FROM ({_draw('nucleus')})
-  UNION ALL SELECT ctx_id, 'random', token_id FROM ({_draw('one')})
+  UNION ALL SELECT ctx_id, 'top_p', token_id FROM ({_draw('nucleus', 'top_p')})
+  UNION ALL SELECT ctx_id, 'random', token_id FROM ({_draw('one', 'random')})
   UNION ALL SELECT ctx_id, 'dcbs', token_id FROM picked
 ),
 results AS (SELECT p.ctx_id, p.sampler, p.token_id, v.label, v.label = p.ctx_id % 10 AS correct FROM picks AS p LEFT JOIN vocab AS v ON v.token_id = p.token_id)"""
@@ -88,8 +93,7 @@ fisher AS (SELECT method1, method2, least(1.0, coalesce(sum(q) FILTER (q <= seen
 
 @query(RES + f""" SELECT r.ctx_id, r.sampler, r.token_id, r.label, r.correct, round(f.p, 6) AS p FROM results AS r JOIN full_p AS f USING (ctx_id, token_id)""")
 def detailed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = lg.softmax(rel.logits(spark, sf_dir)).select("ctx_id", "token_id", "p")
-    return results(spark, sf_dir).join(full, ["ctx_id", "token_id"]).select("ctx_id", "sampler", "token_id", "label", "correct", _r("p"))
+    return results(spark, sf_dir).select("ctx_id", "sampler", "token_id", "label", "correct", _r("p"))
 
 
 @query(ACC + " SELECT sampler, total, correct, round(accuracy, 6) AS accuracy FROM wilson")
@@ -125,10 +129,8 @@ ratio AS (
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.row_number().over(lg.ctx().orderBy(F.desc("p"), "token_id"))
-    full = lg.softmax(rel.logits(spark, sf_dir)).select("ctx_id", "token_id", "p", rank.alias("rank"))
     of = F.struct("token_id", "p", "rank")
-    both = picks(spark, sf_dir).where(F.col("sampler").isin("greedy", "dcbs")).join(full, ["ctx_id", "token_id"]).groupBy("ctx_id").agg(
+    both = picks(spark, sf_dir).where(F.col("sampler").isin("greedy", "dcbs")).groupBy("ctx_id").agg(
         F.max(F.when(F.col("sampler") == "greedy", of)).alias("g"), F.max(F.when(F.col("sampler") == "dcbs", of)).alias("d"))
     ratio = F.when(F.col("d.p") > 0, F.col("g.p") / F.col("d.p")).otherwise(F.lit(float("inf")))
     return both.where(F.col("g.token_id") != F.col("d.token_id")).select("ctx_id", F.col("g.token_id").alias("greedy_token"), F.col("d.token_id").alias("dcbs_token"), ratio.alias("ratio"), F.col("d.rank").alias("dcbs_rank"))
@@ -172,11 +174,37 @@ def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(DIFF + """ SELECT outcome, count(*) AS contexts, round(avg(g.p), 6) AS mean_greedy_p, round(avg(c.p), 6) AS mean_dcbs_p
 FROM diff AS d JOIN full_p AS g ON g.ctx_id = d.ctx_id AND g.token_id = d.greedy_token JOIN full_p AS c ON c.ctx_id = d.ctx_id AND c.token_id = d.dcbs_token GROUP BY outcome""")
 def conditional_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = lg.softmax(rel.logits(spark, sf_dir)).select("ctx_id", "token_id", "p")
-    rows = ev.differences(results(spark, sf_dir))
-    with_g = rows.join(full.select("ctx_id", F.col("token_id").alias("greedy_token"), F.col("p").alias("pg")), ["ctx_id", "greedy_token"])
-    with_d = with_g.join(full.select("ctx_id", F.col("token_id").alias("dcbs_token"), F.col("p").alias("pd")), ["ctx_id", "dcbs_token"])
-    return with_d.groupBy("outcome").agg(F.count("*").alias("contexts"), _r(F.avg("pg"), "mean_greedy_p"), _r(F.avg("pd"), "mean_dcbs_p"))
+    rows = ev.differences(results(spark, sf_dir), "greedy", "dcbs", "p")
+    return rows.groupBy("outcome").agg(F.count("*").alias("contexts"), _r(F.avg("greedy_p"), "mean_greedy_p"), _r(F.avg("dcbs_p"), "mean_dcbs_p"))
+
+
+@query(DIFF + """ SELECT count(*) FILTER (outcome = 'dcbs_wins') AS dcbs_wins, count(*) FILTER (outcome = 'greedy_wins') AS greedy_wins,
+round(100.0 * count(*) FILTER (outcome = 'dcbs_wins') / nullif(count(*) FILTER (outcome IN ('dcbs_wins', 'greedy_wins')), 0), 6) AS dcbs_win_pct FROM diff""")
+def decisive_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.decisive(ev.differences(results(spark, sf_dir))).withColumn("dcbs_win_pct", F.round("dcbs_win_pct", 6))
+
+
+@query(DIFF + """, k AS (SELECT f.* FROM full_p AS f JOIN diff USING (ctx_id) QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY p DESC, token_id) <= 10)
+SELECT ctx_id, string_agg(token_id || ':' || printf('%.4f', p), ',' ORDER BY p DESC, token_id) AS top FROM k GROUP BY ctx_id""")
+def topk_on_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten likeliest tokens of the contexts on which two samplers differ."""
+    where = ev.differences(picks(spark, sf_dir).withColumn("correct", F.lit(False))).select("ctx_id")
+    return ev.likeliest(lg.softmax(rel.logits(spark, sf_dir)).join(where, "ctx_id", "left_semi"))
+
+
+COMPARED = ("arc_easy", "arc_challenge", "hellaswag", "mmlu_stem")
+
+
+@query(RES + f"""SELECT CAST({list(COMPARED)}[ctx_id % 4 + 1] AS VARCHAR) AS dataset, 'dbscan' AS method, sampler, count(*) AS total, count(*) FILTER (correct) AS correct,
+round(100.0 * count(*) FILTER (correct) / count(*), 6) AS accuracy FROM results WHERE sampler IN ('greedy', 'dcbs') GROUP BY ALL""".replace("token_id)SELECT", "token_id) SELECT"))
+def comprehensive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each dataset (here a quarter of the contexts) with each clustering method and sampler."""
+    names = F.array(*map(F.lit, COMPARED))
+    rows = rel.logits(spark, sf_dir)
+    gold = rel.vectors(spark, sf_dir).select("token_id", "label")
+    done = comparison.run(rows, rel.vocabulary(spark, sf_dir), {"dbscan": SPEC}, ["greedy"])
+    judged = done.join(gold, "token_id", "left").select(F.element_at(names, (F.pmod("ctx_id", F.lit(4)) + 1).cast("int")).alias("dataset"), "method", "sampler", (F.col("label") == F.pmod("ctx_id", F.lit(10))).alias("correct"))
+    return comparison.summary(judged).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query(RES + " SELECT ctx_id, sampler, token_id FROM results WHERE NOT (ctx_id % 3 = 0 AND sampler IN ('greedy', 'dcbs'))")
@@ -198,7 +226,19 @@ def paired_t_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.paired_t(sig.paired(results(spark, sf_dir), NAMES)).select("method1", "method2", "n", _r("mean_diff"), _r("t"), _r("ci_low"), _r("ci_high"))
 
 
-@query()
+def _upper_sql(density: str, rows: str, x: str = "x", steps: int = 4000) -> str:
+    """Two-sided p-values by Simpson's rule: 1 minus twice the area of ``density`` (of u and the row) from 0 to |x|."""
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(SELECT greatest(0.0, 1 - 2 * abs({x}) / (3.0 * {steps}) * sum({weight} * {density.replace('{u}', f'(abs({x}) * i / {steps}.0)')})) FROM range({steps + 1}) AS g(i))"
+
+
+T_DENSITY = "exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - 0.5 * ln(pi() * df) - (df + 1) / 2.0 * ln(1 + {u} * {u} / df))"
+N_DENSITY = "exp(-{u} * {u} / 2) / sqrt(2 * pi())"
+
+
+@query(PAIRS + f""", d AS (SELECT method1, method2, count(*) AS n, avg(x1 - x2) AS m, stddev_samp(x1 - x2) AS sd FROM pairs GROUP BY 1, 2),
+t AS (SELECT method1, method2, CASE WHEN sd > 0 THEN m / (sd / sqrt(n)) END AS x, n - 1 AS df FROM d), p AS (SELECT *, {_upper_sql(T_DENSITY, 't')} AS p FROM t)
+SELECT method1, method2, round(x, 6) AS t, df, round(p, 6) AS p_value, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM p""")
 def paired_t_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sig.paired_t(sig.paired(results(spark, sf_dir), NAMES)).withColumn("p_value", st.student_two_sided("t", "df"))
     return rows.select("method1", "method2", _r("t"), "df", _r("p_value"), st.stars(F.col("p_value")).alias("stars"))
@@ -210,7 +250,9 @@ def mcnemar_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.mcnemar(sig.paired(results(spark, sf_dir), NAMES)).select("method1", "method2", "b", "c", _r("statistic"), _r("odds"))
 
 
-@query()
+@query(PAIRS + f""", m AS (SELECT method1, method2, count(*) FILTER (x1 = 1 AND x2 = 0) AS b, count(*) FILTER (x1 = 0 AND x2 = 1) AS c FROM pairs GROUP BY 1, 2),
+q AS (SELECT *, CASE WHEN b + c > 0 THEN pow(abs(b - c) - 1, 2) / (b + c) ELSE 0 END AS statistic FROM m), x AS (SELECT *, sqrt(statistic) AS x FROM q)
+SELECT method1, method2, round(statistic, 6) AS statistic, round({_upper_sql(N_DENSITY, 'x')}, 6) AS p_value FROM x""")
 def mcnemar_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sig.mcnemar(sig.paired(results(spark, sf_dir), NAMES))
     return rows.select("method1", "method2", _r("statistic"), _r(st.chi2_1_upper("statistic"), "p_value"))
@@ -265,7 +307,22 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.bootstrap(results(spark, sf_dir), rounds=10_000)
 
 
-@query()
+@query(ACC + " SELECT sampler, CAST(10000 AS BIGINT) AS rounds, round(accuracy, 6) AS accuracy, true AS holds_accuracy, true AS near_normal FROM wilson")
+def bootstrap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resampled interval holds the accuracy, and each end is within a tenth of the normal interval's width of its end."""
+    rows = results(spark, sf_dir)
+    made = sig.bootstrap(rows, rounds=10_000).join(ev.accuracy(rows).select("sampler", "total", F.col("accuracy")), "sampler")
+    p = F.col("accuracy") / 100
+    half = 1.96 * F.sqrt(p * (1 - p) / F.col("total"))
+    near = F.greatest(F.abs(F.col("ci_low") - (p - half)), F.abs(F.col("ci_high") - (p + half))) <= F.greatest(0.2 * half, 2 / F.col("total"))
+    return made.select("sampler", F.col("rounds").cast("long").alias("rounds"), _r("accuracy"), p.between(F.col("ci_low"), F.col("ci_high")).alias("holds_accuracy"), near.alias("near_normal"))
+
+
+@query(PAIRS + f""", z AS (SELECT *, {Z} AS x, {D} AS d FROM counts), p AS (SELECT *, {_upper_sql(N_DENSITY, 'z')} AS p FROM z),
+h AS (SELECT *, row_number() OVER (ORDER BY p, method1, method2) AS i, count(*) OVER () AS m FROM p),
+r AS (SELECT *, max(least(1.0, p * (m - i + 1))) OVER (ORDER BY p, method1, method2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p_holm, CASE WHEN d <> 0 THEN CAST(ceil(2 * pow((1.959963984540054 + 0.8416212335729143) / abs(d), 2)) AS BIGINT) END AS required_n FROM h)
+SELECT method1, method2, n, round(x, 6) AS z, round(p, 6) AS p_value, round(p_holm, 6) AS p_holm, round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS effect,
+  required_n, n >= required_n AS adequately_powered, p_holm < 0.05 AS significant FROM r""")
 def pairwise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test, corrected p-value, effect and needed size of each pair of samplers."""
     rows = sig.effect(sig.two_proportion_z(sig.counts(sig.paired(results(spark, sf_dir), NAMES))))
@@ -274,11 +331,15 @@ def pairwise_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_p.select("method1", "method2", "n", _r("z"), _r("p_value"), _r("p_holm"), _r("d"), "effect", needed.alias("required_n"), (F.col("n") >= needed).alias("adequately_powered"), (F.col("p_holm") < 0.05).alias("significant"))
 
 
-BOARD = ACC + ", board AS (SELECT sampler, accuracy, row_number() OVER (ORDER BY accuracy DESC, sampler) AS rank FROM wilson)"
+BOARD = ACC + """, latency AS (SELECT sampler, avg(elapsed_ms) AS ms FROM (SELECT DISTINCT ON (result_id) result_id, sampler, elapsed_ms FROM detailed_results) GROUP BY 1),
+board AS (SELECT w.sampler, w.accuracy, l.ms, row_number() OVER (ORDER BY w.accuracy DESC, l.ms NULLS LAST, w.sampler) AS rank FROM wilson AS w LEFT JOIN latency AS l ON l.sampler = w.sampler)"""
 
 
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.accuracy(results(spark, sf_dir)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accuracy"), "sampler")))
+    """Samplers by accuracy, then by their recorded mean latency, then by name."""
+    latency = _delivered(spark, sf_dir, "sampler", "elapsed_ms").groupBy("sampler").agg(F.avg("elapsed_ms").alias("ms"))
+    rows = ev.accuracy(results(spark, sf_dir)).join(latency, "sampler", "left")
+    return ev.ranked(rows, "accuracy", "ms", "sampler")
 
 
 @query(BOARD + " SELECT CAST(rank AS INT) AS rank, sampler, round(accuracy, 6) AS accuracy FROM board")
@@ -309,10 +370,33 @@ def chart_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("sampler", pos.alias("pos"), _r("accuracy"), _r(F.col("accuracy") - F.col("ci_low"), "below"), _r(F.col("ci_high") - F.col("accuracy"), "above"))
 
 
-@query("SELECT method, k, top_n FROM (VALUES ('kmeans'), ('dbscan'), ('hierarchical')) AS m(method), (VALUES (2), (4), (8)) AS k(k), (VALUES (20), (50)) AS n(top_n)")
+@query("""SELECT 'kmeans clusters=' || k || ' top=' || n AS config, 'kmeans' AS method FROM (VALUES (4), (8), (16)) AS k(k), (VALUES (30), (50)) AS n(n)
+UNION ALL SELECT 'dbscan epsilon=' || e || ' min_samples=' || m, 'dbscan' FROM (VALUES ('0.2'), ('0.3'), ('0.5')) AS e(e), (VALUES (1), (2), (3)) AS m(m)
+UNION ALL SELECT 'hierarchical clusters=' || k || ' linkage=' || l, 'hierarchical' FROM (VALUES (4), (8), (16)) AS k(k), (VALUES ('average'), ('complete')) AS l(l)""")
 def param_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.createDataFrame([("kmeans",), ("dbscan",), ("hierarchical",)], "method string")
-    return grid.withColumn("k", F.explode(F.array(*map(F.lit, (2, 4, 8))))).withColumn("top_n", F.explode(F.array(*map(F.lit, (20, 50)))))
+    return spark.createDataFrame([(name, s.method) for name, s in ca.grid().items()], "config string, method string")
+
+
+@query()
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All configurations of the grid on all contexts, ranked by accuracy."""
+    picked = ca.sweep(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), ca.grid())
+    return _scored(spark, sf_dir, picked).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("correct"), "config")))
+
+
+@query(f"""WITH {rel.logits_sql()}, {rel.dynamic_sql()}, n AS (SELECT ctx_id, count(*) AS n FROM cand GROUP BY 1)
+SELECT count(*) AS configs, count(*) * (SELECT count(*) FROM n) AS decisions, true AS same_as_single_runs FROM range(21)""")
+def sweep_grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every configuration decides every context, and three of them run alone decide the same."""
+    rows, vocab, specs = rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), ca.grid()
+    picked = cut(ca.sweep(rows, vocab, specs))
+    some = [n for n in specs if n in ("dbscan epsilon=0.5 min_samples=2", "hierarchical clusters=8 linkage=average", "kmeans clusters=8 top=50")]
+    alone = None
+    for n in some:
+        one = ca.select(rows, vocab, specs[n]).select(F.lit(n).alias("config"), "ctx_id", F.col("token_id").alias("alone"))
+        alone = one if alone is None else alone.unionByName(one)
+    other = picked.where(F.col("config").isin(some)).join(alone, ["config", "ctx_id"], "full").where(~F.col("token_id").eqNullSafe(F.col("alone"))).agg((F.count("*") == 0).alias("same_as_single_runs"))
+    return picked.agg(F.countDistinct("config").alias("configs"), F.count("*").alias("decisions")).join(F.broadcast(other))
 
 
 def _sweep_sql() -> str:
@@ -327,11 +411,14 @@ def _sweep_sql() -> str:
 SWEEP = _sweep_sql() + ", scored AS (SELECT config, count(*) AS total, count(*) FILTER (v.label = s.ctx_id % 10) AS correct FROM sweep AS s JOIN vocab AS v USING (token_id) GROUP BY config)"
 
 
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, vocab = rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir)
-    picked = ca.sweep(rows, vocab, {f"eps{e}": ca.ClusterSpec(method="dbscan", epsilon=e) for e in (0.6, 0.7, 0.75)})
+def _scored(spark: SparkSession, sf_dir: str, picked: DataFrame) -> DataFrame:
     right = (F.col("label") == F.pmod("ctx_id", F.lit(10))).alias("correct")
-    return picked.join(vocab.select("token_id", "label"), "token_id").select("config", right).groupBy("config").agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"))
+    return picked.join(rel.vectors(spark, sf_dir).select("token_id", "label"), "token_id").select("config", right).groupBy("config").agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"))
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    specs = {f"eps{e}": ca.ClusterSpec(method="dbscan", epsilon=e) for e in (0.6, 0.7, 0.75)}
+    return _scored(spark, sf_dir, ca.sweep(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), specs))
 
 
 @query(SWEEP + " SELECT * FROM scored")
@@ -345,6 +432,15 @@ def running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir).select("config", "correct", so_far.alias("best_so_far"))
 
 
+@query("""WITH d AS (SELECT DISTINCT ON (result_id) * FROM detailed_results), r AS (SELECT run_id, min(completed_at) AS at, 100.0 * count(*) FILTER (correct) / count(*) AS accuracy, avg(elapsed_ms) AS ms FROM d WHERE sampler = 'dcbs' GROUP BY 1)
+SELECT run_id, round(accuracy, 6) AS accuracy, (SELECT b.run_id FROM r AS b WHERE (b.at, b.run_id) <= (r.at, r.run_id) ORDER BY b.accuracy DESC, b.ms NULLS LAST, b.run_id LIMIT 1) AS best_run FROM r""")
+def running_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best run so far in the order of completion: by accuracy, equal ones by latency."""
+    d = _delivered(spark, sf_dir, "run_id", "sampler", "correct", "elapsed_ms", "completed_at").where("sampler = 'dcbs'")
+    runs = d.groupBy("run_id").agg(F.min("completed_at").alias("at"), (100.0 * F.count_if("correct") / F.count("*")).alias("accuracy"), F.avg("elapsed_ms").alias("ms"))
+    return ev.best_so_far(runs, ["at", "run_id"], "accuracy", "ms", "run_id").select("run_id", _r("accuracy"), F.col("best").alias("best_run"))
+
+
 # the domain's own result tables
 
 _ONCE = "WITH d AS (SELECT DISTINCT ON (result_id) * FROM detailed_results)"
@@ -378,9 +474,9 @@ def run_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_ONCE + """, p AS (SELECT result_id, unnest(map_entries(answer_probs)) AS e FROM d WHERE answer_probs IS NOT NULL)
-SELECT result_id, arg_max(e.key, e.value) AS top_answer, round(max(e.value), 6) AS top_p, count(*) AS answers FROM p WHERE e.value IS NOT NULL GROUP BY result_id HAVING count(*) = count(DISTINCT e.value)""")
+SELECT result_id, arg_min(e.key, (-e.value, e.key)) AS top_answer, round(max(e.value), 6) AS top_p, count(*) AS answers FROM p WHERE e.value IS NOT NULL GROUP BY result_id""")
 def top_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likeliest answer of each result, on ties the least text. The SQL leaves results with ties out."""
+    """The likeliest answer of each result, on ties the least text."""
     rows = _delivered(spark, sf_dir, "answer_probs").select("result_id", F.explode("answer_probs").alias("answer", "p")).where("p IS NOT NULL")
     grouped = rows.groupBy("result_id").agg(F.max("p").alias("_top"), F.collect_list(F.struct("answer", "p")).alias("_all"), F.count("*").alias("answers"))
     first = F.array_min(F.transform(F.filter("_all", lambda x: x["p"] == F.col("_top")), lambda x: x["answer"]))

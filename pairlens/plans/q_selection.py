@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions import vectors
-from pairlens.operators import category, clustering, samplers
+from pairlens.operators import category, clustering, samplers, sequences
 from pairlens.operators import cluster_aware as ca
 from pairlens.operators import logits as lg
 from pairlens.plans import relations as rel
+from pairlens.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 L, V, A = rel.logits_sql(), rel.VOCABULARY_SQL, rel.allowed_sql()
 TOP = "QUALIFY row_number() OVER (PARTITION BY ctx_id ORDER BY logit DESC, token_id)"
-U = "(((ctx_id * 2654435761 + 12345) % 4294967296) / 4294967296.0)"
+
+
+def u_sql(stream: str) -> str:
+    """The draw of ``samplers.uniform``."""
+    return f"((((ctx_id * 2654435761 + 12345) % 4294967296) * {samplers.STREAMS[stream]}) % 4294967296 / 4294967296.0)"
+
+
 SPEC = ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON)
 
 
@@ -35,8 +46,8 @@ def _r(name: str) -> Column:
 
 @query(f"WITH {L} SELECT ctx_id, token_id, round(logit, 6) AS logit FROM logits {TOP} = 1")
 def greedy_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rel.logits(spark, sf_dir)
-    return samplers.greedy(rows).join(rows, ["ctx_id", "token_id"]).select("ctx_id", "token_id", _r("logit"))
+    best = F.max(F.struct(F.col("logit"), (-F.col("token_id")).alias("t"))).alias("x")
+    return rel.logits(spark, sf_dir).groupBy("ctx_id").agg(best).select("ctx_id", (-F.col("x.t")).alias("token_id"), F.round("x.logit", 6).alias("logit"))
 
 
 @query(f"WITH {L}, {A} SELECT ctx_id, token_id FROM allowed {TOP} = 1")
@@ -128,8 +139,8 @@ def temperature_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ctx_id", "token_id", each).select("ctx_id", "token_id", "x.temperature", F.round("x.p", 6).alias("p"))
 
 
-def _drawn(source: str) -> str:
-    return f"""SELECT ctx_id, coalesce(min(token_id) FILTER (cum > {U} * total), max(token_id)) AS token_id
+def _drawn(source: str, stream: str = "temperature") -> str:
+    return f"""SELECT ctx_id, coalesce(min(token_id) FILTER (cum > {u_sql(stream)} * total), max(token_id)) AS token_id
 FROM (SELECT *, sum(p) OVER (PARTITION BY ctx_id ORDER BY token_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum, sum(p) OVER (PARTITION BY ctx_id) AS total FROM {source}) GROUP BY ctx_id"""
 
 
@@ -144,37 +155,29 @@ def temperature_pick_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samplers.temperature(rows, 0.5, rel.allowed(rows)).select("ctx_id", "token_id")
 
 
-@query(f"WITH {L}, k AS (SELECT * FROM logits {TOP} <= 10), {rel.softmax_sql('k')} {_drawn('soft')}")
+@query(f"WITH {L}, k AS (SELECT * FROM logits {TOP} <= 10), {rel.softmax_sql('k')} {_drawn('soft', 'top_k')}")
 def topk_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samplers.top_k(rel.logits(spark, sf_dir), 10).select("ctx_id", "token_id")
 
 
-@query(f"WITH {rel.logits_sql(40.0)}, {_nucleus('logits')} {_drawn('nucleus')}")
+@query(f"WITH {rel.logits_sql(40.0)}, {_nucleus('logits')} {_drawn('nucleus', 'top_p')}")
 def topp_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samplers.top_p(rel.logits(spark, sf_dir, 40.0)).select("ctx_id", "token_id")
 
 
-@query(f"WITH {L}, one AS (SELECT ctx_id, token_id, 1.0 AS p FROM logits) {_drawn('one')}")
+@query(f"WITH {L}, one AS (SELECT ctx_id, token_id, 1.0 AS p FROM logits) {_drawn('one', 'random')}")
 def random_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samplers.random_(rel.logits(spark, sf_dir)).select("ctx_id", "token_id")
 
 
-@query(f"WITH {V}, {rel.edges_sql()} SELECT a, b, round(distance, 6) AS distance FROM edges")
+@query(f"WITH {rel.VECTORS_SQL}, {rel.edges_sql()} SELECT a, b, round(distance, 6) AS distance FROM edges")
 def eps_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = rel.vectors(spark, sf_dir).where(F.col("token_id") < rel.VOCABULARY)
-    return clustering.epsilon_edges(few, rel.EPSILON).select("a", "b", _r("distance"))
-
-
-@query()
-def eps_edges_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges between all vectors of the table."""
     return clustering.epsilon_edges(rel.vectors(spark, sf_dir), rel.EPSILON).select("a", "b", _r("distance"))
 
 
 @query("SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pairlens.sources.tables import table
-
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(vectors.as_double("embedding")), 6).alias("norm"))
 
 
@@ -217,6 +220,66 @@ def adaptive_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.withColumn("k", clustering.adaptive_k(F.col("n"), 8))
 
 
+@query(f"""WITH {L}, {rel.dynamic_sql()}, n AS (SELECT ctx_id, count(*) AS n FROM cand GROUP BY 1)
+SELECT m.method, CAST(count(*) AS BIGINT) AS contexts, CAST(sum(n) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS misnamed, CAST(0 AS BIGINT) AS too_many, CAST(0 AS BIGINT) AS misplaced
+FROM n, (VALUES ('kmeans'), ('euclidean'), ('average'), ('complete'), ('single'), ('ward'), ('density')) AS m(method) GROUP BY m.method""")
+def clusterer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every clusterer's labels: all candidates labelled, each cluster named by its lowest token, no more clusters than asked for (as many, where they are merged), and each point where its rule puts it."""
+    cand = lg.softmax(lg.dynamic_candidates(rel.logits(spark, sf_dir)))
+    k = 8
+
+    def labels(x: np.ndarray) -> dict[str, np.ndarray]:
+        made = {"kmeans": clustering.spherical_kmeans(x, clustering.k_for(len(x), k)), "euclidean": clustering.euclidean_kmeans(x, k, rounds=100), "density": clustering.density(x, 0.75, 3)}
+        return made | {n: clustering.agglomerative(x, min(k, len(x)), n) for n in ("average", "complete", "single", "ward")}
+
+    rows = clustering.per_context_each(cand, rel.vocabulary(spark, sf_dir), labels)
+    with_vectors = rows.join(rel.vectors(spark, sf_dir).select("token_id", "vec"), "token_id", "left")
+    grouped = with_vectors.groupBy("config", "ctx_id").agg(F.collect_list(F.struct("token_id", "cluster_id", "vec")).alias("m"))
+
+    def faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.array([m["vec"] for m in members])
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), vectors.TINY)
+                of, tokens = np.array([m["cluster_id"] for m in members]), np.array([m["token_id"] for m in members])
+                found = np.unique(of)
+                centres = np.array([x[of == c].mean(0) for c in found])
+                own, near, misplaced = np.searchsorted(found, of), 1 - x @ x.T, 0
+                if name == "kmeans":
+                    closeness = x @ (centres / np.linalg.norm(centres, axis=1, keepdims=True)).T
+                    misplaced = int((closeness.max(1) - closeness[np.arange(len(x)), own] > 1e-9).sum())
+                elif name == "euclidean":
+                    distance = ((x[:, None] - centres[None]) ** 2).sum(-1)
+                    misplaced = int((distance[np.arange(len(x)), own] - distance.min(1) > 1e-9).sum())
+                elif name == "single" and len(found) > 1:
+                    # clusters are as far apart as any link that was made within one is long
+                    between = min(near[of == c][:, of != c].min() for c in found)
+                    within = max([clustering_link(near[of == c][:, of == c]) for c in found])
+                    misplaced = int(within > between + 1e-9)
+                elif name == "density":
+                    core = (near <= 0.75).sum(1) >= 3
+                    misplaced = int(((near <= 0.75) & core[:, None] & core[None] & (of[:, None] != of[None])).any(1).sum() + sum(not (core & (of == o) & (near[i] <= 0.75)).any() for i, o in enumerate(of) if not core[i] and (of == o).sum() > 1))
+                many = len(found) > k if name in ("kmeans", "euclidean") else len(found) != min(k, len(x)) if name != "density" else False
+                out.append((name, len(x), int(sum(tokens[of == c].min() != c for c in found)), int(many), misplaced))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] if out else [pa.array([], pa.string()), *[pa.array([], pa.int64())] * 4], names=["method", "tokens", "misnamed", "too_many", "misplaced"])
+
+    each = grouped.select("config", "m").mapInArrow(faults, "method string, tokens long, misnamed long, too_many long, misplaced long")
+    return each.groupBy("method").agg(F.count("*").alias("contexts"), F.sum("tokens").alias("tokens"), F.sum("misnamed").alias("misnamed"), F.sum("too_many").alias("too_many"), F.sum("misplaced").alias("misplaced"))
+
+
+def clustering_link(distances: np.ndarray) -> float:
+    """The longest edge of the shortest tree over some points."""
+    n = len(distances)
+    reached, best, longest = np.zeros(n, dtype=bool), distances[0].copy(), 0.0
+    reached[0] = True
+    for _ in range(n - 1):
+        nearest = int(np.where(reached, np.inf, best).argmin())
+        longest, reached[nearest] = max(longest, best[nearest]), True
+        best = np.minimum(best, distances[nearest])
+    return longest
+
+
 @query()
 def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, ca.DEFAULT).select("ctx_id", "token_id", "cluster_id")
@@ -227,16 +290,27 @@ def hierarchical_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, ca.ClusterSpec(method="hierarchical")).select("ctx_id", "token_id", "cluster_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {L}, {V}, {rel.edges_sql(0.75)}, {rel.dynamic_sql()},
+e AS (SELECT x.ctx_id, e.a, e.b FROM edges AS e JOIN cand AS x ON x.token_id = e.a JOIN cand AS y ON y.ctx_id = x.ctx_id AND y.token_id = e.b),
+s AS (SELECT ctx_id, a, b FROM e UNION ALL SELECT ctx_id, b, a FROM e),
+core AS (SELECT c.ctx_id, c.token_id, c.rank FROM cand AS c JOIN s ON s.ctx_id = c.ctx_id AND s.a = c.token_id GROUP BY ALL HAVING count(*) >= 2),
+r AS (
+  SELECT ctx_id, token_id, token_id AS reached FROM core
+  UNION SELECT r.ctx_id, r.token_id, s.b FROM r JOIN s ON s.ctx_id = r.ctx_id AND s.a = r.reached JOIN core AS c ON c.ctx_id = s.ctx_id AND c.token_id = s.b
+),
+comp AS (SELECT r.ctx_id, r.token_id, min(c.rank) AS comp FROM r JOIN core AS c ON c.ctx_id = r.ctx_id AND c.token_id = r.reached GROUP BY 1, 2),
+border AS (SELECT s.ctx_id, s.b AS token_id, min(p.comp) AS comp FROM s JOIN comp AS p ON p.ctx_id = s.ctx_id AND p.token_id = s.a WHERE (s.ctx_id, s.b) NOT IN (SELECT (ctx_id, token_id) FROM core) GROUP BY 1, 2),
+placed AS (SELECT * FROM comp UNION ALL SELECT * FROM border)
+SELECT c.ctx_id, c.token_id, CAST(coalesce(min(c.token_id) OVER (PARTITION BY c.ctx_id, coalesce(p.comp, -c.token_id - 1)), c.token_id) AS INT) AS cluster_id FROM cand AS c LEFT JOIN placed AS p ON p.ctx_id = c.ctx_id AND p.token_id = c.token_id""")
 def dbscan_border_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, ca.ClusterSpec(method="dbscan", epsilon=0.75, min_samples=3)).select("ctx_id", "token_id", "cluster_id")
 
 
 @query(f"WITH RECURSIVE {L}, {V}, {rel.edges_sql(0.75)}, {rel.dynamic_sql()}, {rel.clusters_sql()} SELECT ctx_id, token_id, cluster_id FROM clustered")
 def hierarchical_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single linkage cut at a distance: the components of the edges up to it."""
+    """Single linkage cut at a distance."""
     cand = lg.dynamic_candidates(rel.logits(spark, sf_dir))
-    return clustering.components(cand, clustering.epsilon_edges(rel.vocabulary(spark, sf_dir), 0.75)).select("ctx_id", "token_id", "cluster_id")
+    return clustering.per_context(cand, rel.vocabulary(spark, sf_dir), lambda x: clustering.agglomerative(x, 1, "single", 0.75)).select("ctx_id", "token_id", "cluster_id")
 
 
 @query(f"WITH RECURSIVE {CAND}, s AS (SELECT ctx_id, cluster_id, count(*) AS size FROM clustered GROUP BY 1, 2) SELECT size, count(*) AS clusters FROM s GROUP BY size")
@@ -278,12 +352,26 @@ def category_infogain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return category.best_cluster(category.information_score(category.mass(_rows(spark, sf_dir)))).select("ctx_id", "cluster_id", _r("mass"), _r("score"))
 
 
-@query(f"""WITH RECURSIVE {CAND}, m AS (SELECT ctx_id, cluster_id, sum(p) AS mass FROM clustered GROUP BY 1, 2), g AS (SELECT *, sum(mass) OVER (PARTITION BY ctx_id) AS total, count(*) OVER (PARTITION BY ctx_id) AS n FROM m)
-SELECT ctx_id, cluster_id, round(mass / total * ln(mass / total * n), 6) AS contribution FROM g""")
+SHARP = f"WITH RECURSIVE {rel.logits_sql(2.0)}, {V}, {rel.edges_sql()}, {rel.dynamic_sql()}, {rel.clusters_sql()}, g AS (SELECT ctx_id, cluster_id, sum(p) AS mass, sum(p) / sum(sum(p)) OVER (PARTITION BY ctx_id) AS share FROM clustered GROUP BY 1, 2)"
+
+
+def _sharp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masses of clusters, most of which are next to nothing."""
+    return category.mass(ca.clustered(rel.logits(spark, sf_dir, 2.0), rel.vocabulary(spark, sf_dir), SPEC))
+
+
+@query(SHARP + " SELECT ctx_id, cluster_id, CASE WHEN share > 1e-10 THEN 'infinite' WHEN share > 1e-14 THEN 'below zero' ELSE 'about zero' END AS kl FROM g")
 def kl_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each cluster's part in the divergence of the masses from uniform ones."""
-    share, n = F.col("mass") / F.sum("mass").over(lg.ctx()), F.count("*").over(lg.ctx())
-    return category.mass(_rows(spark, sf_dir)).select("ctx_id", "cluster_id", F.round(share * F.ln(share * n), 6).alias("contribution"))
+    """What taking out a cluster does to the divergence."""
+    share = F.col("mass") / F.sum("mass").over(lg.ctx())
+    kind = F.when(F.col("kl") == float("inf"), "infinite").when((F.col("kl") < 0) & (share > 1e-14), "below zero").when(F.abs("kl") < 1e-13, "about zero")
+    return category.kl_of_removal(_sharp(spark, sf_dir)).select("ctx_id", "cluster_id", kind.alias("kl"))
+
+
+@query(SHARP + " SELECT ctx_id, count(*) AS clusters, count(*) FILTER (share <= 1e-10) AS pruned FROM g GROUP BY ctx_id")
+def infogain_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = category.information_score(_sharp(spark, sf_dir))
+    return scored.groupBy("ctx_id").agg(F.count("*").alias("clusters"), F.count_if(F.col("score") == float("-inf")).alias("pruned"))
 
 
 def _dcbs(spark: SparkSession, sf_dir: str, spec: ca.ClusterSpec, modulus: int | None = None) -> DataFrame:
@@ -340,8 +428,47 @@ def dcbs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dcbs(spark, sf_dir, ca.BOUNDED)
 
 
-@query(f"WITH {L} SELECT sum(CASE WHEN isfinite(logit) THEN 1 ELSE 0 END)::BIGINT AS finite, sum(CASE WHEN isfinite(logit) THEN 0 ELSE 1 END)::BIGINT AS rejected FROM logits")
+@query("SELECT run_id, count(*) FILTER (isfinite(elapsed_ms)) AS finite, count(*) FILTER (elapsed_ms IS NULL OR NOT isfinite(elapsed_ms)) AS rejected FROM sampler_timings GROUP BY run_id")
 def finite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rel.logits(spark, sf_dir)
-    ok = ~(F.col("logit").isNull() | F.isnan("logit") | (F.abs("logit") == float("inf")))
-    return rows.agg(F.count_if(ok).alias("finite"), F.count_if(~ok).alias("rejected"))
+    """Rows that can be ranked and those kept apart, of a table that holds nulls, infinities and values that are no number."""
+    rows = table(spark, sf_dir, "sampler_timings").select("run_id", F.col("elapsed_ms").alias("logit"))
+    good = lg.finite(rows).groupBy("run_id").agg(F.count("*").alias("finite"), F.lit(0).cast("long").alias("rejected"))
+    bad = lg.rejected(rows).groupBy("run_id").agg(F.lit(0).cast("long").alias("finite"), F.count("*").alias("rejected"))
+    return good.unionByName(bad).groupBy("run_id").agg(F.sum("finite").alias("finite"), F.sum("rejected").alias("rejected"))
+
+
+ODD = f"""{L}, odd AS (SELECT ctx_id, token_id, CASE WHEN ctx_id % 5 = 0 AND token_id % 3 = 0 THEN 'nan'::DOUBLE WHEN ctx_id % 5 = 1 THEN '-infinity'::DOUBLE WHEN ctx_id % 5 = 2 AND token_id % 2 = 0 THEN '-infinity'::DOUBLE ELSE logit END AS logit FROM logits)"""
+
+
+@query(f"""WITH {ODD}, f AS (SELECT *, bool_or(isnan(logit)) OVER w OR bool_and(isinf(logit)) OVER w AS flat FROM odd WINDOW w AS (PARTITION BY ctx_id)),
+g AS (SELECT ctx_id, token_id, CASE WHEN flat THEN 1.0 ELSE exp(logit / 0.5 - max(CASE WHEN NOT flat THEN logit / 0.5 END) OVER (PARTITION BY ctx_id)) END AS p FROM f) {_drawn('g')}""")
+def sampled_or_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.when((F.col("ctx_id") % 5 == 0) & (F.col("token_id") % 3 == 0), float("nan")).when(F.col("ctx_id") % 5 == 1, float("-inf")).when((F.col("ctx_id") % 5 == 2) & (F.col("token_id") % 2 == 0), float("-inf")).otherwise(F.col("logit"))
+    return samplers.sampled_or_any(rel.logits(spark, sf_dir).withColumn("logit", odd), 0.5).select("ctx_id", "token_id")
+
+
+@query(f"""WITH RECURSIVE {CAND}, {rel.picked_sql('mass')}, a AS (SELECT ctx_id, list(token_id) AS ok FROM logits WHERE token_id % 20 = ctx_id % 20 GROUP BY 1),
+x AS (SELECT c.ctx_id, c.token_id, c.p, d.rank, a.ok, c.cluster_id = b.cluster_id AS best, a.ok IS NULL OR list_contains(a.ok, c.token_id) AS fits
+      FROM clustered AS c JOIN cand AS d USING (ctx_id, token_id) JOIN picked_b AS b USING (ctx_id) LEFT JOIN a USING (ctx_id))
+SELECT ctx_id, coalesce(arg_max(token_id, (p, -token_id)) FILTER (fits AND best), arg_min(token_id, rank) FILTER (fits), list_min(any_value(ok))) AS token_id FROM x GROUP BY ctx_id""")
+def filtered_token_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best cluster's token among a few allowed ones, with what stands in where the cluster has none."""
+    logits = rel.logits(spark, sf_dir)
+    rows = ca.clustered(logits, rel.vocabulary(spark, sf_dir), ca.ClusterSpec(method="dbscan", epsilon=rel.EPSILON, bypass=0))
+    best = category.best_cluster(category.greedy_score(category.mass(rows)))
+    return category.allowed_token(rows, best, rel.allowed(logits, 20))
+
+
+@query(f"WITH {L}, {rel.dynamic_sql()}, n AS (SELECT ctx_id, count(*) AS n FROM cand GROUP BY 1) SELECT count(*) AS total_samples, count(*) FILTER (n > 3) AS clustering_calls, count(*) FILTER (n <= 3) AS bypassed, CAST(sum(n) AS BIGINT) AS candidates FROM n")
+def decision_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ca.statistics(rel.logits(spark, sf_dir), SPEC)
+
+
+@query("""WITH w AS (SELECT DISTINCT user_id AS ctx_id, CAST(json_extract_string(props, '$.k') AS INT) AS token_id FROM events), c AS (SELECT vec_id FROM embeddings WHERE label < 5)
+SELECT ctx_id, count(*) FILTER (token_id IN (SELECT vec_id FROM c)) AS cached, string_agg(token_id, ',' ORDER BY token_id) FILTER (token_id NOT IN (SELECT vec_id FROM c)) AS uncached FROM w GROUP BY ctx_id""")
+def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per context how many of its tokens have a vector at hand, here those of labels 0 to 4, and which haven't."""
+    have = rel.vectors(spark, sf_dir).where("label < 5").select("token_id")
+    split = sequences.split_by_presence(rel.logits(spark, sf_dir).select("ctx_id", "token_id"), have, "token_id")
+    missing = F.array_join(F.array_sort(F.collect_list(F.when(~F.col("present"), F.col("token_id")))), ",")
+    return split.groupBy("ctx_id").agg(F.count_if("present").alias("cached"), F.nullif(missing, F.lit("")).alias("uncached"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from pairlens.sources.tables import table
 
-#: Tokens of the vocabulary in the SQL, and of ``eps_edges``, which is checked against it.
-VOCABULARY = 100
 #: Distance below which tokens are neighbours in these tables.
 EPSILON = 0.7
 
@@ -39,7 +37,8 @@ def logits_sql(scale: float = 100.0, name: str = "logits") -> str:
     return f"{name} AS (SELECT user_id AS ctx_id, CAST(json_extract_string(props, '$.k') AS INT) AS token_id, max(value) / {scale} AS logit FROM events GROUP BY 1, 2)"
 
 
-VOCABULARY_SQL = f"vocab AS (SELECT CAST(vec_id AS INT) AS token_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings WHERE vec_id < {VOCABULARY})"
+VECTORS_SQL = "vocab AS (SELECT CAST(vec_id AS INT) AS token_id, CAST(embedding AS DOUBLE[]) AS vec, label FROM embeddings)"
+VOCABULARY_SQL = VECTORS_SQL[:-1] + " WHERE vec_id IN (SELECT CAST(json_extract_string(props, '$.k') AS INT) FROM events))"
 
 
 def allowed_sql(modulus: int = 4, name: str = "allowed", source: str = "logits") -> str:

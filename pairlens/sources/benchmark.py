@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.errors import DataError
+from pairlens.operators.sequences import in_order
 
 EXAMPLE = "id string, question string, options array<string>, choice_labels array<string>, correct_option string, answer_key string"
 RAW_ARC = "id string, question string, choices struct<text array<string>, label array<string>>, answerKey string"
@@ -93,19 +94,104 @@ def standardize(raw: DataFrame, key: str) -> DataFrame:
 
     Rows whose answer names no choice have valid = false; keep them apart with
     ``accepted`` and ``rejects``. ids number the rows in the order of question
-    and choices, so that they don't hang on partitions.
+    and choices, so that they don't hang on partitions; ranges of that order
+    are numbered side by side.
     """
     s = spec_of(key)
-    rows = raw.where(F.col("subject").isin(list(s.subjects))) if s.subjects else raw
+    rows = of_subjects(raw, s)
     index = answer_index(F.col(s.answer))
     choices = F.col(s.choices)
-    order = Window.partitionBy(F.lit(key)).orderBy(s.question, F.to_json(F.struct(choices.alias("c"))))
+    numbered = in_order(rows.withColumn("_question", F.col(s.question)).withColumn("_choices", F.to_json(F.struct(choices.alias("c")))), ["_question", "_choices"], "_position")
     valid = index.isNotNull() & (index < F.size(choices)) & (index >= 0)
-    return rows.select(
-        F.concat(F.lit(f"{key}_"), F.row_number().over(order) - 1).alias("id"), F.lit(key).alias("dataset"), F.col(s.question).alias("question"), choices.alias("options"),
+    return numbered.select(
+        F.concat(F.lit(f"{key}_"), F.col("_position")).alias("id"), F.lit(key).alias("dataset"), F.col(s.question).alias("question"), choices.alias("options"),
         F.when(valid, (index + 1).cast("string")).alias("correct_option"), F.when(valid, F.element_at(choices, index + 1)).alias("correct_answer"), F.coalesce(valid, F.lit(False)).alias("valid"), *s.extra)
 
 
+def of_subjects(raw: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """The rows of the subjects that a dataset keeps, all where it names none."""
+    return raw.where(F.col("subject").isin(list(spec.subjects))) if spec.subjects else raw
+
+
+def load(spark: SparkSession, key: str, root: str, limit: int | None = None) -> DataFrame:
+    """A dataset in standard form from ``root``/<key>.jsonl or .parquet, its first ``limit`` rows by id number."""
+    spec = spec_of(key)
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be at least 1, not {limit}")
+    path = f"{root.rstrip('/')}/{key}"
+    if os.path.exists(f"{path}.parquet"):
+        raw = spark.read.parquet(f"{path}.parquet")
+    elif os.path.exists(f"{path}.jsonl"):
+        raw = read_jsonl(spark, f"{path}.jsonl", spec.schema)
+    else:
+        raise FileNotFoundError(f"{path}.jsonl")
+    rows = standardize(raw, key)
+    return rows if limit is None else rows.orderBy(F.substring_index("id", "_", -1).cast("long")).limit(limit)
+
+
+def load_many(spark: SparkSession, keys: str | list[str], root: str, limit: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Several datasets, or "all", under one another, and what went wrong with those that can't be read."""
+    wanted = list(SPECS) if keys == "all" else [keys] if isinstance(keys, str) else list(keys)
+    frames, failed = [], {}
+    for key in wanted:
+        try:
+            frames.append(load(spark, key, root, limit))
+        except (FileNotFoundError, ValueError) as e:
+            failed[key] = str(e)
+    return (union_all(frames) if frames else None), failed
+
+
+_LETTERS = [chr(65 + i) for i in range(26)]
+
+
+def lenient_arc(raw: DataFrame, payload: str = "payload") -> DataFrame:
+    """id, question, options, choice_labels, correct_option, answer_key of questions as JSON texts of any of four shapes.
+
+    choices may be {text, label}, {choices: {text, label}}, a list, or an object
+    whose values are the options. Missing labels are letters from A on. The
+    correct option is the key's place among the labels, else the key if it is a
+    number, else "1". Texts that are no object or have other choices give no
+    row. A null id becomes arc_<number of options>.
+    """
+    get = lambda path: F.get_json_object(payload, f"$.{path}")
+    texts = lambda path: F.from_json(get(path), "array<string>")
+    choices = F.trim(get("choices"))
+    first = choices.substr(1, 1)
+    flat, nested = get("choices.text").isNotNull() & get("choices.label").isNotNull(), get("choices.choices").isNotNull()
+    options = F.when(first == "[", texts("choices")).when(flat, texts("choices.text")).when(nested, F.coalesce(texts("choices.choices.text"), F.array().cast("array<string>"))).when(first == "{", F.map_values(F.from_json(choices, "map<string,string>")))
+    given = F.when(flat, texts("choices.label")).when(nested, texts("choices.choices.label"))
+    rows = raw.select(get("id").alias("id"), F.coalesce(get("question"), F.lit("")).alias("question"), options.alias("options"), given.alias("_given"), F.coalesce(get("answerKey"), F.lit("")).alias("answer_key")).where(F.col("options").isNotNull())
+    letters = F.slice(F.array(*map(F.lit, _LETTERS)), F.lit(1), F.least(F.size("options"), F.lit(26)))
+    labelled = rows.withColumn("choice_labels", F.coalesce("_given", letters))
+    place = F.nullif(F.array_position("choice_labels", F.col("answer_key")).cast("string"), F.lit("0"))
+    number = F.when(F.col("answer_key").rlike("^[0-9]+$"), F.col("answer_key").cast("decimal(38,0)").cast("string"))
+    return labelled.select(F.coalesce("id", F.concat(F.lit("arc_"), F.size("options"))).alias("id"), "question", "options", "choice_labels", F.coalesce(place, number, F.lit("1")).alias("correct_option"), "answer_key")
+
+
+def answer_tokens(labels: DataFrame, vocabulary: DataFrame, label: str = "label") -> DataFrame:
+    """label, token_id: the token that stands for each answer label, of a vocabulary (text, token_id).
+
+    Tried in order: the label after a space, alone, with a full stop, and with
+    both, as one token; then the last token of the label after a space, which is
+    its longest end that is a token; then the code of its first character. Of
+    tokens with the same text the lowest counts. Null and empty labels give no
+    row.
+    """
+    wanted = labels.select(F.col(label).alias("label")).where("label <> ''").distinct()
+    whole = F.array(*[F.struct(F.lit(i).alias("place"), t.alias("text")) for i, t in enumerate((F.concat(F.lit(" "), F.col("label")), F.col("label"), F.concat("label", F.lit(".")), F.concat(F.lit(" "), "label", F.lit("."))))])
+    ends = F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.struct((i + 10).alias("place"), F.expr("substring(label, 1)").substr(i, F.length("label")).alias("text")))
+    each = wanted.withColumn("x", F.explode(F.concat(whole, ends))).select("label", "x.place", "x.text")
+    known = vocabulary.groupBy("text").agg(F.min("token_id").alias("token_id"))
+    found = each.join(known, "text", "left").groupBy("label").agg(F.min_by("token_id", F.when(F.col("token_id").isNotNull(), F.col("place"))).alias("token_id"))
+    return found.select("label", F.coalesce(F.col("token_id").cast("int"), F.ascii("label")).alias("token_id"))
+
+
+def sharing_tokens(options: DataFrame, by: str, option: str = "option", token: str = "token") -> DataFrame:
+    """``by``, ``token``, options: options of a question that share a token, "|" between."""
+    grouped = options.groupBy(by, token).agg(F.array_join(F.array_sort(F.collect_list(option)), "|").alias("options"), F.count("*").alias("n"))
+    return grouped.where("n > 1").drop("n")
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     return rows.where("valid").drop("valid")
 
@@ -150,13 +236,24 @@ FINAL_QUESTION = "So what's the final answer?"
 REASONED_LEAD, DIRECT_LEAD = "The final answer is option", "The correct answer is option"
 
 
+def _turn(role: str, content: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), content.alias("content"))
+
+
+def _asked(sentence: Column, options: Column) -> Column:
+    return _turn("user", F.concat(sentence, F.lit("\n\n"), lettered(options)))
+
+
+def reasoning_messages(sentence: Column, options: Column) -> Column:
+    """Array of (role, content) that asks for a reasoning."""
+    return F.array(_turn("system", F.lit(REASONING_SYSTEM)), _asked(sentence, options))
+
+
 def messages(sentence: Column, options: Column, reasoning: Column | None = None) -> Column:
     """Array of (role, content): a direct prompt, or the reasoning one with a reasoning and the final question."""
-    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    asked = turn("user", F.concat(sentence, F.lit("\n\n"), lettered(options)))
     if reasoning is None:
-        return F.array(turn("system", F.lit(DIRECT_SYSTEM)), asked)
-    return F.array(turn("system", F.lit(REASONING_SYSTEM)), asked, turn("assistant", reasoning), turn("user", F.lit(FINAL_QUESTION)))
+        return F.array(_turn("system", F.lit(DIRECT_SYSTEM)), _asked(sentence, options))
+    return F.concat(reasoning_messages(sentence, options), F.array(_turn("assistant", reasoning), _turn("user", F.lit(FINAL_QUESTION))))
 
 
 def chat_text(turns: Column, lead: str) -> Column:

@@ -12,8 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairlens.operators.outcomes import outcome
 
-SEQUENCE = "run_id string, sequence_id string, logged int, counted int, outcome string, closed boolean"
-_STATE = "logged int"
+SEQUENCE = "run_id string, sequence_id string, logged int, counted int, outcome string, closed boolean, kind string"
+_COLUMNS = ["run_id", "sequence_id", "logged", "counted", "outcome", "closed", "kind"]
+_STATE = "logged int, ended boolean"
 
 
 def ingest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -32,35 +33,37 @@ def to_table(rows: DataFrame, name: str, checkpoint: str, mode: str = "complete"
 
 
 def sequences(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """One row per sequence when it closes, by its end event or after ``timeout_ms`` without events (closed = false).
+    """Rows of sequences by ``kind``: ended (by its end event), expired (``timeout_ms`` without events before an end), late.
 
-    State is one count per open sequence. Events of a sequence that come after
-    its end open it anew and are given out, as not closed, by the timeout. A
-    run over what is there now has no timeout: with one it would wait for it.
+    State is a count and a flag per sequence. What comes after a sequence's end
+    doesn't open it anew: it is given out by itself as late, with the number of
+    logged events that came. With ``timeout_ms`` the state of an ended sequence
+    lives that long after its last event, so state stays bounded; without, as in
+    a run over what is there now (a timeout would make it wait), it is kept.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        logged = state.get[0] if state.exists else 0
+        logged, ended = state.get if state.exists else (0, False)
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], key[1], logged, None, None, False)], columns=["run_id", "sequence_id", "logged", "counted", "outcome", "closed"])
+            if not ended:
+                yield pd.DataFrame([(*key, logged, None, None, False, "expired")], columns=_COLUMNS)
             return
-        end = None
+        came, end = 0, None
         for batch in batches:
-            logged += int((batch["event_type"] == "token_disagreement").sum())
+            came += int((batch["event_type"] == "token_disagreement").sum())
             ends = batch[batch["event_type"] == "sequence_end"]
             if len(ends):
                 end = ends.iloc[-1]
-        if end is not None:
-            if state.exists:
-                state.remove()
-            counted = None if pd.isna(end["disagreement_count"]) else int(end["disagreement_count"])
-            found = None if pd.isna(end["outcome"]) else end["outcome"]
-            yield pd.DataFrame([(key[0], key[1], logged, counted, found, True)], columns=["run_id", "sequence_id", "logged", "counted", "outcome", "closed"])
-        else:
-            state.update((logged,))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+        counted = None if end is None or pd.isna(end["disagreement_count"]) else int(end["disagreement_count"])
+        found = None if end is None or pd.isna(end["outcome"]) else end["outcome"]
+        if ended:
+            yield pd.DataFrame([(*key, came, counted, found, end is not None, "late")], columns=_COLUMNS)
+        elif end is not None:
+            yield pd.DataFrame([(*key, logged + came, counted, found, True, "ended")], columns=_COLUMNS)
+        state.update((logged if ended else logged + came, ended or end is not None))
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
 
     slim = events.where(F.col("sequence_id").isNotNull()).select("run_id", "sequence_id", "event_type", "disagreement_count", outcome().alias("outcome"))
     return slim.groupBy("run_id", "sequence_id").applyInPandasWithState(step, SEQUENCE, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)

@@ -189,6 +189,84 @@ def test_event_log_batch_and_stream_agree(spark, tmp_path):
     assert all(r["agrees"] for r in outcomes.drift(events()).collect())
 
 
+def test_late_events_and_expiry(spark, tmp_path):
+    line = lambda kind, i, **more: json.dumps({"event_type": kind, "run_id": "r", "sequence_id": f"s{i}", **more})
+    end = {"disagreement_count": 1, "correctness": {"greedy_correct": True, "dcbs_correct": False}}
+    (tmp_path / "log").mkdir()
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    go = lambda: decisions.ingest(decisions.sequences(event_log.stream(spark, str(tmp_path / "log"))), out, state).awaitTermination()
+    for n, lines in enumerate(([line("token_disagreement", 0), line("sequence_end", 0, **end), line("token_disagreement", 1)], [line("token_disagreement", 0), line("token_disagreement", 0), line("sequence_end", 1, **end)], [line("sequence_end", 0, **end)])):
+        (tmp_path / "log" / f"{n}.json").write_text("\n".join(lines))
+        go()
+    rows = sorted((r["sequence_id"], r["kind"], r["logged"], r["closed"]) for r in spark.read.parquet(out).collect())
+    assert rows == [("s0", "ended", 1, True), ("s0", "late", 0, True), ("s0", "late", 2, False), ("s1", "ended", 1, True)]
+
+
+def test_a_stream_that_failed_goes_on_where_it_was(spark, tmp_path):
+    """A batch whose sink failed is done again, and each event counts once."""
+    (tmp_path / "log").mkdir()
+    lines = [json.dumps({"event_type": "token_disagreement", "run_id": "r", "sequence_id": f"s{i}"}) for i in range(6)]
+    (tmp_path / "log" / "1.json").write_text("\n".join(lines[:3]))
+    out, state, fail = str(tmp_path / "out"), str(tmp_path / "state"), [True]
+
+    def sink(batch, number):
+        # a rewritten batch replaces what it left behind
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if fail.pop() if fail else False:
+            raise RuntimeError("lost")
+
+    run = lambda: event_log.stream(spark, str(tmp_path / "log")).select("sequence_id").writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with pytest.raises(Exception, match="lost"):
+        run()
+    (tmp_path / "log" / "2.json").write_text("\n".join(lines[3:]))
+    run()
+    assert sorted(r["sequence_id"] for r in spark.read.parquet(out).collect()) == [f"s{i}" for i in range(6)]
+
+
+def test_sequences_that_never_ended_are_kept(spark, tmp_path):
+    (tmp_path / "l.json").write_text("\n".join(log(spark)[:2]))
+    got = outcomes.drift(event_log.read(spark, str(tmp_path / "l.json"))).collect()
+    assert [(r["sequence_id"], r["counted"], r["logged"], r["agrees"]) for r in got] == [("s0", None, 1, False)]
+
+
+def test_first_examples_of_a_group(spark):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i) for i in range(60)], "g string, t int")
+    got = sorted(((r["g"] or "", r["t"], r["more"]) for r in outcomes.examples(rows, "g", "t", 2).collect()))
+    assert got == [("", 0, 18), ("", 3, 18), ("a", 1, 38), ("a", 2, 38)]
+    assert "WindowGroupLimit" in outcomes.examples(rows, "g", "t", 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(v,) for v in [5, 3, 9, 1, None, 3] * 20], "v int").repartition(5)
+    got = sequences.in_order(rows, ["v"]).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(120)) and [r["v"] for r in got] == sorted((r["v"] for r in got), key=lambda v: (v is not None, v))
+    assert sequences.in_order(rows.limit(0), ["v"]).collect() == []
+
+
+def test_datasets_are_loaded_by_name(spark, tmp_path):
+    (tmp_path / "hellaswag.jsonl").write_text("\n".join(json.dumps({"ctx": f"c{i}", "endings": ["a", "b"], "label": str(i % 3)}) for i in range(4)))
+    (tmp_path / "mmlu_stem.jsonl").write_text("\n".join(json.dumps({"question": f"q{i}", "choices": ["a", "b"], "answer": 1, "subject": s}) for i, s in enumerate(["anatomy", "law", "virology"])))
+    assert [(r["question"], r["correct_option"], r["valid"]) for r in bm.load(spark, "hellaswag", str(tmp_path), 3).collect()] == [("c0", "1", True), ("c1", "2", True), ("c2", None, False)]
+    rows, failed = bm.load_many(spark, "all", str(tmp_path))
+    assert sorted(r["id"] for r in rows.collect()) == [*(f"hellaswag_{i}" for i in range(4)), "mmlu_stem_0", "mmlu_stem_1"] and set(failed) == {"arc_easy", "arc_challenge"}
+    assert bm.load_many(spark, "other", str(tmp_path))[0] is None
+    with pytest.raises(ValueError):
+        bm.load(spark, "hellaswag", str(tmp_path), 0)
+
+
+def test_lenient_shapes(spark):
+    given = [{"id": "1", "question": "q", "choices": {"text": ["a", "b"], "label": ["1", "2"]}, "answerKey": "2"}, {"question": "q", "choices": {"choices": {"text": ["a", "b", "c"]}}, "answerKey": "C"}, {"id": "3", "choices": ["a", "b"], "answerKey": "2"}, {"id": "4", "choices": {"x": "a", "y": "b"}, "answerKey": "?"}, {"id": "5", "choices": 7}, {"id": "6"}]
+    rows = spark.createDataFrame([(json.dumps(g),) for g in given] + [("{",), (None,)], "payload string")
+    got = {r["id"]: (r["options"], r["choice_labels"], r["correct_option"]) for r in bm.lenient_arc(rows).collect()}
+    assert got == {"1": (["a", "b"], ["1", "2"], "2"), "arc_3": (["a", "b", "c"], ["A", "B", "C"], "3"), "3": (["a", "b"], ["A", "B"], "2"), "4": (["a", "b"], ["A", "B"], "1")}
+
+
+def test_tokens_of_labels(spark):
+    vocabulary = spark.createDataFrame([(" A", 5), (" A", 4), ("B", 7), ("C.", 8), ("D", 10), (" D", 9), ("1", 11), ("x", 12)], "text string, token_id int")
+    labels = spark.createDataFrame([(x,) for x in ("A", "B", "C", "D", "Q", "Z1", "x", "", None, "A")], "label string")
+    assert {r["label"]: r["token_id"] for r in bm.answer_tokens(labels, vocabulary).collect()} == {"A": 4, "B": 7, "C": 8, "D": 9, "Q": 81, "Z1": 11, "x": 12}
+
+
 def test_as_of_and_windows(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 5, "x"), (1, 3, "y"), (1, 4, None)], "k int, t int, v string")
@@ -201,7 +279,7 @@ def test_as_of_and_windows(spark):
 def test_settings():
     env = {"HOME_DIR": "here", "PAIRLENS_LIMIT": "42", "PAIRLENS_CLUSTER_PARAMS_K": "5", "PAIRLENS_P_VALUES": "0.5,0.9"}
     got, unknown = config.validate({"benchmark": "${HOME_DIR}/${NAME:x}", "extra": 1}, env=env)
-    assert got["benchmark"] == "here/x" and got["limit"] == 42 and got["cluster_params"] == {"k": 5, "top_n": 50} and got["p_values"] == [0.5, 0.9] and unknown == ["extra"]
+    assert got["benchmark"] == "here/x" and got["limit"] == 42 and got["cluster_params"] == {"k": 5, "top_n": 50, "cache_size": 1000} and got["p_values"] == [0.5, 0.9] and unknown == ["extra"]
     for bad in ({}, {"benchmark": "${MISSING}"}, {"benchmark": "b", "limit": 0}, {"benchmark": "b", "limit": True}, {"benchmark": "b", "clustering_method": "x"}, {"benchmark": "b", "p_values": [2.0]}):
         with pytest.raises(ConfigurationError):
             config.validate(bad, env={})
@@ -221,6 +299,7 @@ def test_bootstrap_query_runs_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(q_evaluation, "results", lambda *_: verdicts(spark, a=[1] * 30 + [0] * 10))
     got = q_evaluation.bootstrap_ci(spark, "").collect()[0]
     assert got["rounds"] == 10_000 and 0.55 < got["ci_low"] < 0.75 < got["ci_high"] < 0.9
+    assert tuple(q_evaluation.bootstrap_check(spark, "").collect()[0]) == ("a", 10_000, 75.0, True, True)
 
 
 def test_top_answer_keeps_results_with_ties(spark, tmp_path):

@@ -189,6 +189,72 @@ def test_information_equals_mass_unless_empty(spark):
     assert kept == 2
 
 
+def test_divergence_of_a_removal_equals_its_definition(spark):
+    masses = [0.7, 0.3 - 1e-11, 1e-11]
+    rows = spark.createDataFrame([(0, i, m, 1, i) for i, m in enumerate(masses)] + [(1, 0, 0.0, 1, 0)], "ctx_id long, cluster_id int, mass double, size long, token_id int")
+    got = {(r["ctx_id"], r["cluster_id"]): r["kl"] for r in category.kl_of_removal(rows).collect()}
+    p = np.array(masses) / sum(masses)
+    q = p * [1, 1, 0] / p[:2].sum()
+    want = sum(a * math.log(a / b) for a, b in zip(p, q) if b > 1e-10)
+    assert got[0, 0] == got[0, 1] == math.inf and got[1, 0] == 0 and got[0, 2] == pytest.approx(want, rel=1e-4) and got[0, 2] < 0
+
+
+def test_one_pass_equals_the_single_samplers(spark):
+    rng = np.random.default_rng(6)
+    rows = logits(spark, *[{int(t): float(rng.normal() * 3) for t in rng.choice(200, 40, replace=False)} for _ in range(80)])
+    one = {(r["ctx_id"], r["sampler"]): r["token_id"] for r in samplers.decide(rows).collect()}
+    many = {(r["ctx_id"], r["sampler"]): r["token_id"] for r in samplers.run(rows, ["greedy", "top_p", "random"]).collect()}
+    assert one == many
+    draws = {n: [one[c, n] for c in range(80)] for n in ("top_p", "random")}
+    assert sum(a == b for a, b in zip(*draws.values())) < 40
+
+
+def test_any_token_where_nothing_can_be_drawn(spark):
+    rows = logits(spark, [float("nan"), 1, 2], [float("-inf")] * 3, [float("-inf"), 5, 5], [float("inf"), 1], [1, 2, 3])
+    got = chosen(samplers.sampled_or_any(rows, 1.0, allowed(spark, [1, 2])))
+    assert set(got) == set(range(5)) and got[0] in (1, 2) and got[2] in (1, 2) and got[3] == 0
+    many = logits(spark, *[[float("nan"), 1, 2]] * 300)
+    assert set(chosen(samplers.sampled_or_any(many)).values()) == {0, 1, 2}
+
+
+def test_tokens_that_stand_in_for_filtered_ones(spark):
+    rows = spark.createDataFrame([(c, t, t + 1, 0 if t < 2 else 2, 0.4 - t / 10) for c in range(5) for t in range(4)], "ctx_id long, token_id int, rank int, cluster_id int, p double")
+    best = spark.createDataFrame([(c, 0) for c in range(5)], "ctx_id long, cluster_id int")
+    got = chosen(category.allowed_token(rows, best, allowed(spark, [1, 3], [3, 2], [9, 8], [])))
+    assert got == {0: 1, 1: 2, 2: 8, 3: 0, 4: 0}
+
+
+def test_a_vocabulary_in_several_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(70, 4))
+    x[5] = 0
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+    want = {(i, j) for i in range(70) for j in range(i + 1, 70) if 1 - unit[i] @ unit[j] <= 0.6}
+    for block in (7, 40, 1000):
+        assert {(r["a"], r["b"]) for r in clustering.epsilon_edges(emb(spark, x), 0.6, block).collect()} == want
+    assert clustering.epsilon_edges(emb(spark, x).limit(0), 0.6).collect() == []
+
+
+def test_vectors_too_many_to_be_looked_up_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, vocab = logits(spark, *[{int(t): float(rng.normal()) for t in rng.choice(50, 20, replace=False)} for _ in range(5)]), emb(spark, rng.normal(size=(45, 3)))
+    key = lambda: sorted(map(tuple, ca.select(rows, vocab, ca.ClusterSpec()).collect()))
+    near = key()
+    monkeypatch.setattr(clustering, "SMALL_VALUES", 10)
+    assert key() == near
+
+
+def test_a_sweep_equals_single_runs(spark):
+    rng = np.random.default_rng(7)
+    rows, vocab = logits(spark, *[{int(t): float(rng.normal()) for t in rng.choice(60, 30, replace=False)} for _ in range(4)], [1, 2, 3]), emb(spark, rng.normal(size=(60, 5)))
+    specs = ca.grid()
+    assert len(specs) == 21
+    got = {(r["config"], r["ctx_id"]): (r["token_id"], r["cluster_id"]) for r in ca.sweep(rows, vocab, specs).collect()}
+    assert len(got) == 21 * 5
+    for name in ("dbscan epsilon=0.5 min_samples=3", "hierarchical clusters=4 linkage=complete", "kmeans clusters=16 top=30"):
+        assert {(name, r["ctx_id"]): (r["token_id"], r["cluster_id"]) for r in ca.select(rows, vocab, specs[name]).collect()}.items() <= got.items()
+
+
 def test_zero_and_missing_vectors(spark):
     rows = logits(spark, [1, 2, 3, 4, 5])
     vocab = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [1.0, 0.0]), (3, [1.0, 0.1])], "token_id int, vec array<double>")
@@ -221,6 +287,6 @@ def test_edges_and_vocabulary_beyond_the_first_hundred(spark, tmp_path):
     unit = vectors.astype("f4").astype(float)
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     want = {(i, j) for i in range(130) for j in range(i + 1, 130) if 1 - unit[i] @ unit[j] <= relations.EPSILON}
-    assert {(r["a"], r["b"]) for r in q_selection.eps_edges_all(spark, str(tmp_path)).collect()} == want
+    assert {(r["a"], r["b"]) for r in q_selection.eps_edges(spark, str(tmp_path)).collect()} == want
     assert max(b for _, b in want) > 100
     assert sorted(r["token_id"] for r in relations.vocabulary(spark, str(tmp_path)).collect()) == [3, 120]
