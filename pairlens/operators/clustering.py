@@ -66,7 +66,7 @@ def epsilon_edges(embeddings: DataFrame, epsilon: float, block: int = BLOCK_VECT
     blocks of about ``block`` vectors: a vector goes to as many places as there
     are blocks, none is sent everywhere. Null vectors are left out.
     """
-    v = embeddings.where(F.col("vec").isNotNull()).select(F.col("token_id").cast("int").alias("token_id"), vectors.as_double("vec").alias("vec"))
+    v = cut(embeddings.where(F.col("vec").isNotNull()).select(F.col("token_id").cast("int").alias("token_id"), vectors.as_double("vec").alias("vec")))
     blocks = max(1, -(-v.count() // block))
     packed = v.groupBy(F.pmod(F.xxhash64("token_id"), F.lit(blocks)).cast("int").alias("_block")).agg(F.collect_list(F.struct("token_id", "vec")).alias("_members"))
     spread = packed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("_block", "_members", F.least("_block", "_other").alias("_lo"), F.greatest("_block", "_other").alias("_hi"))
@@ -234,9 +234,9 @@ def density(points: np.ndarray, epsilon: float, min_samples: int) -> np.ndarray:
 
 def _looked_up(embeddings: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
     """Tokens in order and their vectors, if these are at most ``SMALL_VALUES`` numbers."""
-    vec = embeddings.where(F.col("vec").isNotNull()).select(F.col("token_id").cast("int").alias("token_id"), vectors.as_double("vec").alias("vec"))
-    total, width = vec.agg(F.coalesce(F.sum(F.size("vec")), F.lit(0)), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
-    if total > SMALL_VALUES or vec.count() * max(width, 1) > SMALL_VALUES:
+    vec = cut(embeddings.where(F.col("vec").isNotNull()).select(F.col("token_id").cast("int").alias("token_id"), vectors.as_double("vec").alias("vec")))
+    n, width = vec.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(1))).first()
+    if n * max(width, 1) > SMALL_VALUES:
         return None
     rows = sorted(vec.collect(), key=lambda r: r["token_id"])
     points = np.zeros((len(rows), max(width, 1)))

@@ -96,7 +96,8 @@ def parts(df: DataFrame, key: str = "envelope_id", payload: str = "payload") ->
     text = F.when(listed, F.when(F.col("label") == "answer", F.col("scalar"))).when(answer, F.col("label"))
     value = F.when(listed, F.when(F.col("label") == "prob", F.col("scalar"))).when(F.col("entity").isin("answer", "member", "cluster_prob"), F.col("scalar"))
     keys = (key, "entity", "list", "record_index", "cluster_index", "member_index")
-    met = _located(df, key, payload).groupBy(*keys, "home").agg(F.max(text).alias("answer"), F.max(value).alias("value"))
+    # both groupings are by the record and more, so one exchange by records serves them; a large payload's records spread
+    met = _located(df, key, payload).repartition(key, "list", "record_index").groupBy(*keys, "home").agg(F.max(text).alias("answer"), F.max(value).alias("value"))
     largest = F.max(F.struct(F.col("value").try_cast("double").alias("number"), "value"))["value"]
     return _paths(met).groupBy(*keys, "node_path", "parent_path", "answer").agg(largest.alias("value"))
 

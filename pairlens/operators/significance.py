@@ -69,7 +69,6 @@ def fisher(rows: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     rest adds nothing to a double. Weights come from one expression, relative
     to the likeliest table, so each pair is one grouping over its own rows.
     """
-    keys = ["method1", "method2"]
     n, k = F.col("n"), F.col("c1") + F.col("c2")
     half = 40 * F.sqrt(k / 4 * (2 * n - k) / F.greatest(2 * n - 1, F.lit(1))) + 50
 
@@ -78,11 +77,13 @@ def fisher(rows: DataFrame, tolerance: float = 1e-7) -> DataFrame:
 
     low = F.greatest(F.lit(0).cast("long"), k - n, F.floor(k / 2 - half).cast("long"))
     high = F.least(k, n, F.ceil(k / 2 + half).cast("long"))
-    bound = rows.where(n > 0).withColumn("_top", weight(F.floor(k / 2).cast("long"))).withColumn("_own", weight(F.col("c1")) - F.col("_top"))
-    each = bound.withColumn("_i", F.explode(F.sequence(low, high))).withColumn("_w", weight(F.col("_i")) - F.col("_top"))
+    top = weight(F.floor(k / 2).cast("long"))
+    bound = rows.withColumn("_top", top).withColumn("_own", weight(F.col("c1")) - F.col("_top"))
+    each = bound.withColumn("_i", F.explode_outer(F.when(n > 0, F.sequence(low, high)))).withColumn("_w", weight(F.col("_i")) - F.col("_top"))
     near = F.col("_w") <= F.col("_own") + tolerance
-    total = each.groupBy(*keys).agg((F.sum(F.when(near, F.exp("_w")).otherwise(0.0)) / F.sum(F.exp("_w"))).alias("p_fisher"))
-    return rows.join(total, keys, "left").withColumn("p_fisher", F.least(F.lit(1.0), F.coalesce("p_fisher", F.lit(1.0))))
+    # the rows themselves are the grouping's keys, so nothing is joined back
+    p = F.sum(F.when(near, F.exp("_w")).otherwise(0.0)) / F.sum(F.exp("_w"))
+    return each.groupBy(*rows.columns).agg(F.least(F.lit(1.0), F.coalesce(p, F.lit(1.0))).alias("p_fisher"))
 
 
 def bonferroni(rows: DataFrame, p: str, name: str = "p_bonferroni") -> DataFrame:

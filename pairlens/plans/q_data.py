@@ -218,12 +218,13 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.struct("token_id", "correct")
     wide = rows.where(F.col("sampler").isin("greedy", "dcbs")).groupBy("ctx_id").agg(F.max(F.when(F.col("sampler") == "greedy", state)).alias("g"), F.max(F.when(F.col("sampler") == "dcbs", state)).alias("d"))
     differ = (F.col("g.token_id") != F.col("d.token_id")).cast("int")
-    base = wide.select(
+    event = lambda kind, at: F.struct(F.lit(kind).alias("event_type"), F.lit(at).cast("int").alias("timestep"))
+    told = F.explode(F.when(differ > 0, F.array(event("sequence_end", None), event("token_disagreement", 0))).otherwise(F.array(event("sequence_end", None)))).alias("e")
+    rows = wide.select(
         F.concat(F.lit("run_"), F.pmod("ctx_id", F.lit(3))).alias("run_id"), F.concat(F.lit("seq_"), F.col("ctx_id")).alias("sequence_id"),
-        F.struct(F.col("g.correct").alias("greedy_correct"), F.col("d.correct").alias("dcbs_correct")).alias("correctness"), differ.alias("disagreement_count"))
-    ends = base.withColumn("event_type", F.lit("sequence_end"))
-    tokens = base.where("disagreement_count > 0").select("run_id", "sequence_id", F.lit("token_disagreement").alias("event_type"), F.lit(0).alias("timestep"))
-    return ends.unionByName(tokens, allowMissingColumns=True)
+        F.struct(F.col("g.correct").alias("greedy_correct"), F.col("d.correct").alias("dcbs_correct")).alias("verdicts"), differ.alias("n"), told)
+    end = F.col("e.event_type") == "sequence_end"
+    return rows.select("run_id", "sequence_id", F.when(end, F.col("verdicts")).alias("correctness"), F.when(end, F.col("n")).alias("disagreement_count"), "e.event_type", "e.timestep")
 
 
 OUTCOMES = qe.DIFF + " SELECT 'run_' || (ctx_id % 3) AS run_id, outcome, count(*) AS n FROM diff GROUP BY 1, 2"

@@ -349,9 +349,8 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BOARD + " SELECT b.sampler AS best, o.sampler AS other, round(b.accuracy - o.accuracy, 6) AS lead FROM board AS b JOIN board AS o ON o.rank > 1 WHERE b.rank = 1")
 def best_vs_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    board = _board(spark, sf_dir)
-    best = board.agg(F.max_by(F.struct("sampler", "accuracy"), -F.col("rank")).alias("b"))
-    return board.where("rank > 1").join(F.broadcast(best)).select(F.col("b.sampler").alias("best"), F.col("sampler").alias("other"), _r(F.col("b.accuracy") - F.col("accuracy"), "lead"))
+    best = F.first(F.struct("sampler", "accuracy")).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    return _board(spark, sf_dir).withColumn("b", best).where("rank > 1").select(F.col("b.sampler").alias("best"), F.col("sampler").alias("other"), _r(F.col("b.accuracy") - F.col("accuracy"), "lead"))
 
 
 @query(BOARD + """, b AS (SELECT '| ' || sampler || ' | ' || printf('%.1f', accuracy) || ' |' AS line, rank + 1 AS n FROM board)
