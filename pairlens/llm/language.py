@@ -100,12 +100,18 @@ class Profiles:
         """Takes in texts under the languages that are clear in them; longer ones are the clearer."""
         seeds, texts = self.counts, list(texts)
         for _ in range(turns):
-            found, times = {name: Counter(c) for name, c in seeds.items()}, Counter()
+            seen, times = {name: Counter() for name in seeds}, Counter()
             for text in texts:
                 name = self.language(text, CLEAR)
-                if name in found:
+                if name in seen:
                     times[name] += 1
-                    found[name].update(s for w in words(text) for s in _sequences(w))
+                    seen[name].update(words(text))
+            # each word once, as often as it was seen
+            found = {name: Counter(c) for name, c in seeds.items()}
+            for name, counted in seen.items():
+                for w, n in counted.items():
+                    for q in _sequences(w):
+                        found[name][q] += n
             self.counts = found
             # half the log of a language's share among the texts
             self.prior = np.log(np.array([times[name] + 1.0 for name in LANGUAGES]) / (len(texts) + len(LANGUAGES))) / 2

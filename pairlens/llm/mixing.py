@@ -5,8 +5,8 @@ times, and once more with the probability of the fraction. The flight phase
 moves these probabilities through the null space of two constraints, the
 documents and the tokens of the source, until at most two of a lane are left.
 The longest documents settle first, against all others of the lane at once, so
-that only ordinary ones are left. Those of all lanes fly on together, and the
-last two land by the choice whose tokens come closest to what is missing.
+that only ordinary ones are left. Those of all lanes fly on in fewer lanes,
+level by level, and the last two land by the choice whose tokens come closest to what is missing.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.tokens import sized
-from pairlens.plans.durable import cut
+from pairlens.plans.durable import cut, is_small
 
 #: Documents of a lane of the flight.
 LANE_DOCS = 50_000
@@ -164,15 +164,27 @@ class Mix:
         self.targets = cut(asked.join(per_source, "source", "left").fillna(0, ["has_tokens", "has_docs"]))
         need = F.when(F.col("has_tokens") > 0, F.least(F.greatest(F.col("target_tokens") / F.col("has_tokens"), F.lit(0.0)), F.col("max_repeats").cast("double")))
         wanted = self.targets.select("mix_id", "source", F.coalesce(need, F.lit(0.0)).alias("r"))
-        units = docs.join(wanted.where("r > 0"), "source").select(
-            "mix_id", "source", F.pmod(F.xxhash64("doc_id"), F.lit(lanes)).alias("lane"), "doc_id", "tokens",
-            F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"))
-        sorted_units = units.repartition("mix_id", "source", "lane").sortWithinPartitions("mix_id", "source", "lane", F.xxhash64("doc_id"), "doc_id")
-        flown = cut(sorted_units.mapInArrow(_runner(3, seed, False), _FIELDS))
-        open_ = F.col("p").between(1e-300, 1 - 1e-16)
-        rest = flown.where(open_).repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", F.xxhash64("doc_id"), "doc_id")
-        landed = rest.mapInArrow(_runner(2, seed + 1, True), _FIELDS)
-        every = flown.where(~open_).unionByName(landed)
+        order = F.xxhash64("doc_id")
+        # targets are few; were they many, a lane of documents would still be the unit that is exchanged
+        laned = docs.withColumn("lane", F.pmod(order, F.lit(lanes)))
+        asked_for = wanted.where("r > 0")
+        if is_small(asked_for):
+            met = laned.join(F.broadcast(asked_for), "source")
+        else:
+            met = laned.join(asked_for.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))), ["source", "lane"])
+        rest = met.select("mix_id", "source", "lane", "doc_id", "tokens", F.floor("r").cast("int").alias("whole"), (F.col("r") - F.floor("r")).alias("p"))
+        open_, every, level = F.col("p").between(1e-300, 1 - 1e-16), None, seed
+        while lanes > 1 or every is None:
+            # what a level of lanes leaves open, two documents of each, flies on in fewer lanes
+            together = rest.repartition("mix_id", "source", "lane").sortWithinPartitions("mix_id", "source", "lane", order, "doc_id")
+            flown = cut(together.mapInArrow(_runner(3, level, False), _FIELDS))
+            done = flown.where(~open_)
+            every = done if every is None else every.unionByName(done)
+            left = flown.where(open_)
+            lanes, level = int(left.count() // lane_docs) + 1, level + 1
+            rest = left.select("mix_id", "source", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.lit(lanes)).alias("lane"), "doc_id", "tokens", "whole", "p")
+        last = rest.drop("lane").repartition("mix_id", "source").sortWithinPartitions("mix_id", "source", order, "doc_id")
+        every = every.unionByName(last.mapInArrow(_runner(2, level, True), _FIELDS))
         self.chosen = cut(every.select("mix_id", "source", "doc_id", "tokens", (F.col("whole") + F.col("p").cast("int")).alias("copies")).where("copies > 0"))
 
     def shares(self) -> DataFrame:

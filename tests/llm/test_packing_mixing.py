@@ -118,6 +118,16 @@ def test_mix_reaches_targets_and_caps(spark):
     assert max(v for (s, _), v in copies.items() if s == "big") == 1 and all(v == 3 for (s, _), v in copies.items() if s == "small")
 
 
+def test_lanes_in_levels_reach_the_target(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 40), f"s{i % 2}") for i in range(900)]
+    targets = spark.createDataFrame([("m", f"s{k}", 0.5, 1, 0.4, 0) for k in range(2)], TARGETS)
+    made = mixing.Mix(docs(spark, rows), targets, lane_docs=9)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    for r in made.shares().collect():
+        assert abs(r["actual_tokens"] - 0.2 * total) <= 40, r
+
+
 def test_equal_and_repeated_documents(spark):
     targets = spark.createDataFrame([("m", "s", 1.0, 2, 0.5, 0)], TARGETS)
     chosen = mixing.mix(docs(spark, [(i, "a b c", "s") for i in range(100)] * 2), targets).chosen.collect()
