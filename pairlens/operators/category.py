@@ -51,6 +51,13 @@ def information_score(masses: DataFrame, threshold: float = 1e-3, least: int = 1
 SCORES = {"greedy": greedy_score, "confidence": confidence_score, "information": information_score}
 
 
+def register(name: str, score) -> None:
+    """Makes a rule known under a new name: a function of masses (ctx_id, cluster_id, mass, size, ...) that adds score."""
+    if name in SCORES:
+        raise ValueError(f"rule {name} is known already")
+    SCORES[name] = score
+
+
 def best_cluster(scored: DataFrame) -> DataFrame:
     """ctx_id and the cluster with the best score, the lowest id on ties, with all its columns."""
     top = F.max_by(F.struct(*[c for c in scored.columns if c != "ctx_id"]), F.struct(F.col("score"), -F.col("cluster_id"))).alias("x")

@@ -34,7 +34,7 @@ class ClusterSpec:
     bypass: int = 3
 
     def __post_init__(self) -> None:
-        if self.method not in ("dbscan", "kmeans", "hierarchical", "single", "euclidean"):
+        if self.method not in ("dbscan", "kmeans", "hierarchical", "single", "euclidean", *clustering.CUSTOM):
             raise ValueError(f"unknown method {self.method}")
         if self.category not in category.SCORES:
             raise ValueError(f"unknown category selection {self.category}")
@@ -59,6 +59,9 @@ def clustered(logits: DataFrame, embeddings: DataFrame | None, spec: ClusterSpec
         labelled = clustering.dbscan(cand, embeddings, spec.epsilon, spec.min_samples)
     elif spec.method == "hierarchical":
         labelled = clustering.hierarchical(cand, embeddings, spec.clusters, spec.linkage)
+    elif spec.method in clustering.CUSTOM:
+        own = clustering.CUSTOM[spec.method]
+        labelled = clustering.per_context(cand, embeddings, lambda x: own(x, spec), spec.normalize)
     elif spec.method == "euclidean":
         k = spec.clusters
         labelled = clustering.per_context(cand, embeddings, lambda x: clustering.euclidean_kmeans(x, k), spec.normalize)
@@ -100,12 +103,13 @@ def statistics(logits: DataFrame, spec: ClusterSpec = DEFAULT, allowed: DataFram
 
 def _labels(specs: dict[str, ClusterSpec]):
     """All specs' labels of one context's points; specs that ask for the same share them."""
+    own = {s.method: clustering.CUSTOM[s.method] for s in specs.values() if s.method in clustering.CUSTOM}
 
     def of(points: np.ndarray) -> dict[str, np.ndarray]:
         made: dict[tuple, np.ndarray] = {}
         out = {}
         for name, s in specs.items():
-            key = (s.method, s.epsilon, s.min_samples) if s.method == "dbscan" else (s.method, s.clusters, s.linkage)
+            key = (s.method, s.epsilon, s.min_samples) if s.method == "dbscan" else (name,) if s.method in own else (s.method, s.clusters, s.linkage)
             if key not in made:
                 n = len(points)
                 made[key] = (
@@ -113,6 +117,7 @@ def _labels(specs: dict[str, ClusterSpec]):
                     else clustering.agglomerative(points, min(s.clusters, n), s.linkage) if s.method == "hierarchical"
                     else clustering.euclidean_kmeans(points, s.clusters) if s.method == "euclidean"
                     else np.zeros(n, dtype=int) if s.method == "single"
+                    else own[s.method](points, s) if s.method in own
                     else clustering.spherical_kmeans(points, clustering.k_for(n, s.clusters)))
             out[name] = made[key]
         return out

@@ -324,3 +324,14 @@ def dbscan(candidates: DataFrame, embeddings: DataFrame, epsilon: float = EPSILO
     if min_samples <= 2:
         return components(candidates, epsilon_edges(embeddings, epsilon))
     return per_context(candidates, embeddings, lambda x: density(x, epsilon, min_samples))
+
+
+#: Methods of one's own by name: functions of a context's points and the spec that give labels.
+CUSTOM: dict[str, Callable] = {}
+
+
+def register(name: str, labels: Callable) -> None:
+    """Makes a method known under a new name; ``labels(points, spec)`` gets the vectors of a context in the order of their rank."""
+    if name in CUSTOM or name in ("dbscan", "kmeans", "hierarchical", "single", "euclidean"):
+        raise ValueError(f"method {name} is known already")
+    CUSTOM[name] = labels

@@ -133,6 +133,13 @@ def random_(logits: DataFrame, allowed: DataFrame | None = None, seed: int = 123
 REGISTRY: dict[str, Callable[..., DataFrame]] = {"greedy": greedy, "top_p": lambda logits, allowed=None: top_p(logits, 0.9, allowed), "random": random_}
 
 
+def register(name: str, sampler: Callable[..., DataFrame]) -> None:
+    """Makes a sampler known under a new name: a function of (logits, allowed) that gives (ctx_id, sampler, token_id)."""
+    if name in REGISTRY or name in STREAMS:
+        raise ValueError(f"sampler {name} is known already")
+    REGISTRY[name] = sampler
+
+
 def create(temperature_value: float | None = None, k: int | None = None) -> dict[str, Callable[..., DataFrame]]:
     """The registry with the samplers that need a parameter, where it is given."""
     out = dict(REGISTRY)

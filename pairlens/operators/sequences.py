@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.plans.durable import cut, small_side
 
@@ -73,3 +78,39 @@ def in_order(rows: DataFrame, order: list[str], name: str = "position") -> DataF
     starts = cut(ranged.groupBy("_range").agg(F.count("*").alias("_count")).select("_range", before.alias("_start")))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return ranged.withColumn("_inside", inside).join(small_side(starts), "_range").withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_start", "_inside")
+
+
+def lru_hits(rows: DataFrame, by: str, order: list[str], key: str, capacity: int, lasting: str | None = None, seconds: float | None = None) -> DataFrame:
+    """Adds hit: whether a cache of the ``capacity`` keys last used, one for each ``by``, has the key.
+
+    With ``lasting``, a timestamp column, an entry made more than ``seconds``
+    before is no hit and made anew. Rows stream through in order; what is held
+    is one cache at a time. Null keys hit each other.
+    """
+    if capacity < 1:
+        raise ValueError(f"capacity must be at least 1, not {capacity}")
+    at = F.unix_micros(F.col(lasting).cast("timestamp")) if lasting else F.lit(0).cast("long")
+    together = rows.withColumn("_at", at).repartition(by).sortWithinPartitions(by, *order)
+    schema = T.StructType([*rows.schema.fields, T.StructField("hit", T.BooleanType())])
+    lives, columns = int((seconds or 0) * 1_000_000), list(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: OrderedDict = OrderedDict()
+        owner: object = ()
+        for batch in batches:
+            hits = []
+            for who, what, now in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (by, key, "_at"))):
+                if who != owner:
+                    owner, cache = who, OrderedDict()
+                made = cache.get(what)
+                hit = made is not None and (not lasting or now - made <= lives)
+                hits.append(hit)
+                if not hit:
+                    cache[what] = now
+                cache.move_to_end(what)
+                if len(cache) > capacity:
+                    cache.popitem(last=False)
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, pa.bool_())], names=[*columns, "hit"])
+
+    return together.mapInArrow(run, schema)

@@ -13,6 +13,7 @@ from pairlens.plans import relations as rel
 from pairlens.plans.durable import shared_folder
 from pairlens.sources import benchmark as bm
 from pairlens.sources import event_log
+from pairlens.sources import results as rs
 from pairlens.sources.tables import table
 from pairlens.streaming import decisions
 
@@ -122,6 +123,80 @@ def limit_per_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.limit_each(_examples(spark, sf_dir).select("id", "dataset", "question"), 5)
 
 
+_RAW_STEM = "SELECT question, options AS choices, TRY_CAST(correct_option AS INT) - 1 AS answer, ['anatomy', 'law', 'virology'][length(id) % 3 + 1] AS subject FROM benchmark_examples"
+
+
+@query(f"""WITH raw AS ({_RAW_STEM}), d AS (SELECT DISTINCT * FROM raw WHERE subject <> 'law')
+SELECT 'mmlu_stem_' || (row_number() OVER (ORDER BY question, to_json(choices)::VARCHAR, subject) - 1) AS id, 'mmlu_stem' AS dataset, question, subject, CASE WHEN answer BETWEEN 0 AND len(choices) - 1 THEN CAST(answer + 1 AS VARCHAR) END AS correct_option,
+  CASE WHEN answer BETWEEN 0 AND len(choices) - 1 THEN choices[answer + 1] END AS correct_answer, coalesce(answer BETWEEN 0 AND len(choices) - 1, false) AS valid FROM d
+UNION ALL SELECT 'hellaswag_' || (row_number() OVER (ORDER BY question, to_json(choices)::VARCHAR) - 1), 'hellaswag', question, NULL, CAST(answer + 1 AS VARCHAR), choices[answer + 1], true FROM d WHERE answer BETWEEN 0 AND len(choices) - 1""")
+def standardized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two datasets in one form: one of subjects, of which some are kept, and one whose answers are texts, without rejects."""
+    rows = _examples(spark, sf_dir)
+    subjects = F.array(*map(F.lit, ("anatomy", "law", "virology")))
+    stem = rows.select("question", F.col("options").alias("choices"), (F.col("correct_option").try_cast("int") - 1).alias("answer"), F.element_at(subjects, F.length("id") % 3 + 1).alias("subject")).distinct()
+    swag = stem.where("subject <> 'law' AND answer BETWEEN 0 AND size(choices) - 1").select(F.col("question").alias("ctx"), F.col("choices").alias("endings"), F.col("answer").cast("string").alias("label"), *[F.lit(None).cast("string").alias(c) for c in ("activity_label", "ctx_a", "ctx_b")])
+    both = bm.union_all([bm.standardize(stem, "mmlu_stem"), bm.standardize(swag, "hellaswag")])
+    return both.select("id", "dataset", "question", "subject", "correct_option", "correct_answer", "valid")
+
+
+@query("SELECT id, question FROM benchmark_examples WHERE length(question) % 7 <> 0")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions through a file of lines, a seventh of which is broken."""
+    path = shared_folder(spark, "lines")
+    line = F.to_json(F.struct("id", "question"))
+    broken = F.length("question") % 7 == 0
+    _examples(spark, sf_dir).select(F.when(broken, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
+    return bm.read_jsonl(spark, path, "id string, question string").select("id", "question")
+
+
+@query("SELECT DISTINCT result_id, sampler, correct, elapsed_ms FROM detailed_results WHERE result_id IS NOT NULL")
+def results_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as documents and read again."""
+    path = shared_folder(spark, "results")
+    rows = table(spark, sf_dir, "detailed_results").where("result_id IS NOT NULL").select("result_id", "sampler", "correct", "elapsed_ms").distinct()
+    rs.write_results(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("SELECT id, any_value(sampler) AS sampler FROM (SELECT DISTINCT id, sampler FROM detailed_results WHERE sampler = 'greedy' AND id IS NOT NULL) GROUP BY id")
+def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the newer of two result files."""
+    path = shared_folder(spark, "files")
+    for name in ("dcbs", "greedy"):
+        ids = table(spark, sf_dir, "detailed_results").where((F.col("sampler") == name) & F.col("id").isNotNull()).select("id").distinct()
+        whole = ids.agg(F.collect_list(F.struct("id", F.lit(name).alias("sampler"))).alias("detailed_results"))
+        rs.write_results(whole.coalesce(1), f"{path}/{name}")
+    return rs.latest_results(spark, f"{path}/*").select("id", "sampler")
+
+
+@query("SELECT DISTINCT ON (run_id, id, sampler) run_id, id, sampler, result_id FROM detailed_results WHERE result_id IS NOT NULL ORDER BY run_id, id, sampler, result_id")
+def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an example evaluated several times in a run the first result."""
+    rows = table(spark, sf_dir, "detailed_results").where("result_id IS NOT NULL").select(F.struct("run_id", "id").alias("ctx_id"), "sampler", "result_id")
+    return ev.first_of(rows, "result_id").select("ctx_id.run_id", "ctx_id.id", "sampler", "result_id")
+
+
+@query("""WITH d AS (SELECT DISTINCT ON (result_id) * FROM detailed_results), s AS (SELECT run_id, sampler, count(*) AS completed, max(completed_at) AS timestamp FROM d GROUP BY 1, 2)
+SELECT run_id, completed FROM s WHERE sampler = 'dcbs' ORDER BY completed DESC, timestamp DESC NULLS LAST LIMIT 1""")
+def compatible_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The furthest run whose settings fit."""
+    rows = table(spark, sf_dir, "detailed_results").select("result_id", "run_id", "sampler", "completed_at").dropDuplicates(["result_id"])
+    states = rows.groupBy("run_id", "sampler").agg(F.count("*").alias("completed"), F.max("completed_at").alias("timestamp"))
+    return rs.latest_compatible(states, {"sampler": "dcbs"}).select("run_id", "completed")
+
+
+@query("""WITH d AS (SELECT DISTINCT timing_id, run_id, sampler, called_at FROM sampler_timings), g AS (SELECT *, lag(called_at) OVER (PARTITION BY run_id, sampler ORDER BY called_at, timing_id) AS before FROM d)
+SELECT timing_id, run_id || '_' || strftime(called_at, '%Y%m%d_%H%M%S') AS stamp, epoch_ms(called_at) - epoch_ms(before) AS waited_ms, coalesce(called_at - before > INTERVAL 1 HOUR, true) AS expired FROM g""")
+def call_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per call a stamped name, the milliseconds since the one before, and whether that is longer than an hour."""
+    rows = table(spark, sf_dir, "sampler_timings").select("timing_id", "run_id", "sampler", F.col("called_at").cast("timestamp").alias("at"), F.date_format("called_at", "yyyyMMdd_HHmmss").alias("text")).distinct()
+    before = F.lag("at").over(Window.partitionBy("run_id", "sampler").orderBy("at", "timing_id"))
+    waited = F.unix_millis("at") - F.unix_millis("before")
+    gaps = rows.withColumn("before", before)
+    return gaps.select("timing_id", F.concat_ws("_", "run_id", "text").alias("stamp"), waited.alias("waited_ms"), F.coalesce(F.unix_micros("at") - F.unix_micros("before") > 3_600_000_000, F.lit(True)).alias("expired"))
+
+
 @query("SELECT id, o AS option, count(*) AS times FROM (SELECT id, unnest(options) AS o FROM benchmark_examples) GROUP BY id, o HAVING count(*) > 1")
 def option_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _examples(spark, sf_dir).select("id", F.explode("options").alias("option")).groupBy("id", "option").agg(F.count("*").alias("times")).where("times > 1")
@@ -198,6 +273,15 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.reuse_distance(rows, "user_id", ["ts", "event_id"], "k").agg(F.count("*").alias("accesses"), F.count_if(d.isNotNull()).alias("repeats"), F.count_if(d <= 20).alias("hits_20"))
 
 
+@query("""WITH a AS (SELECT event_id, user_id, ts, CAST(json_extract_string(props, '$.k') AS INT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+p AS (SELECT *, lag(pos) OVER (PARTITION BY user_id, k ORDER BY pos) AS prev FROM a)
+SELECT p.event_id, p.prev IS NOT NULL AND (SELECT count(DISTINCT m.k) FROM a AS m WHERE m.user_id = p.user_id AND m.pos > p.prev AND m.pos < p.pos) < 10 AS hit FROM p""")
+def cache_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a cache of the ten keys last used by each user."""
+    rows = _events(spark, sf_dir).select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return sequences.lru_hits(rows, "user_id", ["ts", "event_id"], "k", 10).select("event_id", "hit")
+
+
 @query("""WITH s AS (SELECT user_id AS sequence_id, event_id, CAST(json_extract_string(props, '$.k') AS INT) AS token_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS timestep FROM events),
 f AS (SELECT sequence_id, min(timestep) FILTER (token_id = 7) AS stop FROM s GROUP BY 1)
 SELECT s.sequence_id, count(*) AS steps, count(*) FILTER (s.token_id = 7) AS stopped FROM s JOIN f USING (sequence_id) WHERE s.timestep <= least(coalesce(f.stop, 500), 500) GROUP BY 1""")

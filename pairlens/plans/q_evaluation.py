@@ -482,6 +482,17 @@ def top_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("result_id", first.alias("top_answer"), _r("_top", "top_p"), "answers")
 
 
+@query(_ONCE + """, t AS (SELECT sampler, avg(elapsed_ms) AS m, stddev_samp(elapsed_ms) AS sd, count(elapsed_ms) AS n FROM d WHERE isfinite(elapsed_ms) GROUP BY 1)
+SELECT sampler, CAST(list_position(['dcbs', 'greedy', 'top_p', 'random'], sampler) AS INT) AS pos, round(m, 3) AS mean_ms, round(1.96 * sd / sqrt(n), 3) AS error_ms FROM t""")
+def timing_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars and error bars of a latency chart."""
+    pos = F.array_position(F.array(*map(F.lit, ("dcbs", "greedy", "top_p", "random"))), F.col("sampler")).cast("int")
+    pos = F.nullif(pos, F.lit(0))
+    e = F.col("elapsed_ms")
+    rows = lg.finite(_delivered(spark, sf_dir, "sampler", "elapsed_ms").withColumn("logit", e)).groupBy("sampler").agg(F.avg(e).alias("m"), F.stddev_samp(e).alias("sd"), F.count(e).alias("n"))
+    return rows.select("sampler", pos.alias("pos"), F.round("m", 3).alias("mean_ms"), F.round(st.Z95 * F.col("sd") / F.sqrt("n"), 3).alias("error_ms"))
+
+
 @query(_ONCE + " SELECT sampler, count(*) FILTER (cluster_info IS NULL) AS without_clusters, count(*) AS total FROM d GROUP BY sampler")
 def cluster_info_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _delivered(spark, sf_dir, "sampler", "cluster_info").groupBy("sampler").agg(F.count_if(F.col("cluster_info").isNull()).alias("without_clusters"), F.count("*").alias("total"))

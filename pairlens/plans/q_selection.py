@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairlens.functions import vectors
@@ -14,6 +14,7 @@ from pairlens.operators import category, clustering, samplers, sequences
 from pairlens.operators import cluster_aware as ca
 from pairlens.operators import logits as lg
 from pairlens.plans import relations as rel
+from pairlens.plans.durable import cut
 from pairlens.sources.tables import table
 
 QUERIES: dict = {}
@@ -418,6 +419,23 @@ def dcbs_hierarchical_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dcbs(spark, sf_dir, ca.ClusterSpec(method="hierarchical"))
 
 
+@query(f"WITH {L}, c AS (SELECT count(DISTINCT ctx_id) AS n FROM logits) SELECT p.preset, CAST(n AS BIGINT) AS contexts, CAST(0 AS BIGINT) AS wrong FROM c, (VALUES ('default'), ('lightweight'), ('batch'), ('bounded')) AS p(preset)")
+def preset_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every preset decides every context, and its pick is the likeliest token of the cluster with the best score, found anew by windows."""
+    out = None
+    for name, spec in {"default": ca.DEFAULT, "lightweight": ca.LIGHTWEIGHT, "batch": ca.BATCH, "bounded": ca.BOUNDED}.items():
+        rows = cut(ca.clustered(rel.logits(spark, sf_dir), rel.vocabulary(spark, sf_dir), spec))
+        mine = Window.partitionBy("ctx_id", "cluster_id")
+        summed = rows.withColumn("m", F.sum("p").over(mine)).withColumn("s", F.count("*").over(mine))
+        score = F.col("m") if spec.category == "greedy" else F.col("m") - 0.1 / F.col("s") + 0.05 * F.col("m") * F.ln(F.col("m") + 1e-8)
+        first = F.row_number().over(lg.ctx().orderBy(F.round(score, 12).desc(), "cluster_id", F.desc("p"), "token_id"))
+        anew = summed.withColumn("r", first).where("r = 1").select("ctx_id", F.col("token_id").alias("anew"))
+        chosen = category.best_cluster(category.SCORES[spec.category](category.mass(rows)))
+        one = chosen.join(anew, "ctx_id", "full").agg(F.count("*").alias("contexts"), F.count_if(~F.col("token_id").eqNullSafe(F.col("anew"))).alias("wrong")).select(F.lit(name).alias("preset"), "contexts", "wrong")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def dcbs_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dcbs(spark, sf_dir, ca.BATCH)

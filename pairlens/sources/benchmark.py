@@ -72,6 +72,22 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
     return rows.drop("_corrupt_record")
 
 
+# Sample questions, written for this purpose, for trying things out without a file.
+SAMPLE = (
+    ("sample_1", "Which of these floats on water?", ["a nail", "a cork", "a coin", "a stone"], ["A", "B", "C", "D"], "2", "B"),
+    ("sample_2", "What do roots take up?", ["light", "sound", "water"], ["A", "B", "C"], "3", "C"),
+    ("sample_3", "Which season comes after winter?", ["spring", "autumn"], ["1", "2"], "1", "1"),
+)
+
+
+def examples_or_sample(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The examples of a file, or the sample questions where it is missing or holds none; and whether they are the sample."""
+    try:
+        return read_examples(spark, path), False
+    except (FileNotFoundError, DataError):
+        return spark.createDataFrame(list(SAMPLE), EXAMPLE), True
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One record per line; blank and malformed lines are dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -53,11 +53,21 @@ class FinishedWork:
         self.spark, self.path, self.keys = spark, path, keys
 
     def add(self, rows: DataFrame) -> None:
-        rows.select(*self.keys).distinct().write.mode("append").parquet(self.path)
+        rows.select(*self.keys).distinct().write.mode("append").partitionBy(self.keys[0]).parquet(self.path)
+
+    def runs(self, like: DataFrame) -> DataFrame:
+        """The first key (the run) and how much of it is finished."""
+        return self.done(like).groupBy(self.keys[0]).agg(F.count("*").alias("finished"))
+
+    def forget(self, run: str) -> bool:
+        """Deletes the finished work of one run; False if there is none."""
+        jvm = self.spark.sparkContext._jvm
+        part = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.keys[0]}={run}")
+        return bool(part.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(part, True))
 
     def done(self, like: DataFrame) -> DataFrame:
         try:
-            return self.spark.read.parquet(self.path).distinct()
+            return self.spark.read.schema(like.select(*self.keys).schema).parquet(self.path).distinct()
         except Exception as e:  # no file yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise

@@ -1,5 +1,6 @@
 """Evaluation, significance, sources, settings, streams."""
 
+import datetime as dt
 import json
 import math
 
@@ -150,6 +151,33 @@ def test_results_files(spark, tmp_path):
     assert store.left(work).count() == 6
 
 
+def test_finished_work_by_run(spark, tmp_path):
+    store = rs.FinishedWork(spark, str(tmp_path / "work"))
+    rows = spark.createDataFrame([(f"r{i % 2}", str(i), "greedy") for i in range(5)], "run_id string, id string, sampler string")
+    assert store.runs(rows).collect() == [] and not store.forget("r0")
+    store.add(rows)
+    assert {(r["run_id"], r["finished"]) for r in store.runs(rows).collect()} == {("r0", 3), ("r1", 2)}
+    assert store.forget("r0") and [r["run_id"] for r in store.runs(rows).collect()] == ["r1"] and store.left(rows).count() == 3
+
+
+def test_sample_instead_of_a_missing_file(spark, tmp_path):
+    rows, sample = bm.examples_or_sample(spark, str(tmp_path / "none.json"))
+    assert sample and all(int(r["correct_option"]) <= len(r["options"]) for r in rows.collect())
+    (tmp_path / "some.json").write_text(json.dumps([{"id": "1", "question": "q", "options": ["a"], "correct_option": "1"}]))
+    rows, sample = bm.examples_or_sample(spark, str(tmp_path / "some.json"))
+    assert not sample and rows.count() == 1
+
+
+def test_caches_of_keys_last_used(spark):
+    rows = spark.createDataFrame([("u", i, k) for i, k in enumerate(["a", "b", "a", "c", "b", None, None, "a"])] + [(None, 0, "a"), (None, 1, "a")], "u string, t int, k string")
+    got = {(r["u"], r["t"]): r["hit"] for r in sequences.lru_hits(rows, "u", ["t"], "k", 2).collect()}
+    assert got == {("u", i): i in (2, 6) for i in range(8)} | {(None, 0): False, (None, 1): True}
+    timed = spark.createDataFrame([("u", dt.datetime(2026, 1, 1, 0, 0, s), "a") for s in (0, 5, 9, 16, 20)], "u string, at timestamp, k string")
+    assert [r["hit"] for r in sequences.lru_hits(timed, "u", ["at"], "k", 2, "at", 10).orderBy("at").collect()] == [False, True, True, False, True]
+    with pytest.raises(ValueError):
+        sequences.lru_hits(rows, "u", ["t"], "k", 0)
+
+
 def test_latest_compatible(spark):
     s = spark.createDataFrame([("a", None, 5, "t1"), ("b", None, 9, "t0"), ("c", 3, 99, "t9"), ("d", None, 9, "t2")], "run string, k int, completed int, timestamp string")
     assert rs.latest_compatible(s, {"k": None}).collect()[0]["run"] == "d"

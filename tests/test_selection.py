@@ -255,6 +255,22 @@ def test_a_sweep_equals_single_runs(spark):
         assert {(name, r["ctx_id"]): (r["token_id"], r["cluster_id"]) for r in ca.select(rows, vocab, specs[name]).collect()}.items() <= got.items()
 
 
+def test_methods_of_ones_own(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "CUSTOM", {})
+    monkeypatch.setattr(category, "SCORES", dict(category.SCORES))
+    monkeypatch.setattr(samplers, "REGISTRY", dict(samplers.REGISTRY))
+    clustering.register("halves", lambda x, spec: np.arange(len(x)) % 2)
+    category.register("smallest", lambda m: m.withColumn("score", -F.col("mass")))
+    samplers.register("least", lambda rows, allowed=None: rows.groupBy("ctx_id").agg(F.min("token_id").alias("token_id")).select("ctx_id", F.lit("least").alias("sampler"), "token_id"))
+    rows, vocab = logits(spark, L), emb(spark, E)
+    spec = ca.ClusterSpec(method="halves", category="smallest")
+    assert chosen(ca.select(rows, vocab, spec)) == {0: 2} == chosen(ca.sweep(rows, vocab, {"x": spec}))
+    assert chosen(samplers.run(rows, ["least"])) == {0: 0}
+    for again in (lambda: clustering.register("kmeans", None), lambda: category.register("greedy", None), lambda: samplers.register("greedy", None)):
+        with pytest.raises(ValueError):
+            again()
+
+
 def test_zero_and_missing_vectors(spark):
     rows = logits(spark, [1, 2, 3, 4, 5])
     vocab = spark.createDataFrame([(0, [0.0, 0.0]), (1, None), (2, [1.0, 0.0]), (3, [1.0, 0.1])], "token_id int, vec array<double>")
