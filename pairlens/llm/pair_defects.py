@@ -191,7 +191,7 @@ def features(model: Model, rows: Sequence[tuple]) -> tuple[np.ndarray, list[int]
                 ids.extend(telling_)
                 counted.append(len(telling_))
                 uncued = letters if ":" not in clause else squeeze(_CUE_START.sub("", clause, count=1))
-                if len(uncued) > 3 and uncued in asked.letters:
+                if len(uncued) > 3 and uncued in asked.letters and (len(raw) > 2 or 2 * len(uncued) >= len(asked.letters)):
                     b |= _BIT["echo_clause"]
                 if _DIGIT.search(clause):
                     b |= _BIT["digit"]
@@ -208,7 +208,8 @@ def features(model: Model, rows: Sequence[tuple]) -> tuple[np.ndarray, list[int]
                     b |= _BIT["question_words"]
                 if len(found) <= 2:
                     b |= _BIT["single"] if len(found) < 2 else _BIT["short"]
-                lean = sum(map(odds, found, nothing)) + sum(map(odds, zip(found, found[1:]), nothing))
+                # the question's own words say nothing for or against an answer
+                lean = 0.0 if b & _BIT["echo_clause"] else sum(map(odds, found, nothing)) + sum(map(odds, zip(found, found[1:]), nothing))
                 leaning += lean
                 if lean >= ODDS:
                     b |= _BIT["declines"] | (_BIT["declines_clearly"] if lean >= CLEAR_ODDS else 0)
@@ -253,12 +254,12 @@ def unpack(bits: np.ndarray) -> np.ndarray:
 # Seed phrases for training: ways to decline, written for this purpose, by language; {} takes a word of the question.
 DECLINING = {
     "en": ("I can't answer that.", "I am unable to respond to this request.", "Sorry, I will not help with that question.", "I would prefer not to discuss {}.", "My rules do not allow me to choose an option.", "As an assistant I must refuse to pick one.", "Please ask a qualified person about {}.", "No answer will be given to this item.", "This is not something I may comment on.", "Let us choose another topic than {}.", "That is outside what I can do for you.", "Unfortunately I have to decline.", "I'd rather talk about something else.", "It would be against my guidelines to take part in this.", "You should consult a specialist instead of me.", "I won't be commenting on {} today."),
-    "es": ("No puedo responder a esa pregunta.", "Lo siento, no me permiten elegir.", "Prefiero no hablar de {}.", "Pregunte mejor a un especialista.", "No debo ayudar con este tema.", "Tengo que rechazar esta solicitud.", "No me corresponde opinar sobre {}."),
-    "fr": ("Je ne peux pas répondre à cette question.", "Désolé, je ne dois pas choisir.", "Je préfère ne pas parler de {}.", "Demandez plutôt à un spécialiste.", "Il ne m'est pas permis de traiter ce sujet.", "Je dois refuser cette demande.", "Ce n'est pas à moi de juger {}."),
-    "de": ("Das kann ich nicht beantworten.", "Leider darf ich keine Antwort geben.", "Ich möchte nicht über {} sprechen.", "Bitte fragen Sie einen Lehrer.", "Zu diesem Thema darf ich nichts sagen.", "Ich muss diese Anfrage ablehnen.", "Dafür bin ich nicht zuständig."),
-    "ru": ("Я не могу ответить на это.", "Извините, мне нельзя выбирать вариант.", "Я предпочёл бы не говорить про {}.", "Лучше спросите специалиста.", "На такие вопросы я не отвечаю.", "Мне придётся отклонить эту просьбу.", "Это не входит в мои задачи."),
-    "it": ("Non posso rispondere a questa domanda.", "Mi dispiace, non mi è permesso scegliere.", "Preferisco non parlare di {}.", "Chieda piuttosto a uno specialista.", "Devo rifiutare questa richiesta."),
-    "pt": ("Não posso responder a essa pergunta.", "Desculpe, não me é permitido escolher.", "Prefiro não falar de {}.", "Pergunte antes a um especialista.", "Tenho de recusar este pedido."),
+    "es": ("No puedo responder a esa pregunta.", "Lo siento, no me permiten elegir.", "Prefiero no hablar de {}.", "Pregunte mejor a un especialista.", "No debo ayudar con este tema.", "Tengo que rechazar esta solicitud.", "No me corresponde opinar sobre {}.", "No está permitido que opine.", "Elegir una opción no me corresponde.", "No quiero contestar a esto."),
+    "fr": ("Je ne peux pas répondre à cette question.", "Désolé, je ne dois pas choisir.", "Je préfère ne pas parler de {}.", "Demandez plutôt à un spécialiste.", "Il ne m'est pas permis de traiter ce sujet.", "Je dois refuser cette demande.", "Ce n'est pas à moi de juger {}.", "Il m'est interdit de donner une réponse.", "Choisir une option n'est pas de mon ressort.", "Je ne veux pas en parler."),
+    "de": ("Das kann ich nicht beantworten.", "Leider darf ich keine Antwort geben.", "Ich möchte nicht über {} sprechen.", "Bitte fragen Sie einen Lehrer.", "Zu diesem Thema darf ich nichts sagen.", "Ich muss diese Anfrage ablehnen.", "Dafür bin ich nicht zuständig.", "Es ist mir nicht erlaubt, dazu etwas zu sagen.", "Eine Auswahl treffe ich hier nicht.", "Dazu will ich mich nicht äußern."),
+    "ru": ("Я не могу ответить на это.", "Извините, мне нельзя выбирать вариант.", "Я предпочёл бы не говорить про {}.", "Лучше спросите специалиста.", "На такие вопросы я не отвечаю.", "Мне придётся отклонить эту просьбу.", "Это не входит в мои задачи.", "Мне не разрешено давать советы.", "Выбирать ответ я не стану.", "Не хочу об этом говорить."),
+    "it": ("Non posso rispondere a questa domanda.", "Mi dispiace, non mi è permesso scegliere.", "Preferisco non parlare di {}.", "Chieda piuttosto a uno specialista.", "Devo rifiutare questa richiesta.", "Non mi è consentito dare una risposta.", "Scegliere un'opzione non spetta a me."),
+    "pt": ("Não posso responder a essa pergunta.", "Desculpe, não me é permitido escolher.", "Prefiro não falar de {}.", "Pergunte antes a um especialista.", "Tenho de recusar este pedido.", "Não estou autorizado a dar uma resposta.", "Escolher uma opção não me cabe."),
 }
 # Sound clauses in words of declining: {} takes words of an option.
 HARD = {
