@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.operators.shred import ELEMENT, adjacency, entities
+from pairlens.plans.durable import spread
 
 #: The record lists of an evaluation file.
 LISTS = ("detailed_results", "prediction_differences")
@@ -30,7 +31,7 @@ def _located(df: DataFrame, key: str, payload: str) -> DataFrame:
     Cheap tests of the parent's path come first; ids are only taken apart for
     the nodes that pass.
     """
-    nodes = adjacency(df, key, payload, skip=_unused(), once=False)
+    nodes = adjacency(spread(df.select(key, payload)), key, payload, skip=_unused(), once=False)
     parent = F.col("parent_id")
     element, there, scalar = F.col("ordinal").isNotNull(), F.col("kind") != "null", ~F.col("kind").isin("object", "array")
     probs, clusters = parent.endswith("/answer_probs"), parent.endswith("/cluster_info/clusters")

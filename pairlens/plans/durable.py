@@ -73,3 +73,12 @@ def small_side(df: DataFrame, rows: int = SMALL_ROWS, most: int = SMALL_BYTES) -
     For sides that are written already (``cut``), since they are counted.
     """
     return F.broadcast(df) if is_small(df, rows, most) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has less than half of that: rows of one small file whose work is costly.
+
+    Larger inputs have more partitions than that and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
