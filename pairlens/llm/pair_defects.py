@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.crf import Chain
 from pairlens.llm.language import CLEAR, LANGUAGES, LEAD, WORD, Profiles, script, telling
+from pairlens.plans.durable import spread
 
 #: Rows, at most, from which training pairs are made.
 TRAIN_ROWS = 1_200
@@ -443,5 +444,5 @@ def pair_defects(results: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     near = rows.where(F.col("predicted_answer").isNotNull() & (F.pmod(order, F.lit(1 << 31)) < F.lit(min(1.0, share) * (1 << 31))))
     sample = near.orderBy(order, "result_id").limit(train_rows).collect()
     model = train([(r["sentence"], r["options"], r["predicted_answer"], r["cot_reasoning"]) for r in sample])
-    found = rows.mapInArrow(_tagger(model), "result_id long, defect string")
+    found = spread(rows).mapInArrow(_tagger(model), "result_id long, defect string")
     return found.groupBy("result_id").agg(F.min("defect").alias("defect"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.pair_defects import repeats, squeeze
-from pairlens.plans.durable import cut
+from pairlens.plans.durable import cut, spread
 
 #: A source isn't known by missing ends if less than this share of its texts ends with a terminator or a choice, and less than this share of those with inner sentences or lines ends these with terminators.
 BASELINE = 0.5
@@ -217,7 +217,7 @@ def _scanned():
 def scanned(results: DataFrame) -> DataFrame:
     """result_id, sampler, shown (the evidence), length, style, leads_on, numbers and decimals of each reasoning text, redelivered rows once, written to the checkpoint folder."""
     rows = results.where("cot_reasoning IS NOT NULL AND result_id IS NOT NULL").select("result_id", "sampler", "sentence", "options", "cot_reasoning")
-    seen = rows.mapInArrow(_scanned(), "result_id long, sampler string, shown string, length int, style boolean, leads_on boolean, numbers int, decimals int")
+    seen = spread(rows).mapInArrow(_scanned(), "result_id long, sampler string, shown string, length int, style boolean, leads_on boolean, numbers int, decimals int")
     return cut(seen.groupBy("result_id").agg(F.min(F.struct("sampler", "shown", "length", "style", "leads_on", "numbers", "decimals")).alias("x")).select("result_id", "x.*"))
 
 
