@@ -211,7 +211,7 @@ def comprehensive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of the work after a run that finished a third of the contexts for two samplers."""
     done = rel.logits(spark, sf_dir).select("ctx_id").distinct().where(F.pmod("ctx_id", F.lit(3)) == 0).select("ctx_id", F.explode(F.array(F.lit("greedy"), F.lit("dcbs"))).alias("sampler"))
-    return ev.remaining(picks(spark, sf_dir), done)
+    return ev.remaining(results(spark, sf_dir).select("ctx_id", "sampler", "token_id"), done)
 
 
 @query(RES + " SELECT sampler, coalesce(CAST(label AS VARCHAR), 'all') AS label, count(*) AS total, count(*) FILTER (correct) AS correct FROM results GROUP BY GROUPING SETS ((sampler, label), (sampler))")

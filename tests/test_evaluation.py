@@ -334,3 +334,21 @@ def test_top_answer_keeps_results_with_ties(spark, tmp_path):
     given = [(1, {"b": 0.5, "a": 0.5}), (2, {"z": 0.9, "x": 0.0, "y": 0.0}), (2, {"z": 0.9, "x": 0.0, "y": 0.0}), (3, {"c": 0.7, "d": None}), (4, {"e": None}), (5, None)]
     spark.createDataFrame(given, "result_id long, answer_probs map<string,double>").write.parquet(f"{tmp_path}/detailed_results.parquet")
     assert sorted(map(tuple, q_evaluation.top_answer(spark, str(tmp_path)).collect())) == [(1, "a", 0.5, 2), (2, "z", 0.9, 3), (3, "c", 0.7, 1)]
+
+
+def test_resume_leaves_the_columns_and_keys_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(i, [1.0, float(i)], i) for i in (0, 1, 2, 3, 3)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = [(u, f'{{"k": {k}}}', float(100 * k + u)) for u in range(7) for k in range(4)]
+    spark.createDataFrame(events, "user_id long, props string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    left = q_evaluation.resume_antijoin(spark, str(tmp_path))
+    assert left.dtypes == [("ctx_id", "bigint"), ("sampler", "string"), ("token_id", "int")]
+    con = duckdb.connect()
+    for name in ("events", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(q_evaluation.SQL["resume_antijoin"])
+    assert left.columns == [c[0] for c in want.description]
+    rows = sorted(map(tuple, left.collect()))
+    assert rows == sorted(want.fetchall())
+    assert {r[:2] for r in rows} == {(c, s) for c in range(7) for s in q_evaluation.NAMES if c % 3 or s not in ("greedy", "dcbs")}
